@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,10 +13,23 @@ from quotemill.clock import Clock
 from quotemill.operators.quality.checks import Check
 from quotemill.operators.quality.rules import RULES
 
-REPORT_COLUMNS = [
-    "dq_table", "dq_passed", "failed_checks", "total_checks", "auto_repaired", "record_id",
-    "original_record", "fixed_record", "checked_at",
-]
+log = logging.getLogger(__name__)
+
+
+def _evaluated(df: DataFrame, check: Check, mark: str, clock: Clock) -> DataFrame | None:
+    """The rows with the check's failure flag, None if it does not fit the schema."""
+    quiet = logging.getLogger("SQLQueryContextLogger")
+    level = quiet.level
+    quiet.setLevel(logging.CRITICAL)
+    try:
+        marked = df.withColumn(mark, ~F.coalesce(check.valid(df.schema, clock), F.lit(False)))
+        marked.schema
+        return marked
+    except AnalysisException as error:
+        log.warning("check %s cannot run: %s", check.name, str(error).splitlines()[0])
+        return None
+    finally:
+        quiet.setLevel(level)
 
 
 def run_checks(
@@ -34,18 +48,13 @@ def run_checks(
     fields = df.columns
     current = df.withColumn("original_record", F.struct(*[F.col(f"`{c}`") for c in fields]))
     flags: list[Column] = []
-    scratch: list[str] = []
     for position, check in enumerate(checks):
         mark = f"_bad_{position}"
-        scratch.append(mark)
-        try:
-            valid = check.valid(current.schema, clock)
-            current = current.withColumn(mark, ~F.coalesce(valid, F.lit(False)))
-            current.schema
-        except AnalysisException:
+        marked = _evaluated(current, check, mark, clock)
+        if marked is None:
             flags.append(F.lit(f"{check.name}[ERROR]"))
-            scratch.pop()
             continue
+        current = marked
         flags.append(F.when(F.col(mark), F.lit(check.name)))
         fixed = check.repair(current.schema)
         if fixed is not None:

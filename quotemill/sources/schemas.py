@@ -7,33 +7,28 @@ from dataclasses import dataclass, field
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
+LONG, INT, TEXT, DAY, TIME = T.LongType(), T.IntegerType(), T.StringType(), T.DateType(), T.TimestampNTZType()
+
 CRYPTO_PRICES = _struct(
-    "id BIGINT, symbol STRING, price_usd DECIMAL(18,8), market_cap BIGINT, volume_24h BIGINT, "
-    "price_change_24h DECIMAL(10,2), timestamp TIMESTAMP_NTZ"
+    id=LONG, symbol=TEXT, price_usd=T.DecimalType(18, 8), market_cap=LONG, volume_24h=LONG,
+    price_change_24h=T.DecimalType(10, 2), timestamp=TIME,
 )
 WEATHER_DATA = _struct(
-    "id BIGINT, city STRING, temperature DECIMAL(5,2), humidity INT, weather_condition STRING, "
-    "timestamp TIMESTAMP_NTZ"
+    id=LONG, city=TEXT, temperature=T.DecimalType(5, 2), humidity=INT, weather_condition=TEXT, timestamp=TIME
 )
 NEWS_ARTICLES = _struct(
-    "id BIGINT, title STRING, description STRING, source STRING, url STRING, "
-    "published_at TIMESTAMP_NTZ, fetched_at TIMESTAMP_NTZ, embedding ARRAY<FLOAT>"
+    id=LONG, title=TEXT, description=TEXT, source=TEXT, url=TEXT, published_at=TIME, fetched_at=TIME,
+    embedding=T.ArrayType(T.FloatType()),
 )
 STOCK_PRICES = _struct(
-    "id BIGINT, symbol STRING, close_price DECIMAL(10,2), volume BIGINT, trading_date DATE, "
-    "timestamp TIMESTAMP_NTZ"
-)
-AI_INSIGHTS = _struct(
-    "id BIGINT, insight_type STRING, content STRING, data_snapshot STRING, generated_at TIMESTAMP_NTZ"
-)
-DQ_METADATA = _struct(
-    "id BIGINT, table_name STRING, last_successful_ts TIMESTAMP_NTZ, rows_inserted BIGINT, "
-    "last_check TIMESTAMP_NTZ"
+    id=LONG, symbol=TEXT, close_price=T.DecimalType(10, 2), volume=LONG, trading_date=DAY, timestamp=TIME
 )
+AI_INSIGHTS = _struct(id=LONG, insight_type=TEXT, content=TEXT, data_snapshot=TEXT, generated_at=TIME)
+DQ_METADATA = _struct(id=LONG, table_name=TEXT, last_successful_ts=TIME, rows_inserted=LONG, last_check=TIME)
 
 
 @dataclass(frozen=True)

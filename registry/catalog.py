@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from registry import marts  # noqa: F401
+from registry import dashboard, marts, quality  # noqa: F401
