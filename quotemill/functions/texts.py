@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stop words of the `english` text-search configuration.
@@ -27,6 +29,7 @@ IRREGULAR_STEMS = {
 }
 UNCHANGED_WORDS = ["sky", "news", "howe", "atlas", "cosmos", "bias", "andes"]
 UNCHANGED_AFTER_PLURAL = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
+TENSE_SUFFIXES = ["eed", "eedly", "ed", "edly", "ing", "ingly"]
 STEP2_SUFFIXES = {
     "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize",
     "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al",
@@ -41,6 +44,7 @@ STEP4_SUFFIXES = [
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate",
     "iti", "ous", "ive", "ize", "ion",
 ]
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 SHORT_SYLLABLE = r"(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
 
 
@@ -51,7 +55,7 @@ def stripped(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Lower-case runs of letters and digits, in text order, empty pieces included."""
-    return F.split(F.lower(col), r"[^\p{L}\p{N}]+")
+    return F.split(F.lower(col), WORD_BREAK)
 
 
 def headline_tone(title: Column) -> Column:
@@ -63,113 +67,146 @@ def headline_tone(title: Column) -> Column:
     )
 
 
-def _ending(word: Column, suffixes) -> Column:
-    """The longest of the suffixes the word ends with, '' if none (leftmost match = longest)."""
-    return F.regexp_extract(word, f"({'|'.join(suffixes)})$", 1)
-
-
-def _head(word: Column, tail: Column) -> Column:
-    return F.left(word, F.length(word) - F.length(tail))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` applied to a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _swap(tail: Column, table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[tail]
+def _with_ending(word: Column, suffixes: Iterable[str], body: Callable[[Column, Column], Column]) -> Column:
+    """`body(ending, head)` for the longest of the suffixes a word ends with ('' if none).
 
-
-def add_stems(df: DataFrame, token: str, stem: str) -> DataFrame:
-    """Append the English stem of a lower-case word column.
-
-    Each rule step is one projection, all of them narrow: the stemmer never needs a
-    vocabulary shuffle or join, so a word that makes up a third of all tokens costs the
-    same per row as any other.
+    A search finds the leftmost match, which is the longest suffix.
     """
-    w, p1, p2, tail = "_w", "_p1", "_p2", "_tail"
-    word, end = F.col(w), F.col(tail)
-    start = F.length(word) - F.length(end)
-    found = end != ""
-    in_r1, in_r2 = start >= F.col(p1), start >= F.col(p2)
-    region = r"[^aeiouy]*[aeiouy]+[^aeiouy]"
+    ending = F.regexp_extract(word, f"({'|'.join(suffixes)})$", 1)
+    return _let(ending, lambda end: body(end, F.left(word, F.length(word) - F.length(end))))
 
-    def length_or_end(text: Column) -> Column:
-        return F.when(text == "", 1000).otherwise(F.length(text))
 
-    # A y that starts the word or follows a vowel counts as a consonant, written Y.
-    out = df.withColumn(w, F.regexp_replace(F.regexp_replace(F.col(token), "^y", "Y"), "([aeiouy])y", "$1Y"))
-    out = out.withColumn(p1, length_or_end(F.regexp_extract(word, f"^(gener|commun|arsen|{region})", 1)))
-    out = out.withColumn(
-        p2, F.col(p1) + length_or_end(F.regexp_extract(F.substring(word, F.col(p1) + 1, F.length(word)), f"^({region})", 1))
-    )
+def _swap(ending: Column, table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[ending]
+
 
-    # Plurals.
-    out = out.withColumn(
-        w,
+def _drop_plural(word: Column) -> Column:
+    return (
         F.when(word.rlike("sses$"), F.regexp_replace(word, "sses$", "ss"))
         .when(word.rlike("^.(ied|ies)$"), F.regexp_replace(word, "(ied|ies)$", "ie"))
         .when(word.rlike("(ied|ies)$"), F.regexp_replace(word, "(ied|ies)$", "i"))
         .when(word.rlike("(us|ss)$"), word)
         .when(word.rlike("[aeiouy].+s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word),
-    ).withColumn("_done", word.isin(UNCHANGED_AFTER_PLURAL))
-
-    # Past tense and gerund.
-    out = out.withColumn(tail, _ending(word, ["eed", "eedly", "ed", "edly", "ing", "ingly"]))
-    cut = _head(word, end)
-    out = out.withColumn(
-        "_cut", ~end.isin("", "eed", "eedly") & cut.rlike("[aeiouy]")
-    ).withColumn(
-        w,
-        F.when(end.isin("eed", "eedly"), F.when(in_r1, F.concat(cut, F.lit("ee"))).otherwise(word))
-        .when(F.col("_cut"), cut)
-        .otherwise(word),
-    ).withColumn(
-        w,
-        F.when(~F.col("_cut"), word)
-        .when(word.rlike("(at|bl|iz)$"), F.concat(word, F.lit("e")))
-        .when(word.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.left(word, F.length(word) - 1))
-        .when((F.col(p1) >= F.length(word)) & word.rlike(SHORT_SYLLABLE), F.concat(word, F.lit("e")))
-        .otherwise(word),
-    ).withColumn(w, F.regexp_replace(word, "^(.+[^aeiouy])[yY]$", "$1i"))
-
-    # Derivational endings.
-    out = out.withColumn(tail, _ending(word, STEP2_SUFFIXES))
-    out = out.withColumn(
-        w,
-        F.when(~found | ~in_r1, word)
-        .when((end == "ogi") & ~_head(word, end).endswith("l"), word)
-        .when((end == "li") & ~_head(word, end).rlike("[cdeghkmnrt]$"), word)
-        .otherwise(F.concat(_head(word, end), _swap(end, STEP2_SUFFIXES))),
-    )
-    out = out.withColumn(tail, _ending(word, STEP3_SUFFIXES))
-    out = out.withColumn(
-        w,
-        F.when(~found | ~in_r1, word)
-        .when((end == "ative") & ~in_r2, word)
-        .otherwise(F.concat(_head(word, end), _swap(end, STEP3_SUFFIXES))),
-    )
-    out = out.withColumn(tail, _ending(word, STEP4_SUFFIXES))
-    out = out.withColumn(
-        w,
-        F.when(~found | ~in_r2, word)
-        .when((end == "ion") & ~_head(word, end).rlike("[st]$"), word)
-        .otherwise(_head(word, end)),
+        .otherwise(word)
     )
 
-    # Final e and l.
-    out = out.withColumn(tail, _ending(word, ["e", "l"]))
-    cut = _head(word, end)
-    out = out.withColumn(
-        w,
-        F.when((end == "e") & (in_r2 | (in_r1 & ~cut.rlike(SHORT_SYLLABLE))), cut)
-        .when((end == "l") & in_r2 & cut.endswith("l"), cut)
-        .otherwise(word),
+
+def _restore(word: Column, r1: Column) -> Column:
+    """Repair of a word whose -ed or -ing was cut off."""
+    return (
+        F.when(word.rlike("(at|bl|iz)$"), F.concat(word, F.lit("e")))
+        .when(word.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.left(word, F.length(word) - 1))
+        .when((r1 >= F.length(word)) & word.rlike(SHORT_SYLLABLE), F.concat(word, F.lit("e")))
+        .otherwise(word)
     )
+
+
+def _drop_tense(word: Column, r1: Column) -> Column:
+    def body(end: Column, head: Column) -> Column:
+        return (
+            F.when(end == "", word)
+            .when(end.isin("eed", "eedly"), F.when(F.length(head) >= r1, F.concat(head, F.lit("ee"))).otherwise(word))
+            .when(head.rlike("[aeiouy]"), _let(head, lambda cut: _restore(cut, r1)))
+            .otherwise(word)
+        )
+
+    return _with_ending(word, TENSE_SUFFIXES, body)
+
+
+def _step2(word: Column, r1: Column) -> Column:
+    def body(end: Column, head: Column) -> Column:
+        kept = (
+            (end == "")
+            | (F.length(head) < r1)
+            | ((end == "ogi") & ~head.endswith("l"))
+            | ((end == "li") & ~head.rlike("[cdeghkmnrt]$"))
+        )
+        return F.when(kept, word).otherwise(F.concat(head, _swap(end, STEP2_SUFFIXES)))
+
+    return _with_ending(word, STEP2_SUFFIXES, body)
+
+
+def _step3(word: Column, r1: Column, r2: Column) -> Column:
+    def body(end: Column, head: Column) -> Column:
+        kept = (end == "") | (F.length(head) < r1) | ((end == "ative") & (F.length(head) < r2))
+        return F.when(kept, word).otherwise(F.concat(head, _swap(end, STEP3_SUFFIXES)))
+
+    return _with_ending(word, STEP3_SUFFIXES, body)
+
+
+def _step4(word: Column, r2: Column) -> Column:
+    def body(end: Column, head: Column) -> Column:
+        kept = (end == "") | (F.length(head) < r2) | ((end == "ion") & ~head.rlike("[st]$"))
+        return F.when(kept, word).otherwise(head)
+
+    return _with_ending(word, STEP4_SUFFIXES, body)
+
+
+def _drop_final(word: Column, r1: Column, r2: Column) -> Column:
+    def body(end: Column, head: Column) -> Column:
+        size = F.length(head)
+        silent_e = (end == "e") & ((size >= r2) | ((size >= r1) & ~head.rlike(SHORT_SYLLABLE)))
+        double_l = (end == "l") & (size >= r2) & head.endswith("l")
+        return F.when(silent_e | double_l, head).otherwise(word)
+
+    return _with_ending(word, ["e", "l"], body)
+
+
+def stem(token: Column) -> Column:
+    """The English stem of a lower-case word, as one column expression.
+
+    It runs on the row where the word is: no vocabulary shuffle or join, so a word that
+    makes up a third of all tokens costs the same per row as any other. The result is
+    never NULL, which keeps null filters of later joins from evaluating it twice.
+    """
+    syllable = r"[^aeiouy]*[aeiouy]+[^aeiouy]"
+
+    def after(text: Column, pattern: str) -> Column:
+        """Length of the matched beginning, beyond any word if there is none."""
+        found = F.regexp_extract(text, f"^({pattern})", 1)
+        return F.when(found == "", 1000).otherwise(F.length(found))
+
+    def regions(word: Column, body: Callable[[Column, Column], Column]) -> Column:
+        def second(r1: Column) -> Column:
+            rest = F.substring(word, r1 + 1, F.length(word))
+            return _let(r1 + after(rest, syllable), lambda r2: body(r1, r2))
+
+        return _let(after(word, f"gener|commun|arsen|{syllable}"), second)
+
+    def regular(word: Column) -> Column:
+        def steps(r1: Column, r2: Column) -> Column:
+            chain = [
+                lambda w: _drop_tense(w, r1),
+                lambda w: F.regexp_replace(w, "^(.+[^aeiouy])[yY]$", "$1i"),
+                lambda w: _step2(w, r1),
+                lambda w: _step3(w, r1, r2),
+                lambda w: _step4(w, r2),
+                lambda w: _drop_final(w, r1, r2),
+            ]
+
+            def fold(w: Column, rest: list) -> Column:
+                return F.lower(w) if not rest else _let(rest[0](w), lambda following: fold(following, rest[1:]))
+
+            return _let(
+                _drop_plural(word), lambda w: F.when(w.isin(UNCHANGED_AFTER_PLURAL), w).otherwise(fold(w, chain))
+            )
+
+        return regions(word, steps)
+
+    # A y that starts the word or follows a vowel counts as a consonant, written Y.
+    # A word with none of the endings any step looks for is its own stem.
+    endings = [*TENSE_SUFFIXES, *STEP2_SUFFIXES, *STEP3_SUFFIXES, *STEP4_SUFFIXES, "s", "ied", "y", "e", "l"]
+    marked = F.regexp_replace(F.regexp_replace(token, "^y", "Y"), "([aeiouy])y", "$1Y")
     irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR_STEMS.items() for x in pair])
-    kept = (F.length(token) <= 2) | F.col(token).isin(UNCHANGED_WORDS)
-    out = out.withColumn(
-        stem,
-        F.when(F.col(token).isin(list(IRREGULAR_STEMS)), F.try_element_at(irregular, F.col(token)))
-        .when(kept, F.col(token))
-        .when(F.col("_done"), F.regexp_replace(F.col(token), "s$", ""))
-        .otherwise(F.lower(word)),
+    result = (
+        F.when((F.length(token) <= 2) | token.isin(UNCHANGED_WORDS), token)
+        .when(~token.rlike(f"({'|'.join(endings)})$"), token)
+        .when(token.isin(list(IRREGULAR_STEMS)), F.try_element_at(irregular, token))
+        .otherwise(_let(marked, regular))
     )
-    return out.drop(w, p1, p2, tail, "_done", "_cut")
+    return F.coalesce(result, F.lit(""))

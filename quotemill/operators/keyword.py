@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.texts import IRREGULAR_STEMS, STOP_WORDS, add_stems, words
+from quotemill.functions.texts import IRREGULAR_STEMS, STOP_WORDS, WORD_BREAK, stem, words
 
 # Fixed values of the rank function: weight of an unlabelled word, the sum of 1/n^2, the
 # number of positions a text-search vector keeps per word, and the longest distance.
@@ -18,50 +18,90 @@ INVERSE_SQUARES = 1.64493406685
 MAX_POSITIONS = 256
 MAX_DISTANCE = 100
 MAX_QUERIES = 10_000
+MAX_RESULTS = 100_000
+MAX_TEXT_TESTS = 20
 
 
 def search_text(title: str = "title", description: str = "description") -> Column:
     return F.concat(F.col(title), F.lit(" "), F.coalesce(F.col(description), F.lit("")))
 
 
-def query_terms(spark: SparkSession, queries: list[str]) -> DataFrame:
-    """(query, term, terms): distinct stems per query without stop words.
+Terms = dict[str, list[str]]
 
-    The batch is a parameter of bounded length, so the frame is small enough to broadcast.
+
+def query_terms(spark: SparkSession, queries: list[str]) -> Terms:
+    """Distinct stems per query without stop words; a query of stop words only has none.
+
+    The batch is a parameter of bounded length, so its terms are known while planning.
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} queries per batch")
-    frame = spark.createDataFrame([(q,) for q in queries], "query string").distinct()
+    frame = spark.createDataFrame([(q,) for q in sorted(set(queries))], "query string").coalesce(1)
     tokens = frame.select("query", F.explode(words(F.col("query"))).alias("token"))
     tokens = tokens.filter((F.col("token") != "") & ~F.col("token").isin(STOP_WORDS))
-    terms = add_stems(tokens, "token", "term").select("query", "term").distinct()
-    counts = terms.groupBy("query").agg(F.count("*").alias("terms"))
-    return terms.join(counts, "query")
-
-
-def _shared_beginnings(queries: list[str]) -> list[str]:
-    """First two letters of the query words; stems keep them, irregular words excepted."""
-    import re
-
-    found = {w[:2] for q in queries for w in re.split(r"[^\w]+|_", q.lower()) if w}
-    return sorted(found)
-
-
-def postings(docs: DataFrame, text: Column, only: list[str] | None = None, id_column: str = "id") -> DataFrame:
-    """(id, term, positions): sorted word positions per document and stem.
-
-    Positions count every word, stop words too. With `only`, words that cannot share a
-    stem with these query texts are dropped before stemming, which keeps the result
-    and leaves few rows for the shuffle.
+    found: Terms = {}
+    for row in tokens.select("query", stem(F.col("token")).alias("term")).distinct().collect():
+        found.setdefault(row["query"], []).append(row["term"])
+    return {query: sorted(terms) for query, terms in found.items()}
+
+
+def _beginning(term: str) -> str:
+    """What every word with this stem starts with: stemming changes at most the last two letters it keeps."""
+    return term[: max(2, len(term) - 2)]
+
+
+def _may_match(low: Column, terms: Terms) -> Column:
+    """Texts that can hold all terms of some query; tested before the text is split."""
+    if len(terms) > MAX_TEXT_TESTS:
+        return F.lit(True)
+    any_query = F.lit(False)
+    for words_of_query in terms.values():
+        every = F.lit(True)
+        for term in words_of_query:
+            begins = F.contains(low, F.lit(_beginning(term)))
+            for word, irregular in IRREGULAR_STEMS.items():
+                if irregular == term:
+                    begins = begins | F.contains(low, F.lit(word))
+            every = every & begins
+        any_query = any_query | every
+    return any_query
+
+
+def _may_stem_to(token: Column, terms: Terms) -> Column:
+    """Words that can have a wanted stem."""
+    by_length: dict[int, set[str]] = {}
+    for term in (t for found in terms.values() for t in found):
+        start = _beginning(term)[:4]
+        by_length.setdefault(len(start), set()).add(start)
+    near = token.isin(list(IRREGULAR_STEMS))
+    for size, starts in by_length.items():
+        near = near | F.substring(token, 1, size).isin(sorted(starts))
+    return near
+
+
+def postings(docs: DataFrame, text: Column, terms: Terms | None = None) -> DataFrame:
+    """(id, published_at, term, positions): sorted word positions per document and stem.
+
+    Positions count every word, stop words too. With `terms`, only those stems are kept:
+    texts and words that cannot hold one are dropped before stemming, and every other
+    word before the shuffle.
     """
-    pieces = F.filter(words(text), lambda w: w != "")
-    tokens = docs.select(F.col(id_column).alias("id"), F.posexplode(pieces).alias("at", "token"))
-    if only is not None:
-        near = F.substring("token", 1, 2).isin(_shared_beginnings(only)) | F.col("token").isin(list(IRREGULAR_STEMS))
-        tokens = tokens.filter(near)
-    tokens = tokens.filter(~F.col("token").isin(STOP_WORDS))
-    stems = add_stems(tokens, "token", "term")
-    return stems.groupBy("id", "term").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
+    pieces = F.posexplode(F.filter(F.split(F.col("low"), WORD_BREAK), lambda w: w != "")).alias("at", "token")
+    rows = docs.select("id", "published_at", F.lower(text).alias("low"))
+    keys = ["id", "published_at"]
+    content = ~F.col("token").isin(STOP_WORDS)
+    if terms is not None:
+        tokens = rows.filter(_may_match(F.col("low"), terms)).select(*keys, pieces)
+        tokens = tokens.filter(content & _may_stem_to(F.col("token"), terms))
+        stems = tokens.select(*keys, F.array(F.col("at") + 1).alias("positions"), stem(F.col("token")).alias("term"))
+        grouped = stems.filter(F.col("term").isin(sorted({t for found in terms.values() for t in found})))
+    else:
+        # One shuffle, of the texts; both groupings below then stay inside their task, and
+        # a word repeated in a document is stemmed once.
+        tokens = rows.repartition("id").select(*keys, pieces).filter(content)
+        per_token = tokens.groupBy(*keys, "token").agg(F.collect_list(F.col("at") + 1).alias("positions"))
+        grouped = per_token.select(*keys, "positions", stem(F.col("token")).alias("term"))
+    return grouped.groupBy(*keys, "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def _bucket(buckets: int) -> Column:
@@ -82,8 +122,9 @@ def write_postings(index: DataFrame, path: str, buckets: int = 64, spread: int =
 
 def read_postings(spark: SparkSession, path: str, queries: list[str], buckets: int = 64) -> DataFrame:
     """Postings of the query terms: only their buckets are read, only their row groups match."""
-    wanted = [r["term"] for r in query_terms(spark, queries).select("term").distinct().collect()]
-    index = spark.read.schema("id BIGINT, term STRING, positions ARRAY<INT>, bucket INT").parquet(path)
+    schema = "id BIGINT, published_at TIMESTAMP_NTZ, term STRING, positions ARRAY<INT>, bucket INT"
+    index = spark.read.schema(schema).parquet(path)
+    wanted = sorted({t for found in query_terms(spark, queries).values() for t in found})
     if not wanted:
         return index.filter(F.lit(False)).drop("bucket")
     named = spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(buckets).alias("b")).distinct()
@@ -125,15 +166,17 @@ def _pair_rank(hits: Column) -> Column:
     return 1.0 - F.exp(F.aggregate(F.transform(flat, against_earlier), F.lit(0.0), lambda acc, x: acc + x))
 
 
-def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query, id, relevance) of documents that hold every term of a query."""
-    hits = index.join(F.broadcast(terms), "term")
-    grouped = hits.groupBy("query", "id", "terms").agg(
+def matches(index: DataFrame, terms: Terms) -> DataFrame:
+    """(query, id, published_at, relevance) of documents that hold every term of a query."""
+    rows = [(query, term, len(found)) for query, found in terms.items() for term in found]
+    wanted = index.sparkSession.createDataFrame(rows, "query string, term string, terms int")
+    hits = index.join(F.broadcast(wanted), "term")
+    grouped = hits.groupBy("query", "id", "published_at", "terms").agg(
         F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("hits")
     )
     whole = grouped.filter(F.size("hits") == F.col("terms"))
     rank = F.when(F.col("terms") == 1, _single_rank(F.col("hits"))).otherwise(_pair_rank(F.col("hits")))
-    return whole.select("query", "id", rank.alias("relevance"))
+    return whole.select("query", "id", "published_at", rank.alias("relevance"))
 
 
 def search(
@@ -145,16 +188,17 @@ def search(
 ) -> DataFrame:
     """The best documents per query by relevance, then date, then id.
 
-    `docs` needs id and published_at; its other columns are carried to the result.
+    `docs` needs id and published_at; its other columns are carried to the result. The
+    result has at most `limit` rows per query, so it is broadcast to fetch them.
     """
-    spark = docs.sparkSession
+    if limit * len(queries) > MAX_RESULTS:
+        raise ValueError(f"limit times queries is at most {MAX_RESULTS}")
     text = search_text() if text is None else text
-    terms = query_terms(spark, queries)
-    found = matches(postings(docs, text, only=queries) if index is None else index, terms)
-    dated = found.join(docs.select("id", "published_at"), "id")
+    terms = query_terms(docs.sparkSession, queries)
+    found = matches(postings(docs, text, terms) if index is None else index, terms)
     best = Window.partitionBy("query").orderBy(F.desc("relevance"), F.desc_nulls_first("published_at"), "id")
-    top = dated.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
-    return top.select("query", "place", "id", "relevance").join(docs, "id")
+    top = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
+    return docs.join(F.broadcast(top.select("query", "place", "id", "relevance")), "id")
 
 
 def news_context(found: DataFrame, text_length: int = 100) -> DataFrame:
