@@ -167,7 +167,10 @@ def _pair_rank(hits: Column) -> Column:
 
 
 def matches(index: DataFrame, terms: Terms) -> DataFrame:
-    """(query, id, published_at, relevance) of documents that hold every term of a query."""
+    """(query, id, published_at, relevance) of documents that hold every term of a query.
+
+    The rank is a FLOAT, as the rank function returns it: equal texts get equal ranks.
+    """
     rows = [(query, term, len(found)) for query, found in terms.items() for term in found]
     wanted = index.sparkSession.createDataFrame(rows, "query string, term string, terms int")
     hits = index.join(F.broadcast(wanted), "term")
@@ -176,7 +179,7 @@ def matches(index: DataFrame, terms: Terms) -> DataFrame:
     )
     whole = grouped.filter(F.size("hits") == F.col("terms"))
     rank = F.when(F.col("terms") == 1, _single_rank(F.col("hits"))).otherwise(_pair_rank(F.col("hits")))
-    return whole.select("query", "id", "published_at", rank.alias("relevance"))
+    return whole.select("query", "id", "published_at", rank.cast("float").alias("relevance"))
 
 
 def search(

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +35,8 @@ def _partition_top(ids_b, matrix_b, k: int):
                 continue
             vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             norms = np.linalg.norm(vectors, axis=1)
-            score = questions @ (vectors / np.where(norms == 0, 1.0, norms)[:, None]).T
+            # Rounded, so equal vectors score equal wherever they lie in a batch.
+            score = np.round(questions @ (vectors / np.where(norms == 0, 1.0, norms)[:, None]).T, 12)
             ids = np.broadcast_to(pdf["id"].to_numpy(np.int64), score.shape)
             best_id, best = np.hstack([best_id, ids]), np.hstack([best, score])
             order = np.lexsort((best_id, -best), axis=1)[:, :k]
@@ -114,8 +115,6 @@ def _with_cell(df: DataFrame, planes: int, seed: int) -> DataFrame:
     )
     vectors = unit.transform(df.withColumn("_vector", array_to_vector("embedding")))
     model = lsh.fit(vectors.limit(1))
-    from pyspark.ml.functions import vector_to_array
-
     sides = F.transform(F.col("_sides"), lambda side: F.when(vector_to_array(side)[0] < 0, 0).otherwise(1))
     cell = F.aggregate(sides, F.lit(0), lambda acc, bit: acc * 2 + bit)
     return model.transform(vectors).withColumn("cell", cell).drop("_vector", "_unit", "_sides")

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from registry import dashboard, marts, quality  # noqa: F401
+from registry import dashboard, ingest, marts, predict, quality, search, streams  # noqa: F401
