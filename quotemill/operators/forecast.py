@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
 from quotemill.functions.times import epoch_micros, local_time
+from quotemill.operators.joins import join_summary, settled
 
 FEATURES = ["unix", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
@@ -134,12 +135,12 @@ def forecast(prices: DataFrame, clock: Clock, horizon_hours: int = 24, days: int
     if not 1 <= horizon_hours <= MAX_HORIZON:
         raise ValueError(f"horizon must be 1 to {MAX_HORIZON} hours")
     train = _centred(features(training_window(prices, clock, days), clock.zone), clock)
-    models = fit(train)
+    models = settled(fit(train))
     enough = F.col("training_points") >= MIN_ROWS
     usable = models.filter(enough)
     residual = F.abs(F.col("price") - _predicted())
     errors = (
-        train.join(usable.select("symbol", "intercept", *COEFFICIENTS), "symbol")
+        join_summary(train, usable.select("symbol", "intercept", *COEFFICIENTS), "symbol")
         .groupBy("symbol")
         .agg(F.avg(residual).alias("mae"), F.stddev_pop(residual).alias("spread"))
     )

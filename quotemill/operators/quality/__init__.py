@@ -9,9 +9,9 @@ from quotemill.operators.quality.checks import (
     UrlFormatCheck,
 )
 from quotemill.operators.quality.rules import RULES
-from quotemill.operators.quality.run import cleaned, run_checks, run_totals, summary_line
+from quotemill.operators.quality.run import cleaned, observe_run, run_checks, run_totals, summary_line
 
 __all__ = [
     "Check", "ExpressionCheck", "FutureTimestampCheck", "NotNullCheck", "RangeCheck", "UrlFormatCheck",
-    "RULES", "cleaned", "run_checks", "run_totals", "summary_line",
+    "RULES", "cleaned", "observe_run", "run_checks", "run_totals", "summary_line",
 ]

@@ -10,6 +10,12 @@ from quotemill.functions.times import local_date
 from quotemill.sources.sinks import insight
 
 
+# The body is parsed once; the flag and the record stay JSON text.
+BODY_SCHEMA = (
+    "table STRING, record_id STRING, failed_checks ARRAY<STRING>, auto_repaired STRING, original_record STRING"
+)
+
+
 def safe_record(record: Column, schema: T.StructType) -> Column:
     """A record as JSON-safe struct: vectors become `<vector N dims>`, times become text."""
     parts = []
@@ -52,14 +58,14 @@ def failure_log(
 
 def failures(insights: DataFrame) -> DataFrame:
     """Failure insights with their fields pulled out of the JSON body."""
-    body = F.col("content")
-    return insights.filter(F.col("insight_type") == "dq_failure").select(
+    logged = insights.filter(F.col("insight_type") == "dq_failure")
+    return logged.withColumn("body", F.from_json("content", BODY_SCHEMA)).select(
         "id",
-        F.get_json_object(body, "$.table").alias("table_name"),
-        F.get_json_object(body, "$.record_id").alias("record_id"),
-        F.from_json(F.get_json_object(body, "$.failed_checks"), "array<string>").alias("failed_checks"),
-        F.get_json_object(body, "$.auto_repaired").alias("auto_repaired"),
-        F.get_json_object(body, "$.original_record").alias("original_record"),
+        F.col("body.table").alias("table_name"),
+        "body.record_id",
+        "body.failed_checks",
+        "body.auto_repaired",
+        "body.original_record",
         "generated_at",
     )
 

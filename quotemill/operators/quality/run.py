@@ -6,7 +6,7 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
@@ -113,10 +113,10 @@ def summary_line(report: DataFrame) -> Column:
     ).otherwise(F.concat(F.lit("⚠️  "), head, F.lit("FAILED: "), names, F.lit(" ("), status, F.lit(")")))
 
 
-def observe_run(report: DataFrame, name: str = "dq") -> DataFrame:
+def observe_run(report: DataFrame, metrics: Observation) -> DataFrame:
     """Attach run metrics that are delivered with the action that writes the rows."""
     return report.observe(
-        name,
+        metrics,
         F.count("*").alias("rows"),
         F.count_if(~F.col("dq_passed")).alias("failures"),
         F.count_if("auto_repaired").alias("repaired"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
 from quotemill.functions.times import epoch_micros
+from quotemill.operators.joins import join_summary, settled
 
 TOO_SHORT = "Insufficient data for trend analysis"
 
@@ -23,16 +24,16 @@ def trend_facts(prices: DataFrame, clock: Clock, days: int = 7, spike_sigmas: fl
         "timestamp",
         ((epoch_micros(F.col("timestamp")) - epoch_micros(clock.ago(days=days))) / 3_600_000_000.0).alias("hours"),
     )
-    stats = window.groupBy("symbol").agg(
+    stats = settled(window.groupBy("symbol").agg(
         F.count("value").alias("points"),
         F.min_by("value", "timestamp").alias("first_value"),
         F.max_by("value", "timestamp").alias("last_value"),
         F.avg("value").alias("mean_value"),
         F.stddev_pop("value").alias("deviation"),
         F.regr_slope("value", "hours").alias("slope_per_hour"),
-    )
+    ))
     spikes = (
-        window.join(stats.select("symbol", "mean_value", "deviation"), "symbol")
+        join_summary(window, stats.select("symbol", "mean_value", "deviation"), "symbol")
         .filter(F.abs(F.col("value") - F.col("mean_value")) > spike_sigmas * F.col("deviation"))
         .groupBy("symbol")
         .agg(F.count("*").alias("spikes"))

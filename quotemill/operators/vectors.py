@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,27 +26,28 @@ def _question_matrix(questions: DataFrame) -> tuple[list, np.ndarray]:
 def _partition_top(ids_b, matrix_b, k: int):
     """Per partition: the k best documents of every question, folded batch by batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, questions = ids_b.value, matrix_b.value
         best_id = np.empty((len(names), 0), dtype=np.int64)
         best = np.empty((len(names), 0))
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            vectors = flat.reshape(batch.num_rows, questions.shape[1]).astype(np.float64)
             norms = np.linalg.norm(vectors, axis=1)
             # Rounded, so equal vectors score equal wherever they lie in a batch.
             score = np.round(questions @ (vectors / np.where(norms == 0, 1.0, norms)[:, None]).T, 12)
-            ids = np.broadcast_to(pdf["id"].to_numpy(np.int64), score.shape)
+            ids = np.broadcast_to(batch.column("id").to_numpy(zero_copy_only=False), score.shape)
             best_id, best = np.hstack([best_id, ids]), np.hstack([best, score])
             order = np.lexsort((best_id, -best), axis=1)[:, :k]
             best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
         if best.shape[1]:
-            yield pd.DataFrame(
+            yield pa.RecordBatch.from_pydict(
                 {
-                    "question": np.repeat(np.array(names, dtype=object), best.shape[1]),
-                    "id": best_id.ravel(),
-                    "similarity": best.ravel(),
+                    "question": pa.array(np.repeat(np.array(names, dtype=object), best.shape[1]), pa.string()),
+                    "id": pa.array(best_id.ravel(), pa.int64()),
+                    "similarity": pa.array(best.ravel(), pa.float64()),
                 }
             )
 
@@ -59,7 +60,7 @@ def _slice_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     if not names:
         return docs.sparkSession.createDataFrame([], "question string, id bigint, similarity double")
     run = _partition_top(context.broadcast(names), context.broadcast(matrix), k)
-    return docs.mapInPandas(run, "question string, id bigint, similarity double")
+    return docs.mapInArrow(run, "question string, id bigint, similarity double")
 
 
 def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_column: str = "id") -> DataFrame:

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
-from quotemill.operators.quality import cleaned, run_checks
+from quotemill.operators.quality import cleaned, observe_run, run_checks
 from quotemill.operators.quality.log import failure_log
 from quotemill.sources import sinks
 from quotemill.sources.feeds import normalise_tickers, tickers_from_payload
@@ -45,8 +45,9 @@ class TickerIngest:
         checked = run_checks(
             rows.select(*CRYPTO_PRICES.names), "crypto_prices", clock, record_id=F.col("symbol")
         ).persist(StorageLevel.MEMORY_AND_DISK)
+        metrics = Observation("dq")
         try:
-            sinks.append_snapshots(cleaned(checked), f"{self.root}/crypto_prices", batch_id, clock.zone)
+            sinks.append_snapshots(cleaned(observe_run(checked, metrics)), f"{self.root}/crypto_prices", batch_id, clock.zone)
             sinks.write_batch(failure_log(checked), f"{self.root}/ai_insights", batch_id)
             sinks.write_batch(parsed.rejects, f"{self.root}/rejects", batch_id)
             sinks.write_batch(
@@ -54,6 +55,9 @@ class TickerIngest:
             )
         finally:
             checked.unpersist()
+        counted = metrics.get
+        level = logging.WARNING if counted.get("failures") else logging.INFO
+        log.log(level, "batch %s: %s", batch_id, counted)
         spark = landed.sparkSession
         if self.retention_days is not None:
             oldest = (clock.now - timedelta(days=self.retention_days)).date() - timedelta(days=1)

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.clock import Clock, instant
+from quotemill.clock import instant
 from quotemill.functions import weather
-from quotemill.functions.times import local_date
 from quotemill.operators import replies
-from quotemill.plans import bundles, marts
+from quotemill.plans import marts
 from quotemill.session import new_work_dir
 from quotemill.sources import feeds, sinks
-from quotemill.sources.tables import describe_sources
+from quotemill.sources.schemas import SOURCES
 from registry.marts import DAILY, DAILY_VIEWS, daily
 from registry.tables import CLOCK, Tables, local_day, register
 
@@ -25,7 +25,7 @@ def batch_time():
     return instant(CLOCK.now)
 
 
-
+SYMBOLS = {"click": "BTC", "view": "ETH", "signup": "SOL", "purchase": "XRP"}
 TICKERS_PER_POLL, ITEMS_PER_POLL = 20, 12
 
 # --- ticker feed: each poll is one JSON array text -----------------------------------------
@@ -55,9 +55,9 @@ def ticker_polls(t: Tables) -> DataFrame:
         F.concat(k, F.lit("000.75")).alias("quoteVolume"),
         F.concat(k, F.lit(".8554")).alias("priceChangePercent"),
     )
-    events = t.raw("events")
-    named = events.join(t.prices.select(F.col("id").alias("event_id"), "symbol"), "event_id")
-    polls = named.groupBy(F.floor(key / TICKERS_PER_POLL).alias("poll")).agg(
+    named = F.create_map(*[F.lit(x) for pair in SYMBOLS.items() for x in pair])
+    events = t.raw("events").withColumn("symbol", F.coalesce(F.try_element_at(named, F.col("event_type")), F.lit("ADA")))
+    polls = events.groupBy(F.floor(key / TICKERS_PER_POLL).alias("poll")).agg(
         F.max("ts").alias("polled_at"), F.array_sort(F.collect_list(ticker)).alias("tickers")
     )
     return polls.select("poll", "polled_at", F.to_json("tickers").alias("payload"))
@@ -361,17 +361,22 @@ def summary_insight(t: Tables):
     return sinks.insight(counts, "daily_summary", body, batch_time()).select("insight_type", "content", "generated_at")
 
 
-@register("source_columns", """
-SELECT 'events' AS table_name, count(*) AS row_count FROM events UNION ALL SELECT 'orders', count(*) FROM orders
-UNION ALL SELECT 'documents', count(*) FROM documents
-""")
-def source_columns(t: Tables):
-    assert describe_sources(t.spark).columns[0] == "table_name"
+_SOURCES_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{SOURCES[name].description}' AS description, count(*) AS row_count FROM {name}"
+    for name in ("crypto_prices", "weather_data", "news_articles", "stock_prices")
+)
+
+
+@register("source_row_counts", _SOURCES_SQL, ("crypto_prices", "weather_data", "news_articles", "stock_prices"))
+def source_row_counts(t: Tables):
+    tables = {"crypto_prices": t.prices, "weather_data": t.weather, "news_articles": t.news, "stock_prices": t.stocks}
     parts = [
-        t.raw(n).agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
-        for n in ("events", "orders", "documents")
+        rows.agg(F.count("*").alias("row_count")).select(
+            F.lit(name).alias("table_name"), F.lit(SOURCES[name].description).alias("description"), "row_count"
+        )
+        for name, rows in tables.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- model replies ---------------------------------------------------------------------------

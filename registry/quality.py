@@ -12,6 +12,8 @@ from quotemill.operators.quality import ExpressionCheck, cleaned, run_checks, ru
 from quotemill.operators.quality.log import failures, failures_by_day
 from quotemill.operators.quality.run import check_totals
 from quotemill.plans import bundles, marts
+from quotemill.session import new_work_dir
+from quotemill.sources import sinks
 from quotemill.sources.schemas import SOURCES
 from registry.marts import DAILY, DAILY_VIEWS, WEEKLY_SQL, change_sql, daily
 from registry.tables import CHECKS, CLOCK, DQ_CLOCK, Tables, day_start, local_day, register
@@ -355,7 +357,9 @@ _KNOWN_FLAG = ("accepted_values:auto_repaired", "flag NOT IN ('true', 'false')")
     trend=TREND_SQL,
 )
 def contracts_marts(t: Tables):
-    mart, insights = daily(t), t.insights
+    path = new_work_dir(t.spark, "contracts")
+    sinks.publish_mart(daily(t), path, 1)
+    mart, insights = sinks.read_mart(t.spark, path), t.insights
     tables = {
         "mart_market_daily": mart,
         "mart_weekly_summary": marts.weekly_summary(mart, CLOCK),

@@ -146,7 +146,12 @@ def stream_ingest_mart(t: Tables):
 
 @register(
     "stream_ingest_metadata",
-    f"SELECT 'crypto_prices' AS table_name, TIMESTAMP '2024-01-31 00:00:00' AS last_successful_ts, TIMESTAMP '2024-01-31 00:00:00' AS last_check",
+    "SELECT 'crypto_prices' AS table_name, TIMESTAMP '2024-01-31 00:00:00' AS last_successful_ts, count(*) AS rows_inserted FROM stored",
+    tickers=_TICKERS,
+    stored=_STORED,
 )
 def stream_ingest_metadata(t: Tables):
-    return ingest.current_metadata(t.spark, _ingested(t)).drop("rows_inserted")
+    root = _ingested(t)
+    newest = ingest.current_metadata(t.spark, root).select("table_name", "last_successful_ts")
+    total = t.spark.read.parquet(f"{root}/dq_metadata").groupBy("table_name").agg(F.sum("rows_inserted").alias("rows_inserted"))
+    return newest.join(total, "table_name")
