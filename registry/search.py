@@ -201,6 +201,9 @@ _TOPK = {
            "WHERE place <= 5",
 }
 
+# The same among the vectors that belong to an article.
+_TOPK_NEWS = {**_TOPK, "top": _TOPK["top"].replace("FROM scores", "FROM scores SEMI JOIN news_articles ON id = vec_id")}
+
 
 @register(
     "semantic_topk",
@@ -237,7 +240,7 @@ SELECT CAST(question AS VARCHAR) AS question, CAST(place AS INT) AS place, n.tit
 FROM top JOIN news_articles n ON n.id = vec_id
 """,
     ("news_articles",),
-    **_TOPK,
+    **_TOPK_NEWS,
 )
 def semantic_sources(t: Tables):
     news = t.news_with_vectors
@@ -254,7 +257,7 @@ SELECT CAST(question AS VARCHAR) AS question, count(*) AS articles_found, string
 FROM top JOIN news_articles n ON n.id = vec_id GROUP BY question
 """,
     ("news_articles",),
-    **_TOPK,
+    **_TOPK_NEWS,
 )
 def source_context(t: Tables):
     news = t.news_with_vectors

@@ -56,7 +56,7 @@ def stream_new_articles(t: Tables):
     "stream_hourly_summary",
     """
 SELECT 'daily_summary' AS insight_type, hour_end AS generated_at, '{"rows_seen":' || count(*) || ',"change_sum":'
-  || CAST(CAST(sum(price_change_24h) AS DECIMAL(20,2)) AS VARCHAR) || ',"change_count":' || count(price_change_24h) || ',"anomalies":'
+  || coalesce(CAST(CAST(sum(price_change_24h) AS DECIMAL(20,2)) AS VARCHAR), 'null') || ',"change_count":' || count(price_change_24h) || ',"anomalies":'
   || count(*) FILTER (WHERE abs(price_change_24h) > 5) || '}' AS content
 FROM (SELECT *, date_trunc('hour', timestamp) + INTERVAL 1 HOUR AS hour_end FROM crypto_prices)
 WHERE hour_end <= (SELECT max(timestamp) - INTERVAL 15 MINUTE FROM crypto_prices) GROUP BY hour_end
