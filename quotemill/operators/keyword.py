@@ -36,12 +36,13 @@ def query_terms(spark: SparkSession, queries: list[str]) -> Terms:
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} queries per batch")
-    frame = spark.createDataFrame([(q,) for q in sorted(set(queries))], "query string").coalesce(1)
+    given = F.array(*[F.lit(q) for q in sorted(set(queries))]).cast("array<string>")
+    frame = spark.range(0, 1, 1, 1).select(F.explode(given).alias("query"))
     tokens = frame.select("query", F.explode(words(F.col("query"))).alias("token"))
     tokens = tokens.filter((F.col("token") != "") & ~F.col("token").isin(STOP_WORDS))
-    found: Terms = {}
-    for row in tokens.select("query", stem(F.col("token")).alias("term")).distinct().collect():
-        found.setdefault(row["query"], []).append(row["term"])
+    found: dict[str, set[str]] = {}
+    for row in tokens.select("query", stem(F.col("token")).alias("term")).collect():
+        found.setdefault(row["query"], set()).add(row["term"])
     return {query: sorted(terms) for query, terms in found.items()}
 
 
@@ -127,8 +128,8 @@ def read_postings(spark: SparkSession, path: str, queries: list[str], buckets: i
     wanted = sorted({t for found in query_terms(spark, queries).values() for t in found})
     if not wanted:
         return index.filter(F.lit(False)).drop("bucket")
-    named = spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(buckets).alias("b")).distinct()
-    numbers = [r["b"] for r in named.collect()]
+    given = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(t) for t in wanted])).alias("term"))
+    numbers = sorted({r["b"] for r in given.select(_bucket(buckets).alias("b")).collect()})
     return index.filter(F.col("bucket").isin(numbers) & F.col("term").isin(wanted)).drop("bucket")
 
 
