@@ -18,9 +18,16 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 def _question_matrix(questions: DataFrame) -> tuple[list, np.ndarray]:
     rows = questions.collect()
+    if not rows:
+        return [], np.empty((0, 0))
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return [r[0] for r in rows], matrix / np.where(norms == 0, 1.0, norms)
+    return [r[0] for r in rows], matrix / _lengths(matrix)[:, None]
+
+
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    """Row lengths; a zero vector has no direction, so its similarities become NaN and sort last."""
+    norms = np.linalg.norm(vectors, axis=1)
+    return np.where(norms == 0, np.nan, norms)
 
 
 def _partition_top(ids_b, matrix_b, k: int):
@@ -35,9 +42,8 @@ def _partition_top(ids_b, matrix_b, k: int):
                 continue
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             vectors = flat.reshape(batch.num_rows, questions.shape[1]).astype(np.float64)
-            norms = np.linalg.norm(vectors, axis=1)
             # Rounded, so equal vectors score equal wherever they lie in a batch.
-            score = np.round(questions @ (vectors / np.where(norms == 0, 1.0, norms)[:, None]).T, 12)
+            score = np.round(questions @ (vectors / _lengths(vectors)[:, None]).T, 12)
             ids = np.broadcast_to(batch.column("id").to_numpy(zero_copy_only=False), score.shape)
             best_id, best = np.hstack([best_id, ids]), np.hstack([best, score])
             order = np.lexsort((best_id, -best), axis=1)[:, :k]
@@ -85,7 +91,7 @@ def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_colu
             mine = asked.filter(F.pmod(F.xxhash64("question"), F.lit(slices)) == number)
             part = _slice_top(vectors, mine, limit)
             candidates = part if candidates is None else candidates.unionByName(part)
-    best = Window.partitionBy("question").orderBy(F.desc("similarity"), "id")
+    best = Window.partitionBy("question").orderBy(F.isnan("similarity"), F.desc("similarity"), "id")
     return candidates.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select(
         "question", "place", "id", "similarity"
     )
