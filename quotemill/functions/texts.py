@@ -48,9 +48,9 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 SHORT_SYLLABLE = r"(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
 
 
-def stripped(col: Column) -> Column:
-    """Both ends without any white space (`trim` removes spaces only)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+def not_blank(col: Column) -> Column:
+    """Any character besides Unicode white space; the search stops at the first one."""
+    return col.rlike(r"(?U)\S")
 
 
 def words(col: Column) -> Column:

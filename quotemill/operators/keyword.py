@@ -85,7 +85,7 @@ def postings(docs: DataFrame, text: Column, terms: Terms | None = None) -> DataF
 
     Positions count every word, stop words too. With `terms`, only those stems are kept:
     texts and words that cannot hold one are dropped before stemming, and every other
-    word before the shuffle.
+    word before the shuffle. All groupings of a document then stay in one task.
     """
     pieces = F.posexplode(F.filter(F.split(F.col("low"), WORD_BREAK), lambda w: w != "")).alias("at", "token")
     rows = docs.select("id", "published_at", F.lower(text).alias("low"))
@@ -95,10 +95,10 @@ def postings(docs: DataFrame, text: Column, terms: Terms | None = None) -> DataF
         tokens = rows.filter(_may_match(F.col("low"), terms)).select(*keys, pieces)
         tokens = tokens.filter(content & _may_stem_to(F.col("token"), terms))
         stems = tokens.select(*keys, F.array(F.col("at") + 1).alias("positions"), stem(F.col("token")).alias("term"))
-        grouped = stems.filter(F.col("term").isin(sorted({t for found in terms.values() for t in found})))
+        wanted = sorted({t for found in terms.values() for t in found})
+        grouped = stems.filter(F.col("term").isin(wanted)).repartition("id")
     else:
-        # One shuffle, of the texts; both groupings below then stay inside their task, and
-        # a word repeated in a document is stemmed once.
+        # The texts are shuffled once; a word repeated in a document is stemmed once.
         tokens = rows.repartition("id").select(*keys, pieces).filter(content)
         per_token = tokens.groupBy(*keys, "token").agg(F.collect_list(F.col("at") + 1).alias("positions"))
         grouped = per_token.select(*keys, "positions", stem(F.col("token")).alias("term"))
@@ -170,17 +170,21 @@ def _pair_rank(hits: Column) -> Column:
 def matches(index: DataFrame, terms: Terms) -> DataFrame:
     """(query, id, published_at, relevance) of documents that hold every term of a query.
 
-    The rank is a FLOAT, as the rank function returns it: equal texts get equal ranks.
+    A document meets only the queries whose longest term it holds, and the other terms
+    are looked up in its own map, so a frequent word does not pair every document with
+    every query that mentions it. The rank is a FLOAT, as the rank function returns it:
+    equal texts get equal ranks.
     """
-    rows = [(query, term, len(found)) for query, found in terms.items() for term in found]
-    wanted = index.sparkSession.createDataFrame(rows, "query string, term string, terms int")
-    hits = index.join(F.broadcast(wanted), "term")
-    grouped = hits.groupBy("query", "id", "published_at", "terms").agg(
-        F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("hits")
+    rows = [(max(found, key=len), query, found) for query, found in terms.items()]
+    asked = index.sparkSession.createDataFrame(rows, "key_term string, query string, terms array<string>")
+    held = index.groupBy("id", "published_at").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("held")
     )
-    whole = grouped.filter(F.size("hits") == F.col("terms"))
-    rank = F.when(F.col("terms") == 1, _single_rank(F.col("hits"))).otherwise(_pair_rank(F.col("hits")))
-    return whole.select("query", "id", "published_at", rank.cast("float").alias("relevance"))
+    candidates = held.withColumn("key_term", F.explode(F.map_keys("held"))).join(F.broadcast(asked), "key_term")
+    whole = candidates.filter(F.forall("terms", lambda t: F.map_contains_key("held", t)))
+    hits = F.transform("terms", lambda t: F.struct(t.alias("term"), F.col("held")[t].alias("positions")))
+    rank = F.when(F.size("terms") == 1, _single_rank(F.col("hits"))).otherwise(_pair_rank(F.col("hits")))
+    return whole.withColumn("hits", hits).select("query", "id", "published_at", rank.cast("float").alias("relevance"))
 
 
 def search(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotemill.clock import Clock
-from quotemill.functions.texts import stripped
+from quotemill.functions.texts import not_blank
 
 # Fields whose out-of-range values are clamped; others are only flagged.
 REPAIRABLE_FIELDS = {"humidity"}
@@ -52,7 +52,7 @@ class NotNullCheck(Check):
             return F.lit(False)
         value = F.col(self.field)
         if isinstance(kind, T.StringType):
-            return value.isNotNull() & (stripped(value) != "")
+            return value.isNotNull() & not_blank(value)
         return value.isNotNull()
 
 
@@ -128,7 +128,7 @@ class UrlFormatCheck(Check):
     def valid(self, schema, clock):
         if not isinstance(_type_of(schema, self.field), T.StringType):
             return F.lit(False)
-        return F.col(self.field).rlike(r"^\s*https?://")
+        return F.col(self.field).rlike(r"(?U)^\s*https?://")
 
 
 @dataclass(frozen=True)

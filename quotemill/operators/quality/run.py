@@ -47,33 +47,42 @@ def run_checks(
     checks: Sequence[Check] = (RULES if rules is None else rules).get(table, [])
     fields = df.columns
     current = df.withColumn("original_record", F.struct(*[F.col(f"`{c}`") for c in fields]))
-    flags: list[Column] = []
+    flags: list[tuple[str, Column]] = []
     for position, check in enumerate(checks):
         mark = f"_bad_{position}"
         marked = _evaluated(current, check, mark, clock)
         if marked is None:
-            flags.append(F.lit(f"{check.name}[ERROR]"))
+            flags.append((f"{check.name}[ERROR]", F.lit(True)))
             continue
         current = marked
-        flags.append(F.when(F.col(mark), F.lit(check.name)))
+        flags.append((check.name, F.col(mark)))
         fixed = check.repair(current.schema)
         if fixed is not None:
             current = current.withColumn(
                 check.repairs, F.when(F.col(mark), fixed).otherwise(F.col(check.repairs))
             )
-    failed = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
+    failing = F.lit(False)
+    for _, bad in flags:
+        failing = failing | bad
+    names = [F.when(bad, F.lit(name)) for name, bad in flags]
+    # The flag is built from the conditions alone: filtering on it needs no list of names.
+    report = current.withColumns(
+        {
+            "_failing": failing,
+            "failed_checks": F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"),
+        }
+    )
     repaired_fields = {c.repairs for c in checks if c.repairs in fields}
     changed = F.lit(False)
     for name in sorted(repaired_fields):
         changed = changed | ~F.col(name).eqNullSafe(F.col("original_record")[name])
-    report = current.withColumn("failed_checks", failed)
     return report.select(
         *[F.col(f"`{c}`") for c in fields],
         F.lit(table).alias("dq_table"),
-        (F.size("failed_checks") == 0).alias("dq_passed"),
+        (~F.col("_failing")).alias("dq_passed"),
         "failed_checks",
         F.lit(len(checks)).alias("total_checks"),
-        (changed & (F.size("failed_checks") > 0)).alias("auto_repaired"),
+        (changed & F.col("_failing")).alias("auto_repaired"),
         (record_id if record_id is not None else F.lit(None)).cast("string").alias("record_id"),
         "original_record",
         F.struct(*[F.col(f"`{c}`") for c in fields]).alias("fixed_record"),

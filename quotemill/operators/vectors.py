@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quotemill.operators.joins import settled
+
 MAX_RESULTS = 10
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -80,7 +82,7 @@ def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_colu
     """
     limit = min(limit, MAX_RESULTS)
     vectors = docs.filter(F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding")
-    asked = questions.select(F.col("question").cast("string").alias("question"), "embedding")
+    asked = settled(questions.select(F.col("question").cast("string").alias("question"), "embedding"))
     count, size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     slices = max(1, -(-2 * count * (size or 1) * 8 // MAX_BROADCAST_BYTES))
     if slices == 1:
@@ -143,9 +145,9 @@ def approximate_topk(
 
     Only those cell folders are read; inside them the search is exact.
     """
-    asked = questions.select(F.col("question").cast("string").alias("question"), "embedding")
+    asked = settled(questions.select(F.col("question").cast("string").alias("question"), "embedding"))
     own = {r["cell"] for r in _with_cell(asked, planes, seed).select("cell").distinct().collect()}
     flips = [sum(1 << bit for bit in bits) for n in range(reach + 1) for bits in combinations(range(planes), n)]
     cells = sorted({cell ^ flip for cell in own for flip in flips})
     index = spark.read.schema("id BIGINT, embedding ARRAY<FLOAT>, cell INT").parquet(path)
-    return semantic_topk(index.filter(F.col("cell").isin(cells)), questions, limit)
+    return semantic_topk(index.filter(F.col("cell").isin(cells)), asked, limit)
