@@ -51,21 +51,26 @@ def _beginning(term: str) -> str:
     return term[: max(2, len(term) - 2)]
 
 
-def _may_match(low: Column, terms: Terms) -> Column:
+def _may_match(text: Column, terms: Terms) -> Column:
     """Texts that can hold all terms of some query; tested before the text is split."""
     if len(terms) > MAX_TEXT_TESTS:
         return F.lit(True)
-    any_query = F.lit(False)
-    for words_of_query in terms.values():
-        every = F.lit(True)
-        for term in words_of_query:
-            begins = F.contains(low, F.lit(_beginning(term)))
-            for word, irregular in IRREGULAR_STEMS.items():
-                if irregular == term:
-                    begins = begins | F.contains(low, F.lit(word))
-            every = every & begins
-        any_query = any_query | every
-    return any_query
+
+    def tests(low: Column) -> Column:
+        any_query = F.lit(False)
+        for words_of_query in terms.values():
+            every = F.lit(True)
+            for term in words_of_query:
+                begins = F.contains(low, F.lit(_beginning(term)))
+                for word, irregular in IRREGULAR_STEMS.items():
+                    if irregular == term:
+                        begins = begins | F.contains(low, F.lit(word))
+                every = every & begins
+            any_query = any_query | every
+        return any_query
+
+    # As a lambda the text is computed once for all tests; a plain filter would repeat it.
+    return F.exists(F.array(text), tests)
 
 
 def _may_stem_to(token: Column, terms: Terms) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,18 +91,19 @@ class RangeCheck(Check):
         if kind is None:
             return F.lit(self.nullable)
         number = self._number(kind)
-        inside = F.lit(True)
+        bounds = []
         if self.min_val is not None:
             low = F.lit(float(self.min_val))
-            inside = inside & ((number > low) if self.exclusive_min else (number >= low))
+            bounds.append((number > low) if self.exclusive_min else (number >= low))
         if self.max_val is not None:
-            inside = inside & (number <= F.lit(float(self.max_val)))
-        return (
-            F.when(F.col(self.field).isNull(), F.lit(self.nullable))
-            .when(number.isNull(), F.lit(False))
-            .when(F.isnan(number), F.lit(True))
-            .otherwise(inside)
-        )
+            below = number <= F.lit(float(self.max_val))
+            # NaN sorts above every number here, so only the upper bound needs the exception.
+            can_be_nan = isinstance(kind, (T.FloatType, T.DoubleType, T.StringType))
+            bounds.append((below | F.isnan(number)) if can_be_nan else below)
+        inside = reduce(and_, bounds) if bounds else number.isNotNull()
+        if self.nullable:
+            return F.col(self.field).isNull() | F.coalesce(inside, F.lit(False))
+        return inside
 
     def repair(self, schema):
         kind = _type_of(schema, self.field)

@@ -16,20 +16,41 @@ from quotemill.operators.quality.rules import RULES
 log = logging.getLogger(__name__)
 
 
-def _evaluated(df: DataFrame, check: Check, mark: str, clock: Clock) -> DataFrame | None:
-    """The rows with the check's failure flag, None if it does not fit the schema."""
+def _with_flags(df: DataFrame, checks: dict[str, Check], clock: Clock) -> tuple[DataFrame, dict[str, Check]]:
+    """The rows with one failure flag per check, and the checks that do not fit the schema."""
+    if not checks:
+        return df, {}
     quiet = logging.getLogger("SQLQueryContextLogger")
     level = quiet.level
     quiet.setLevel(logging.CRITICAL)
     try:
-        marked = df.withColumn(mark, ~F.coalesce(check.valid(df.schema, clock), F.lit(False)))
+        schema = df.schema
+        flags = {mark: ~F.coalesce(check.valid(schema, clock), F.lit(False)) for mark, check in checks.items()}
+        marked = df.withColumns(flags)
         marked.schema
-        return marked
+        return marked, {}
     except AnalysisException as error:
-        log.warning("check %s cannot run: %s", check.name, str(error).splitlines()[0])
-        return None
+        if len(checks) == 1:
+            [check] = checks.values()
+            log.warning("check %s cannot run: %s", check.name, str(error).splitlines()[0])
+            return df, dict(checks)
     finally:
         quiet.setLevel(level)
+    unfit: dict[str, Check] = {}
+    for mark, check in checks.items():
+        df, failed = _with_flags(df, {mark: check}, clock)
+        unfit.update(failed)
+    return df, unfit
+
+
+def _stages(checks: Sequence[Check], fields: list[str]) -> list[dict[str, Check]]:
+    """Checks grouped into projections: a new one starts after a check that can repair a field."""
+    stages: list[dict[str, Check]] = [{}]
+    for position, check in enumerate(checks):
+        stages[-1][f"_bad_{position}"] = check
+        if check.repairs in fields:
+            stages.append({})
+    return stages
 
 
 def run_checks(
@@ -48,19 +69,18 @@ def run_checks(
     fields = df.columns
     current = df.withColumn("original_record", F.struct(*[F.col(f"`{c}`") for c in fields]))
     flags: list[tuple[str, Column]] = []
-    for position, check in enumerate(checks):
-        mark = f"_bad_{position}"
-        marked = _evaluated(current, check, mark, clock)
-        if marked is None:
-            flags.append((f"{check.name}[ERROR]", F.lit(True)))
-            continue
-        current = marked
-        flags.append((check.name, F.col(mark)))
-        fixed = check.repair(current.schema)
-        if fixed is not None:
-            current = current.withColumn(
-                check.repairs, F.when(F.col(mark), fixed).otherwise(F.col(check.repairs))
-            )
+    for stage in _stages(checks, fields):
+        current, unfit = _with_flags(current, stage, clock)
+        for mark, check in stage.items():
+            if mark in unfit:
+                flags.append((f"{check.name}[ERROR]", F.lit(True)))
+                continue
+            flags.append((check.name, F.col(mark)))
+            fixed = check.repair(current.schema)
+            if fixed is not None:
+                current = current.withColumn(
+                    check.repairs, F.when(F.col(mark), fixed).otherwise(F.col(check.repairs))
+                )
     failing = F.lit(False)
     for _, bad in flags:
         failing = failing | bad

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,24 +88,27 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
-    @property
+    @cached_property
     def prices(self) -> DataFrame:
         return prices_from(self.raw("events"))
 
-    @property
+    @cached_property
     def weather(self) -> DataFrame:
         sql = _fill(_WEATHER, TIME=_spark_time("o_orderkey % 30", "o_orderkey % 24"))
         return self.spark.sql(sql, orders=self.raw("orders"))
 
-    @property
+    @cached_property
     def news(self) -> DataFrame:
         return self._news("", "")
 
-    @property
+    @cached_property
     def news_with_vectors(self) -> DataFrame:
         return self._news(", e.embedding", " LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id")
 
@@ -118,7 +122,7 @@ class Tables:
             frames["embeddings"] = self.raw("embeddings")
         return self.spark.sql(sql, **frames)
 
-    @property
+    @cached_property
     def stocks(self) -> DataFrame:
         sql = _fill(_STOCKS, ROWID="min(o_orderkey)")
         return self.spark.sql(sql, orders=self.raw("orders"))
@@ -131,7 +135,7 @@ class Tables:
         }[table]
         return run_checks(rows, table, DQ_CLOCK, record_id=key)
 
-    @property
+    @cached_property
     def failures(self) -> DataFrame:
         """Failure log of the three tables, logged at the time of each record."""
         parts = []
@@ -140,22 +144,22 @@ class Tables:
             parts.append(failure_log(self.report(table), F.col(at), row_id))
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    @property
+    @cached_property
     def alert_rows(self) -> DataFrame:
         """Deduplicated anomalies of every 15-minute window, with their explanation."""
         strongest = alerts.strongest_per_symbol(alerts.anomaly_windows(self.prices), "window_start")
         return alerts.anomaly_facts(strongest).withColumnRenamed("facts", "explanation")
 
-    @property
+    @cached_property
     def alert_documents(self) -> DataFrame:
         return alerts.alert_documents(self.alert_rows, F.col("window_end"), "window_start", "window_end")
 
-    @property
+    @cached_property
     def insights(self) -> DataFrame:
         row_id = F.lit(LOG_OFFSETS["price_anomaly"] * LOG_RANGE) + F.floor(epoch_micros(F.col("window_end")) / 1_000_000)
         return self.failures.unionByName(alerts.alert_log(self.alert_documents, row_id))
 
-    @property
+    @cached_property
     def metadata(self) -> DataFrame:
         """Newest row and row count per table."""
         parts = [
