@@ -92,10 +92,10 @@ def postings(docs: DataFrame, text: Column, terms: Terms | None = None) -> DataF
     texts and words that cannot hold one are dropped before stemming, and every other
     word before the shuffle. All groupings of a document then stay in one task.
     """
-    pieces = F.posexplode(F.filter(F.split(F.col("low"), WORD_BREAK), lambda w: w != "")).alias("at", "token")
+    pieces = F.posexplode(F.split(F.regexp_replace("low", f"^{WORD_BREAK}", ""), WORD_BREAK)).alias("at", "token")
     rows = docs.select("id", "published_at", F.lower(text).alias("low"))
     keys = ["id", "published_at"]
-    content = ~F.col("token").isin(STOP_WORDS)
+    content = (F.col("token") != "") & ~F.col("token").isin(STOP_WORDS)
     if terms is not None:
         tokens = rows.filter(_may_match(F.col("low"), terms)).select(*keys, pieces)
         tokens = tokens.filter(content & _may_stem_to(F.col("token"), terms))

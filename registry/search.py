@@ -162,8 +162,8 @@ def keyword_search(t: Tables):
 @register("keyword_search_indexed", f"SELECT query, CAST(place AS INT) AS place, id, {_RANKED} FROM found", ("news_articles",), **MATCH)
 def keyword_search_indexed(t: Tables):
     path = new_work_dir(t.spark, "postings")
-    keyword.write_postings(keyword.postings(t.news, keyword.search_text()), path)
-    index = keyword.read_postings(t.spark, path, QUERIES)
+    keyword.write_postings(keyword.postings(t.news, keyword.search_text()), path, buckets=16)
+    index = keyword.read_postings(t.spark, path, QUERIES, buckets=16)
     return _rounded(keyword.search(t.news, QUERIES, index=index)).select("query", "place", "id", "relevance")
 
 
