@@ -1,4 +1,4 @@
-"""Join a large frame with one row per key of a summary of it."""
+"""Join a large frame with a small derived one, after a check of its size."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def settled(small: DataFrame) -> DataFrame:
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join of rows with a settled summary, one summary row per key.
+    """Inner join of rows with a settled, much smaller frame.
 
     The summary is broadcast only if it was counted to be small, which keeps the rows
     where they are. Beyond that both sides are shuffled; the rows get a random salt and

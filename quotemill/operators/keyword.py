@@ -114,16 +114,14 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def write_postings(index: DataFrame, path: str, buckets: int = 64, spread: int = 8) -> None:
+def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:
     """Store postings in term buckets, sorted by term inside each file.
 
-    Writers are spread by document as well, so a term found in a third of all documents
-    is written by `spread` tasks and not by one.
+    Rebalancing joins small buckets in one task and splits a bucket whose term is found
+    in a third of all documents over many.
     """
-    salted = index.withColumn("bucket", _bucket(buckets)).repartition(
-        "bucket", F.pmod(F.xxhash64("id"), F.lit(spread))
-    )
-    salted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    bucketed = index.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
+    bucketed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, queries: list[str], buckets: int = 64) -> DataFrame:

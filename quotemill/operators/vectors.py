@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotemill.operators.joins import settled
+from quotemill.operators.joins import join_summary, settled
 
 MAX_RESULTS = 10
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -99,6 +99,11 @@ def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_colu
     )
 
 
+def with_sources(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The found documents with their columns; the found rows are broadcast if counted to be few."""
+    return join_summary(docs, settled(found), "id")
+
+
 def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity of two array columns, NULL for a zero vector."""
 
@@ -130,11 +135,11 @@ def _with_cell(df: DataFrame, planes: int, seed: int) -> DataFrame:
 
 
 def build_vector_index(
-    docs: DataFrame, path: str, planes: int = 4, seed: int = 7, spread: int = 8, id_column: str = "id"
+    docs: DataFrame, path: str, planes: int = 4, seed: int = 7, id_column: str = "id"
 ) -> None:
-    """Store vectors in folders by cell. Writers are spread by id, so a full cell has many writers."""
+    """Store vectors in folders by cell. Rebalancing gives a full cell as many writers as it needs."""
     vectors = docs.filter(F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding")
-    placed = _with_cell(vectors, planes, seed).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    placed = _with_cell(vectors, planes, seed).hint("rebalance", "cell")
     placed.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 

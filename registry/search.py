@@ -245,8 +245,7 @@ FROM top JOIN news_articles n ON n.id = vec_id
 def semantic_sources(t: Tables):
     news = t.news_with_vectors
     found = vectors.semantic_topk(news, _label_questions(t), 5)
-    sources = news.join(F.broadcast(found), "id")
-    return sources.select("question", "place", "title", "url", "published_at", F.round("similarity", 3).alias("similarity"))
+    return vectors.with_sources(news, found).select("question", "place", "title", "url", "published_at", F.round("similarity", 3).alias("similarity"))
 
 
 @register(
@@ -262,7 +261,7 @@ FROM top JOIN news_articles n ON n.id = vec_id GROUP BY question
 def source_context(t: Tables):
     news = t.news_with_vectors
     found = vectors.semantic_topk(news, _label_questions(t), 5)
-    return keyword.source_context(news.join(F.broadcast(found), "id"))
+    return keyword.source_context(vectors.with_sources(news, found))
 
 
 @register(
