@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
 from quotemill.operators import latest
+from quotemill.operators.joins import settled
 from quotemill.operators.quality import run_checks
 from quotemill.operators.quality.log import failures
 from quotemill.plans.marts import daily_crypto_stats
@@ -95,45 +96,44 @@ def _recent(insights: DataFrame, kind: str, clock: Clock, hours: int, limit: int
 def dq_report(insights: DataFrame, clock: Clock, hours: int = 24) -> dict[str, DataFrame]:
     """Quality report: counts are taken after the cap to the newest failures and anomalies.
 
-    The cap is the definition of the report; everything after it handles at most
-    `REPORT_FAILURES` rows, which is why the unpartitioned position is harmless.
+    The cap is the definition of the report. The capped rows are computed once and kept,
+    as every part of the report is made of them; being at most `REPORT_FAILURES`, they can
+    be numbered by one window.
     """
     by_arrival = Window.orderBy(F.desc("generated_at"), "id")
-    capped = failures(_recent(insights, "dq_failure", clock, hours, REPORT_FAILURES)).withColumn(
-        "place", F.row_number().over(by_arrival)
-    )
-    anomalies = _recent(insights, "price_anomaly", clock, hours, REPORT_ANOMALIES).select(
-        "id",
-        F.get_json_object("content", "$.message").alias("message"),
-        F.get_json_object("content", "$.affected_symbols").alias("symbols"),
-        "generated_at",
+    newest = _recent(insights, "dq_failure", clock, hours, REPORT_FAILURES)
+    capped = settled(failures(newest).withColumn("place", F.row_number().over(by_arrival)))
+    alerts = _recent(insights, "price_anomaly", clock, hours, REPORT_ANOMALIES)
+    anomalies = settled(
+        alerts.select(
+            "id",
+            F.get_json_object("content", "$.message").alias("message"),
+            F.get_json_object("content", "$.affected_symbols").alias("symbols"),
+            "generated_at",
+        )
     )
     by_table = capped.groupBy(F.coalesce("table_name", F.lit("unknown")).alias("table_name")).agg(
         F.count("*").alias("failures"), F.min("place").alias("first_place")
     )
+    named = F.array_sort(F.collect_list(F.struct("first_place", "table_name")))
+    totals = by_table.agg(
+        F.sum("failures").alias("total_dq_events"),
+        F.array_join(F.transform(named, lambda t: t["table_name"]), ",").alias("tables_with_issues"),
+    )
     common = (
         capped.select("place", F.posexplode("failed_checks").alias("at", "check_name"))
         .groupBy("check_name")
         .agg(F.count("*").alias("n"), F.min(F.struct("place", "at")).alias("first_seen"))
         .agg(F.min_by("check_name", F.struct(-F.col("n"), "first_seen")).alias("most_common_failure"))
     )
-    totals = by_table.agg(
-        F.coalesce(F.sum("failures"), F.lit(0).cast("bigint")).alias("total_dq_events"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("first_place", "table_name"))), lambda t: t["table_name"]), ","
-        ).alias("tables_with_issues"),
-    )
     counted = anomalies.agg(F.count("*").alias("total_anomalies"))
-    one = F.lit(1).alias("one")
-    summary = (
-        totals.withColumn("one", one)
-        .join(common.withColumn("one", one), "one")
-        .join(counted.withColumn("one", one), "one")
-        .select(
-            F.lit(hours).alias("period_hours"), "total_dq_events", "tables_with_issues",
-            "most_common_failure", "total_anomalies",
-        )
-    )
+    parts = totals.unionByName(common, allowMissingColumns=True).unionByName(counted, allowMissingColumns=True)
+    summary = parts.agg(
+        F.coalesce(F.max("total_dq_events"), F.lit(0).cast("bigint")).alias("total_dq_events"),
+        F.max("tables_with_issues").alias("tables_with_issues"),
+        F.max("most_common_failure").alias("most_common_failure"),
+        F.max("total_anomalies").alias("total_anomalies"),
+    ).withColumn("period_hours", F.lit(hours))
     return {
         "summary": summary,
         "by_table": by_table.select("table_name", "failures"),

@@ -304,6 +304,29 @@ def newest_row_issues(t: Tables):
     return bundles.newest_row_issues(CLOCK, t.prices, t.weather, t.news).drop("at")
 
 
+@register(
+    "newest_row_issues_of_summary",
+    f"SELECT table_name, record_id, unnest({_split('failed')}) AS check_name FROM issues WHERE failed <> '' AND table_name <> 'crypto_prices'",
+    ("failures",),
+    issues=_NEWEST_ISSUES,
+)
+def newest_row_issues_of_summary(t: Tables):
+    return bundles.newest_row_issues(CLOCK, readings=t.weather, news=t.news).drop("at")
+
+
+@register(
+    "newest_row_issues_of_symbol",
+    f"""
+SELECT 'crypto_prices' AS table_name, symbol AS record_id, unnest({_split('failed')}) AS check_name
+FROM (SELECT symbol, replace(replace(failed, ',FutureTimestampCheck:timestamp', ''), 'FutureTimestampCheck:timestamp', '') AS failed
+      FROM price_checks WHERE symbol = 'ETH' ORDER BY timestamp DESC, id LIMIT 1) WHERE failed <> ''
+""",
+    ("price_checks",),
+)
+def newest_row_issues_of_symbol(t: Tables):
+    return bundles.newest_row_issues(CLOCK, prices=t.prices, symbol="eth").drop("at")
+
+
 # --- contracts ---------------------------------------------------------------------------
 
 def _tests_sql(table: str, view: str, tests: list[tuple[str, str]], unique: tuple[str, ...] = ()) -> str:

@@ -178,3 +178,41 @@ def test_articles_without_url_all_pass_the_stream(spark, tmp_path):
     ).write.mode("append").parquet(f"{tmp_path}/in")
     drain_to_parquet(jobs.new_articles_stream(stream_parquet(spark, f"{tmp_path}/in", df.schema)), "t", f"{tmp_path}/out")
     assert {r["id"] for r in spark.read.parquet(out).collect()} - {1, 2} == {3, 4, 6}
+
+
+# --- hot keys: rows are reduced before they are shuffled ----------------------------------------
+
+def _below_first_exchange(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("Exchange hashpartitioning"):]
+
+
+def test_one_hot_url_sends_one_row_per_task(spark):
+    rows = spark.range(0, 30000, 1, 6).select(
+        "id", F.when(F.col("id") % 3 == 0, "https://hot").otherwise(F.concat(F.lit("https://x/"), "id")).alias("url")
+    )
+    kept = sinks.keep_first(rows, ["url"], [F.col("id")])
+    assert kept.count() == 20001 and kept.filter("url = 'https://hot'").first()["id"] == 0
+    assert "partial_min_by" in _below_first_exchange(kept)
+
+
+def test_upsert_and_strongest_reduce_before_the_shuffle(spark, tables):
+    from quotemill.operators import alerts
+
+    strongest = alerts.strongest_per_symbol(tables.prices)
+    assert "partial_min_by" in _below_first_exchange(strongest)
+    versions = spark.range(0, 30000, 1, 6).select((F.col("id") % 3).alias("key"), F.col("id").alias("version"))
+    both = sinks.upsert_latest(versions, versions.limit(10), "key", "version")
+    assert "partial_max_by" in _below_first_exchange(both)
+
+
+def test_no_registered_query_multiplies_rows(spark):
+    """No cross join in any plan, not even of small frames."""
+    import __spark_entry__ as entry
+    from tests.conftest import SMALL
+
+    for name, run in entry.queries().items():
+        if name.startswith("stream"):
+            continue
+        plan = run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
