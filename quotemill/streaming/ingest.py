@@ -1,10 +1,14 @@
-"""The ticker ingest loop: normalise, check, append, log, record, retain, refresh."""
+"""Ingest loops over landed polls: tickers, news, weather.
+
+A landing folder holds the polls either as parquet rows (polled_at, payload) or as the
+raw response files, one poll per file.
+"""
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import timedelta
 
 from pyspark import StorageLevel
@@ -12,10 +16,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
+from quotemill.functions.weather import SHORT_CODES
 from quotemill.operators.quality import cleaned, observe_run, run_checks
 from quotemill.operators.quality.log import failure_log
 from quotemill.sources import sinks
-from quotemill.sources.feeds import normalise_tickers, tickers_from_payload
+from quotemill.sources.feeds import (
+    news_from_payload,
+    normalise_news,
+    normalise_tickers,
+    normalise_weather,
+    tickers_from_payload,
+    weather_from_payload,
+)
 from quotemill.sources.schemas import CRYPTO_PRICES
 
 log = logging.getLogger(__name__)
@@ -70,6 +82,55 @@ class TickerIngest:
                 log.warning("mart refresh of batch %s failed; the old version stays", batch_id, exc_info=True)
 
 
+@dataclass(frozen=True)
+class NewsIngest:
+    """One micro-batch of landed RSS polls: the items whose URL is not stored yet."""
+
+    root: str
+    clock: Callable[[], Clock]
+    variant: str = "service"
+    source: str = "BBC News"
+
+    def __call__(self, landed: DataFrame, batch_id: int) -> None:
+        clock = self.clock()
+        items = news_from_payload(landed)
+        rows = normalise_news(items, clock.now_column(), clock.zone, self.variant, self.source)
+        path = f"{self.root}/news_articles"
+        order = [F.coalesce("polled_at", "fetched_at"), F.col("item_pos")]
+        spark = landed.sparkSession
+        # A replayed batch must not meet the rows of its own first attempt.
+        known = _stored(spark, path, "url STRING, batch_id BIGINT")
+        if known is None:
+            fresh = sinks.keep_first(rows, ["url"], order)
+        else:
+            fresh = sinks.insert_if_absent(known.filter(F.col("batch_id") != batch_id), rows, ["url"], order)
+        articles = sinks.with_row_id(fresh.drop("polled_at", "item_pos"), "url", "title", "published_at")
+        sinks.write_batch(articles, path, batch_id)
+
+
+@dataclass(frozen=True)
+class WeatherIngest:
+    """One micro-batch of landed weather polls, appended."""
+
+    root: str
+    clock: Callable[[], Clock]
+    city: str = "Warsaw"
+    codes: dict[int, str] = field(default_factory=lambda: dict(SHORT_CODES))
+
+    def __call__(self, landed: DataFrame, batch_id: int) -> None:
+        rows = normalise_weather(weather_from_payload(landed), self.city, self.codes)
+        stamped = sinks.stamp(rows.withColumnRenamed("polled_at", "timestamp"), self.clock().now_column())
+        sinks.write_batch(stamped, f"{self.root}/weather_data", batch_id)
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A store that may not exist yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored_prices(spark: SparkSession, root: str) -> DataFrame:
     """Prices written by the ingest, with their `date` partition."""
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CRYPTO_PRICES.fields)
@@ -89,10 +150,20 @@ def current_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_ingest(
-    spark: SparkSession, landing: str, job: TickerIngest, every: str | None = None, files_per_batch: int = 8
+    spark: SparkSession,
+    landing: str,
+    job: TickerIngest | NewsIngest | WeatherIngest,
+    every: str | None = None,
+    files_per_batch: int = 8,
+    raw_files: bool = False,
 ) -> None:
-    """Run the loop over a landing folder: once over everything available, or every `every`."""
-    landed = spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+    """Run a loop over a landing folder: once over everything available, or every `every`."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if raw_files:
+        whole = reader.text(landing, wholetext=True)
+        landed = whole.select(F.lit(None).cast("timestamp_ntz").alias("polled_at"), F.col("value").alias("payload"))
+    else:
+        landed = reader.schema(LANDING_SCHEMA).parquet(landing)
     writer = landed.writeStream.foreachBatch(job).option("checkpointLocation", f"{job.root}/checkpoint")
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     writer.start().awaitTermination()

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.weather import SHORT_CODES
 from quotemill.plans.marts import daily_crypto_stats
 from quotemill.session import new_work_dir
 from quotemill.sources import sinks
 from quotemill.streaming import ingest, jobs
 from quotemill.streaming.runs import drain_to_parquet, stream_parquet
-from registry.ingest import _TICKERS, ticker_polls
+from registry.ingest import _NEWS_ITEMS, _TICKERS, _weather_sql, news_polls, ticker_polls, weather_polls
 from registry.tables import CLOCK, Tables, local_day, prices_from, register
 
 
@@ -155,3 +156,37 @@ def stream_ingest_metadata(t: Tables):
     newest = ingest.current_metadata(t.spark, root).select("table_name", "last_successful_ts")
     total = t.spark.read.parquet(f"{root}/dq_metadata").groupBy("table_name").agg(F.sum("rows_inserted").alias("rows_inserted"))
     return newest.join(total, "table_name")
+
+
+def _landed(t: Tables, polls: DataFrame) -> str:
+    landing = new_work_dir(t.spark, "landing")
+    polls.select(F.lit(None).cast("timestamp_ntz").alias("polled_at"), "payload").write.parquet(landing)
+    return landing
+
+
+@register(
+    "stream_news_ingest",
+    "SELECT coalesce(url, '') AS url, CAST(1 AS BIGINT) AS articles FROM items WHERE item_pos < 10 GROUP BY 1",
+    ("news_articles",),
+    items=_NEWS_ITEMS,
+)
+def stream_news_ingest(t: Tables):
+    root = new_work_dir(t.spark, "store")
+    ingest.run_ingest(t.spark, _landed(t, news_polls(t)), ingest.NewsIngest(root, clock=lambda: CLOCK))
+    stored = t.spark.read.parquet(f"{root}/news_articles")
+    return stored.groupBy("url").agg(F.count("*").alias("articles"))
+
+
+@register(
+    "stream_weather_ingest",
+    "SELECT weather_condition, count(*) AS readings, CAST(sum(temperature) AS DOUBLE) AS degrees, CAST(sum(humidity) AS BIGINT) AS humidity "
+    "FROM readings GROUP BY weather_condition",
+    readings=_weather_sql(SHORT_CODES),
+)
+def stream_weather_ingest(t: Tables):
+    root = new_work_dir(t.spark, "store")
+    ingest.run_ingest(t.spark, _landed(t, weather_polls(t)), ingest.WeatherIngest(root, clock=lambda: CLOCK))
+    stored = t.spark.read.parquet(f"{root}/weather_data")
+    return stored.groupBy("weather_condition").agg(
+        F.count("*").alias("readings"), F.sum("temperature").alias("degrees"), F.sum("humidity").alias("humidity")
+    )

@@ -166,6 +166,30 @@ def test_retention_and_failed_refresh_do_not_stop_the_loop(spark, tmp_path):
     assert ingest.stored_prices(spark, root).count() == 1
 
 
+def test_raw_response_files_and_known_urls(spark, tmp_path):
+    source, root = tmp_path / "feeds", f"{tmp_path}/store"
+    source.mkdir()
+    (source / "one.xml").write_text(RSS)
+    job = ingest.NewsIngest(root, clock=lambda: CLOCK)
+    ingest.run_ingest(spark, str(source), job, raw_files=True)
+    (source / "two.xml").write_text(RSS.replace("https://x/2", "https://x/3"))
+    ingest.run_ingest(spark, str(source), job, raw_files=True)
+    stored = spark.read.parquet(f"{root}/news_articles")
+    assert sorted(r["url"] for r in stored.collect()) == ["https://x/1", "https://x/2", "https://x/3"]
+    # The same batch again finds its own first attempt and must not lose it.
+    job(spark.createDataFrame([(None, RSS)], ingest.LANDING_SCHEMA), 0)
+    again = spark.read.parquet(f"{root}/news_articles")
+    assert again.filter("batch_id = 0").count() == 2
+
+
+def test_raw_tickers_are_stamped(spark, tmp_path):
+    source, root = tmp_path / "polls", f"{tmp_path}/store"
+    source.mkdir()
+    (source / "poll.json").write_text(json.dumps(TICKERS, indent=1))
+    ingest.run_ingest(spark, str(source), ingest.TickerIngest(root, clock=lambda: CLOCK), raw_files=True)
+    assert {r["timestamp"] for r in ingest.stored_prices(spark, root).collect()} == {CLOCK.now}
+
+
 def test_articles_without_url_all_pass_the_stream(spark, tmp_path):
     rows = [(1, "a"), (2, "a"), (3, None), (4, None)]
     df = spark.createDataFrame(rows, "id bigint, url string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp_ntz"))
