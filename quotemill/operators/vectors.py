@@ -62,13 +62,24 @@ def _partition_top(ids_b, matrix_b, k: int):
     return run
 
 
-def _slice_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def _slice_top(docs: DataFrame, questions: DataFrame, k: int, last: bool) -> DataFrame:
+    """Candidates of one slice of questions.
+
+    All slices but the last are computed at once and their question matrix is released, so
+    the driver and the executors hold one slice at a time.
+    """
     context = docs.sparkSession.sparkContext
     names, matrix = _question_matrix(questions)
     if not names:
         return docs.sparkSession.createDataFrame([], "question string, id bigint, similarity double")
-    run = _partition_top(context.broadcast(names), context.broadcast(matrix), k)
-    return docs.mapInArrow(run, "question string, id bigint, similarity double")
+    shared = [context.broadcast(names), context.broadcast(matrix)]
+    found = docs.mapInArrow(_partition_top(*shared, k), "question string, id bigint, similarity double")
+    if last:
+        return found
+    found = settled(found)
+    for value in shared:
+        value.destroy()
+    return found
 
 
 def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_column: str = "id") -> DataFrame:
@@ -78,21 +89,18 @@ def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_colu
     (question, embedding). Each partition scores its documents against the whole question
     matrix and forwards k rows per question, so no pair of rows is ever materialised.
     The matrix is broadcast after its size is checked; a larger batch is cut into slices
-    by hash, each below the limit, and every slice scans the documents once.
+    by hash, each below the limit, which run one after another over the documents.
     """
     limit = min(limit, MAX_RESULTS)
     vectors = docs.filter(F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding")
     asked = settled(questions.select(F.col("question").cast("string").alias("question"), "embedding"))
     count, size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     slices = max(1, -(-2 * count * (size or 1) * 8 // MAX_BROADCAST_BYTES))
-    if slices == 1:
-        candidates = _slice_top(vectors, asked, limit)
-    else:
-        candidates = None
-        for number in range(slices):
-            mine = asked.filter(F.pmod(F.xxhash64("question"), F.lit(slices)) == number)
-            part = _slice_top(vectors, mine, limit)
-            candidates = part if candidates is None else candidates.unionByName(part)
+    candidates = None
+    for number in range(slices):
+        mine = asked.filter(F.pmod(F.xxhash64("question"), F.lit(slices)) == number)
+        part = _slice_top(vectors, mine, limit, last=number == slices - 1)
+        candidates = part if candidates is None else candidates.unionByName(part)
     best = Window.partitionBy("question").orderBy(F.isnan("similarity"), F.desc("similarity"), "id")
     return candidates.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select(
         "question", "place", "id", "similarity"

@@ -40,11 +40,21 @@ def anomaly_stream(prices: DataFrame, minutes: int = ANOMALY_MINUTES, delay: str
     )
 
 
+def _first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key within the watermark.
+
+    Two steps, so that a key with very many copies does not send them all to one task:
+    first one row per key and input task, then one row per key.
+    """
+    per_task = stream.withColumn("_task", F.spark_partition_id()).dropDuplicatesWithinWatermark([*keys, "_task"])
+    return per_task.drop("_task").dropDuplicatesWithinWatermark(keys)
+
+
 def new_articles_stream(news: DataFrame, keep: str = "7 days") -> DataFrame:
     """Articles whose URL was not seen within the retention; articles without URL all pass."""
     keyed = news.withColumn("_key", F.coalesce("url", F.concat(F.lit("id:"), F.col("id").cast("string"))))
     timed = with_event_time(keyed, "fetched_at", keep)
-    return timed.dropDuplicatesWithinWatermark(["_key"]).drop("_key", EVENT_TIME)
+    return _first_seen(timed, ["_key"]).drop("_key", EVENT_TIME)
 
 
 def hourly_summary_stream(prices: DataFrame, delay: str = "15 minutes") -> DataFrame:
@@ -74,4 +84,4 @@ def merged_pollers_stream(first: DataFrame, second: DataFrame, delay: str = "15
     if not deduplicate:
         return both
     timed = with_event_time(both, "timestamp", delay)
-    return timed.dropDuplicatesWithinWatermark(["symbol", "timestamp"]).drop(EVENT_TIME)
+    return _first_seen(timed, ["symbol", "timestamp"]).drop(EVENT_TIME)
