@@ -16,6 +16,9 @@ from quotemill.operators.joins import join_summary, settled
 
 MAX_RESULTS = 10
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Scores held at once by a task, and the stand-in for "no similarity" below every cosine.
+MAX_SCORES = 4_000_000
+NO_DIRECTION = -2.0
 
 
 def _question_matrix(questions: DataFrame) -> tuple[list, np.ndarray]:
@@ -33,29 +36,39 @@ def _lengths(vectors: np.ndarray) -> np.ndarray:
 
 
 def _partition_top(ids_b, matrix_b, k: int):
-    """Per partition: the k best documents of every question, folded batch by batch."""
+    """Per partition: the k best documents of every question, folded block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, questions = ids_b.value, matrix_b.value
-        best_id = np.empty((len(names), 0), dtype=np.int64)
-        best = np.empty((len(names), 0))
+        step = max(k, MAX_SCORES // len(names))
+        asked, found = np.empty(0, np.int64), np.empty(0, np.int64)
+        best = np.empty(0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.reshape(batch.num_rows, questions.shape[1]).astype(np.float64)
-            # Rounded, so equal vectors score equal wherever they lie in a batch.
-            score = np.round(questions @ (vectors / _lengths(vectors)[:, None]).T, 12)
-            ids = np.broadcast_to(batch.column("id").to_numpy(zero_copy_only=False), score.shape)
-            best_id, best = np.hstack([best_id, ids]), np.hstack([best, score])
-            order = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
-        if best.shape[1]:
+            vectors = flat.reshape(batch.num_rows, questions.shape[1])
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for start in range(0, batch.num_rows, step):
+                block = vectors[start : start + step].astype(np.float64)
+                # Rounded, so equal vectors score equal wherever they lie in a block.
+                score = np.round(questions @ (block / _lengths(block)[:, None]).T, 12)
+                score[np.isnan(score)] = NO_DIRECTION
+                width = score.shape[1]
+                worst = np.partition(score, width - k, axis=1)[:, [width - k]] if width > k else -np.inf
+                question, column = np.nonzero(score >= worst)
+                asked = np.concatenate([asked, question])
+                found = np.concatenate([found, ids[start + column]])
+                best = np.concatenate([best, score[question, column]])
+                order = np.lexsort((found, -best, asked))
+                asked, found, best = asked[order], found[order], best[order]
+                keep = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+                asked, found, best = asked[keep], found[keep], best[keep]
+        if len(asked):
+            best[best == NO_DIRECTION] = np.nan
             yield pa.RecordBatch.from_pydict(
                 {
-                    "question": pa.array(np.repeat(np.array(names, dtype=object), best.shape[1]), pa.string()),
-                    "id": pa.array(best_id.ravel(), pa.int64()),
-                    "similarity": pa.array(best.ravel(), pa.float64()),
+                    "question": pa.array(np.array(names, dtype=object)[asked], pa.string()),
+                    "id": pa.array(found, pa.int64()),
+                    "similarity": pa.array(best, pa.float64()),
                 }
             )
 
@@ -93,7 +106,8 @@ def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_colu
     """
     limit = min(limit, MAX_RESULTS)
     vectors = docs.filter(F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding")
-    asked = settled(questions.select(F.col("question").cast("string").alias("question"), "embedding"))
+    keyed = questions.select(F.col("question").cast("string").alias("question"), "embedding")
+    asked = settled(keyed.dropDuplicates(["question"]))
     count, size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     slices = max(1, -(-2 * count * (size or 1) * 8 // MAX_BROADCAST_BYTES))
     candidates = None

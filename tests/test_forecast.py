@@ -112,3 +112,19 @@ def test_join_summary_is_the_same_on_both_ways(spark):
     large = join_summary(rows, summary, "k", max_rows=2)
     assert sorted(map(tuple, small.select("id", "k", "n").collect())) == sorted(map(tuple, large.select("id", "k", "n").collect()))
     assert "_salt" in large._jdf.queryExecution().toString()
+
+
+def test_task_functions_load_without_the_package(tmp_path):
+    """Executors need numpy, pandas and pyarrow, not this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from quotemill.operators import vectors
+
+    for function in (forecast._solve, vectors._partition_top(None, None, 3)):
+        (tmp_path / "f").write_bytes(cloudpickle.dumps(function))
+        code = "from pyspark import cloudpickle; print(callable(cloudpickle.loads(open('f', 'rb').read())))"
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+        assert done.stdout.strip() == "True", done.stderr

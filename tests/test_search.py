@@ -117,9 +117,10 @@ def questions(spark, space):
     return spark.createDataFrame(list(asked.items()), "question string, embedding array<float>"), asked
 
 
-@pytest.mark.parametrize("budget", [vectors.MAX_BROADCAST_BYTES, 1000])
-def test_topk_matches_brute_force_in_one_or_many_slices(space, questions, monkeypatch, budget):
+@pytest.mark.parametrize("budget, scores", [(vectors.MAX_BROADCAST_BYTES, vectors.MAX_SCORES), (1000, 40)])
+def test_topk_matches_brute_force_in_one_or_many_slices(space, questions, monkeypatch, budget, scores):
     monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", budget)
+    monkeypatch.setattr(vectors, "MAX_SCORES", scores)
     df, rows = space
     found = vectors.semantic_topk(df, questions[0], 4).collect()
     for name, question in questions[1].items():
