@@ -60,6 +60,11 @@ class Clock:
         return F.lit(self.today - timedelta(days=days_back))
 
 
+def live_clock(zone: str = MARKET_ZONE) -> Clock:
+    """The clock of a running job; reports and tests pass a fixed one."""
+    return Clock(datetime.now(timezone.utc), zone)
+
+
 def instant(moment: datetime) -> Column:
     """A TIMESTAMP_NTZ literal."""
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")

@@ -131,7 +131,10 @@ class Forecast:
 
 
 def forecast(prices: DataFrame, clock: Clock, horizon_hours: int = 24, days: int = 7) -> Forecast:
-    """Hourly forecast for every symbol with at least ten training rows."""
+    """Hourly forecast for every symbol with at least ten training rows.
+
+    The models, one row per symbol, are fitted at once; residuals and forecasts are lazy.
+    """
     if not 1 <= horizon_hours <= MAX_HORIZON:
         raise ValueError(f"horizon must be 1 to {MAX_HORIZON} hours")
     train = _centred(features(training_window(prices, clock, days), clock.zone), clock)

@@ -16,7 +16,8 @@ def trend_facts(prices: DataFrame, clock: Clock, days: int = 7, spike_sigmas: fl
     """Direction, percent change, hourly slope and spike count of every symbol.
 
     A spike is a value more than `spike_sigmas` population deviations from the mean of
-    its symbol. The second pass joins one statistics row per symbol back to the window.
+    its symbol. The statistics, one row per symbol, are computed at once; the second pass
+    joins them back to the window.
     """
     window = prices.filter(F.col("timestamp") >= clock.ago(days=days)).select(
         "symbol",

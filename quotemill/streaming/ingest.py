@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.clock import Clock
+from quotemill.clock import Clock, live_clock
 from quotemill.functions.weather import SHORT_CODES
 from quotemill.operators.quality import cleaned, observe_run, run_checks
 from quotemill.operators.quality.log import failure_log
@@ -44,7 +44,7 @@ class TickerIngest:
     """
 
     root: str
-    clock: Callable[[], Clock]
+    clock: Callable[[], Clock] = live_clock
     volume_mode: str = "truncate"
     retention_days: int | None = None
     refresh: Callable[[DataFrame, Clock], DataFrame] | None = None
@@ -87,7 +87,7 @@ class NewsIngest:
     """One micro-batch of landed RSS polls: the items whose URL is not stored yet."""
 
     root: str
-    clock: Callable[[], Clock]
+    clock: Callable[[], Clock] = live_clock
     variant: str = "service"
     source: str = "BBC News"
 
@@ -113,7 +113,7 @@ class WeatherIngest:
     """One micro-batch of landed weather polls, appended."""
 
     root: str
-    clock: Callable[[], Clock]
+    clock: Callable[[], Clock] = live_clock
     city: str = "Warsaw"
     codes: dict[int, str] = field(default_factory=lambda: dict(SHORT_CODES))
 
