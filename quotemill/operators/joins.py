@@ -13,8 +13,9 @@ BROADCAST_ROWS = 200_000
 def settled(small: DataFrame) -> DataFrame:
     """The frame computed once and stored in the shared folder, for plans that use it twice."""
     context = small.sparkSession.sparkContext
+    folder = shared_dir(small.sparkSession)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(small.sparkSession))
+        context.setCheckpointDir(folder)
     return small.checkpoint()
 
 

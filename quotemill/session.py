@@ -36,14 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     cluster a machine-local folder would lose data, so the missing setting is an error.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="quotemill-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quotemill-"))
+    return context.getCheckpointDir()
 
 
 def new_work_dir(spark: SparkSession, label: str) -> str:

@@ -22,8 +22,8 @@ def spark():
         .config("spark.driver.memory", "6g")
     )
     session = builder.getOrCreate()
-    if not (session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getConf().get("spark.checkpoint.dir")):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quotemill-tests-"))
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quotemill-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -123,7 +123,7 @@ def test_stamp_and_ids(spark):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert shared_dir(spark) == named.rstrip("/")
     assert new_work_dir(spark, "x").startswith(named.rstrip("/"))
 
