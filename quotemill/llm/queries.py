@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quotemill.llm import language, line_dedup, pieces, simhash, topk
+from quotemill.llm import decontaminate, language, line_dedup, pieces, simhash, topk
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,28 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+SHINGLES = r"""
+    SELECT {id}, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s
+    FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+          FROM {table} WHERE {id} IS NOT NULL AND text IS NOT NULL)
+    WHERE len(w) > 0
+"""
+
+
+@query(
+    "op9_decontamination",
+    f"""
+    WITH d AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM ({SHINGLES.format(id="doc_id", table="documents")})),
+         b AS (SELECT DISTINCT item_id, unnest(s) AS s FROM ({SHINGLES.format(id="item_id", table="benchmark")})),
+         n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+         m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
+    SELECT doc_id, item_id, n_shared, n_shingles FROM m JOIN n USING (item_id)
+    WHERE 5 * n_shared >= 4 * n_shingles
+    """,
+)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontaminate.contained_items(documents, benchmark, size=5, containment=0.8)
