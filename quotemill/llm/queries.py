@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quotemill.llm import decontaminate, language, line_dedup, pieces, simhash, topk
+from quotemill.llm import (
+    decontaminate,
+    html_extract,
+    language,
+    line_dedup,
+    pieces,
+    simhash,
+    topk,
+    toxicity,
+    transcripts,
+    url_filter,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -127,3 +138,35 @@ SHINGLES = r"""
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontaminate.contained_items(documents, benchmark, size=5, containment=0.8)
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op8_chat_formatting")
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = transcripts.defaced(read(spark, sf_dir, "conversations"))
+    learned_from = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0
+    model = transcripts.learn(plain.where(learned_from))
+    return transcripts.parse(plain.select("conv_id", "pos", "text"), model)
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
