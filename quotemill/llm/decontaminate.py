@@ -3,9 +3,11 @@
 A document is signed with one permutation: its shingle hashes fall into 2^p bins by their top
 bits and each bin keeps its smallest hash. p is the document's size partition, the power of two
 next to its number of shingles (plus `finer`), so a document of any length keeps a like share of
-its shingles and a short item inside a long document is not drowned. An item is signed once per
-partition that occurs. One bin in common makes a candidate; candidates are verified by counting
-the shingles they share. All of it is DataFrame functions.
+its shingles and a short item inside a long document is not drowned. An item is signed for every
+partition at once: a hash that is the smallest of its bin stays so in finer bins, so each hash of
+an item is kept with the first p from which it belongs to the signature. One bin in common makes a
+candidate; candidates are verified by counting the shingles they share. All of it is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -66,6 +68,24 @@ def signature(sorted_hashes: Column, p: Column) -> Column:
     return let(64 - p, lambda drop: let(sorted_hashes, lambda s: firsts(s, drop)))
 
 
+def first_partitions(sorted_hashes: Column) -> Column:
+    """(h, since) of sorted hashes: with p >= since, h is the smallest of its bin.
+
+    That is so once the bin is too narrow to hold the hash before it, that is, once p exceeds the
+    number of leading bits the two have in common.
+    """
+    shared = lambda a, b: 64 - F.length(F.bin(a.bitwiseXOR(b)))
+    return let(
+        sorted_hashes,
+        lambda s: F.transform(
+            s,
+            lambda h, i: F.struct(
+                h.alias("h"), F.when(i == 0, 0).otherwise(shared(h, F.get(s, i - F.lit(1))) + 1).alias("since")
+            ),
+        ),
+    )
+
+
 def finer_steps(shortest: int, containment: float, miss: float = MISS) -> int:
     """How many times to double the bins so that an item of `shortest` shingles is found.
 
@@ -83,17 +103,16 @@ def finer_steps(shortest: int, containment: float, miss: float = MISS) -> int:
 def candidates(docs: DataFrame, items: DataFrame, size: int, containment: float) -> DataFrame:
     """Distinct (doc_id, item_id) pairs that share a bin, from (doc_id, text) and (item_id, words)."""
     signed_items = items.select("item_id", hashes(F.col("words"), size).alias("s")).where(F.size("s") > 0)
-    shortest, count, rows = signed_items.agg(F.min(F.size("s")), F.sum(F.size("s")), F.count("*")).first()
+    shortest, count = signed_items.agg(F.min(F.size("s")), F.sum(F.size("s"))).first()
     finer = finer_steps(shortest or 1, containment)
-    signed = docs.select("doc_id", hashes(words_of(F.col("text")), size).alias("s"))
     p = partition_of(F.size("s"), finer)
+    signed = docs.select("doc_id", hashes(words_of(F.col("text")), size).alias("s"))
     bins = signed.select("doc_id", p.alias("p"), F.explode(signature(F.col("s"), p)).alias("h"))
-    partitions = range(1, ALL_BITS + 1) if finer < ALL_BITS else [ALL_BITS]
-    at = signed_items.select("item_id", "s", F.explode(F.array(*map(F.lit, partitions))).alias("p"))
-    item_bins = at.select("item_id", "p", F.explode(signature(F.col("s"), F.col("p"))).alias("h"))
-    if (count or 0) * len(partitions) * 64 <= BROADCAST_BYTES:
+    item_bins = signed_items.select("item_id", F.explode(first_partitions(F.col("s"))).alias("b"))
+    item_bins = item_bins.select("item_id", "b.h", "b.since")
+    if (count or 0) * 64 <= BROADCAST_BYTES:
         item_bins = F.broadcast(item_bins)
-    return bins.join(item_bins, ["p", "h"]).select("doc_id", "item_id").distinct()
+    return bins.join(item_bins, "h").where("p >= since").select("doc_id", "item_id").distinct()
 
 
 def contained_items(
