@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ STEP4_SUFFIXES = [
     "iti", "ous", "ive", "ize", "ion",
 ]
 WORD_BREAK = r"[^\p{L}\p{N}]+"
+WORD = re.compile(r"[^\W_]+")
 SHORT_SYLLABLE = r"(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
+SYLLABLE = r"[^aeiouy]*[aeiouy]+[^aeiouy]"
 
 
 def not_blank(col: Column) -> Column:
@@ -67,158 +70,91 @@ def headline_tone(title: Column) -> Column:
     )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` applied to a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _ending(word: Column, suffixes: Iterable[str]) -> Column:
-    """The longest of the suffixes a word ends with, NULL if none.
-
-    Comparing the last letters by length is several times faster here than a pattern of
-    alternatives.
-    """
-    by_length: dict[int, list[str]] = {}
-    for suffix in suffixes:
-        by_length.setdefault(len(suffix), []).append(suffix)
-    last = {size: F.right(word, F.lit(size)) for size in by_length}
-    return F.coalesce(
-        *[F.when(last[size].isin(by_length[size]), last[size]) for size in sorted(by_length, reverse=True)]
-    )
-
-
-def _with_ending(word: Column, suffixes: Iterable[str], body: Callable[[Column, Column], Column]) -> Column:
-    """`body(ending, head)` for the longest of the suffixes a word ends with, the word if none."""
-    return _let(
-        _ending(word, suffixes),
-        lambda end: F.when(end.isNull(), word).otherwise(body(end, F.left(word, F.length(word) - F.length(end)))),
-    )
-
-
-def _swap(ending: Column, table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[ending]
-
-
-def _drop_plural(word: Column) -> Column:
-    return (
-        F.when(word.rlike("sses$"), F.regexp_replace(word, "sses$", "ss"))
-        .when(word.rlike("^.(ied|ies)$"), F.regexp_replace(word, "(ied|ies)$", "ie"))
-        .when(word.rlike("(ied|ies)$"), F.regexp_replace(word, "(ied|ies)$", "i"))
-        .when(word.rlike("(us|ss)$"), word)
-        .when(word.rlike("[aeiouy].+s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
-    )
-
-
-def _restore(word: Column, r1: Column) -> Column:
-    """Repair of a word whose -ed or -ing was cut off."""
-    return (
-        F.when(word.rlike("(at|bl|iz)$"), F.concat(word, F.lit("e")))
-        .when(word.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.left(word, F.length(word) - 1))
-        .when((r1 >= F.length(word)) & word.rlike(SHORT_SYLLABLE), F.concat(word, F.lit("e")))
-        .otherwise(word)
-    )
-
-
-def _drop_tense(word: Column, r1: Column) -> Column:
-    def body(end: Column, head: Column) -> Column:
-        return (
-            F.when(end.isin("eed", "eedly"), F.when(F.length(head) >= r1, F.concat(head, F.lit("ee"))).otherwise(word))
-            .when(head.rlike("[aeiouy]"), _let(head, lambda cut: _restore(cut, r1)))
-            .otherwise(word)
-        )
-
-    return _with_ending(word, TENSE_SUFFIXES, body)
-
-
-def _step2(word: Column, r1: Column) -> Column:
-    def body(end: Column, head: Column) -> Column:
-        kept = (
-            (F.length(head) < r1)
-            | ((end == "ogi") & ~head.endswith("l"))
-            | ((end == "li") & ~head.rlike("[cdeghkmnrt]$"))
-        )
-        return F.when(kept, word).otherwise(F.concat(head, _swap(end, STEP2_SUFFIXES)))
-
-    return _with_ending(word, STEP2_SUFFIXES, body)
-
-
-def _step3(word: Column, r1: Column, r2: Column) -> Column:
-    def body(end: Column, head: Column) -> Column:
-        kept = (F.length(head) < r1) | ((end == "ative") & (F.length(head) < r2))
-        return F.when(kept, word).otherwise(F.concat(head, _swap(end, STEP3_SUFFIXES)))
-
-    return _with_ending(word, STEP3_SUFFIXES, body)
-
-
-def _step4(word: Column, r2: Column) -> Column:
-    def body(end: Column, head: Column) -> Column:
-        kept = (F.length(head) < r2) | ((end == "ion") & ~head.rlike("[st]$"))
-        return F.when(kept, word).otherwise(head)
-
-    return _with_ending(word, STEP4_SUFFIXES, body)
-
-
-def _drop_final(word: Column, r1: Column, r2: Column) -> Column:
-    def body(end: Column, head: Column) -> Column:
-        size = F.length(head)
-        silent_e = (end == "e") & ((size >= r2) | ((size >= r1) & ~head.rlike(SHORT_SYLLABLE)))
-        double_l = (end == "l") & (size >= r2) & head.endswith("l")
-        return F.when(silent_e | double_l, head).otherwise(word)
-
-    return _with_ending(word, ["e", "l"], body)
-
-
-def stem(token: Column) -> Column:
-    """The English stem of a lower-case word, as one column expression.
-
-    It runs on the row where the word is: no vocabulary shuffle or join, so a word that
-    makes up a third of all tokens costs the same per row as any other. The result is
-    never NULL, which keeps null filters of later joins from evaluating it twice.
-    """
-    syllable = r"[^aeiouy]*[aeiouy]+[^aeiouy]"
-
-    def after(text: Column, pattern: str) -> Column:
+def _split_ending(word: str, suffixes) -> tuple[str, str]:
+    """The word without the longest of the suffixes it ends with, and that suffix ("" if none)."""
+    found = max((s for s in suffixes if word.endswith(s)), key=len, default="")
+    return word[: len(word) - len(found)], found
+
+
+def _drop_plural(word: str) -> str:
+    if word.endswith("sses"):
+        return word[:-2]
+    if word.endswith(("ied", "ies")):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if not word.endswith(("us", "ss")) and re.search("[aeiouy].+s$", word):
+        return word[:-1]
+    return word
+
+
+def _drop_tense(word: str, r1: int) -> str:
+    start, ending = _split_ending(word, TENSE_SUFFIXES)
+    if ending in ("eed", "eedly"):
+        return f"{start}ee" if len(start) >= r1 else word
+    if not ending or not re.search("[aeiouy]", start):
+        return word
+    if start.endswith(("at", "bl", "iz")):
+        return f"{start}e"
+    if re.search(r"([bdfgmnprt])\1$", start):
+        return start[:-1]
+    return f"{start}e" if r1 >= len(start) and re.search(SHORT_SYLLABLE, start) else start
+
+
+def _derived(word: str, r1: int, r2: int) -> str:
+    """Steps 2 to 4: the endings of derived words."""
+    start, ending = _split_ending(word, STEP2_SUFFIXES)
+    fits = {"ogi": start.endswith("l"), "li": bool(re.search("[cdeghkmnrt]$", start))}.get(ending, True)
+    if ending and len(start) >= r1 and fits:
+        word = start + STEP2_SUFFIXES[ending]
+    start, ending = _split_ending(word, STEP3_SUFFIXES)
+    if ending and len(start) >= (r2 if ending == "ative" else r1):
+        word = start + STEP3_SUFFIXES[ending]
+    start, ending = _split_ending(word, STEP4_SUFFIXES)
+    return start if ending and len(start) >= r2 and (ending != "ion" or start.endswith(("s", "t"))) else word
+
+
+def stem_word(token: str) -> str:
+    """The English stem of a lower-case word."""
+    if token in IRREGULAR_STEMS:
+        return IRREGULAR_STEMS[token]
+    if len(token) <= 2 or token in UNCHANGED_WORDS:
+        return token
+
+    def after(pattern: str, text: str) -> int:
         """Length of the matched beginning, beyond any word if there is none."""
-        found = F.regexp_extract(text, f"^({pattern})", 1)
-        return F.when(found == "", 1000).otherwise(F.length(found))
-
-    def regions(word: Column, body: Callable[[Column, Column], Column]) -> Column:
-        def second(r1: Column) -> Column:
-            rest = F.substring(word, r1 + 1, F.length(word))
-            return _let(r1 + after(rest, syllable), lambda r2: body(r1, r2))
+        found = re.match(pattern, text)
+        return found.end() if found else 1000
 
-        return _let(after(word, f"gener|commun|arsen|{syllable}"), second)
-
-    def regular(word: Column) -> Column:
-        def steps(r1: Column, r2: Column) -> Column:
-            chain = [
-                lambda w: _drop_tense(w, r1),
-                lambda w: F.regexp_replace(w, "^(.+[^aeiouy])[yY]$", "$1i"),
-                lambda w: _step2(w, r1),
-                lambda w: _step3(w, r1, r2),
-                lambda w: _step4(w, r2),
-                lambda w: _drop_final(w, r1, r2),
-            ]
+    # A y that starts the word or follows a vowel counts as a consonant, written Y.
+    word = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", token))
+    r1 = after(f"gener|commun|arsen|{SYLLABLE}", word)
+    r2 = r1 + after(SYLLABLE, word[r1:])
+    word = _drop_plural(word)
+    if word in UNCHANGED_AFTER_PLURAL:
+        return word
+    word = re.sub("^(.+[^aeiouy])[yY]$", r"\1i", _drop_tense(word, r1))
+    word = _derived(word, r1, r2)
+    start = word[:-1]
+    if word.endswith("e") and (len(start) >= r2 or len(start) >= r1 and not re.search(SHORT_SYLLABLE, start)):
+        word = start
+    elif word.endswith("ll") and len(start) >= r2:
+        word = start
+    return word.lower()
+
+
+class Stems(dict):
+    """Stems by word; each distinct word is stemmed once."""
+
+    def __missing__(self, token: str) -> str:
+        self[token] = found = stem_word(token)
+        return found
 
-            def fold(w: Column, rest: list) -> Column:
-                return F.lower(w) if not rest else _let(rest[0](w), lambda following: fold(following, rest[1:]))
 
-            return _let(
-                _drop_plural(word), lambda w: F.when(w.isin(UNCHANGED_AFTER_PLURAL), w).otherwise(fold(w, chain))
-            )
+def stem(token: Column) -> Column:
+    """The English stem of a column of lower-case words."""
 
-        return regions(word, steps)
+    def run(tokens: pa.Array) -> pa.Array:
+        stems = Stems()
+        return pa.array([None if t is None else stems[t] for t in tokens.to_pylist()], pa.string())
 
-    # A y that starts the word or follows a vowel counts as a consonant, written Y.
-    # A word with none of the endings any step looks for is its own stem.
-    endings = sorted({*TENSE_SUFFIXES, *STEP2_SUFFIXES, *STEP3_SUFFIXES, *STEP4_SUFFIXES, "s", "ied", "y", "e", "l"})
-    marked = F.regexp_replace(F.regexp_replace(token, "^y", "Y"), "([aeiouy])y", "$1Y")
-    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR_STEMS.items() for x in pair])
-    result = (
-        F.when((F.length(token) <= 2) | token.isin(UNCHANGED_WORDS), token)
-        .when(_ending(token, endings).isNull(), token)
-        .when(token.isin(list(IRREGULAR_STEMS)), F.try_element_at(irregular, token))
-        .otherwise(_let(marked, regular))
-    )
-    return F.coalesce(result, F.lit(""))
+    run.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")(token)

@@ -36,6 +36,12 @@ def epoch_micros(col: Column) -> Column:
     return F.unix_micros(utc_to_instant(col))
 
 
+def time_then_id(time: Column, row_id: Column) -> Column:
+    """One decimal that orders by time, then id; unlike a struct it fits a hash aggregate's buffer."""
+    step = F.lit(str(2**64)).cast("decimal(20,0)")
+    return epoch_micros(time).cast("decimal(18,0)") * step + F.coalesce(row_id, F.lit(0)).cast("decimal(20,0)")
+
+
 def minutes_between(later: Column, earlier: Column) -> Column:
     return (epoch_micros(later) - epoch_micros(earlier)) / F.lit(60_000_000.0)
 

@@ -37,27 +37,23 @@ def recent_anomalies(
     )
 
 
-def anomaly_windows(prices: DataFrame, minutes: int = ANOMALY_MINUTES, limit: int = ANOMALY_ROWS) -> DataFrame:
-    """The same pass for every tumbling window of the history.
-
-    The row number is limited below the filter, so each map task forwards at most
-    `limit` rows per window however many rows one window holds.
-    """
+def anomaly_windows(prices: DataFrame, minutes: int = ANOMALY_MINUTES) -> DataFrame:
+    """All anomalies with the tumbling window they fall into."""
     span = F.window("timestamp", f"{minutes} minutes")
-    hits = prices.filter(is_anomaly()).select(
+    return prices.filter(is_anomaly()).select(
         span["start"].alias("window_start"), span["end"].alias("window_end"),
         "id", "symbol", "price_usd", "price_change_24h", "timestamp",
     )
-    strongest = Window.partitionBy("window_start").orderBy(_strength().desc(), "timestamp", "id")
-    return hits.withColumn("place", F.row_number().over(strongest)).filter(F.col("place") <= limit).drop("place")
 
 
 def strongest_per_symbol(anomalies: DataFrame, *by: str) -> DataFrame:
-    """One row per symbol (and `by` columns): the largest absolute change, the first on ties."""
-    row = F.struct(*anomalies.columns)
-    best = F.min_by(row, F.struct(-_strength(), "timestamp", "id")).alias("row")
-    keys = [F.col(c).alias(f"_key_{c}") for c in (*by, "symbol")]
-    return anomalies.groupBy(*keys).agg(best).select("row.*")
+    """One row per symbol (and `by` columns): the largest absolute change, the first on ties.
+
+    The row number is limited to 1, so each map task forwards one row per key however many
+    rows a symbol or a window holds.
+    """
+    strongest = Window.partitionBy(*by, "symbol").orderBy(_strength().desc(), "timestamp", "id")
+    return anomalies.withColumn("_place", F.row_number().over(strongest)).filter(F.col("_place") == 1).drop("_place")
 
 
 def alertable(rows: DataFrame) -> DataFrame:
@@ -96,8 +92,8 @@ def with_explanations(anomalies: DataFrame, explanations: DataFrame) -> DataFram
 def alert_documents(rows: DataFrame, detected_at: Column, *by: str) -> DataFrame:
     """One alert per group of `by`: count, symbols, message and JSON body.
 
-    Input is already reduced to one row per symbol and at most `ANOMALY_ROWS` rows per
-    pass, so the list of a group is small.
+    Input is already reduced to one row per symbol and pass, so a message lists each symbol
+    once; a group is one alert message.
     """
     entry = F.struct(
         (-_strength()).alias("rank"), "timestamp", "id", "symbol",

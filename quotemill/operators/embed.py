@@ -15,7 +15,6 @@ from quotemill.functions.texts import words
 from quotemill.sources.sinks import update_embeddings
 
 DIMENSIONS = 384
-BACKFILL_ROWS = 100
 
 Encoder = Callable[[DataFrame], DataFrame]
 
@@ -68,13 +67,13 @@ def model_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]],
     return lambda texts: texts.select("id", "text").mapInPandas(run, f"id {id_type}, embedding array<float>")
 
 
-def missing_embeddings(news: DataFrame, limit: int | None = BACKFILL_ROWS) -> DataFrame:
-    """Articles without a vector, lowest ids first; `limit` is the size of one backfill call."""
+def missing_embeddings(news: DataFrame, limit: int | None = None) -> DataFrame:
+    """Articles without a vector; with `limit` so many, lowest ids first, for one backfill call."""
     waiting = news.filter(F.col("embedding").isNull())
     return waiting if limit is None else waiting.orderBy("id").limit(limit)
 
 
-def backfill(news: DataFrame, encode: Encoder, limit: int | None = BACKFILL_ROWS, max_chars: int | None = None) -> DataFrame:
+def backfill(news: DataFrame, encode: Encoder, limit: int | None = None, max_chars: int | None = None) -> DataFrame:
     """News with the vectors of one backfill call filled in."""
     texts = missing_embeddings(news, limit).select("id", embedding_text(max_chars=max_chars).alias("text"))
     return update_embeddings(news, encode(texts))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
-from quotemill.functions.times import epoch_micros, local_time
+from quotemill.functions.times import epoch_micros, local_time, time_then_id
 from quotemill.operators.joins import join_summary, settled
 
 FEATURES = ["unix", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
@@ -31,7 +31,7 @@ COEFFICIENTS = [f"b_{name}" for name in FEATURES]
 def training_window(prices: DataFrame, clock: Clock, days: int = 7) -> DataFrame:
     """Positive prices of the last days, every symbol."""
     wanted = (F.col("timestamp") >= clock.ago(days=days)) & (F.col("price_usd") > 0)
-    return prices.filter(wanted).select("symbol", F.col("price_usd").cast("double").alias("price"), "timestamp")
+    return prices.filter(wanted).select("symbol", F.col("price_usd").cast("double").alias("price"), "timestamp", "id")
 
 
 def _calendar(local: Column) -> dict[str, Column]:
@@ -65,7 +65,7 @@ def moments(train: DataFrame) -> DataFrame:
         F.sum("price").alias("s_price"),
         *sums,
         F.max("timestamp").alias("last_ts"),
-        F.max_by("price", "timestamp").alias("last_price"),
+        F.max_by("price", time_then_id(F.col("timestamp"), F.col("id"))).alias("last_price"),
     )
 
 
@@ -133,7 +133,8 @@ class Forecast:
 def forecast(prices: DataFrame, clock: Clock, horizon_hours: int = 24, days: int = 7) -> Forecast:
     """Hourly forecast for every symbol with at least ten training rows.
 
-    The models, one row per symbol, are fitted at once; residuals and forecasts are lazy.
+    The models, one row per symbol, are fitted at once (this call runs that job); residuals and
+    forecasts are lazy. Of several last rows of the same time the one with the highest id counts.
     """
     if not 1 <= horizon_hours <= MAX_HORIZON:
         raise ValueError(f"horizon must be 1 to {MAX_HORIZON} hours")

@@ -1,34 +1,26 @@
-"""Join a large frame with a small derived one, after a check of its size."""
+"""Join a large frame with a small derived one by its measured size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quotemill.session import shared_dir
-
-BROADCAST_ROWS = 200_000
+from quotemill.session import new_work_dir
 
 
 def settled(small: DataFrame) -> DataFrame:
-    """The frame computed once and stored in the shared folder, for plans that use it twice."""
-    context = small.sparkSession.sparkContext
-    folder = shared_dir(small.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return small.checkpoint()
+    """The frame computed once and stored in the shared folder, for plans that use it twice.
+
+    It is read back as a table, so the planner knows its size in bytes.
+    """
+    path = new_work_dir(small.sparkSession, "settled")
+    small.write.parquet(path)
+    return small.sparkSession.read.schema(small.schema).parquet(path)
 
 
-def join_summary(rows: DataFrame, summary: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join of rows with a settled, much smaller frame.
+def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a settled, usually much smaller frame.
 
-    The summary is broadcast only if it was counted to be small, which keeps the rows
-    where they are. Beyond that both sides are shuffled; the rows get a random salt and
-    the summary one copy per salt, so a key that holds most rows is spread over tasks.
+    A summary below the broadcast threshold is broadcast, which keeps the rows where they are.
+    Beyond it both sides are shuffled, and adaptive execution splits a key that holds most rows.
     """
-    if summary.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(summary), key)
-    salts = 16
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    return rows.join(summary, key)

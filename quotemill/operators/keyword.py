@@ -1,113 +1,89 @@
-"""Keyword search: all stemmed terms of a query must occur; rank by term density.
+"""Keyword search: all stemmed terms of a query must occur; documents are ranked by BM25.
 
-Works from a postings table (term, document, positions). The table can be built on the
-fly for the terms of a query batch, or written once, bucketed by term, and read back.
+Works from a postings table: one row per document and term with its count, and one row with
+the empty term per document with its number of words. The table can be built for the terms of
+a query batch, or written once, bucketed by term, and read back.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.texts import IRREGULAR_STEMS, STOP_WORDS, WORD_BREAK, stem, words
+from quotemill.functions.texts import STOP_WORDS, WORD, Stems
+from quotemill.operators.joins import join_summary, settled
 
-# Fixed values of the rank function: weight of an unlabelled word, the sum of 1/n^2, the
-# number of positions a text-search vector keeps per word, and the longest distance.
-WORD_WEIGHT = 0.1
-INVERSE_SQUARES = 1.64493406685
-MAX_POSITIONS = 256
-MAX_DISTANCE = 100
-MAX_QUERIES = 10_000
-MAX_RESULTS = 100_000
-MAX_TEXT_TESTS = 20
+# The usual BM25 constants: saturation of the term count and weight of the text length.
+K1, B = 1.2, 0.75
+NO_TERM = ""
+DOCS_AT_ONCE = 256
+POSTINGS = "id BIGINT, published_at TIMESTAMP_NTZ, term STRING, tf INT"
 
 
 def search_text(title: str = "title", description: str = "description") -> Column:
     return F.concat(F.col(title), F.lit(" "), F.coalesce(F.col(description), F.lit("")))
 
 
-Terms = dict[str, list[str]]
+def _term_counts(text: str | None, stems: Stems, stop: frozenset[str]) -> Counter:
+    """Count of each stem of a text without stop words."""
+    counts: Counter = Counter()
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        if word not in stop:
+            counts[stems[word]] += n
+    return counts
 
 
-def query_terms(spark: SparkSession, queries: list[str]) -> Terms:
-    """Distinct stems per query without stop words; a query of stop words only has none.
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query, term) of the distinct queries; a query of stop words only has no row."""
+    stop = frozenset(STOP_WORDS)
 
-    The batch is a parameter of bounded length, so its terms are known while planning.
-    """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per batch")
-    given = F.array(*[F.lit(q) for q in sorted(set(queries))]).cast("array<string>")
-    frame = spark.range(0, 1, 1, 1).select(F.explode(given).alias("query"))
-    tokens = frame.select("query", F.explode(words(F.col("query"))).alias("token"))
-    tokens = tokens.filter((F.col("token") != "") & ~F.col("token").isin(STOP_WORDS))
-    found: dict[str, set[str]] = {}
-    for row in tokens.select("query", stem(F.col("token")).alias("term")).collect():
-        found.setdefault(row["query"], set()).add(row["term"])
-    return {query: sorted(terms) for query, terms in found.items()}
-
-
-def _beginning(term: str) -> str:
-    """What every word with this stem starts with: stemming changes at most the last two letters it keeps."""
-    return term[: max(2, len(term) - 2)]
-
-
-def _may_match(text: Column, terms: Terms) -> Column:
-    """Texts that can hold all terms of some query; tested before the text is split."""
-    if len(terms) > MAX_TEXT_TESTS:
-        return F.lit(True)
-
-    def tests(low: Column) -> Column:
-        any_query = F.lit(False)
-        for words_of_query in terms.values():
-            every = F.lit(True)
-            for term in words_of_query:
-                begins = F.contains(low, F.lit(_beginning(term)))
-                for word, irregular in IRREGULAR_STEMS.items():
-                    if irregular == term:
-                        begins = begins | F.contains(low, F.lit(word))
-                every = every & begins
-            any_query = any_query | every
-        return any_query
-
-    # As a lambda the text is computed once for all tests; a plain filter would repeat it.
-    return F.exists(F.array(text), tests)
-
-
-def _may_stem_to(token: Column, terms: Terms) -> Column:
-    """Words that can have a wanted stem."""
-    by_length: dict[int, set[str]] = {}
-    for term in (t for found in terms.values() for t in found):
-        start = _beginning(term)[:4]
-        by_length.setdefault(len(start), set()).add(start)
-    near = token.isin(list(IRREGULAR_STEMS))
-    for size, starts in by_length.items():
-        near = near | F.substring(token, 1, size).isin(sorted(starts))
-    return near
-
-
-def postings(docs: DataFrame, text: Column, terms: Terms | None = None) -> DataFrame:
-    """(id, published_at, term, positions): sorted word positions per document and stem.
-
-    Positions count every word, stop words too. With `terms`, only those stems are kept:
-    texts and words that cannot hold one are dropped before stemming, and every other
-    word before the shuffle. All groupings of a document then stay in one task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = Stems()
+        for batch in batches:
+            pairs = [(q, t) for q in batch.column(0).to_pylist() for t in _term_counts(q, stems, stop)]
+            names, terms = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_pydict({"query": pa.array(names, pa.string()), "term": pa.array(terms, pa.string())})
+
+    return settled(queries.select("query").distinct().mapInArrow(run, "query string, term string"))
+
+
+def postings(docs: DataFrame, text: Column, terms: DataFrame | None = None) -> DataFrame:
+    """(id, published_at, term, tf) of every document, and its word count under the empty term.
+
+    Texts are split, stemmed and counted where they are read: no text is shuffled, and a word
+    is stemmed once per task. With `terms` only those terms are kept.
     """
-    pieces = F.posexplode(F.split(F.regexp_replace("low", f"^{WORD_BREAK}", ""), WORD_BREAK)).alias("at", "token")
-    rows = docs.select("id", "published_at", F.lower(text).alias("low"))
-    keys = ["id", "published_at"]
-    content = (F.col("token") != "") & ~F.col("token").isin(STOP_WORDS)
-    if terms is not None:
-        tokens = rows.filter(_may_match(F.col("low"), terms)).select(*keys, pieces)
-        tokens = tokens.filter(content & _may_stem_to(F.col("token"), terms))
-        stems = tokens.select(*keys, F.array(F.col("at") + 1).alias("positions"), stem(F.col("token")).alias("term"))
-        wanted = sorted({t for found in terms.values() for t in found})
-        grouped = stems.filter(F.col("term").isin(wanted)).repartition("id")
-    else:
-        # The texts are shuffled once; a word repeated in a document is stemmed once.
-        tokens = rows.repartition("id").select(*keys, pieces).filter(content)
-        per_token = tokens.groupBy(*keys, "token").agg(F.collect_list(F.col("at") + 1).alias("positions"))
-        grouped = per_token.select(*keys, "positions", stem(F.col("token")).alias("term"))
-    return grouped.groupBy(*keys, "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    stop = frozenset(STOP_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = Stems()
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(start, DOCS_AT_ONCE)
+                owners, found, counts = [], [], []
+                for owner, content in enumerate(part.column(2).to_pylist()):
+                    terms_of = _term_counts(content, stems, stop)
+                    owners.extend([owner] * (len(terms_of) + 1))
+                    found.extend([*terms_of, NO_TERM])
+                    counts.extend([*terms_of.values(), sum(terms_of.values())])
+                at = pa.array(owners, pa.int32())
+                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(found, pa.string()), pa.array(counts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "published_at", "term", "tf"])
+
+    rows = docs.select(F.col("id").cast("bigint").alias("id"), F.col("published_at").cast("timestamp_ntz").alias("published_at"), text.alias("text"))
+    return _of_terms(rows.mapInArrow(run, POSTINGS), terms)
+
+
+def _of_terms(index: DataFrame, terms: DataFrame | None) -> DataFrame:
+    if terms is None:
+        return index
+    none = terms.sparkSession.range(1).select(F.lit(NO_TERM).alias("term"))
+    wanted = settled(terms.select("term").unionByName(none).distinct())
+    return index.join(wanted, "term", "left_semi").select("id", "published_at", "term", "tf")
 
 
 def _bucket(buckets: int) -> Column:
@@ -124,108 +100,89 @@ def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:
     bucketed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def read_postings(spark: SparkSession, path: str, queries: list[str], buckets: int = 64) -> DataFrame:
-    """Postings of the query terms: only their buckets are read, only their row groups match."""
-    schema = "id BIGINT, published_at TIMESTAMP_NTZ, term STRING, positions ARRAY<INT>, bucket INT"
-    index = spark.read.schema(schema).parquet(path)
-    wanted = sorted({t for found in query_terms(spark, queries).values() for t in found})
-    if not wanted:
-        return index.filter(F.lit(False)).drop("bucket")
-    given = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(t) for t in wanted])).alias("term"))
-    numbers = sorted({r["b"] for r in given.select(_bucket(buckets).alias("b")).collect()})
-    return index.filter(F.col("bucket").isin(numbers) & F.col("term").isin(wanted)).drop("bucket")
-
-
-def _closeness(distance: Column) -> Column:
-    """Weight of two words `distance` apart."""
-    near = 1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2))
-    return WORD_WEIGHT * F.sqrt(F.when(distance > MAX_DISTANCE, F.lit(1e-30)).otherwise(near))
-
-
-def _single_rank(hits: Column) -> Column:
-    """Rank of one-word queries: the weight times the partial sum of 1/n^2 over its positions."""
-    count = F.least(F.size(hits[0]["positions"]), F.lit(MAX_POSITIONS))
-    squares = F.aggregate(F.sequence(F.lit(1), count), F.lit(0.0), lambda acc, n: acc + 1.0 / (n * n))
-    return WORD_WEIGHT * squares / INVERSE_SQUARES
-
-
-def _pair_rank(hits: Column) -> Column:
-    """Rank of longer queries: one minus the product of (1 - closeness) over position pairs of two words."""
-    flat = F.flatten(
-        F.transform(
-            hits,
-            lambda hit, i: F.transform(
-                F.slice(hit["positions"], 1, MAX_POSITIONS), lambda p: F.struct(i.alias("word"), p.alias("at"))
-            ),
-        )
-    )
-
-    def against_earlier(one: Column) -> Column:
-        return F.aggregate(
-            F.filter(flat, lambda other: other["word"] < one["word"]),
-            F.lit(0.0),
-            lambda acc, other: acc + F.log1p(-_closeness(F.abs(one["at"] - other["at"]).cast("double"))),
-        )
-
-    return 1.0 - F.exp(F.aggregate(F.transform(flat, against_earlier), F.lit(0.0), lambda acc, x: acc + x))
+def read_postings(spark: SparkSession, path: str, terms: DataFrame, buckets: int = 64) -> DataFrame:
+    """Postings of the query terms: only their buckets are read, which are at most `buckets` numbers."""
+    none = spark.range(1).select(F.lit(NO_TERM).alias("term"))
+    used = terms.select("term").unionByName(none).select(_bucket(buckets).alias("b")).distinct()
+    numbers = sorted(r["b"] for r in used.collect())
+    index = spark.read.schema(f"{POSTINGS}, bucket INT").parquet(path).filter(F.col("bucket").isin(numbers))
+    return _of_terms(index.drop("bucket"), terms)
 
 
-def matches(index: DataFrame, terms: Terms) -> DataFrame:
+def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(query, id, published_at, relevance) of documents that hold every term of a query.
 
-    A document meets only the queries whose longest term it holds, and the other terms
-    are looked up in its own map, so a frequent word does not pair every document with
-    every query that mentions it. The rank is a FLOAT, as the rank function returns it:
-    equal texts get equal ranks.
+    A document meets only the queries whose rarest term it holds, and the other terms are looked
+    up in its own map, so a frequent word does not pair every document with every query that
+    mentions it. This call runs one job for the number of documents and their mean length.
     """
-    rows = [(max(found, key=len), query, found) for query, found in terms.items()]
-    asked = index.sparkSession.createDataFrame(rows, "key_term string, query string, terms array<string>")
-    held = index.groupBy("id", "published_at").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("held")
+    lengths = index.filter(F.col("term") == NO_TERM)
+    total, words = lengths.agg(F.count("*"), F.sum("tf")).first()
+    mean = max(1.0, (words or 0) / max(1, total))
+    held = index.filter(F.col("term") != NO_TERM)
+    spread = held.groupBy("term").agg(F.count("*").alias("n"))
+    weight = F.log(1 + (F.lit(float(total)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weighed = terms.join(spread, "term", "left")
+    asked = weighed.groupBy("query").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "term"))["term"].alias("key_term"),
+        F.array_sort(F.collect_list(F.struct("term", weight.alias("weight")))).alias("terms"),
     )
-    candidates = held.withColumn("key_term", F.explode(F.map_keys("held"))).join(F.broadcast(asked), "key_term")
-    whole = candidates.filter(F.forall("terms", lambda t: F.map_contains_key("held", t)))
-    hits = F.transform("terms", lambda t: F.struct(t.alias("term"), F.col("held")[t].alias("positions")))
-    rank = F.when(F.size("terms") == 1, _single_rank(F.col("hits"))).otherwise(_pair_rank(F.col("hits")))
-    return whole.withColumn("hits", hits).select("query", "id", "published_at", rank.cast("float").alias("relevance"))
+    entries = F.collect_list(F.struct("term", "tf"))
+    by_document = index.groupBy("id", "published_at").agg(F.map_from_entries(entries).alias("held"))
+    candidates = by_document.withColumn("key_term", F.explode(F.map_keys("held"))).join(asked, "key_term")
+    whole = candidates.filter(F.forall("terms", lambda t: F.map_contains_key("held", t["term"])))
+    length = K1 * (1 - B + B * F.col("held")[NO_TERM] / mean)
+
+    def part(term: Column) -> Column:
+        tf = F.col("held")[term["term"]]
+        return term["weight"] * tf * (K1 + 1) / (tf + length)
+
+    rank = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + part(t))
+    # Rounded, so texts with equal counts rank equal whatever the order of the sum.
+    return whole.select("query", "id", "published_at", F.round(rank, 9).alias("relevance"))
 
 
 def search(
     docs: DataFrame,
-    queries: list[str],
+    queries: DataFrame,
     limit: int = 5,
     text: Column | None = None,
     index: DataFrame | None = None,
 ) -> DataFrame:
-    """The best documents per query by relevance, then date, then id.
+    """The best documents per `query` by relevance, then date, then id.
 
-    `docs` needs id and published_at; its other columns are carried to the result. The
-    result has at most `limit` rows per query, so it is broadcast to fetch them.
+    `docs` needs id and published_at; its other columns are carried to the result. The found ids
+    are stored first, so the planner knows whether they are few enough to be broadcast.
     """
-    if limit * len(queries) > MAX_RESULTS:
-        raise ValueError(f"limit times queries is at most {MAX_RESULTS}")
     text = search_text() if text is None else text
-    terms = query_terms(docs.sparkSession, queries)
+    terms = query_terms(queries)
     found = matches(postings(docs, text, terms) if index is None else index, terms)
     best = Window.partitionBy("query").orderBy(F.desc("relevance"), F.desc_nulls_first("published_at"), "id")
     top = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
-    return docs.join(F.broadcast(top.select("query", "place", "id", "relevance")), "id")
+    return join_summary(docs, settled(top.select("query", "place", "id", "relevance")), "id")
+
+
+def _cut(text: Column, size: int | None) -> Column:
+    return text if size is None else F.left(text, F.lit(size))
 
 
-def news_context(found: DataFrame, text_length: int = 100) -> DataFrame:
-    """Dated article lines per query, in rank order; a query has at most its search limit of rows."""
+def news_context(found: DataFrame, text_length: int | None = None) -> DataFrame:
+    """Dated article lines per query, in rank order; a query has at most its search limit of rows.
+
+    `text_length` cuts the descriptions for a model with a short context.
+    """
     line = F.concat(
         F.lit("- ["), F.coalesce(F.left(F.col("published_at").cast("string"), F.lit(10)), F.lit("None")), F.lit("] "),
-        F.col("title"), F.lit(": "), F.left(F.coalesce("description", F.lit("None")), F.lit(text_length)),
+        F.col("title"), F.lit(": "), _cut(F.coalesce("description", F.lit("None")), text_length),
     )
     return _joined_lines(found, "query", line, "\n")
 
 
-def source_context(found: DataFrame, key: str = "question", text_length: int = 500) -> DataFrame:
-    """Numbered source blocks per question, in rank order."""
+def source_context(found: DataFrame, key: str = "question", text_length: int | None = None) -> DataFrame:
+    """Numbered source blocks per question, in rank order; see `news_context` for `text_length`."""
     block = F.concat(
         F.lit("Źródło "), F.col("place").cast("string"), F.lit(": "), F.col("title"), F.lit("\n"),
-        F.left(F.coalesce("description", F.lit("")), F.lit(text_length)),
+        _cut(F.coalesce("description", F.lit("")), text_length),
     )
     return _joined_lines(found, key, block, "\n\n")
 
@@ -236,5 +193,3 @@ def _joined_lines(found: DataFrame, key: str, line: Column, glue: str) -> DataFr
         F.count("*").alias("articles_found"),
         F.array_join(F.transform(ordered, lambda x: x["line"]), glue).alias("context"),
     )
-
-

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.clock import Clock
+from quotemill.clock import Clock, instant
 from quotemill.functions.numbers import market_mood
+from quotemill.functions.times import time_then_id
+from quotemill.operators.joins import settled
 
 
 def latest_prices(prices: DataFrame) -> DataFrame:
     """Rows whose time is the newest time of some symbol.
 
-    The membership test is not tied to the row's own symbol. Rows older than the oldest
-    of those newest times cannot match, so that bound is pushed into the scan and only
-    the tail of the table reaches the semi join.
+    The membership test is not tied to the row's own symbol. The newest times, one row per
+    symbol, are computed and stored at once (this call runs a job); rows older than the oldest
+    of them cannot match, so that bound is pushed into the second and last scan.
     """
-    newest = prices.groupBy("symbol").agg(F.max("timestamp").alias("timestamp")).select("timestamp")
-    oldest_newest = newest.agg(F.min("timestamp")).scalar()
-    tail = prices.filter(F.col("timestamp") >= oldest_newest)
-    return tail.join(newest.distinct(), "timestamp", "left_semi")
+    newest = settled(prices.groupBy("symbol").agg(F.max("timestamp").alias("timestamp")).select("timestamp").distinct())
+    oldest = newest.agg(F.min("timestamp")).first()[0]
+    tail = prices if oldest is None else prices.filter(F.col("timestamp") >= instant(oldest))
+    return tail.join(newest, "timestamp", "left_semi")
 
 
 def market_sentiment(latest: DataFrame) -> DataFrame:
@@ -52,9 +54,9 @@ def stock_changes(stocks: DataFrame, limit: int = 20) -> DataFrame:
     return stocks.orderBy(F.desc("trading_date"), "symbol").limit(limit).select("symbol", "close_price", "trading_date")
 
 
-def sector_label(changes: DataFrame) -> DataFrame:
+def sector_label(stocks: DataFrame) -> DataFrame:
     any_row = F.count("*") > 0
-    return changes.agg(
+    return stocks.agg(
         F.when(any_row, "Technology: Active").otherwise("Market Stable").alias("sector_performance")
     )
 
@@ -84,8 +86,12 @@ def direction_of(change: Column) -> Column:
 
 
 def series_direction(prices: DataFrame) -> DataFrame:
-    """Per symbol: up if the last value is at least the first, neutral with one point."""
-    first, last = F.min_by("price_usd", "timestamp"), F.max_by("price_usd", "timestamp")
+    """Per symbol: up if the last value is at least the first, neutral with one point.
+
+    Rows of the same time are ordered by id.
+    """
+    order = time_then_id(F.col("timestamp"), F.col("id"))
+    first, last = F.min_by("price_usd", order), F.max_by("price_usd", order)
     return prices.groupBy("symbol").agg(
         F.count("*").alias("points"),
         F.when(F.count("*") < 2, "neutral").when(last >= first, "up").otherwise("down").alias("direction"),

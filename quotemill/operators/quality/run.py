@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
@@ -16,26 +17,37 @@ from quotemill.operators.quality.rules import RULES
 log = logging.getLogger(__name__)
 
 
+@contextmanager
+def _nulls_for_errors(spark: SparkSession) -> Iterator[None]:
+    """Expressions resolved inside give NULL where they would fail on a row: x / 0, a bad cast.
+
+    The mode is part of a resolved expression, so it holds when the plan runs later.
+    """
+    name = "spark.sql.ansi.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _with_flags(df: DataFrame, checks: dict[str, Check], clock: Clock) -> tuple[DataFrame, dict[str, Check]]:
     """The rows with one failure flag per check, and the checks that do not fit the schema."""
     if not checks:
         return df, {}
-    quiet = logging.getLogger("SQLQueryContextLogger")
-    level = quiet.level
-    quiet.setLevel(logging.CRITICAL)
     try:
         schema = df.schema
-        flags = {mark: ~F.coalesce(check.valid(schema, clock), F.lit(False)) for mark, check in checks.items()}
-        marked = df.withColumns(flags)
-        marked.schema
+        with _nulls_for_errors(df.sparkSession):
+            flags = {mark: ~F.coalesce(check.valid(schema, clock), F.lit(False)) for mark, check in checks.items()}
+            marked = df.withColumns(flags)
+            marked.schema
         return marked, {}
     except AnalysisException as error:
         if len(checks) == 1:
             [check] = checks.values()
             log.warning("check %s cannot run: %s", check.name, str(error).splitlines()[0])
             return df, dict(checks)
-    finally:
-        quiet.setLevel(level)
     unfit: dict[str, Check] = {}
     for mark, check in checks.items():
         df, failed = _with_flags(df, {mark: check}, clock)
@@ -63,7 +75,8 @@ def run_checks(
     """The rows, repaired where a rule can repair them, with the report columns appended.
 
     Checks run in order and each sees the repairs of the earlier ones. A check that
-    cannot be evaluated on this schema is reported as `name[ERROR]` for every row.
+    cannot be evaluated on this schema is reported as `name[ERROR]` for every row; a row on
+    which a user's condition has no value (division by zero, a bad cast) fails that check.
     """
     checks: Sequence[Check] = (RULES if rules is None else rules).get(table, [])
     fields = df.columns

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
-from quotemill.functions.times import epoch_micros
+from quotemill.functions.times import epoch_micros, time_then_id
 from quotemill.operators.joins import join_summary, settled
 
 TOO_SHORT = "Insufficient data for trend analysis"
@@ -17,18 +17,19 @@ def trend_facts(prices: DataFrame, clock: Clock, days: int = 7, spike_sigmas: fl
 
     A spike is a value more than `spike_sigmas` population deviations from the mean of
     its symbol. The statistics, one row per symbol, are computed at once; the second pass
-    joins them back to the window.
+    joins them back to the window (this call runs the first pass). Rows of the same time are
+    ordered by id.
     """
     window = prices.filter(F.col("timestamp") >= clock.ago(days=days)).select(
         "symbol",
         F.col("price_usd").cast("double").alias("value"),
-        "timestamp",
+        time_then_id(F.col("timestamp"), F.col("id")).alias("order"),
         ((epoch_micros(F.col("timestamp")) - epoch_micros(clock.ago(days=days))) / 3_600_000_000.0).alias("hours"),
     )
     stats = settled(window.groupBy("symbol").agg(
         F.count("value").alias("points"),
-        F.min_by("value", "timestamp").alias("first_value"),
-        F.max_by("value", "timestamp").alias("last_value"),
+        F.min_by("value", "order").alias("first_value"),
+        F.max_by("value", "order").alias("last_value"),
         F.avg("value").alias("mean_value"),
         F.stddev_pop("value").alias("deviation"),
         F.regr_slope("value", "hours").alias("slope_per_hour"),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quotemill.operators.joins import join_summary, settled
 
-MAX_RESULTS = 10
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Scores held at once by a task, and the stand-in for "no similarity" below every cosine.
 MAX_SCORES = 4_000_000
@@ -35,11 +34,19 @@ def _lengths(vectors: np.ndarray) -> np.ndarray:
     return np.where(norms == 0, np.nan, norms)
 
 
-def _partition_top(ids_b, matrix_b, k: int):
-    """Per partition: the k best documents of every question, folded block by block."""
+def _partition_top(ids_b, matrix_b, k: int, cells: dict[int, list[str]] | None = None):
+    """Per partition: the k best documents of every question, folded block by block.
+
+    With `cells` (question names per cell) a document meets only the questions of its own cell.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, questions = ids_b.value, matrix_b.value
+        everyone = np.arange(len(names))
+        near = None
+        if cells is not None:
+            at = {name: i for i, name in enumerate(names)}
+            near = {cell: np.array([at[n] for n in asked if n in at], np.int64) for cell, asked in cells.items()}
         step = max(k, MAX_SCORES // len(names))
         asked, found = np.empty(0, np.int64), np.empty(0, np.int64)
         best = np.empty(0)
@@ -47,16 +54,22 @@ def _partition_top(ids_b, matrix_b, k: int):
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             vectors = flat.reshape(batch.num_rows, questions.shape[1])
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for start in range(0, batch.num_rows, step):
-                block = vectors[start : start + step].astype(np.float64)
+            groups = [(np.arange(batch.num_rows), everyone)]
+            if near is not None:
+                own = batch.column("cell").to_numpy(zero_copy_only=False)
+                groups = [(np.flatnonzero(own == cell), near.get(cell, everyone[:0])) for cell in np.unique(own)]
+            for rows, start in ((r, s) for r, mine in groups if len(mine) for s in range(0, len(r), step)):
+                mine = everyone if near is None else near[own[rows[0]]]
+                rows = rows[start : start + step]
+                block = vectors[rows].astype(np.float64)
                 # Rounded, so equal vectors score equal wherever they lie in a block.
-                score = np.round(questions @ (block / _lengths(block)[:, None]).T, 12)
+                score = np.round(questions[mine] @ (block / _lengths(block)[:, None]).T, 12)
                 score[np.isnan(score)] = NO_DIRECTION
                 width = score.shape[1]
                 worst = np.partition(score, width - k, axis=1)[:, [width - k]] if width > k else -np.inf
                 question, column = np.nonzero(score >= worst)
-                asked = np.concatenate([asked, question])
-                found = np.concatenate([found, ids[start + column]])
+                asked = np.concatenate([asked, mine[question]])
+                found = np.concatenate([found, ids[rows[column]]])
                 best = np.concatenate([best, score[question, column]])
                 order = np.lexsort((found, -best, asked))
                 asked, found, best = asked[order], found[order], best[order]
@@ -75,7 +88,7 @@ def _partition_top(ids_b, matrix_b, k: int):
     return run
 
 
-def _slice_top(docs: DataFrame, questions: DataFrame, k: int, last: bool) -> DataFrame:
+def _slice_top(docs: DataFrame, questions: DataFrame, k: int, last: bool, cells: dict[int, list[str]] | None) -> DataFrame:
     """Candidates of one slice of questions.
 
     All slices but the last are computed at once and their question matrix is released, so
@@ -86,7 +99,7 @@ def _slice_top(docs: DataFrame, questions: DataFrame, k: int, last: bool) -> Dat
     if not names:
         return docs.sparkSession.createDataFrame([], "question string, id bigint, similarity double")
     shared = [context.broadcast(names), context.broadcast(matrix)]
-    found = docs.mapInArrow(_partition_top(*shared, k), "question string, id bigint, similarity double")
+    found = docs.mapInArrow(_partition_top(*shared, k, cells), "question string, id bigint, similarity double")
     if last:
         return found
     found = settled(found)
@@ -95,17 +108,23 @@ def _slice_top(docs: DataFrame, questions: DataFrame, k: int, last: bool) -> Dat
     return found
 
 
-def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_column: str = "id") -> DataFrame:
+def semantic_topk(
+    docs: DataFrame,
+    questions: DataFrame,
+    limit: int = 5,
+    id_column: str = "id",
+    cells: dict[int, list[str]] | None = None,
+) -> DataFrame:
     """(question, place, id, similarity): exact nearest documents by cosine.
 
     `docs` has an id and `embedding`; NULL embeddings are skipped. `questions` has
     (question, embedding). Each partition scores its documents against the whole question
     matrix and forwards k rows per question, so no pair of rows is ever materialised.
     The matrix is broadcast after its size is checked; a larger batch is cut into slices
-    by hash, each below the limit, which run one after another over the documents.
+    by hash, each below the limit, which run one after another over the documents. With `cells`
+    (question names per cell) a document meets only the questions of its `cell`.
     """
-    limit = min(limit, MAX_RESULTS)
-    vectors = docs.filter(F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding")
+    vectors = docs.filter(F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding", *(["cell"] if cells else []))
     keyed = questions.select(F.col("question").cast("string").alias("question"), "embedding")
     asked = settled(keyed.dropDuplicates(["question"]))
     count, size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
@@ -113,7 +132,7 @@ def semantic_topk(docs: DataFrame, questions: DataFrame, limit: int = 5, id_colu
     candidates = None
     for number in range(slices):
         mine = asked.filter(F.pmod(F.xxhash64("question"), F.lit(slices)) == number)
-        part = _slice_top(vectors, mine, limit, last=number == slices - 1)
+        part = _slice_top(vectors, mine, limit, number == slices - 1, cells)
         candidates = part if candidates is None else candidates.unionByName(part)
     best = Window.partitionBy("question").orderBy(F.isnan("similarity"), F.desc("similarity"), "id")
     return candidates.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit).select(
@@ -168,13 +187,17 @@ def build_vector_index(
 def approximate_topk(
     spark: SparkSession, path: str, questions: DataFrame, limit: int = 5, planes: int = 4, seed: int = 7, reach: int = 1
 ) -> DataFrame:
-    """Nearest documents among the cells within `reach` plane crossings of some question.
+    """Nearest documents among the cells within `reach` plane crossings of each question.
 
-    Only those cell folders are read; inside them the search is exact.
+    Only the cell folders near some question are read, and a document is scored against the
+    questions its cell is near to; inside the cells the search is exact.
     """
     asked = settled(questions.select(F.col("question").cast("string").alias("question"), "embedding"))
-    own = {r["cell"] for r in _with_cell(asked, planes, seed).select("cell").distinct().collect()}
+    own = [(r["question"], r["cell"]) for r in _with_cell(asked, planes, seed).select("question", "cell").collect()]
     flips = [sum(1 << bit for bit in bits) for n in range(reach + 1) for bits in combinations(range(planes), n)]
-    cells = sorted({cell ^ flip for cell in own for flip in flips})
+    cells: dict[int, list[str]] = {}
+    for question, cell in own:
+        for flip in flips:
+            cells.setdefault(cell ^ flip, []).append(question)
     index = spark.read.schema("id BIGINT, embedding ARRAY<FLOAT>, cell INT").parquet(path)
-    return semantic_topk(index.filter(F.col("cell").isin(cells)), asked, limit)
+    return semantic_topk(index.filter(F.col("cell").isin(sorted(cells))), asked, limit, cells=cells)

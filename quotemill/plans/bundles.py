@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
+from quotemill.functions.times import epoch_micros
 from quotemill.operators import latest
 from quotemill.operators.joins import settled
 from quotemill.operators.quality import run_checks
 from quotemill.operators.quality.log import failures
 from quotemill.plans.marts import daily_crypto_stats
 
-REPORT_FAILURES, REPORT_ANOMALIES = 100, 20
 SHOWN_FAILURES, SHOWN_ANOMALIES = 10, 5
 
 
@@ -59,7 +59,7 @@ def overview(prices: DataFrame, stocks: DataFrame, news: DataFrame, readings: Da
         "daily_stats": latest.newest_daily_stats(daily_crypto_stats(prices, clock)),
         "market_sentiment": latest.market_sentiment(current),
         "stocks": changes,
-        "sector_performance": latest.sector_label(changes),
+        "sector_performance": latest.sector_label(stocks),
         "news": latest.newest_articles(news),
         "weather": latest.newest_weather(readings),
         "data_quality_issues": newest_row_issues(clock, prices, readings, news),
@@ -88,22 +88,29 @@ def daily_metrics(prices: DataFrame, stocks: DataFrame, news: DataFrame, reading
     return reduce(DataFrame.unionByName, parts)
 
 
-def _recent(insights: DataFrame, kind: str, clock: Clock, hours: int, limit: int) -> DataFrame:
+def _recent(insights: DataFrame, kind: str, clock: Clock, hours: int, newest: int | None) -> DataFrame:
     wanted = (F.col("insight_type") == kind) & (F.col("generated_at") >= clock.ago(hours=hours))
-    return insights.filter(wanted).orderBy(F.desc("generated_at"), "id").limit(limit)
+    rows = insights.filter(wanted)
+    return rows if newest is None else rows.orderBy(F.desc("generated_at"), "id").limit(newest)
 
 
-def dq_report(insights: DataFrame, clock: Clock, hours: int = 24) -> dict[str, DataFrame]:
-    """Quality report: counts are taken after the cap to the newest failures and anomalies.
-
-    The cap is the definition of the report. The capped rows are computed once and kept,
-    as every part of the report is made of them; being at most `REPORT_FAILURES`, they can
-    be numbered by one window.
+def dq_report(
+    insights: DataFrame,
+    clock: Clock,
+    hours: int = 24,
+    newest_failures: int | None = None,
+    newest_anomalies: int | None = None,
+    shown_failures: int = SHOWN_FAILURES,
+    shown_anomalies: int = SHOWN_ANOMALIES,
+) -> dict[str, DataFrame]:
+    """Quality report of the last hours: totals over the whole window, lists of the newest rows.
+
+    `newest_failures` and `newest_anomalies` restrict the whole report to so many rows before
+    counting, as the service does with 100 and 20. The rows of the window are stored once for
+    all parts (this call runs that job).
     """
-    by_arrival = Window.orderBy(F.desc("generated_at"), "id")
-    newest = _recent(insights, "dq_failure", clock, hours, REPORT_FAILURES)
-    capped = settled(failures(newest).withColumn("place", F.row_number().over(by_arrival)))
-    alerts = _recent(insights, "price_anomaly", clock, hours, REPORT_ANOMALIES)
+    failed = settled(failures(_recent(insights, "dq_failure", clock, hours, newest_failures)))
+    alerts = _recent(insights, "price_anomaly", clock, hours, newest_anomalies)
     anomalies = settled(
         alerts.select(
             "id",
@@ -112,8 +119,10 @@ def dq_report(insights: DataFrame, clock: Clock, hours: int = 24) -> dict[str, D
             "generated_at",
         )
     )
-    by_table = capped.groupBy(F.coalesce("table_name", F.lit("unknown")).alias("table_name")).agg(
-        F.count("*").alias("failures"), F.min("place").alias("first_place")
+    # The newest failure comes first; within a time the lowest id.
+    place = F.struct(-epoch_micros(F.col("generated_at")), F.col("id"))
+    by_table = failed.groupBy(F.coalesce("table_name", F.lit("unknown")).alias("table_name")).agg(
+        F.count("*").alias("failures"), F.min(place).alias("first_place")
     )
     named = F.array_sort(F.collect_list(F.struct("first_place", "table_name")))
     totals = by_table.agg(
@@ -121,7 +130,7 @@ def dq_report(insights: DataFrame, clock: Clock, hours: int = 24) -> dict[str, D
         F.array_join(F.transform(named, lambda t: t["table_name"]), ",").alias("tables_with_issues"),
     )
     common = (
-        capped.select("place", F.posexplode("failed_checks").alias("at", "check_name"))
+        failed.select(place.alias("place"), F.posexplode("failed_checks").alias("at", "check_name"))
         .groupBy("check_name")
         .agg(F.count("*").alias("n"), F.min(F.struct("place", "at")).alias("first_seen"))
         .agg(F.min_by("check_name", F.struct(-F.col("n"), "first_seen")).alias("most_common_failure"))
@@ -134,9 +143,10 @@ def dq_report(insights: DataFrame, clock: Clock, hours: int = 24) -> dict[str, D
         F.max("most_common_failure").alias("most_common_failure"),
         F.max("total_anomalies").alias("total_anomalies"),
     ).withColumn("period_hours", F.lit(hours))
+    newest = [F.desc("generated_at"), F.asc("id")]
     return {
         "summary": summary,
         "by_table": by_table.select("table_name", "failures"),
-        "recent_failures": capped.filter(F.col("place") <= SHOWN_FAILURES),
-        "recent_anomalies": anomalies.orderBy(F.desc("generated_at"), "id").limit(SHOWN_ANOMALIES),
+        "recent_failures": failed.orderBy(*newest).limit(shown_failures),
+        "recent_anomalies": anomalies.orderBy(*newest).limit(shown_anomalies),
     }

@@ -95,15 +95,28 @@ def _failure_dates(insights: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
+def _since(
+    prices: DataFrame, news: DataFrame, readings: DataFrame, insights: DataFrame, clock: Clock, days: int | None
+) -> tuple[DataFrame, ...]:
+    """The four inputs from a local midnight on; the bounds are on raw columns and reach the scans."""
+    if days is None:
+        return prices, news, readings, insights
+    start = clock.day_start(days)
+    return (
+        prices.filter(F.col("timestamp") >= start),
+        news.filter(F.col("published_at") >= start),
+        readings.filter(F.col("timestamp") >= start),
+        insights.filter(F.col("generated_at") >= start),
+    )
+
+
 def market_daily_view(
     prices: DataFrame, news: DataFrame, readings: DataFrame, insights: DataFrame, clock: Clock, days: int = 90
 ) -> DataFrame:
     """Daily mart over the raw tables: no price, title or city filter."""
-    recent = prices.filter(F.col("timestamp") >= clock.day_start(days)).withColumn(
-        "date", local_date("timestamp", clock.zone)
-    )
+    prices, news, readings, insights = _since(prices, news, readings, insights, clock, days)
     joined = _joined(
-        recent,
+        prices.withColumn("date", local_date("timestamp", clock.zone)),
         news.select(local_date("published_at", clock.zone).alias("date")),
         readings.select(local_date("timestamp", clock.zone).alias("date"), "temperature", "weather_condition"),
         _failure_dates(insights, clock),
@@ -127,9 +140,16 @@ def market_daily_view(
 
 
 def market_daily(
-    prices: DataFrame, news: DataFrame, readings: DataFrame, insights: DataFrame, clock: Clock, city: str = "Warsaw"
+    prices: DataFrame,
+    news: DataFrame,
+    readings: DataFrame,
+    insights: DataFrame,
+    clock: Clock,
+    city: str = "Warsaw",
+    days: int | None = None,
 ) -> DataFrame:
-    """Daily mart over the staged tables, no date bound."""
+    """Daily mart over the staged tables; with `days` only the days a window of that length needs."""
+    prices, news, readings, insights = _since(prices, news, readings, insights, clock, days)
     joined = _joined(
         stage_prices(prices, clock),
         stage_news(news, clock),
@@ -149,7 +169,10 @@ def market_daily(
 
 
 def weekly_summary(daily: DataFrame, clock: Clock, days: int = 90) -> DataFrame:
-    """Means of the daily values and total news per week starting on Monday."""
+    """Means of the daily values and total news per week starting on Monday.
+
+    `daily` may be the published mart or a `market_daily` of the same `days`.
+    """
 
     def mean(name: str) -> Column:
         return exact_avg(F.sum(name), F.count(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.times import local_date
@@ -43,15 +43,15 @@ def append_snapshots(df: DataFrame, path: str, batch_id: int, zone: str) -> None
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row per key; rows with a NULL in the key never conflict and all stay.
 
-    An aggregate, not a window: each map task reduces a hot key to one row before the
-    shuffle.
+    One pass: a row without a key is a group of its own, and the row number is limited to 1,
+    so each map task reduces a hot key to one row before the shuffle.
     """
     no_key = F.lit(False)
     for name in key:
         no_key = no_key | F.col(name).isNull()
-    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("kept")
-    kept = df.filter(~no_key).groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(first).select("kept.*")
-    return kept.unionByName(df.filter(no_key))
+    numbered = df.withColumn("_own", F.when(no_key, F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy(*key, "_own").orderBy(*order))
+    return numbered.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place", "_own")
 
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -63,8 +63,8 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: list[str], ord
 def upsert_latest(stored: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
     """Newest row per key of both frames; a change wins a tie."""
     both = stored.withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)))
-    newest = F.max_by(F.struct(*stored.columns), F.struct(version, "_change")).alias("row")
-    return both.groupBy(F.col(key).alias("_key")).agg(newest).select("row.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version), F.desc("_change")))
+    return both.withColumn("_place", place).filter(F.col("_place") == 1).select(*stored.columns)
 
 
 def load_metadata(batch: DataFrame, table: str, at: Column) -> DataFrame:
@@ -103,7 +103,8 @@ RETENTION_DAYS = {"crypto_prices": ("timestamp", 30), "news_articles": ("fetched
 def drop_old_days(spark: SparkSession, path: str, oldest: date) -> int:
     """Delete whole `date=` folders before `oldest`; returns how many were removed.
 
-    Retention on stored snapshots drops partitions instead of rewriting the kept rows.
+    Retention on stored snapshots drops partitions instead of rewriting the kept rows. A batch
+    folder that holds no day any more goes with its last one.
     """
     jvm = spark.sparkContext._jvm
     pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/date=*")
@@ -112,17 +113,34 @@ def drop_old_days(spark: SparkSession, path: str, oldest: date) -> int:
     for status in fs.globStatus(pattern) or []:
         day = unquote(status.getPath().getName().removeprefix("date="))
         if day < oldest.isoformat() and not day.startswith("__"):
+            batch = status.getPath().getParent()
             fs.delete(status.getPath(), True)
             removed += 1
+            if not any(s.isDirectory() for s in fs.listStatus(batch)):
+                fs.delete(batch, True)
     return removed
 
 
-def publish_mart(df: DataFrame, path: str, version: int) -> None:
-    """Write a mart version to its own folder, then record it; readers never see a part."""
+def publish_mart(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
+    """Write a mart version to its own folder, then record it; readers never see a part.
+
+    The newest `keep` versions stay, so that a reader of the one before is not cut off.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
     marker = spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
-    marker.coalesce(1).write.mode("append").parquet(f"{path}-versions")
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{path}-versions/version_file={version}")
+    _drop_old_folders(spark, f"{path}-versions/version_file=*", keep)
+    _drop_old_folders(spark, f"{path}/version=*", keep)
+
+
+def _drop_old_folders(spark: SparkSession, pattern: str, keep: int) -> None:
+    """Delete all but the `keep` folders with the highest number after the equals sign."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = [status.getPath() for status in fs.globStatus(found) or []]
+    for old in sorted(paths, key=lambda p: int(p.getName().split("=")[1]))[:-keep]:
+        fs.delete(old, True)
 
 
 def read_mart(spark: SparkSession, path: str) -> DataFrame:

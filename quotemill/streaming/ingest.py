@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import timedelta
 
 from pyspark import StorageLevel
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock, live_clock
+from quotemill.functions.times import local_date
 from quotemill.functions.weather import SHORT_CODES
 from quotemill.operators.quality import cleaned, observe_run, run_checks
 from quotemill.operators.quality.log import failure_log
@@ -26,6 +27,7 @@ from quotemill.sources.feeds import (
     normalise_tickers,
     normalise_weather,
     tickers_from_payload,
+    unreadable_news,
     weather_from_payload,
 )
 from quotemill.sources.schemas import CRYPTO_PRICES
@@ -40,14 +42,16 @@ class TickerIngest:
     """One micro-batch of landed polls into the store below `root`.
 
     Every write goes to a folder named after the batch, so a batch replayed after a
-    failure replaces its own output.
+    failure replaces its own output. `refresh` rebuilds a mart from the stored days; with
+    `refresh_days` it gets those of the last days only, the others are not read.
     """
 
     root: str
     clock: Callable[[], Clock] = live_clock
     volume_mode: str = "truncate"
-    retention_days: int | None = None
+    retention_days: int | None = sinks.RETENTION_DAYS["crypto_prices"][1]
     refresh: Callable[[DataFrame, Clock], DataFrame] | None = None
+    refresh_days: int | None = None
 
     def __call__(self, landed: DataFrame, batch_id: int) -> None:
         clock = self.clock()
@@ -71,12 +75,10 @@ class TickerIngest:
         level = logging.WARNING if counted.get("failures") else logging.INFO
         log.log(level, "batch %s: %s", batch_id, counted)
         spark = landed.sparkSession
-        if self.retention_days is not None:
-            oldest = (clock.now - timedelta(days=self.retention_days)).date() - timedelta(days=1)
-            sinks.drop_old_days(spark, f"{self.root}/crypto_prices", oldest)
+        expire(spark, f"{self.root}/crypto_prices", self.retention_days, clock)
         if self.refresh is not None:
             try:
-                stored = stored_prices(spark, self.root)
+                stored = stored_prices(spark, self.root, clock, self.refresh_days)
                 sinks.publish_mart(self.refresh(stored, clock), f"{self.root}/mart", batch_id)
             except Exception:
                 log.warning("mart refresh of batch %s failed; the old version stays", batch_id, exc_info=True)
@@ -84,17 +86,24 @@ class TickerIngest:
 
 @dataclass(frozen=True)
 class NewsIngest:
-    """One micro-batch of landed RSS polls: the items whose URL is not stored yet."""
+    """One micro-batch of landed RSS polls: the items whose URL is not stored yet.
+
+    Articles without a URL are all stored. `first` and `clip` keep so many items of a poll and
+    characters of a description; by default everything is kept. Days beyond the retention go.
+    """
 
     root: str
     clock: Callable[[], Clock] = live_clock
     variant: str = "service"
     source: str = "BBC News"
+    first: int | None = None
+    clip: int | None = None
+    retention_days: int | None = sinks.RETENTION_DAYS["news_articles"][1]
 
     def __call__(self, landed: DataFrame, batch_id: int) -> None:
         clock = self.clock()
-        items = news_from_payload(landed)
-        rows = normalise_news(items, clock.now_column(), clock.zone, self.variant, self.source)
+        items = news_from_payload(landed, first=self.first)
+        rows = normalise_news(items, clock.now_column(), clock.zone, self.variant, self.source, self.clip)
         path = f"{self.root}/news_articles"
         order = [F.coalesce("polled_at", "fetched_at"), F.col("item_pos")]
         spark = landed.sparkSession
@@ -105,22 +114,39 @@ class NewsIngest:
         else:
             fresh = sinks.insert_if_absent(known.filter(F.col("batch_id") != batch_id), rows, ["url"], order)
         articles = sinks.with_row_id(fresh.drop("polled_at", "item_pos"), "url", "title", "published_at")
-        sinks.write_batch(articles, path, batch_id)
+        sinks.write_batch(articles, path, batch_id, local_date("fetched_at", clock.zone))
+        sinks.write_batch(unreadable_news(landed), f"{self.root}/rejects", batch_id)
+        expire(spark, path, self.retention_days, clock)
 
 
 @dataclass(frozen=True)
 class WeatherIngest:
-    """One micro-batch of landed weather polls, appended."""
+    """One micro-batch of landed weather polls, appended. Days beyond the retention go."""
 
     root: str
     clock: Callable[[], Clock] = live_clock
     city: str = "Warsaw"
     codes: dict[int, str] = field(default_factory=lambda: dict(SHORT_CODES))
+    retention_days: int | None = sinks.RETENTION_DAYS["weather_data"][1]
 
     def __call__(self, landed: DataFrame, batch_id: int) -> None:
-        rows = normalise_weather(weather_from_payload(landed), self.city, self.codes)
-        stamped = sinks.stamp(rows.withColumnRenamed("polled_at", "timestamp"), self.clock().now_column())
-        sinks.write_batch(stamped, f"{self.root}/weather_data", batch_id)
+        clock = self.clock()
+        parsed = normalise_weather(weather_from_payload(landed), self.city, self.codes)
+        stamped = sinks.stamp(parsed.rows.withColumnRenamed("polled_at", "timestamp"), clock.now_column())
+        path = f"{self.root}/weather_data"
+        sinks.write_batch(stamped, path, batch_id, local_date("timestamp", clock.zone))
+        sinks.write_batch(parsed.rejects, f"{self.root}/rejects", batch_id)
+        expire(landed.sparkSession, path, self.retention_days, clock)
+
+
+def expire(spark: SparkSession, path: str, days: int | None, clock: Clock) -> None:
+    """Delete the stored local days that lie wholly beyond the retention.
+
+    The day the bound falls into stays; `sinks.retain` gives readers the exact bound.
+    """
+    if days is not None:
+        bound = replace(clock, as_of=clock.now - timedelta(days=days))
+        sinks.drop_old_days(spark, path, bound.today)
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -131,10 +157,11 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     return spark.read.schema(schema).parquet(path)
 
 
-def stored_prices(spark: SparkSession, root: str) -> DataFrame:
-    """Prices written by the ingest, with their `date` partition."""
+def stored_prices(spark: SparkSession, root: str, clock: Clock | None = None, days: int | None = None) -> DataFrame:
+    """Prices written by the ingest, with their `date` partition; with `days` the last ones only."""
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CRYPTO_PRICES.fields)
-    return spark.read.schema(f"{ddl}, batch_id BIGINT, date DATE").parquet(f"{root}/crypto_prices")
+    stored = spark.read.schema(f"{ddl}, batch_id BIGINT, date DATE").parquet(f"{root}/crypto_prices")
+    return stored if clock is None or days is None else stored.filter(F.col("date") >= clock.day(days))
 
 
 def stored_failures(spark: SparkSession, root: str) -> DataFrame:
@@ -154,11 +181,13 @@ def run_ingest(
     landing: str,
     job: TickerIngest | NewsIngest | WeatherIngest,
     every: str | None = None,
-    files_per_batch: int = 8,
+    files_per_batch: int | None = None,
     raw_files: bool = False,
 ) -> None:
     """Run a loop over a landing folder: once over everything available, or every `every`."""
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if raw_files:
         whole = reader.text(landing, wholetext=True)
         landed = whole.select(F.lit(None).cast("timestamp_ntz").alias("polled_at"), F.col("value").alias("payload"))

@@ -117,7 +117,7 @@ def stock_changes(t: Tables):
     ("stock_prices",),
 )
 def sector_label(t: Tables):
-    return latest.sector_label(latest.stock_changes(t.stocks))
+    return latest.sector_label(t.stocks)
 
 
 @register(
@@ -145,7 +145,7 @@ def price_series(t: Tables):
     "series_direction",
     """
 SELECT symbol, count(*) AS points, CASE WHEN count(*) < 2 THEN 'neutral'
-  WHEN arg_max(price_usd, timestamp) >= arg_min(price_usd, timestamp) THEN 'up' ELSE 'down' END AS direction
+  WHEN arg_max(price_usd, (timestamp, id)) >= arg_min(price_usd, (timestamp, id)) THEN 'up' ELSE 'down' END AS direction
 FROM crypto_prices GROUP BY symbol
 """,
     ("crypto_prices",),
@@ -281,7 +281,7 @@ def card_current_btc(t: Tables):
     weekly=WEEKLY_SQL,
 )
 def card_weekly(t: Tables):
-    return cards.weekly_card(marts.weekly_summary(daily(t), CLOCK))
+    return cards.weekly_card(marts.weekly_summary(daily(t, 90), CLOCK))
 
 
 @register(
@@ -293,7 +293,7 @@ def card_weekly(t: Tables):
     change=change_sql("news_count"),
 )
 def card_news_price(t: Tables):
-    return cards.news_price_card(marts.news_correlation(daily(t), CLOCK))
+    return cards.news_price_card(marts.news_correlation(daily(t, 30), CLOCK))
 
 
 @register(
@@ -305,7 +305,7 @@ def card_news_price(t: Tables):
     change=change_sql("avg_temperature"),
 )
 def card_weather_price(t: Tables):
-    return cards.weather_price_card(marts.weather_correlation(daily(t), CLOCK))
+    return cards.weather_price_card(marts.weather_correlation(daily(t, 30), CLOCK))
 
 
 @register(
@@ -389,11 +389,11 @@ SELECT s.symbol, s.points, first_value, last_value, round((last_value - first_va
   round(slope, 6) AS slope_per_hour,
   (SELECT count(*) FROM w WHERE w.symbol = s.symbol AND abs(value - mean_value) > 3 * deviation) AS spikes,
   CASE WHEN last_value > first_value THEN 'up' WHEN last_value < first_value THEN 'down' ELSE 'stable' END AS trend
-FROM (SELECT symbol, count(*) AS points, arg_min(value, timestamp) AS first_value, arg_max(value, timestamp) AS last_value,
+FROM (SELECT symbol, count(*) AS points, arg_min(value, (timestamp, id)) AS first_value, arg_max(value, (timestamp, id)) AS last_value,
         avg(value) AS mean_value, stddev_pop(value) AS deviation, regr_slope(value, hours) AS slope FROM w GROUP BY symbol) s
 """,
     ("crypto_prices",),
-    w=f"SELECT symbol, CAST(price_usd AS DOUBLE) AS value, timestamp, "
+    w=f"SELECT symbol, CAST(price_usd AS DOUBLE) AS value, timestamp, id, "
       f"(epoch_us(timestamp) - epoch_us({AS_OF} - INTERVAL 7 DAY)) / 3600000000.0 AS hours "
       f"FROM crypto_prices WHERE timestamp >= {AS_OF} - INTERVAL 7 DAY",
 )

@@ -28,12 +28,30 @@ def batch_time():
 SYMBOLS = {"click": "BTC", "view": "ETH", "signup": "SOL", "purchase": "XRP"}
 TICKERS_PER_POLL, ITEMS_PER_POLL = 20, 12
 
+def _with_unreadable(polls: DataFrame) -> DataFrame:
+    """The polls, and after every tenth an error page, a broken answer and an empty one."""
+    bad = polls.filter(F.col("poll") % 10 == 0).select(
+        (-F.col("poll") - 1).alias("poll"),
+        F.explode(F.array(*[F.lit(x) for x in UNREADABLE], F.lit(None).cast("string"))).alias("payload"),
+    )
+    return polls.select("poll", "payload").unionByName(bad)
+
+
+UNREADABLE = ["<html><body>502 Bad Gateway</body></html>", '{"code":-1003,"msg":"Too many requests."}', "not even", ""]
+# An own poll number per unreadable answer, counted as above.
+_REJECTED = " UNION ALL ".join(
+    [f"SELECT -poll - 1 AS poll, '{x}' AS payload FROM polls WHERE poll % 10 = 0" for x in UNREADABLE]
+    + ["SELECT -poll - 1, NULL FROM polls WHERE poll % 10 = 0"]
+)
+
+
 # --- ticker feed: each poll is one JSON array text -----------------------------------------
 
 _TICKERS = """
 SELECT event_id, event_id // 20 AS poll, CASE event_type WHEN 'click' THEN 'BTC' WHEN 'view' THEN 'ETH' WHEN 'signup' THEN 'SOL'
     WHEN 'purchase' THEN 'XRP' ELSE 'ADA' END AS symbol,
   CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 37 = 0 THEN '' WHEN event_id % 41 = 0 THEN 'n/a'
+       WHEN event_id % 43 = 0 THEN '1e12' WHEN event_id % 47 = 0 THEN 'NaN' WHEN event_id % 53 = 0 THEN '-Infinity'
        ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS price,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
 FROM events
@@ -46,6 +64,7 @@ def ticker_polls(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     price = (
         F.when(key % 31 == 0, F.lit(None).cast("string")).when(key % 37 == 0, "").when(key % 41 == 0, "n/a")
+        .when(key % 43 == 0, "1e12").when(key % 47 == 0, "NaN").when(key % 53 == 0, "-Infinity")
         .otherwise(F.col("value").cast("decimal(18,2)").cast("string"))
     )
     ticker = F.struct(
@@ -71,6 +90,11 @@ SELECT poll, symbol, {price} AS price_usd, CAST(0 AS BIGINT) AS market_cap, {vol
 
 
 _PRICE = "CASE WHEN price IS NULL OR price IN ('', 'n/a') THEN 0.0 ELSE CAST(price AS DOUBLE) END"
+UNUSABLE = "('n/a', '1e12', 'NaN', '-Infinity')"
+USABLE = f"(price IS NULL OR price NOT IN {UNUSABLE})"
+
+
+_WORKFLOW_PRICE = "CASE WHEN price IS NULL OR price IN ('', 'n/a', 'NaN', '-Infinity') THEN 0.0 ELSE CAST(price AS DOUBLE) END"
 
 
 def _plain_tickers(t: Tables, mode: str) -> feeds.Parsed:
@@ -79,21 +103,30 @@ def _plain_tickers(t: Tables, mode: str) -> feeds.Parsed:
 
 @register(
     "ticker_feed",
-    _ticker_sql(_PRICE, "k * 1000", "price IS NULL OR price <> 'n/a'").replace("k + 0.86", "CAST(k + 0.86 AS DOUBLE)"),
+    _ticker_sql(_PRICE, "k * 1000", USABLE).replace("k + 0.86", "CAST(k + 0.86 AS DOUBLE)"),
     tickers=_TICKERS,
 )
 def ticker_feed(t: Tables):
     return _plain_tickers(t, "truncate").rows
 
 
-@register("ticker_feed_rejects", "SELECT poll, symbol || 'USDT' AS symbol, price AS \"lastPrice\" FROM tickers WHERE price = 'n/a'", tickers=_TICKERS)
+@register(
+    "ticker_feed_rejects",
+    f"""SELECT poll, symbol || 'USDT' AS symbol, price AS "lastPrice", NULL AS payload FROM tickers WHERE NOT {USABLE}
+    UNION ALL SELECT poll, NULL, NULL, payload FROM rejected""",
+    tickers=_TICKERS,
+    polls="SELECT DISTINCT poll FROM tickers",
+    rejected=_REJECTED,
+)
 def ticker_feed_rejects(t: Tables):
-    return _plain_tickers(t, "truncate").rejects.select("poll", "symbol", "lastPrice")
+    polls = _with_unreadable(ticker_polls(t))
+    return feeds.normalise_tickers(feeds.tickers_from_payload(polls)).rejects.select("poll", "symbol", "lastPrice", "payload")
 
 
 @register(
     "ticker_feed_workflow",
-    _ticker_sql(_PRICE, "k * 1000 + 1", "true").replace("k + 0.86", "CAST(k + 0.86 AS DOUBLE)"),
+    # The workflow reads junk as 0, as it does NaN and infinity; only 1e12 is too large to store.
+    _ticker_sql(_WORKFLOW_PRICE, "k * 1000 + 1", "price IS NULL OR price <> '1e12'").replace("k + 0.86", "CAST(k + 0.86 AS DOUBLE)"),
     tickers=_TICKERS,
 )
 def ticker_feed_workflow(t: Tables):
@@ -134,11 +167,11 @@ SELECT *, id // 12 AS poll, CAST(row_number() OVER (PARTITION BY id // 12 ORDER
 """
 
 
-def _news_sql(title: str, source: str, published: str) -> str:
+def _news_sql(title: str, source: str, published: str, description: str = "coalesce(description, '')", first: int = 10**9) -> str:
     return f"""
-SELECT poll, item_pos, {title} AS title, left(coalesce(description, ''), 500) AS description, '{source}' AS source,
-  coalesce(url, '') AS url, {published} AS published_at, {AS_OF} AS fetched_at
-FROM items WHERE item_pos < 10
+SELECT poll, item_pos, {title} AS title, {description} AS description, '{source}' AS source, url, {published} AS published_at,
+  {AS_OF} AS fetched_at
+FROM items WHERE item_pos < {first}
 """
 
 
@@ -154,7 +187,7 @@ def news_feed(t: Tables):
 
 @register(
     "news_feed_workflow",
-    _news_sql("left(title, 500)", "BBC Business", f"coalesce(published_at, {AS_OF})"),
+    _news_sql("title", "BBC Business", f"coalesce(published_at, {AS_OF})"),
     ("news_articles",),
     items=_NEWS_ITEMS,
 )
@@ -163,6 +196,23 @@ def news_feed_workflow(t: Tables):
     return feeds.normalise_news(items, batch_time(), CLOCK.zone, "workflow", "BBC Business")
 
 
+@register(
+    "news_feed_first_items",
+    _news_sql("left(title, 500)", "BBC Business", f"coalesce(published_at, {AS_OF})", "left(coalesce(description, ''), 500)", 10),
+    ("news_articles",),
+    items=_NEWS_ITEMS,
+)
+def news_feed_first_items(t: Tables):
+    """The first ten items of each poll with short texts, as the workflow stores them."""
+    items = feeds.news_from_payload(news_polls(t), first=10)
+    return feeds.normalise_news(items, batch_time(), CLOCK.zone, "workflow", "BBC Business", clip=500)
+
+
+@register("news_feed_rejects", _REJECTED, ("news_articles",), polls="SELECT DISTINCT id // 12 AS poll FROM news_articles")
+def news_feed_rejects(t: Tables):
+    return feeds.unreadable_news(_with_unreadable(news_polls(t)))
+
+
 # --- weather feed ----------------------------------------------------------------------------
 
 _CODE = "CAST(o_orderkey % 101 AS INT)"
@@ -190,12 +240,18 @@ FROM orders
 
 @register("weather_feed", _weather_sql(weather.SHORT_CODES))
 def weather_feed(t: Tables):
-    return feeds.normalise_weather(feeds.weather_from_payload(weather_polls(t)))
+    return feeds.normalise_weather(feeds.weather_from_payload(weather_polls(t))).rows
+
+
+@register("weather_feed_rejects", _REJECTED, polls="SELECT o_orderkey AS poll FROM orders")
+def weather_feed_rejects(t: Tables):
+    polls = _with_unreadable(weather_polls(t).withColumnRenamed("o_orderkey", "poll"))
+    return feeds.normalise_weather(feeds.weather_from_payload(polls)).rejects
 
 
 @register("weather_feed_workflow", _weather_sql(weather.FULL_CODES))
 def weather_feed_workflow(t: Tables):
-    return feeds.normalise_weather(feeds.weather_from_payload(weather_polls(t)), codes=weather.FULL_CODES)
+    return feeds.normalise_weather(feeds.weather_from_payload(weather_polls(t)), codes=weather.FULL_CODES).rows
 
 
 _CASES = " ".join(f"WHEN {code} THEN '{text}'" for code, text in weather.FULL_CODES.items())
@@ -303,7 +359,7 @@ def retention(t: Tables):
 @register(
     "write_defaults",
     f"SELECT symbol, count(*) AS row_count, count(*) AS distinct_ids, {AS_OF} AS first_stamp, {AS_OF} AS last_stamp FROM tickers "
-    "WHERE price IS NULL OR price <> 'n/a' GROUP BY symbol",
+    f"WHERE {USABLE} GROUP BY symbol",
     tickers=_TICKERS,
 )
 def write_defaults(t: Tables):

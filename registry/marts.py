@@ -55,8 +55,8 @@ DAILY_VIEWS = ("failures",)
 DAILY = {**DAILY_PARTS, "daily": DAILY_SQL}
 
 
-def daily(t: Tables):
-    return marts.market_daily(t.prices, t.news, t.weather, t.insights, CLOCK)
+def daily(t: Tables, days: int | None = None):
+    return marts.market_daily(t.prices, t.news, t.weather, t.failures, CLOCK, days=days)
 
 
 @register("stg_prices", "SELECT * REPLACE (CAST(price_usd AS DOUBLE) AS price_usd, "
@@ -112,7 +112,7 @@ LEFT JOIN (SELECT {local_day('generated_at')} AS date, count(DISTINCT id) AS dq_
     price_days=_price_days("crypto_prices", local_day("timestamp"), f"timestamp >= {day_start(90)}"),
 )
 def market_daily_view(t: Tables):
-    return marts.market_daily_view(t.prices, t.news, t.weather, t.insights, CLOCK)
+    return marts.market_daily_view(t.prices, t.news, t.weather, t.failures, CLOCK)
 
 
 @register("market_daily", "SELECT * FROM daily", DAILY_VIEWS, **DAILY)
@@ -137,7 +137,7 @@ FROM daily WHERE date >= DATE '2024-01-31' - INTERVAL 90 DAY GROUP BY 1
 
 @register("weekly_summary", WEEKLY_SQL, DAILY_VIEWS, **DAILY)
 def weekly_summary(t: Tables):
-    return marts.weekly_summary(daily(t), CLOCK)
+    return marts.weekly_summary(daily(t, 90), CLOCK)
 
 
 def change_sql(measure: str) -> str:
@@ -155,12 +155,12 @@ FROM (SELECT date, {measure}, btc_avg_price, lag(btc_avg_price) OVER (ORDER BY d
 
 @register("news_correlation", change_sql("news_count"), DAILY_VIEWS, **DAILY)
 def news_correlation(t: Tables):
-    return marts.news_correlation(daily(t), CLOCK)
+    return marts.news_correlation(daily(t, 30), CLOCK)
 
 
 @register("weather_correlation", change_sql("avg_temperature"), DAILY_VIEWS, **DAILY)
 def weather_correlation(t: Tables):
-    return marts.weather_correlation(daily(t), CLOCK)
+    return marts.weather_correlation(daily(t, 30), CLOCK)
 
 
 @register(

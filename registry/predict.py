@@ -20,7 +20,7 @@ _ANGLE = {
 }
 _CALENDAR = ", ".join(f"{sql} AS {name}" for name, sql in _ANGLE.items())
 TRAIN = (
-    f"SELECT symbol, CAST(price_usd AS DOUBLE) AS price, timestamp, {local_clock('timestamp')} AS local FROM crypto_prices "
+    f"SELECT symbol, CAST(price_usd AS DOUBLE) AS price, timestamp, id, {local_clock('timestamp')} AS local FROM crypto_prices "
     f"WHERE timestamp >= {AS_OF} - INTERVAL 7 DAY AND price_usd > 0"
 )
 FEATURES = f"SELECT symbol, price, timestamp, epoch_us(timestamp) / 1000000.0 AS unix, {_CALENDAR} FROM train"
@@ -28,7 +28,7 @@ FEATURES = f"SELECT symbol, price, timestamp, epoch_us(timestamp) / 1000000.0 AS
 
 @register("forecast_training", "SELECT symbol, price, timestamp FROM train", ("crypto_prices",), train=TRAIN)
 def forecast_training(t: Tables):
-    return forecast.training_window(t.prices, CLOCK)
+    return forecast.training_window(t.prices, CLOCK).drop("id")
 
 
 _ROUNDED = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in NAMES)
@@ -85,7 +85,7 @@ def _solved_sql() -> dict[str, str]:
     )
     out["last_row"] = (
         "SELECT symbol, count(*) AS training_points, max(timestamp) AS last_ts, max(local) AS last_local, "
-        "arg_max(price, timestamp) AS last_price FROM train GROUP BY symbol"
+        "arg_max(price, (timestamp, id)) AS last_price FROM train GROUP BY symbol"
     )
     out["ahead"] = (
         f"SELECT *, (epoch_us(forecast_ts) - epoch_us({AS_OF})) / 86400000000.0 AS unix, {_CALENDAR} FROM ("

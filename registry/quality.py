@@ -86,12 +86,18 @@ def dq_unknown_table(t: Tables):
     "dq_custom_rules",
     """
 SELECT o_orderkey, concat_ws(',', CASE WHEN NOT coalesce(o_totalprice > 1000, false) THEN 'ExpressionCheck:large order' END,
-  'ExpressionCheck:no such column[ERROR]') AS failed_checks, 2 AS total_checks FROM orders
+  'ExpressionCheck:no such column[ERROR]', CASE WHEN o_orderkey % 3 = 0 THEN 'ExpressionCheck:ratio' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'ExpressionCheck:number' END) AS failed_checks, 4 AS total_checks FROM orders
 """,
 )
 def dq_custom_rules(t: Tables):
     rules = {
-        "orders": [ExpressionCheck("large order", "o_totalprice > 1000"), ExpressionCheck("no such column", "missing > 0")]
+        "orders": [
+            ExpressionCheck("large order", "o_totalprice > 1000"),
+            ExpressionCheck("no such column", "missing > 0"),
+            ExpressionCheck("ratio", "abs(o_totalprice / (o_orderkey % 3)) >= 0"),
+            ExpressionCheck("number", "CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE '1' END AS INT) = 1"),
+        ]
     }
     return run_checks(t.raw("orders"), "orders", DQ_CLOCK, rules=rules).select("o_orderkey", "failed_checks", "total_checks")
 
@@ -228,33 +234,39 @@ def dq_summary(t: Tables):
     return marts.dq_summary(t.insights, CLOCK)
 
 
-_CAPPED = """
-SELECT * FROM (SELECT *, row_number() OVER (ORDER BY generated_at DESC, id) AS place FROM failures
-               WHERE generated_at >= TIMESTAMP '2024-01-30 00:00:00') WHERE place <= 100
+_RECENT = """
+SELECT *, row_number() OVER (ORDER BY generated_at DESC, id) AS place FROM failures
+WHERE generated_at >= TIMESTAMP '2024-01-30 00:00:00'
 """
-_CAPPED_CHECKS = f"""
-SELECT place, unnest({_split('failed')}) AS check_name, generate_subscripts({_split('failed')}, 1) AS pos FROM capped
+_CAPPED = f"SELECT * FROM ({_RECENT}) WHERE place <= 100"
+_RECENT_CHECKS = f"""
+SELECT place, unnest({_split('failed')}) AS check_name, generate_subscripts({_split('failed')}, 1) AS pos FROM recent
 """
 
 
-@register(
-    "dq_report_summary",
-    """
-SELECT 24 AS period_hours, (SELECT count(*) FROM capped) AS total_dq_events,
+def _report_sql(anomalies: str) -> str:
+    return f"""
+SELECT 24 AS period_hours, (SELECT count(*) FROM recent) AS total_dq_events,
   (SELECT string_agg(table_name, ',' ORDER BY first_place)
-   FROM (SELECT table_name, min(place) AS first_place FROM capped GROUP BY 1)) AS tables_with_issues,
+   FROM (SELECT table_name, min(place) AS first_place FROM recent GROUP BY 1)) AS tables_with_issues,
   (SELECT check_name FROM checks GROUP BY 1 ORDER BY count(*) DESC, min(place * 100 + pos) LIMIT 1) AS most_common_failure,
-  (SELECT least(count(*), 20) FROM alerts WHERE window_end >= TIMESTAMP '2024-01-30 00:00:00') AS total_anomalies
-""",
-    ("failures", "alerts"),
-    capped=_CAPPED,
-    checks=_CAPPED_CHECKS,
-)
+  (SELECT {anomalies} FROM alerts WHERE window_end >= TIMESTAMP '2024-01-30 00:00:00') AS total_anomalies
+"""
+
+
+@register("dq_report_summary", _report_sql("count(*)"), ("failures", "alerts"), recent=_RECENT, checks=_RECENT_CHECKS)
 def dq_report_summary(t: Tables):
     return bundles.dq_report(t.insights, CLOCK, 24)["summary"]
 
 
-@register("dq_report_by_table", "SELECT table_name, count(*) AS failures FROM capped GROUP BY 1", ("failures",), capped=_CAPPED)
+@register(
+    "dq_report_summary_of_newest", _report_sql("least(count(*), 20)"), ("failures", "alerts"), recent=_CAPPED, checks=_RECENT_CHECKS
+)
+def dq_report_summary_of_newest(t: Tables):
+    return bundles.dq_report(t.insights, CLOCK, 24, newest_failures=100, newest_anomalies=20)["summary"]
+
+
+@register("dq_report_by_table", "SELECT table_name, count(*) AS failures FROM recent GROUP BY 1", ("failures",), recent=_RECENT)
 def dq_report_by_table(t: Tables):
     return bundles.dq_report(t.insights, CLOCK, 24)["by_table"]
 
@@ -262,9 +274,9 @@ def dq_report_by_table(t: Tables):
 @register(
     "dq_report_recent_failures",
     "SELECT id, table_name, record_id, failed AS failed_checks, CASE WHEN repaired THEN 'true' ELSE 'false' END AS auto_repaired, "
-    "generated_at FROM capped WHERE place <= 10",
+    "generated_at FROM recent WHERE place <= 10",
     ("failures",),
-    capped=_CAPPED,
+    recent=_RECENT,
 )
 def dq_report_recent_failures(t: Tables):
     recent = bundles.dq_report(t.insights, CLOCK, 24)["recent_failures"]

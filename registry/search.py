@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotemill.functions import texts
 from quotemill.operators import embed, keyword, vectors
 from quotemill.session import new_work_dir
-from registry.tables import Tables, register
+from registry.tables import SQL, Tables, register
 
 QUERIES = ["the oredat", "nation", "hedand thring", "und nicht", "réaux lement", "of the"]
 
@@ -111,29 +111,29 @@ TOKENS = {
 }
 MATCH = {
     **TOKENS,
-    "hits": "SELECT query, terms, id, term, pos, row_number() OVER (PARTITION BY query, id, term ORDER BY pos) AS nth "
-            "FROM query_terms JOIN doc_terms USING (term)",
-    "matched": "SELECT query, id, terms FROM hits GROUP BY ALL HAVING count(DISTINCT term) = terms",
-    "single": "SELECT query, id, 0.1 * sum(1.0 / (nth * nth)) / 1.64493406685 AS relevance FROM hits "
-              "WHERE terms = 1 AND nth <= 256 GROUP BY ALL",
-    "pairs": """
-SELECT a.query, a.id, 1.0 - exp(sum(ln(1.0 - 0.1 * sqrt(CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30
-    ELSE 1.0 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)) END)))) AS relevance
-FROM (hits SEMI JOIN matched USING (query, id)) a JOIN hits b ON a.query = b.query AND a.id = b.id AND b.term < a.term
-WHERE a.nth <= 256 AND b.nth <= 256 GROUP BY ALL""",
+    "tfs": "SELECT id, term, count(*) AS tf FROM doc_terms GROUP BY ALL",
+    "lengths": "SELECT n.id, count(t.token) AS dl FROM news_articles n LEFT JOIN doc_tokens t ON t.id = n.id GROUP BY n.id",
+    "totals": "SELECT count(*) AS n, avg(dl) AS mean FROM lengths",
+    "dfs": "SELECT term, count(*) AS df FROM tfs GROUP BY term",
+    "hits": "SELECT query, terms, id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS part "
+            "FROM query_terms JOIN tfs USING (term) JOIN dfs USING (term) JOIN lengths USING (id) JOIN totals ON true",
     "ranked": """
-SELECT m.query, m.id, CAST(coalesce(s.relevance, p.relevance) AS FLOAT) AS relevance, n.published_at, n.title, n.description
-FROM matched m JOIN news_articles n ON n.id = m.id
-LEFT JOIN single s ON s.query = m.query AND s.id = m.id LEFT JOIN pairs p ON p.query = m.query AND p.id = m.id""",
+SELECT query, id, relevance, published_at, title, description
+FROM (SELECT query, id, round(sum(part), 9) AS relevance FROM hits GROUP BY query, id, terms HAVING count(*) = terms)
+JOIN news_articles USING (id)""",
     "found": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, published_at DESC NULLS FIRST, id) AS place
                FROM ranked) WHERE place <= 5""",
 }
-_RANKED = "round(CAST(relevance AS DOUBLE), 6) AS relevance"
+_RANKED = "round(relevance, 6) AS relevance"
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(q,) for q in QUERIES], "query string")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("relevance", F.round(F.col("relevance").cast("double"), 6))
+    return df.withColumn("relevance", F.round("relevance", 6))
 
 
 @register(
@@ -143,41 +143,41 @@ def _rounded(df: DataFrame) -> DataFrame:
     **TOKENS,
 )
 def keyword_terms(t: Tables):
-    index = keyword.postings(t.news, keyword.search_text())
-    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+    index = keyword.postings(t.news, keyword.search_text()).filter(F.col("term") != keyword.NO_TERM)
+    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
 @register("keyword_match", f"SELECT query, id, {_RANKED} FROM ranked", ("news_articles",), **MATCH)
 def keyword_match(t: Tables):
-    terms = keyword.query_terms(t.spark, QUERIES)
+    terms = keyword.query_terms(_asked(t))
     found = keyword.matches(keyword.postings(t.news, keyword.search_text(), terms), terms)
     return _rounded(found).select("query", "id", "relevance")
 
 
 @register("keyword_search", f"SELECT query, CAST(place AS INT) AS place, id, title, {_RANKED} FROM found", ("news_articles",), **MATCH)
 def keyword_search(t: Tables):
-    return _rounded(keyword.search(t.news, QUERIES)).select("query", "place", "id", "title", "relevance")
+    return _rounded(keyword.search(t.news, _asked(t))).select("query", "place", "id", "title", "relevance")
 
 
 @register("keyword_search_indexed", f"SELECT query, CAST(place AS INT) AS place, id, {_RANKED} FROM found", ("news_articles",), **MATCH)
 def keyword_search_indexed(t: Tables):
     path = new_work_dir(t.spark, "postings")
     keyword.write_postings(keyword.postings(t.news, keyword.search_text()), path, buckets=16)
-    index = keyword.read_postings(t.spark, path, QUERIES, buckets=16)
-    return _rounded(keyword.search(t.news, QUERIES, index=index)).select("query", "place", "id", "relevance")
+    index = keyword.read_postings(t.spark, path, keyword.query_terms(_asked(t)), buckets=16)
+    return _rounded(keyword.search(t.news, _asked(t), index=index)).select("query", "place", "id", "relevance")
 
 
 @register(
     "news_context",
     """
 SELECT query, count(*) AS articles_found, string_agg('- [' || coalesce(left(CAST(published_at AS VARCHAR), 10), 'None') || '] ' || title
-  || ': ' || left(coalesce(description, 'None'), 100), chr(10) ORDER BY place) AS context FROM found GROUP BY query
+  || ': ' || coalesce(description, 'None'), chr(10) ORDER BY place) AS context FROM found GROUP BY query
 """,
     ("news_articles",),
     **MATCH,
 )
 def news_context(t: Tables):
-    return keyword.news_context(keyword.search(t.news, QUERIES))
+    return keyword.news_context(keyword.search(t.news, _asked(t)))
 
 
 # --- vectors -----------------------------------------------------------------------------
@@ -215,15 +215,25 @@ def semantic_topk(t: Tables):
     return found.withColumn("similarity", F.round("similarity", 3))
 
 
-@register("semantic_topk_indexed")
-def semantic_topk_indexed(t: Tables):
-    """Approximate: only the cells near a question are read, so there is no SQL to compare with."""
+def _indexed(t: Tables, reach: int) -> DataFrame:
     path = new_work_dir(t.spark, "vectors")
     vectors.build_vector_index(t.raw("embeddings"), path, id_column="vec_id")
-    found = vectors.approximate_topk(t.spark, path, _label_questions(t), 5)
+    found = vectors.approximate_topk(t.spark, path, _label_questions(t), 5, reach=reach)
     return found.withColumn("similarity", F.round("similarity", 3))
 
 
+@register("semantic_topk_indexed", SQL["semantic_topk"])
+def semantic_topk_indexed(t: Tables):
+    """With all plane crossings allowed the index must give the exact answer."""
+    return _indexed(t, reach=4)
+
+
+@register("semantic_topk_near")
+def semantic_topk_near(t: Tables):
+    """Approximate: each question meets five of the sixteen cells, so there is no SQL to compare with."""
+    return _indexed(t, reach=1)
+
+
 @register(
     "vector_self_similarity",
     "SELECT vec_id, CAST(1.0 AS DOUBLE) AS similarity FROM embeddings",
@@ -252,7 +262,7 @@ def semantic_sources(t: Tables):
     "source_context",
     """
 SELECT CAST(question AS VARCHAR) AS question, count(*) AS articles_found, string_agg('Źródło ' || place || ': ' || title || chr(10)
-  || left(coalesce(description, ''), 500), chr(10) || chr(10) ORDER BY place) AS context
+  || coalesce(description, ''), chr(10) || chr(10) ORDER BY place) AS context
 FROM top JOIN news_articles n ON n.id = vec_id GROUP BY question
 """,
     ("news_articles",),
@@ -275,7 +285,7 @@ def embedding_coverage(t: Tables):
 
 @register(
     "missing_embeddings",
-    f"SELECT id, {TEXT} AS text FROM news_articles WHERE embedding IS NULL ORDER BY id LIMIT 100",
+    f"SELECT id, {TEXT} AS text FROM news_articles WHERE embedding IS NULL",
     ("news_articles",),
 )
 def missing_embeddings(t: Tables):
@@ -293,7 +303,7 @@ def _encoder(t: Tables) -> embed.Encoder:
     ("news_articles",),
 )
 def embedding_backfill(t: Tables):
-    return embed.coverage(embed.backfill(t.news_with_vectors, _encoder(t), limit=None))
+    return embed.coverage(embed.backfill(t.news_with_vectors, _encoder(t)))
 
 
 @register("question_answer_sources")

@@ -11,7 +11,7 @@ from quotemill.session import new_work_dir
 from quotemill.sources import sinks
 from quotemill.streaming import ingest, jobs
 from quotemill.streaming.runs import drain_to_parquet, stream_parquet
-from registry.ingest import _NEWS_ITEMS, _TICKERS, _weather_sql, news_polls, ticker_polls, weather_polls
+from registry.ingest import _NEWS_ITEMS, _TICKERS, USABLE, _weather_sql, _with_unreadable, news_polls, ticker_polls, weather_polls
 from registry.tables import CLOCK, Tables, local_day, prices_from, register
 
 
@@ -96,7 +96,7 @@ _PRICE = "CASE WHEN price IS NULL OR price = '' THEN 0 ELSE CAST(price AS DECIMA
 _STORED = f"""
 SELECT t.symbol, p.polled_at AS timestamp, {_PRICE} AS price_usd, k * 1000 AS volume_24h, k + 0.86 AS price_change_24h FROM tickers t
 JOIN (SELECT event_id // 20 AS poll, max(ts) AS polled_at FROM events GROUP BY 1) p ON p.poll = t.poll
-WHERE price IS NULL OR price <> 'n/a'
+WHERE {USABLE}
 """
 
 
@@ -166,7 +166,7 @@ def _landed(t: Tables, polls: DataFrame) -> str:
 
 @register(
     "stream_news_ingest",
-    "SELECT coalesce(url, '') AS url, CAST(1 AS BIGINT) AS articles FROM items WHERE item_pos < 10 GROUP BY 1",
+    "SELECT url, CASE WHEN url IS NULL THEN count(*) ELSE 1 END AS articles FROM items GROUP BY url",
     ("news_articles",),
     items=_NEWS_ITEMS,
 )

@@ -245,7 +245,6 @@ SELECT *, row_number() OVER (PARTITION BY window_end, symbol ORDER BY abs(price_
 FROM (SELECT *, {_WINDOW_END} AS window_end,
              row_number() OVER (PARTITION BY {_WINDOW_END} ORDER BY abs(price_change_24h) DESC, timestamp, id) AS place
       FROM crypto_prices WHERE abs(price_change_24h) > 5)
-WHERE place <= 10
 """,
     "alert_rows": f"""
 SELECT *, 'Kryptowaluta: ' || symbol || ', cena: $' || {_two('price_usd')} || ' USD, zmiana 24h: '

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
 from quotemill.operators import forecast
-from quotemill.operators.joins import join_summary
+from quotemill.operators.joins import join_summary, settled
 
 
 def series(spark, rows):
-    df = spark.createDataFrame([(s, float(p), t.isoformat(sep=" ")) for s, p, t in rows], "symbol string, p double, t string")
-    return df.select("symbol", F.col("p").cast("decimal(18,8)").alias("price_usd"), F.col("t").cast("timestamp_ntz").alias("timestamp"))
+    values = [(i, s, float(p), t.isoformat(sep=" ")) for i, (s, p, t) in enumerate(rows)]
+    df = spark.createDataFrame(values, "id bigint, symbol string, p double, t string")
+    return df.select("id", "symbol", F.col("p").cast("decimal(18,8)").alias("price_usd"), F.col("t").cast("timestamp_ntz").alias("timestamp"))
 
 
 def numpy_forecast(rows, hours, offset):
@@ -105,13 +106,20 @@ def test_features(spark):
     assert got[0]["dow_sin"] == pytest.approx(np.sin(2 * np.pi * 2 / 7))
 
 
-def test_join_summary_is_the_same_on_both_ways(spark):
+def test_join_summary_is_planned_by_measured_size(spark):
     rows = spark.range(2000).select("id", (F.col("id") % 7 * (F.col("id") % 3 > 0).cast("int")).alias("k"))
-    summary = rows.groupBy("k").agg(F.count("*").alias("n"))
+    summary = settled(rows.groupBy("k").agg(F.count("*").alias("n")))
     small = join_summary(rows, summary, "k")
-    large = join_summary(rows, summary, "k", max_rows=2)
-    assert sorted(map(tuple, small.select("id", "k", "n").collect())) == sorted(map(tuple, large.select("id", "k", "n").collect()))
-    assert "_salt" in large._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    expected = sorted(map(tuple, small.select("id", "k", "n").collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        large = join_summary(rows, summary, "k")
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, large.select("id", "k", "n").collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_task_functions_load_without_the_package(tmp_path):

@@ -65,8 +65,23 @@ def test_duplicates_take_places_before_dedup(spark):
     assert [r["symbol"] for r in alerts.strongest_per_symbol(alerts.recent_anomalies(df, CLOCK_NOON)).collect()] == ["A"]
 
 
+def test_no_symbol_is_lost_in_a_crowded_window(spark):
+    """Twelve hits of A and one each of twenty other symbols within one window."""
+    rows = [f"({i},'A',1,1,{50 - i},'2024-01-30 11:50:00')" for i in range(12)]
+    rows += [f"({100 + i},'S{i}',1,1,6,'2024-01-30 11:51:00')" for i in range(20)]
+    kept = alerts.strongest_per_symbol(alerts.anomaly_windows(prices(spark, ",".join(rows))), "window_start").collect()
+    assert sorted(r["id"] for r in kept) == [0, *range(100, 120)]
+
+
+def test_latest_prices_scans_twice(spark, tables):
+    plan = latest.latest_prices(tables.prices)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("events.parquet") <= 1 and plan.count("FileScan") <= 2 and "GreaterThanOrEqual(ts" in plan
+    assert latest.latest_prices(tables.prices.filter("false")).count() == 0
+
+
 def test_window_limit_runs_before_the_shuffle(tables):
-    plan = alerts.anomaly_windows(tables.prices)._jdf.queryExecution().executedPlan().toString()
+    windows = alerts.anomaly_windows(tables.prices)
+    plan = alerts.strongest_per_symbol(windows, "window_start")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange hashpartitioning"):]
     assert "WindowGroupLimit" in below and "Partial" in below
 
@@ -105,6 +120,23 @@ def test_report_on_an_empty_log(tables):
     assert report["by_table"].count() == 0
 
 
+def test_report_counts_the_whole_window(spark, tables):
+    body = F.to_json(F.struct(F.lit("crypto_prices").alias("table"), F.array(F.lit("A")).alias("failed_checks")))
+    log = spark.range(350).select(
+        "id", F.lit("dq_failure").alias("insight_type"), body.alias("content"), F.lit(None).cast("string").alias("data_snapshot"),
+        F.lit("2024-01-30 12:00:00").cast("timestamp_ntz").alias("generated_at"),
+    )
+    assert bundles.dq_report(log, CLOCK)["summary"].first()["total_dq_events"] == 350
+    assert bundles.dq_report(log, CLOCK, newest_failures=100)["summary"].first()["total_dq_events"] == 100
+
+
+def test_equal_times_are_ordered_by_id(spark):
+    df = prices(spark, "(9,'A',1,1,1,'2024-01-30 10:00:00'),(3,'A',7,1,1,'2024-01-30 10:00:00'),(5,'A',4,1,1,'2024-01-30 11:00:00'),(8,'A',2,1,1,'2024-01-30 11:00:00')")
+    facts = trend.trend_facts(df, CLOCK_NOON).first()
+    assert (facts["first_value"], facts["last_value"]) == (7.0, 2.0)
+    assert latest.series_direction(df).first()["direction"] == "down"
+
+
 def test_trend_of_short_and_flat_series(spark):
     df = prices(spark, "(1,'A',1,1,1,'2024-01-30 10:00:00'),(2,'B',5,1,1,'2024-01-30 10:00:00'),(3,'B',5,1,1,'2024-01-30 11:00:00')")
     got = {r["symbol"]: (r["trend"], r["pct_change"]) for r in trend.trend_facts(df, CLOCK_NOON).collect()}
