@@ -168,7 +168,9 @@ def repeated_lines(
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= least_docs)
     )
-    lost = found.join(confirmed, "key").where("doc_id <> keeper")
+    # A table of its own: a key in very many documents is then a skewed join, which adaptive
+    # execution splits; right after the aggregation it could not.
+    lost = found.join(saved(confirmed, "lines-shared"), "key").where("doc_id <> keeper")
     return saved(lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop")), "lines-lost")
 
 
