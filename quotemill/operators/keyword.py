@@ -1,8 +1,8 @@
 """Keyword search: all stemmed terms of a query must occur; documents are ranked by BM25.
 
-Works from a postings table: one row per document and term with its count, and one row with
-the empty term per document with its number of words. The table can be built for the terms of
-a query batch, or written once, bucketed by term, and read back.
+Works from a postings table: one row per document and term with its count and the document's
+number of words, and one row with the empty term per document. The table can be built for the
+terms of a query batch, or written once, bucketed by term, and read back.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from quotemill.operators.joins import join_summary, settled
 K1, B = 1.2, 0.75
 NO_TERM = ""
 DOCS_AT_ONCE = 256
-POSTINGS = "id BIGINT, published_at TIMESTAMP_NTZ, term STRING, tf INT"
+COLUMNS = ["id", "published_at", "term", "tf", "length"]
+POSTINGS = "id BIGINT, published_at TIMESTAMP_NTZ, term STRING, tf INT, length INT"
 
 
 def search_text(title: str = "title", description: str = "description") -> Column:
@@ -52,7 +53,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, text: Column, terms: DataFrame | None = None) -> DataFrame:
-    """(id, published_at, term, tf) of every document, and its word count under the empty term.
+    """(id, published_at, term, tf, length) of every document, and one row with the empty term.
 
     Texts are split, stemmed and counted where they are read: no text is shuffled, and a word
     is stemmed once per task. With `terms` only those terms are kept.
@@ -64,15 +65,17 @@ def postings(docs: DataFrame, text: Column, terms: DataFrame | None = None) -> D
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(start, DOCS_AT_ONCE)
-                owners, found, counts = [], [], []
+                owners, found, counts, lengths = [], [], [], []
                 for owner, content in enumerate(part.column(2).to_pylist()):
                     terms_of = _term_counts(content, stems, stop)
                     owners.extend([owner] * (len(terms_of) + 1))
                     found.extend([*terms_of, NO_TERM])
-                    counts.extend([*terms_of.values(), sum(terms_of.values())])
+                    counts.extend([*terms_of.values(), 0])
+                    lengths.extend([sum(terms_of.values())] * (len(terms_of) + 1))
                 at = pa.array(owners, pa.int32())
-                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(found, pa.string()), pa.array(counts, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "published_at", "term", "tf"])
+                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(found, pa.string())]
+                columns += [pa.array(counts, pa.int32()), pa.array(lengths, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, COLUMNS)
 
     rows = docs.select(F.col("id").cast("bigint").alias("id"), F.col("published_at").cast("timestamp_ntz").alias("published_at"), text.alias("text"))
     return _of_terms(rows.mapInArrow(run, POSTINGS), terms)
@@ -83,7 +86,7 @@ def _of_terms(index: DataFrame, terms: DataFrame | None) -> DataFrame:
         return index
     none = terms.sparkSession.range(1).select(F.lit(NO_TERM).alias("term"))
     wanted = settled(terms.select("term").unionByName(none).distinct())
-    return index.join(wanted, "term", "left_semi").select("id", "published_at", "term", "tf")
+    return index.join(wanted, "term", "left_semi").select(*COLUMNS)
 
 
 def _bucket(buckets: int) -> Column:
@@ -114,10 +117,11 @@ def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
 
     A document meets only the queries whose rarest term it holds, and the other terms are looked
     up in its own map, so a frequent word does not pair every document with every query that
-    mentions it. This call runs one job for the number of documents and their mean length.
+    mentions it. The postings of the queries' terms are stored once, as they are read three times;
+    this call runs that job and one for the number of documents and their mean length.
     """
-    lengths = index.filter(F.col("term") == NO_TERM)
-    total, words = lengths.agg(F.count("*"), F.sum("tf")).first()
+    index = settled(index)
+    total, words = index.filter(F.col("term") == NO_TERM).agg(F.count("*"), F.sum("length")).first()
     mean = max(1.0, (words or 0) / max(1, total))
     held = index.filter(F.col("term") != NO_TERM)
     spread = held.groupBy("term").agg(F.count("*").alias("n"))
@@ -128,10 +132,10 @@ def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("term", weight.alias("weight")))).alias("terms"),
     )
     entries = F.collect_list(F.struct("term", "tf"))
-    by_document = index.groupBy("id", "published_at").agg(F.map_from_entries(entries).alias("held"))
+    by_document = held.groupBy("id", "published_at", "length").agg(F.map_from_entries(entries).alias("held"))
     candidates = by_document.withColumn("key_term", F.explode(F.map_keys("held"))).join(asked, "key_term")
     whole = candidates.filter(F.forall("terms", lambda t: F.map_contains_key("held", t["term"])))
-    length = K1 * (1 - B + B * F.col("held")[NO_TERM] / mean)
+    length = K1 * (1 - B + B * F.col("length") / mean)
 
     def part(term: Column) -> Column:
         tf = F.col("held")[term["term"]]

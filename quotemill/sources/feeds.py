@@ -40,7 +40,7 @@ def read_ticker_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tickers_from_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per ticker of a JSON array column; other columns stay.
+    """One row per ticker of a JSON array column, with its place in the list; other columns stay.
 
     A payload that is no list of tickers (an error page, an error object, nothing at all) becomes
     one row without a ticker that carries the `payload`, so it ends up among the rejects.
@@ -52,9 +52,12 @@ def tickers_from_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
         (F.size("_items") > 0) & ~F.exists("_items", lambda item: item["symbol"].isNotNull())
     )
     nothing = F.array(F.lit(None).cast(kind[6:-1]))
-    return parsed.select(
-        *keep, F.when(no_list, F.col(payload)).alias("payload"), F.inline(F.when(no_list, nothing).otherwise(F.col("_items")))
+    items = parsed.select(
+        *keep,
+        F.when(no_list, F.col(payload)).alias("payload"),
+        F.posexplode(F.when(no_list, nothing).otherwise(F.col("_items"))).alias("item_pos", "_item"),
     )
+    return items.select(*keep, "payload", "item_pos", "_item.*")
 
 
 def _number(text: Column, tolerant: bool) -> Column:

@@ -57,7 +57,8 @@ class TickerIngest:
         clock = self.clock()
         parsed = normalise_tickers(tickers_from_payload(landed), self.volume_mode)
         stamped = sinks.stamp(parsed.rows.withColumnRenamed("polled_at", "timestamp"), clock.now_column())
-        rows = sinks.with_row_id(stamped, "symbol", "timestamp", "price_usd", "volume_24h", "price_change_24h")
+        batch = stamped.withColumn("_batch", F.lit(batch_id))
+        rows = sinks.with_row_id(batch, "_batch", "item_pos", "symbol", "timestamp", "price_usd", "volume_24h", "price_change_24h")
         checked = run_checks(
             rows.select(*CRYPTO_PRICES.names), "crypto_prices", clock, record_id=F.col("symbol")
         ).persist(StorageLevel.MEMORY_AND_DISK)

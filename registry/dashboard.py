@@ -12,9 +12,10 @@ from quotemill.clock import Clock
 from quotemill.functions import texts, weather
 from quotemill.operators import alerts, latest, trend
 from quotemill.plans import bundles, cards, marts
-from quotemill.sources.tables import query
+from quotemill.session import new_work_dir
+from quotemill.sources.tables import query, read_table
 from registry.marts import DAILY, DAILY_VIEWS, WEEKLY_SQL, change_sql, daily
-from registry.quality import TREND_SQL
+from registry.quality import ISSUES_SQL, NEWEST_ISSUES, TREND_SQL
 from registry.tables import CLOCK, Tables, day_start, local_day, mean, register
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -37,6 +38,15 @@ def scan_with_parameters(t: Tables):
     return query(t.spark, sql, {"symbol": "ETH", "lowest": 100}, prices=t.prices)
 
 
+@register("scan_declared_schema", f"SELECT {PRICE_COLUMNS} FROM crypto_prices WHERE timestamp >= {AS_OF} - INTERVAL 7 DAY", ("crypto_prices",))
+def scan_declared_schema(t: Tables):
+    """A stored domain table read through its declared schema."""
+    root = new_work_dir(t.spark, "tables")
+    t.prices.write.parquet(f"{root}/crypto_prices")
+    stored = read_table(t.spark, root, "crypto_prices")
+    return stored.filter(F.col("timestamp") >= CLOCK.ago(days=7))
+
+
 @register("latest_prices_semijoin", f"SELECT {PRICE_COLUMNS} FROM newest", ("crypto_prices",), newest=LATEST)
 def latest_prices_semijoin(t: Tables):
     return latest.latest_prices(t.prices)
@@ -123,13 +133,15 @@ def sector_label(t: Tables):
 @register(
     "newest_daily_stats",
     f"""
-SELECT symbol, {local_day('timestamp')} AS date, CAST(max(price_usd) AS DOUBLE) AS max_price, CAST(min(price_usd) AS DOUBLE) AS min_price
+SELECT symbol, {local_day('timestamp')} AS date, round({mean('sum(price_usd)', 'count(price_usd)', 8, 8)}, 6) AS avg_price,
+  CAST(max(price_usd) AS DOUBLE) AS max_price, CAST(min(price_usd) AS DOUBLE) AS min_price
 FROM crypto_prices WHERE timestamp >= {day_start(7)} GROUP BY ALL ORDER BY date DESC, symbol LIMIT 10
 """,
     ("crypto_prices",),
 )
 def newest_daily_stats(t: Tables):
-    return latest.newest_daily_stats(marts.daily_crypto_stats(t.prices, CLOCK)).drop("avg_price")
+    stats = latest.newest_daily_stats(marts.daily_crypto_stats(t.prices, CLOCK))
+    return stats.withColumn("avg_price", F.round(F.round("avg_price", 8).cast("double"), 6))
 
 
 @register(
@@ -361,23 +373,41 @@ def daily_metrics(t: Tables):
 @register(
     "overview_parts",
     f"""
-SELECT 'prices' AS part, count(*) AS row_count FROM newest
-UNION ALL SELECT 'daily_stats', least(10, count(*)) FROM (SELECT 1 FROM crypto_prices WHERE timestamp >= {day_start(7)} GROUP BY symbol, {local_day('timestamp')})
-UNION ALL SELECT 'market_sentiment', 1
-UNION ALL SELECT 'stocks', least(20, count(*)) FROM stock_prices
-UNION ALL SELECT 'sector_performance', 1
-UNION ALL SELECT 'news', least(10, count(*)) FROM news_articles
-UNION ALL SELECT 'weather', least(1, count(*)) FROM weather_data
+SELECT 'prices' AS part, symbol AS item, CAST(price_usd AS VARCHAR) AS value FROM newest
+UNION ALL SELECT * FROM (SELECT 'daily_stats', symbol || ' ' || {local_day('timestamp')}, CAST(max(price_usd) AS VARCHAR)
+  FROM crypto_prices WHERE timestamp >= {day_start(7)} GROUP BY symbol, {local_day('timestamp')}
+  ORDER BY {local_day('timestamp')} DESC, symbol LIMIT 10)
+UNION ALL SELECT 'market_sentiment', 'all', CASE WHEN sum(coalesce(price_change_24h, 0)) > count(*) THEN 'Bullish'
+  WHEN sum(coalesce(price_change_24h, 0)) < -count(*) THEN 'Bearish' ELSE 'Neutral' END FROM newest
+UNION ALL SELECT 'stocks', symbol || ' ' || trading_date, CAST(CAST(close_price AS DECIMAL(10,2)) AS VARCHAR) FROM stocks
+UNION ALL SELECT 'sector_performance', 'all', CASE WHEN count(*) > 0 THEN 'Technology: Active' ELSE 'Market Stable' END FROM stock_prices
+UNION ALL SELECT * FROM (SELECT 'news', CAST(id AS VARCHAR), title FROM news_articles ORDER BY published_at DESC NULLS FIRST, id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'weather', city, CAST(temperature AS VARCHAR) FROM weather_data ORDER BY timestamp DESC NULLS FIRST, id LIMIT 1)
+UNION ALL SELECT 'data_quality_issues', table_name || ' ' || coalesce(record_id, ''), check_name FROM ({ISSUES_SQL})
 """,
-    ("crypto_prices", "stock_prices", "news_articles", "weather_data"),
+    ("failures", "stock_prices"),
     newest=LATEST,
+    stocks=STOCK_TOP,
+    issues=NEWEST_ISSUES,
 )
 def overview_parts(t: Tables):
     parts = bundles.overview(t.prices, t.stocks, t.news, t.weather, CLOCK)
-    issues = parts.pop("data_quality_issues")
-    assert issues.columns
-    counted = [df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("part"), "row_count") for name, df in parts.items()]
-    return reduce(DataFrame.unionByName, counted)
+    every = F.lit("all")
+    shown = {
+        "prices": (F.col("symbol"), F.col("price_usd")),
+        "daily_stats": (F.concat_ws(" ", "symbol", "date"), F.col("max_price")),
+        "market_sentiment": (every, F.col("market_sentiment")),
+        "stocks": (F.concat_ws(" ", "symbol", "trading_date"), F.col("close_price")),
+        "sector_performance": (every, F.col("sector_performance")),
+        "news": (F.col("id"), F.col("title")),
+        "weather": (F.col("city"), F.col("temperature")),
+        "data_quality_issues": (F.concat(F.col("table_name"), F.lit(" "), F.coalesce("record_id", F.lit(""))), F.col("check_name")),
+    }
+    rows = [
+        df.select(F.lit(name).alias("part"), shown[name][0].cast("string").alias("item"), shown[name][1].cast("string").alias("value"))
+        for name, df in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # --- trend and alerts --------------------------------------------------------------------
@@ -416,12 +446,12 @@ def recent_anomalies(t: Tables):
 
 @register(
     "anomalies_last_15_minutes",
-    f"SELECT {_ANOMALY} FROM crypto_prices WHERE timestamp >= {AS_OF} - INTERVAL 15 MINUTE AND abs(price_change_24h) > 5 "
+    f"SELECT {_ANOMALY} FROM crypto_prices WHERE timestamp >= TIMESTAMP '2024-01-29 06:00:00' - INTERVAL 15 MINUTE AND abs(price_change_24h) > 5 "
     "ORDER BY abs(price_change_24h) DESC, crypto_prices.timestamp, id LIMIT 10",
     ("crypto_prices",),
 )
 def anomalies_last_15_minutes(t: Tables):
-    return alerts.recent_anomalies(t.prices, CLOCK)
+    return alerts.recent_anomalies(t.prices, Clock(datetime(2024, 1, 29, 6)))
 
 
 @register("anomaly_windows", f"SELECT window_end, {_ANOMALY} FROM anomaly_rows", ("anomaly_rows",))

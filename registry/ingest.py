@@ -48,7 +48,8 @@ _REJECTED = " UNION ALL ".join(
 # --- ticker feed: each poll is one JSON array text -----------------------------------------
 
 _TICKERS = """
-SELECT event_id, event_id // 20 AS poll, CASE event_type WHEN 'click' THEN 'BTC' WHEN 'view' THEN 'ETH' WHEN 'signup' THEN 'SOL'
+SELECT event_id, event_id // 20 AS poll,
+  CAST(row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS INT) AS item_pos, CASE event_type WHEN 'click' THEN 'BTC' WHEN 'view' THEN 'ETH' WHEN 'signup' THEN 'SOL'
     WHEN 'purchase' THEN 'XRP' ELSE 'ADA' END AS symbol,
   CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 37 = 0 THEN '' WHEN event_id % 41 = 0 THEN 'n/a'
        WHEN event_id % 43 = 0 THEN '1e12' WHEN event_id % 47 = 0 THEN 'NaN' WHEN event_id % 53 = 0 THEN '-Infinity'
@@ -84,7 +85,7 @@ def ticker_polls(t: Tables) -> DataFrame:
 
 def _ticker_sql(price: str, volume: str, where: str) -> str:
     return f"""
-SELECT poll, symbol, {price} AS price_usd, CAST(0 AS BIGINT) AS market_cap, {volume} AS volume_24h,
+SELECT poll, item_pos, symbol, {price} AS price_usd, CAST(0 AS BIGINT) AS market_cap, {volume} AS volume_24h,
   k + 0.86 AS price_change_24h FROM tickers WHERE {where}
 """
 
@@ -340,9 +341,9 @@ def metadata_upsert(t: Tables):
 @register(
     "retention",
     f"""
-SELECT 'crypto_prices' AS table_name, count(*) AS kept FROM crypto_prices WHERE timestamp >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 30 DAY
-UNION ALL SELECT 'news_articles', count(*) FROM news_articles WHERE fetched_at >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 7 DAY
-UNION ALL SELECT 'weather_data', count(*) FROM weather_data WHERE timestamp >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 14 DAY
+SELECT 'crypto_prices' AS table_name, count(*) AS kept, CAST(sum(id) AS BIGINT) AS ids, min(timestamp) AS oldest FROM crypto_prices WHERE timestamp >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 30 DAY
+UNION ALL SELECT 'news_articles', count(*), CAST(sum(id) AS BIGINT), min(fetched_at) FROM news_articles WHERE fetched_at >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 7 DAY
+UNION ALL SELECT 'weather_data', count(*), CAST(sum(id) AS BIGINT), min(timestamp) FROM weather_data WHERE timestamp >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 14 DAY
 """,
     ("crypto_prices", "weather_data", "news_articles"),
 )
@@ -352,7 +353,8 @@ def retention(t: Tables):
     parts = []
     for name, (column, days) in sinks.RETENTION_DAYS.items():
         kept = sinks.retain(tables[name], column, days, now)
-        parts.append(kept.agg(F.count("*").alias("kept")).select(F.lit(name).alias("table_name"), "kept"))
+        totals = kept.agg(F.count("*").alias("kept"), F.sum("id").alias("ids"), F.min(column).alias("oldest"))
+        parts.append(totals.select(F.lit(name).alias("table_name"), "kept", "ids", "oldest"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -363,8 +365,8 @@ def retention(t: Tables):
     tickers=_TICKERS,
 )
 def write_defaults(t: Tables):
-    rows = feeds.normalise_tickers(feeds.tickers_from_payload(ticker_polls(t).drop("polled_at")).withColumn("row", F.expr("uuid()"))).rows
-    stamped = sinks.with_row_id(sinks.stamp(rows, batch_time()), "row")
+    rows = feeds.normalise_tickers(feeds.tickers_from_payload(ticker_polls(t).drop("polled_at"))).rows
+    stamped = sinks.with_row_id(sinks.stamp(rows, batch_time()), "poll", "item_pos", "symbol")
     return stamped.groupBy("symbol").agg(
         F.count("*").alias("row_count"), F.countDistinct("id").alias("distinct_ids"),
         F.min("timestamp").alias("first_stamp"), F.max("timestamp").alias("last_stamp"),

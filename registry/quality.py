@@ -171,6 +171,40 @@ def dq_failure_log(t: Tables):
     )
 
 
+@register(
+    "dq_failure_bodies",
+    """
+SELECT 1000000000000 + id AS id, 'crypto_prices' AS table_name, symbol AS record_id, failed, 5 AS total_checks, 'false' AS auto_repaired,
+  'null' AS fixed, id AS record, CAST(price_usd AS DOUBLE) AS price, volume_24h AS volume, CAST(timestamp AS VARCHAR) AS stamped, NULL AS text
+FROM price_checks WHERE failed <> ''
+UNION ALL
+SELECT 3000000000000 + id, 'news_articles', left(title, 50), failed, 4, 'false', 'null', id, NULL, NULL, CAST(fetched_at AS VARCHAR), description
+FROM news_checks WHERE failed <> ''
+""",
+    ("price_checks", "news_checks"),
+)
+def dq_failure_bodies(t: Tables):
+    """The bodies of price and article failures, field by field."""
+    def field(path: str):
+        return F.get_json_object("content", f"$.{path}")
+
+    rows = t.failures.filter(field("table").isin("crypto_prices", "news_articles"))
+    return rows.select(
+        "id",
+        field("table").alias("table_name"),
+        field("record_id").alias("record_id"),
+        F.array_join(F.from_json(field("failed_checks"), "array<string>"), ",").alias("failed"),
+        field("total_checks").cast("int").alias("total_checks"),
+        field("auto_repaired").alias("auto_repaired"),
+        F.coalesce(field("fixed_record"), F.lit("null")).alias("fixed"),
+        field("original_record.id").cast("bigint").alias("record"),
+        field("original_record.price_usd").cast("double").alias("price"),
+        field("original_record.volume_24h").cast("bigint").alias("volume"),
+        F.coalesce(field("original_record.timestamp"), field("original_record.fetched_at")).alias("stamped"),
+        field("original_record.description").alias("text"),
+    )
+
+
 @register(
     "dq_failures_staged",
     f"SELECT id, {local_day('generated_at')} AS date, table_name, record_id, failed AS failed_checks, "
@@ -295,7 +329,7 @@ def dq_report_recent_anomalies(t: Tables):
     return bundles.dq_report(t.insights, CLOCK, 24)["recent_anomalies"].drop("id")
 
 
-_NEWEST_ISSUES = """
+NEWEST_ISSUES = """
 SELECT 'crypto_prices' AS table_name, symbol AS record_id, replace(failed, ',FutureTimestampCheck:timestamp', '') AS failed
 FROM (SELECT * FROM price_checks ORDER BY timestamp DESC NULLS FIRST, id LIMIT 1)
 UNION ALL
@@ -305,12 +339,17 @@ SELECT 'news_articles', left(title, 50), failed FROM (SELECT * FROM news_checks
 """
 
 
+ISSUES_SQL = (
+    f"SELECT table_name, record_id, unnest({_split('failed')}) AS check_name FROM issues "
+    "WHERE failed NOT IN ('', 'FutureTimestampCheck:timestamp')"
+)
+
+
 @register(
     "newest_row_issues",
-    f"SELECT table_name, record_id, unnest({_split('failed')}) AS check_name FROM issues "
-    "WHERE failed NOT IN ('', 'FutureTimestampCheck:timestamp')",
+    ISSUES_SQL,
     ("failures",),
-    issues=_NEWEST_ISSUES,
+    issues=NEWEST_ISSUES,
 )
 def newest_row_issues(t: Tables):
     return bundles.newest_row_issues(CLOCK, t.prices, t.weather, t.news).drop("at")
@@ -320,7 +359,7 @@ def newest_row_issues(t: Tables):
     "newest_row_issues_of_summary",
     f"SELECT table_name, record_id, unnest({_split('failed')}) AS check_name FROM issues WHERE failed <> '' AND table_name <> 'crypto_prices'",
     ("failures",),
-    issues=_NEWEST_ISSUES,
+    issues=NEWEST_ISSUES,
 )
 def newest_row_issues_of_summary(t: Tables):
     return bundles.newest_row_issues(CLOCK, readings=t.weather, news=t.news).drop("at")
@@ -417,12 +456,19 @@ def contracts_marts(t: Tables):
             _tests_sql(
                 "stock_prices", "stock_prices", [*_null("symbol", "trading_date"), *_long(symbol=10)], ("symbol,trading_date",)
             ),
+            _tests_sql("ai_insights", "logged", [*_null("insight_type", "content"), *_long(insight_type=50)]),
+            _tests_sql("dq_metadata", "metadata", [*_null("table_name"), *_long(table_name=50)], ("table_name",)),
         ]
     ),
-    ("crypto_prices", "weather_data", "news_articles", "stock_prices"),
+    ("crypto_prices", "weather_data", "news_articles", "stock_prices", "failures", "alerts"),
+    logged="SELECT 'dq_failure' AS insight_type, failed AS content FROM failures UNION ALL SELECT 'price_anomaly', message FROM alerts",
+    metadata="SELECT table_name, count(*) AS n FROM failures GROUP BY 1",
 )
 def contracts_sources(t: Tables):
-    tables = {"crypto_prices": t.prices, "weather_data": t.weather, "news_articles": t.news, "stock_prices": t.stocks}
+    tables = {
+        "crypto_prices": t.prices, "weather_data": t.weather, "news_articles": t.news, "stock_prices": t.stocks,
+        "ai_insights": t.insights, "dq_metadata": t.metadata,
+    }
     parts = [contracts.failing_rows(df, name, contracts.source_contract(name)) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 

@@ -236,11 +236,13 @@ def semantic_topk_near(t: Tables):
 
 @register(
     "vector_self_similarity",
-    "SELECT vec_id, CAST(1.0 AS DOUBLE) AS similarity FROM embeddings",
+    "SELECT vec_id, CAST(1.0 AS DOUBLE) AS similarity, "
+    "round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) + 0.0 AS to_reversed FROM embeddings",
 )
 def vector_self_similarity(t: Tables):
-    own = vectors.cosine(F.col("embedding"), F.col("embedding"))
-    return t.raw("embeddings").select("vec_id", F.round(own, 6).alias("similarity"))
+    vector = F.col("embedding")
+    own, other = vectors.cosine(vector, vector), vectors.cosine(vector, F.reverse(vector))
+    return t.raw("embeddings").select("vec_id", F.round(own, 6).alias("similarity"), (F.round(other, 6) + 0.0).alias("to_reversed"))
 
 
 @register(
@@ -299,11 +301,17 @@ def _encoder(t: Tables) -> embed.Encoder:
 
 @register(
     "embedding_backfill",
-    "SELECT count(*) AS total, count(*) AS with_embedding FROM news_articles",
+    f"SELECT id, CASE WHEN embedding IS NULL THEN 2 ELSE len(embedding) END AS size, "
+    f"round(CASE WHEN embedding IS NULL THEN length({TEXT}) ELSE embedding[1]::DOUBLE END, 5) AS first_value FROM news_articles",
     ("news_articles",),
 )
 def embedding_backfill(t: Tables):
-    return embed.coverage(embed.backfill(t.news_with_vectors, _encoder(t)))
+    """Filled by a model that both sides know: the length of the text, then 1."""
+    encode = embed.model_encoder(lambda: lambda batch: [[float(len(text)), 1.0] for text in batch])
+    filled = embed.backfill(t.news_with_vectors, encode)
+    return filled.select(
+        "id", F.size("embedding").cast("bigint").alias("size"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first_value")
+    )
 
 
 @register("question_answer_sources")

@@ -12,7 +12,7 @@ from quotemill.sources import sinks
 from quotemill.streaming import ingest, jobs
 from quotemill.streaming.runs import drain_to_parquet, stream_parquet
 from registry.ingest import _NEWS_ITEMS, _TICKERS, USABLE, _weather_sql, _with_unreadable, news_polls, ticker_polls, weather_polls
-from registry.tables import CLOCK, Tables, local_day, prices_from, register
+from registry.tables import CLOCK, Tables, local_day, mean, prices_from, register
 
 
 def _price_stream(t: Tables) -> DataFrame:
@@ -68,20 +68,25 @@ def stream_hourly_summary(t: Tables):
     return _read(t, drain_to_parquet(jobs.hourly_summary_stream(_price_stream(t)), "stream-summary"))
 
 
-@register("stream_two_pollers", "SELECT symbol, 2 * count(*) AS row_count FROM crypto_prices GROUP BY symbol", ("crypto_prices",))
+@register(
+    "stream_two_pollers",
+    "SELECT id, symbol, CAST(price_usd AS DOUBLE) AS price_usd, timestamp, CAST(2 AS BIGINT) AS copies FROM crypto_prices",
+    ("crypto_prices",),
+)
 def stream_two_pollers(t: Tables):
     both = jobs.merged_pollers_stream(_price_stream(t), _price_stream(t))
-    return _read(t, drain_to_parquet(both, "stream-pollers")).groupBy("symbol").agg(F.count("*").alias("row_count"))
+    stored = _read(t, drain_to_parquet(both, "stream-pollers"))
+    return stored.groupBy("id", "symbol", "price_usd", "timestamp").agg(F.count("*").alias("copies"))
 
 
 @register(
     "stream_two_pollers_deduplicated",
-    "SELECT symbol, count(DISTINCT timestamp) AS row_count FROM crypto_prices GROUP BY symbol",
+    "SELECT DISTINCT symbol, timestamp FROM crypto_prices",
     ("crypto_prices",),
 )
 def stream_two_pollers_deduplicated(t: Tables):
     both = jobs.merged_pollers_stream(_price_stream(t), _price_stream(t), deduplicate=True)
-    return _read(t, drain_to_parquet(both, "stream-pollers")).groupBy("symbol").agg(F.count("*").alias("row_count"))
+    return _read(t, drain_to_parquet(both, "stream-pollers")).select("symbol", "timestamp")
 
 
 def _ingested(t: Tables, refresh=None) -> str:
@@ -134,7 +139,8 @@ def stream_ingest_failures(t: Tables):
 @register(
     "stream_ingest_mart",
     f"""
-SELECT symbol, {local_day('timestamp')} AS date, CAST(max(price_usd) AS DOUBLE) AS max_price, CAST(min(price_usd) AS DOUBLE) AS min_price
+SELECT symbol, {local_day('timestamp')} AS date, round({mean('sum(price_usd)', 'count(price_usd)', 8, 8)}, 6) AS avg_price,
+  CAST(max(price_usd) AS DOUBLE) AS max_price, CAST(min(price_usd) AS DOUBLE) AS min_price
 FROM stored WHERE timestamp >= (TIMESTAMP '2024-01-24 00:00:00' AT TIME ZONE 'Europe/Warsaw' AT TIME ZONE 'UTC') GROUP BY ALL
 """,
     tickers=_TICKERS,
@@ -142,7 +148,8 @@ FROM stored WHERE timestamp >= (TIMESTAMP '2024-01-24 00:00:00' AT TIME ZONE 'Eu
 )
 def stream_ingest_mart(t: Tables):
     root = _ingested(t, refresh=daily_crypto_stats)
-    return sinks.read_mart(t.spark, f"{root}/mart").drop("avg_price")
+    stats = sinks.read_mart(t.spark, f"{root}/mart")
+    return stats.withColumn("avg_price", F.round(F.round("avg_price", 8).cast("double"), 6))
 
 
 @register(

@@ -214,17 +214,17 @@ def test_retention_and_failed_refresh_do_not_stop_the_loop(spark, tmp_path):
 
 
 def test_stores_stay_bounded_over_many_batches(spark, tmp_path):
-    """A day per batch with three days of retention; a batch is replayed in between."""
+    """A day per batch with two days of retention; a batch is replayed in between."""
     def at(day):
         return Clock(datetime(2024, 1, day, 12))
 
     counts = []
-    for day in range(1, 11):
+    for day in range(1, 7):
         clock = at(day)
         polled = datetime(2024, 1, day, 10)
-        weather = ingest.WeatherIngest(f"{tmp_path}/w", clock=lambda: clock, retention_days=3)
-        news = ingest.NewsIngest(f"{tmp_path}/n", clock=lambda: clock, retention_days=3)
-        prices = ingest.TickerIngest(f"{tmp_path}/p", clock=lambda: clock, retention_days=3, refresh=daily_crypto_stats, refresh_days=8)
+        weather = ingest.WeatherIngest(f"{tmp_path}/w", clock=lambda: clock, retention_days=2)
+        news = ingest.NewsIngest(f"{tmp_path}/n", clock=lambda: clock, retention_days=2)
+        prices = ingest.TickerIngest(f"{tmp_path}/p", clock=lambda: clock, retention_days=2, refresh=daily_crypto_stats, refresh_days=8)
         polls = [
             (weather, json.dumps({"current": {"temperature_2m": day}})),
             (news, f"<rss><channel><item><title>t</title><link>https://x/{day}</link></item></channel></rss>"),
@@ -232,13 +232,13 @@ def test_stores_stay_bounded_over_many_batches(spark, tmp_path):
         ]
         for job, text in polls:
             landed = spark.createDataFrame([(polled, text)], ingest.LANDING_SCHEMA)
-            for _ in range(2 if day == 5 else 1):
+            for _ in range(2 if day == 4 else 1):
                 job(landed, day)
         counts.append(tuple(len(list((tmp_path / s).glob("batch_id=*"))) for s in ("w/weather_data", "n/news_articles", "p/crypto_prices")))
-    assert counts[-1] == counts[-3] == (4, 4, 4)
-    assert spark.read.parquet(f"{tmp_path}/w/weather_data").count() == 4
+    assert counts[-1] == counts[-3] == (3, 3, 3)
+    assert spark.read.parquet(f"{tmp_path}/w/weather_data").count() == 3
     assert len(list((tmp_path / "p/mart").glob("version=*"))) == 2
-    assert sinks.read_mart(spark, f"{tmp_path}/p/mart").count() == 4
+    assert sinks.read_mart(spark, f"{tmp_path}/p/mart").count() == 3
 
 
 def test_raw_response_files_and_known_urls(spark, tmp_path):
