@@ -70,45 +70,61 @@ def headline_tone(title: Column) -> Column:
     )
 
 
-def _split_ending(word: str, suffixes) -> tuple[str, str]:
-    """The word without the longest of the suffixes it ends with, and that suffix ("" if none)."""
-    found = max((s for s in suffixes if word.endswith(s)), key=len, default="")
-    return word[: len(word) - len(found)], found
+# Endings by step: their lengths, longest first, and the endings themselves.
+TENSE, STEP2, STEP3, STEP4 = (
+    (sorted({len(e) for e in endings}, reverse=True), frozenset(endings))
+    for endings in (TENSE_SUFFIXES, STEP2_SUFFIXES, STEP3_SUFFIXES, STEP4_SUFFIXES)
+)
+# A word with none of these endings is its own stem.
+ANY_ENDING = tuple({*TENSE_SUFFIXES, *STEP2_SUFFIXES, *STEP3_SUFFIXES, *STEP4_SUFFIXES, "s", "ied", "y", "e", "l"})
+FIRST_REGION, REGION = re.compile(f"gener|commun|arsen|{SYLLABLE}"), re.compile(SYLLABLE)
+ENDS_SHORT, VOWEL = re.compile(SHORT_SYLLABLE), re.compile("[aeiouy]")
+PLURAL, FINAL_Y, VOWEL_Y = re.compile("[aeiouy].+s$"), re.compile("^(.+[^aeiouy])[yY]$"), re.compile("([aeiouy])y")
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+BEFORE_LI = tuple("cdeghkmnrt")
+
+
+def _split_ending(word: str, endings: tuple[list[int], frozenset[str]]) -> tuple[str, str]:
+    """The word without the longest of the endings it has, and that ending ("" if none)."""
+    for size in endings[0]:
+        if word[-size:] in endings[1] and len(word) >= size:
+            return word[:-size], word[-size:]
+    return word, ""
 
 
 def _drop_plural(word: str) -> str:
+    if not word.endswith(("s", "ied")):
+        return word
     if word.endswith("sses"):
         return word[:-2]
     if word.endswith(("ied", "ies")):
         return word[:-1] if len(word) == 4 else word[:-2]
-    if not word.endswith(("us", "ss")) and re.search("[aeiouy].+s$", word):
-        return word[:-1]
-    return word
+    return word[:-1] if not word.endswith(("us", "ss")) and PLURAL.search(word) else word
 
 
 def _drop_tense(word: str, r1: int) -> str:
-    start, ending = _split_ending(word, TENSE_SUFFIXES)
+    start, ending = _split_ending(word, TENSE)
     if ending in ("eed", "eedly"):
         return f"{start}ee" if len(start) >= r1 else word
-    if not ending or not re.search("[aeiouy]", start):
+    if not ending or not VOWEL.search(start):
         return word
     if start.endswith(("at", "bl", "iz")):
         return f"{start}e"
-    if re.search(r"([bdfgmnprt])\1$", start):
+    if start.endswith(DOUBLES):
         return start[:-1]
-    return f"{start}e" if r1 >= len(start) and re.search(SHORT_SYLLABLE, start) else start
+    return f"{start}e" if r1 >= len(start) and ENDS_SHORT.search(start) else start
 
 
 def _derived(word: str, r1: int, r2: int) -> str:
     """Steps 2 to 4: the endings of derived words."""
-    start, ending = _split_ending(word, STEP2_SUFFIXES)
-    fits = {"ogi": start.endswith("l"), "li": bool(re.search("[cdeghkmnrt]$", start))}.get(ending, True)
+    start, ending = _split_ending(word, STEP2)
+    fits = start.endswith("l") if ending == "ogi" else ending != "li" or start.endswith(BEFORE_LI)
     if ending and len(start) >= r1 and fits:
         word = start + STEP2_SUFFIXES[ending]
-    start, ending = _split_ending(word, STEP3_SUFFIXES)
+    start, ending = _split_ending(word, STEP3)
     if ending and len(start) >= (r2 if ending == "ative" else r1):
         word = start + STEP3_SUFFIXES[ending]
-    start, ending = _split_ending(word, STEP4_SUFFIXES)
+    start, ending = _split_ending(word, STEP4)
     return start if ending and len(start) >= r2 and (ending != "ion" or start.endswith(("s", "t"))) else word
 
 
@@ -116,25 +132,24 @@ def stem_word(token: str) -> str:
     """The English stem of a lower-case word."""
     if token in IRREGULAR_STEMS:
         return IRREGULAR_STEMS[token]
-    if len(token) <= 2 or token in UNCHANGED_WORDS:
+    if len(token) <= 2 or token in UNCHANGED_WORDS or not token.endswith(ANY_ENDING):
         return token
-
-    def after(pattern: str, text: str) -> int:
-        """Length of the matched beginning, beyond any word if there is none."""
-        found = re.match(pattern, text)
-        return found.end() if found else 1000
-
     # A y that starts the word or follows a vowel counts as a consonant, written Y.
-    word = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", token))
-    r1 = after(f"gener|commun|arsen|{SYLLABLE}", word)
-    r2 = r1 + after(SYLLABLE, word[r1:])
+    word = token
+    if "y" in word:
+        word = VOWEL_Y.sub(r"\1Y", f"Y{word[1:]}" if word[0] == "y" else word)
+    # The regions begin after the first and second syllable, beyond any word if there is none.
+    found = FIRST_REGION.match(word)
+    r1 = found.end() if found else 1000
+    found = REGION.match(word, r1)
+    r2 = found.end() if found else 1000
     word = _drop_plural(word)
     if word in UNCHANGED_AFTER_PLURAL:
         return word
-    word = re.sub("^(.+[^aeiouy])[yY]$", r"\1i", _drop_tense(word, r1))
+    word = FINAL_Y.sub(r"\1i", _drop_tense(word, r1))
     word = _derived(word, r1, r2)
     start = word[:-1]
-    if word.endswith("e") and (len(start) >= r2 or len(start) >= r1 and not re.search(SHORT_SYLLABLE, start)):
+    if word.endswith("e") and (len(start) >= r2 or len(start) >= r1 and not ENDS_SHORT.search(start)):
         word = start
     elif word.endswith("ll") and len(start) >= r2:
         word = start
