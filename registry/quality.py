@@ -136,19 +136,34 @@ def dq_check_totals(t: Tables):
     return reduce(DataFrame.unionByName, [check_totals(t.report(name)) for name in CHECKS])
 
 
+def _split(failed: str) -> str:
+    """The check names of a row as a list; commas also occur inside range names."""
+    return f"string_split(regexp_replace({failed}, ',(Not|Range|Url|Future)', '|\\1', 'g'), '|')"
+
+
+def _lines_sql(table: str, view: str, record: str, total: int, repaired: str) -> str:
+    return f"""
+SELECT '{table}' AS table_name, id, CASE WHEN failed = '' THEN '✅ {table} [' || {record} || '] — wszystkie {total} checks OK'
+  ELSE '⚠️  {table} [' || {record} || '] — FAILED: [''' || array_to_string({_split('failed')}, ''', ''') || '''] ('
+       || CASE WHEN {repaired} THEN '🔧 naprawiono' ELSE '❌ nie naprawiono' END || ')' END AS line
+FROM {view}"""
+
+
 @register(
     "dq_summary_lines",
-    """
-SELECT id, CASE WHEN failed = '' THEN '✅ weather_data [' || city || '] — wszystkie 4 checks OK'
-  ELSE '⚠️  weather_data [' || city || '] — FAILED: [''' || replace(replace(failed, ',N', ''', ''N'), '],R', ']'', ''R') || '''] ('
-       || CASE WHEN repaired THEN '🔧 naprawiono' ELSE '❌ nie naprawiono' END || ')' END AS line
-FROM weather_checks
-""",
-    ("weather_checks",),
+    " UNION ALL ".join(
+        [
+            _lines_sql("crypto_prices", "price_checks", "symbol", 5, "false"),
+            _lines_sql("weather_data", "weather_checks", "city", 4, "repaired"),
+            _lines_sql("news_articles", "news_checks", "coalesce(left(title, 50), 'None')", 4, "false"),
+        ]
+    ),
+    ("failures",),
 )
 def dq_summary_lines(t: Tables):
-    report = t.report("weather_data")
-    return report.select("id", summary_line(report).alias("line"))
+    reports = [t.report(name) for name in CHECKS]
+    lines = [r.select(F.col("dq_table").alias("table_name"), "id", summary_line(r).alias("line")) for r in reports]
+    return reduce(DataFrame.unionByName, lines)
 
 
 @register(
@@ -250,11 +265,6 @@ def dq_trend(t: Tables):
     return marts.dq_trend(t.insights, CLOCK)
 
 
-def _split(failed: str) -> str:
-    """The check names of a row as a list; commas also occur inside range names."""
-    return f"string_split(regexp_replace({failed}, ',(Not|Range|Url|Future)', '|\\1', 'g'), '|')"
-
-
 @register(
     "dq_summary",
     f"""
