@@ -3,81 +3,206 @@
 The library turns each space into the marker U+2581, puts one in front, and merges symbols into
 pieces. When no piece holds a marker after another character, no merge crosses the place before
 a marker that follows another character: the text falls into chunks (markers, then the rest)
-whose segmentations are independent. Each task keeps a table of the distinct chunks it has met,
-segments a new chunk once, and reads the ids of a text from the table by position.
+whose segmentations are independent.
+
+Texts are read in blocks. Each block sends its distinct chunks, by hash bucket, to the table of
+all distinct chunks, where a chunk is segmented once; the ids come back to the block and are
+joined by position. A block sends its texts as chunk numbers, so no text is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh32_intdigest, xxh64_intdigest
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 CROSSING = re.compile(f"[^{MARK}]{MARK}")
-TABLE_SIZE = 300_000  # chunks a task keeps; a full table is emptied and filled anew
-LONG_CHUNK = 64  # characters; longer chunks hardly repeat and are not kept
+BLOCK_CHARS = 8_000_000  # a block ends with the text that reaches this size
+DOCS_PER_BUCKET = 4000
+FEWEST_BUCKETS, MOST_BUCKETS = 16, 1 << 20
+
+
+def chunks_of(text: str | None) -> list[str]:
+    return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return np.asarray(ids, dtype="<u4").tobytes()
+
 
+def id_list(data: bytes) -> list[int]:
+    return np.frombuffer(data, dtype="<u4").tolist()
+
+
+class Segmenter:
+    """The library's ids of single chunks."""
+
+    def __init__(self, proto: bytes):
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.begin = id_bytes([self.model.bos_id()])
+        self.end = id_bytes([self.model.eos_id()])
+        self.mark = id_bytes([self.model.piece_to_id(MARK)])
+
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        # The library adds the first marker itself, so it gets the chunk without it.
+        found = self.model.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1) if chunks else []
+        return [self.mark if c == MARK else id_bytes(ids) for c, ids in zip(chunks, found)]
 
-def load(proto: bytes) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_proto=proto)
+    def encode(self, text: str) -> list[int]:
+        """Begin id, the ids of the chunks in their order, end id."""
+        return id_list(b"".join([self.begin, *self.ids(chunks_of(text)), self.end]))
 
 
 def check_model(proto: bytes) -> None:
     """Raise ValueError unless chunks are independent under this model."""
-    model = load(proto)
-    size = model.get_piece_size()
-    if any(CROSSING.search(model.id_to_piece(i)) for i in range(size)):
+    segmenter = Segmenter(proto)
+    model = segmenter.model
+    if any(CROSSING.search(model.id_to_piece(i)) for i in range(model.get_piece_size())):
         raise ValueError("a piece crosses a white space marker")
-    probe = "  a  b c d\n  ① "
-    if ChunkTable(proto).encode(probe) != model.encode(probe, add_bos=True, add_eos=True):
+    probe = "  a  b c d\n  ① "
+    if segmenter.encode(probe) != model.encode(probe, add_bos=True, add_eos=True):
         raise ValueError("the model's normalisation does not leave marked words apart")
 
 
-class ChunkTable:
-    """Ids of distinct chunks, kept as little-endian unsigned 32-bit bytes."""
+def pack(items: list[bytes]) -> bytes:
+    """A compressed list of byte strings."""
+    sizes = np.asarray([len(items), *map(len, items)], dtype="<u4")
+    return zlib.compress(sizes.tobytes() + b"".join(items), 1)
 
-    def __init__(self, proto: bytes):
-        self.model = load(proto)
-        self.table: dict[str, bytes] = {}
-        self.first = self._bytes([self.model.bos_id()])
-        self.last = self._bytes([self.model.eos_id()])
-        self.mark = self._bytes([self.model.piece_to_id(MARK)])
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+def unpack(data: bytes) -> list[bytes]:
+    raw = zlib.decompress(data)
+    count = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = 4 + 4 * count + np.cumsum(np.frombuffer(raw, "<u4", count, 4), dtype=np.int64)
+    starts = [4 + 4 * count, *ends.tolist()]
+    return [raw[a:b] for a, b in zip(starts, starts[1:])]
 
-    def _segment(self, chunks: list[str]) -> list[bytes]:
-        # The library adds the first marker itself, so it gets the chunk without it.
-        found = self.model.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
-        return [self.mark if c == MARK else self._bytes(ids) for c, ids in zip(chunks, found)]
-
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids of a whole text with begin and end ids, as bytes."""
-        if not text:
-            return self.first + self.last
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        new = [c for c in set(chunks) if c not in table]
-        met = dict(zip(new, self._segment(new))) if new else {}
-        if len(table) + len(met) > TABLE_SIZE:
-            self.table = table = {c: table[c] for c in set(chunks) - met.keys()}
-        table.update(met)
-        ids = b"".join([self.first, *map(table.__getitem__, chunks), self.last])
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del table[c]
-        if len(table) > TABLE_SIZE:
-            table.clear()
-        return ids
 
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Compressed 32-bit numbers, byte by byte: the high bytes of small numbers are all alike."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+class Block:
+    """Texts as numbers of their chunks; chunks are numbered by (bucket, first occurrence)."""
+
+    def __init__(self):
+        self.owners: list[int | None] = []
+        self.sizes: list[int] = []
+        self.places: list[np.ndarray] = []
+        self.index: dict[str, int] = {}
+        self.chars = 0
+
+    def add(self, owner: int | None, text: str | None) -> None:
+        chunks, index = chunks_of(text), self.index
+        for chunk in chunks:
+            if chunk not in index:
+                index[chunk] = len(index)
+        self.owners.append(owner)
+        self.sizes.append(len(chunks))
+        self.places.append(np.fromiter(map(index.__getitem__, chunks), np.uint32, len(chunks)))
+        self.chars += len(text or "") + 1
+
+    def numbered(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
+        """The chunks in order of their numbers, their buckets, the texts' numbers, a checksum."""
+        chunks = [c.encode() for c in self.index]
+        bucket = np.fromiter((xxh32_intdigest(c) % buckets for c in chunks), np.int64, len(chunks))
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(chunks), np.uint32)
+        number[order] = np.arange(len(chunks), dtype=np.uint32)
+        ordered = [chunks[i] for i in order.tolist()]
+        places = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
+        check = xxh64_intdigest(b"\0".join(ordered)) >> 1
+        return ordered, bucket[order], number[places], check
+
+
+def blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
+    """The blocks of a task with their numbers."""
+    from pyspark import TaskContext
+
+    number, block = TaskContext.get().partitionId() << 32, Block()
+    for batch in stream:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            for owner, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                block.add(owner, text)
+                if block.chars >= BLOCK_CHARS:
+                    yield number, block
+                    number, block = number + 1, Block()
+    if block.owners:
+        yield number, block
+
+
+def distinct_chunks(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, sum, chunks): the distinct chunks of every block, one row per bucket."""
+
+    def run(stream):
+        for number, block in blocks(stream):
+            chunks, bucket, _, check = block.numbered(buckets)
+            found, starts = np.unique(bucket, return_index=True)
+            ends = [*starts[1:].tolist(), len(chunks)]
+            packed = [pack(chunks[a:b]) for a, b in zip(starts.tolist(), ends)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array(found, pa.int32()),
+                    "block": pa.array([number] * len(found), pa.int64()),
+                    "sum": pa.array([check] * len(found), pa.int64()),
+                    "chunks": pa.array(packed, pa.binary()),
+                }
+            )
+
+    return rows.mapInArrow(run, "bucket int, block long, sum long, chunks binary")
+
+
+def segmented(chunks: DataFrame, proto: bytes) -> DataFrame:
+    """(block, sum, bucket, ids) for `distinct_chunks`: each chunk of a bucket is segmented once."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter, table = Segmenter(proto), {}
+        for batch in stream:
+            for i in range(batch.num_rows):
+                mine = unpack(batch.column("chunks")[i].as_py())
+                new = [c for c in mine if c not in table]
+                table.update(zip(new, segmenter.ids([c.decode() for c in new])))
+                row = batch.slice(i, 1)
+                ids = pa.array([pack([table[c] for c in mine])], pa.binary())
+                columns = [row.column("block"), row.column("sum"), row.column("bucket"), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "sum", "bucket", "ids"])
+
+    run.__annotations__ = {"stream": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return chunks.groupBy("bucket").applyInArrow(run, "block long, sum long, bucket int, ids binary")
+
+
+def numbered_texts(rows: DataFrame, buckets: int) -> DataFrame:
+    """(block, sum, owners, sizes, places): the texts of every block as chunk numbers, one row each."""
+
+    def run(stream):
+        for number, block in blocks(stream):
+            _, _, places, check = block.numbered(buckets)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([number], pa.int64()),
+                    "sum": pa.array([check], pa.int64()),
+                    "owners": pa.array([block.owners], pa.list_(pa.int64())),
+                    "sizes": pa.array([block.sizes], pa.list_(pa.int32())),
+                    "places": pa.array([pack_numbers(places)], pa.binary()),
+                }
+            )
+
+    return rows.mapInArrow(run, "block long, sum long, owners array<long>, sizes array<int>, places binary")
 
 
 def encode(docs: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,25 +212,42 @@ def encode(docs: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text
     `ids` are little-endian unsigned 32-bit ids of the whole text with begin and end ids; a null
     or empty text gives just these two. Repeated rows and null keys are rows like any other;
     other columns are ignored.
+
+    `docs` is read twice and must give the same rows in the same order, as a stored table does;
+    a checksum per block turns a difference into an error.
     """
     if len(proto) > 64 << 20:
         raise ValueError("the model is too large to travel with the job")
     check_model(proto)
+    buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, docs.count() // DOCS_PER_BUCKET))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def batches(stream):
-        table = ChunkTable(proto)
-        for batch in stream:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [table.encode_bytes(t or "") for t in part.column(1).to_pylist()]
-                texts = [table.model.decode(np.frombuffer(i, dtype="<u4").tolist()) for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
-                    ["doc_id", "ids", "decoded"],
-                )
+    def join(texts: pa.Table, parts: pa.Table) -> pa.Table:
+        segmenter = Segmenter(proto)
+        owners, out = [], []
+        found = dict(zip(parts["bucket"].to_pylist(), parts["ids"].to_pylist())) if parts.num_rows else {}
+        sums = set(texts["sum"].to_pylist()) | (set(parts["sum"].to_pylist()) if parts.num_rows else set())
+        if texts.num_rows != 1 or len(sums) != 1:
+            raise RuntimeError("the texts changed between two reads; store them first")
+        table = [ids for bucket in sorted(found) for ids in unpack(found[bucket])]
+        places, start = unpack_numbers(texts["places"][0].as_py()).tolist(), 0
+        owners = texts["owners"][0].as_py()
+        for size in texts["sizes"][0].as_py():
+            ids = map(table.__getitem__, places[start : start + size])
+            out.append(b"".join([segmenter.begin, *ids, segmenter.end]))
+            start += size
+        decoded = [segmenter.model.decode(id_list(ids)) for ids in out]
+        columns = [pa.array(owners, pa.int64()), pa.array(out, pa.binary()), pa.array(decoded, pa.string())]
+        return pa.Table.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, ids binary, decoded string")
+    join.__annotations__ = {"texts": pa.Table, "parts": pa.Table, "return": pa.Table}
+    texts = numbered_texts(rows, buckets)
+    parts = segmented(distinct_chunks(rows, buckets), proto).select(
+        F.col("block").alias("of"), "sum", "bucket", "ids"
+    )
+    return texts.groupBy("block").cogroup(parts.groupBy("of")).applyInArrow(
+        join, "doc_id long, ids binary, decoded string"
+    )
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -116,5 +258,3 @@ def digests(encoded: DataFrame) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
-
-

@@ -10,7 +10,7 @@ from . import brute
 
 PROTO = piece_model()
 MODEL = sentencepiece.SentencePieceProcessor(model_proto=PROTO)
-TABLE = pieces.ChunkTable(PROTO)
+SEGMENTER = pieces.Segmenter(PROTO)
 
 
 def expected(text):
@@ -21,7 +21,7 @@ def expected(text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" ▁\n\tabé漢🙂."), st.characters(codec="utf-8")), max_size=60))
 def test_chunks_give_the_librarys_ids(text):
-    assert TABLE.encode(text) == MODEL.encode(text, add_bos=True, add_eos=True)
+    assert SEGMENTER.encode(text) == MODEL.encode(text, add_bos=True, add_eos=True)
 
 
 def test_whole_query_equals_the_library(spark, small, documents):
@@ -36,12 +36,31 @@ def test_odd_texts(make, spark):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), PROTO).collect() == []
 
 
-def test_a_full_table_is_emptied(monkeypatch):
-    monkeypatch.setattr(pieces, "TABLE_SIZE", 5)
-    table = pieces.ChunkTable(PROTO)
-    for text in ("a b c d", "c d e f g", "a b c d e f g h i j k", "a b"):
-        assert table.encode(text) == MODEL.encode(text, add_bos=True, add_eos=True)
-        assert len(table.table) <= 5
+def test_many_small_blocks_and_buckets(make, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(pieces, "DOCS_PER_BUCKET", 2)
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(120)]
+    got = pieces.digests(pieces.encode(make(rows, "doc_id long, text string"), PROTO)).collect()
+    assert {tuple(r) for r in got} == {(i, *expected(t)) for i, t in rows}
+
+
+def test_a_chunk_is_segmented_once(make):
+    rows = make([(i, "a common text with common words") for i in range(50)], "doc_id long, text string")
+    chunks = pieces.distinct_chunks(rows, 16).collect()
+    found = [c for r in chunks for c in pieces.unpack(bytes(r.chunks))]
+    assert len(found) == 5 * len({r.block for r in chunks})
+    ids = pieces.segmented(pieces.distinct_chunks(rows, 16), PROTO).collect()
+    by_bucket = {}
+    for r in ids:
+        by_bucket.setdefault(r.bucket, set()).add(bytes(r.ids))
+    assert sum(len(pieces.unpack(next(iter(v)))) for v in by_bucket.values()) == 5
+
+
+def test_packing_round_trips():
+    for items in ([], [b""], [b"a", b"", b"\0x" * 70_000]):
+        assert pieces.unpack(pieces.pack(items)) == items
+    for numbers in ([], [0], [1, 255, 256, 70_000, 2**31]):
+        assert pieces.unpack_numbers(pieces.pack_numbers(np.asarray(numbers, np.uint32))).tolist() == numbers
 
 
 def test_a_too_large_model_is_refused(spark):
