@@ -54,9 +54,9 @@ NEVER_TEXT = set(
 )
 NEVER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEVER_NAMES = set(
-    "ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment "
-    "comments consent cookie cookies disclaimer disqus footer form gdpr header login masthead menu modal nav navbar "
-    "navigation newsletter notice notices notification pagination pager popup promo promotion related replies "
+    "ad ads adbox adslot adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs "
+    "comment comments commentlist commentform consent cookie cookies cookiebar cookiebanner disclaimer disqus footer form gdpr header login masthead menu modal nav navbar "
+    "navigation topnav sidenav newsletter notice notices notification pagination pager popup promo promotion related replies "
     "respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 CONTENT_NAMES = {"article", "post", "entry", "story", "content", "main"}
