@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,14 @@ def embedding_text(title: str = "title", description: str = "description", max_c
     return text if max_chars is None else F.left(text, F.lit(max_chars))
 
 
-def _with_tokens(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("_tokens", F.filter(words(F.col("text")), lambda w: w != ""))
+def _with_buckets(texts: DataFrame, dimensions: int) -> DataFrame:
+    """The words of each text as numbers of their dimension, from the first digits of their MD5."""
+
+    def bucket(word: Column) -> Column:
+        return (F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("int") % dimensions).cast("string")
+
+    tokens = F.filter(words(F.col("text")), lambda w: w != "")
+    return texts.withColumn("_buckets", F.transform(tokens, bucket))
 
 
 def fit_encoder(texts: DataFrame, dimensions: int = DIMENSIONS) -> Encoder:
@@ -34,21 +40,22 @@ def fit_encoder(texts: DataFrame, dimensions: int = DIMENSIONS) -> Encoder:
 
     Fitting is one aggregation of a vector of `dimensions` counts.
     """
+    numbers = [str(i) for i in range(dimensions)]
     stages = Pipeline(
         stages=[
-            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dimensions),
+            CountVectorizerModel.from_vocabulary(numbers, inputCol="_buckets", outputCol="_tf"),
             IDF(inputCol="_tf", outputCol="_idf"),
             Normalizer(inputCol="_idf", outputCol="_unit"),
         ]
     )
-    return encoder_from(stages.fit(_with_tokens(texts)))
+    return encoder_from(stages.fit(_with_buckets(texts, dimensions)), dimensions)
 
 
-def encoder_from(model: PipelineModel) -> Encoder:
+def encoder_from(model: PipelineModel, dimensions: int = DIMENSIONS) -> Encoder:
     """An encoder (id, text) -> (id, embedding) from a fitted pipeline."""
 
     def encode(texts: DataFrame) -> DataFrame:
-        return model.transform(_with_tokens(texts)).select(
+        return model.transform(_with_buckets(texts, dimensions)).select(
             "id", vector_to_array("_unit", "float32").alias("embedding")
         )
 

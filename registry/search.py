@@ -314,9 +314,43 @@ def embedding_backfill(t: Tables):
     )
 
 
-@register("question_answer_sources")
+def _buckets_sql(key: str, text: str, source: str) -> str:
+    """(key, bucket, tf): words counted by the first six digits of their MD5 modulo the dimensions."""
+    digits = " + ".join(f"(strpos('0123456789abcdef', substr(md5(token), {i + 1}, 1)) - 1) * {16 ** (5 - i)}" for i in range(6))
+    tokens = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return (
+        f"SELECT {key}, ({digits}) % {embed.DIMENSIONS} AS bucket, count(*) AS tf "
+        f"FROM (SELECT {key}, unnest({tokens}) AS token FROM {source}) GROUP BY ALL"
+    )
+
+
+def _unit_sql(key: str, counts: str) -> str:
+    return (
+        f"SELECT {key}, bucket, CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS x "
+        f"FROM (SELECT {key}, bucket, tf * ln((m + 1.0) / (coalesce(df, 0) + 1.0)) AS x FROM {counts} LEFT JOIN spread USING (bucket) JOIN docs ON true)"
+    )
+
+
+@register(
+    "question_answer_sources",
+    """
+SELECT CAST(item_id AS VARCHAR) AS question, CAST(place AS INT) AS place, id, round(similarity, 3) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, id) AS place FROM (
+    SELECT item_id, id, round(sum(q.x * a.x) / any_value(q.n) / any_value(a.n), 12) AS similarity
+    FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS n FROM asked_units) q
+    JOIN (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM units) a USING (bucket) GROUP BY ALL))
+WHERE place <= 5
+""",
+    ("news_articles",),
+    counts=_buckets_sql("id", TEXT, "news_articles"),
+    spread="SELECT bucket, count(*) AS df FROM counts GROUP BY bucket",
+    docs="SELECT count(*) AS m FROM news_articles",
+    units=_unit_sql("id", "counts"),
+    asked_counts=_buckets_sql("item_id", "text", "benchmark"),
+    asked_units=_unit_sql("item_id", "asked_counts"),
+)
 def question_answer_sources(t: Tables):
-    """Questions encoded like the articles; the hash of the encoder has no SQL equivalent."""
+    """Questions encoded like the articles."""
     encode = _encoder(t)
     articles = encode(t.news.select("id", embed.embedding_text().alias("text")))
     asked = encode(t.raw("benchmark").select(F.col("item_id").alias("id"), "text"))

@@ -10,7 +10,7 @@ from registry.tables import QUERIES, SQL
 from tests.conftest import SMALL
 
 # The training-data queries have their own tests and may be absent.
-WITHOUT_SQL = {"semantic_topk_near", "question_answer_sources"}
+WITHOUT_SQL = {"semantic_topk_near"}
 
 
 def _norm(value):
@@ -33,7 +33,7 @@ def test_query_matches_sql(spark, duck, name):
     assert _rows(df.columns, df.collect()) == _rows(columns, cursor.fetchall())
 
 
-def test_only_hashed_and_approximate_results_lack_sql():
+def test_only_approximate_results_lack_sql():
     assert set(QUERIES) - set(SQL) == WITHOUT_SQL
     assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
