@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.texts import STOP_WORDS, WORD, Stems
+from quotemill.functions.texts import IRREGULAR_STEMS, STOP_WORDS, WORD, Stems
 from quotemill.operators.joins import join_summary, settled
 
 # The usual BM25 constants: saturation of the term count and weight of the text length.
 K1, B = 1.2, 0.75
 NO_TERM = ""
 DOCS_AT_ONCE = 256
+SHIPPED_TERMS = 100_000  # so many wanted terms travel with the job, more meet the postings in a join
 COLUMNS = ["id", "published_at", "term", "tf", "length"]
 POSTINGS = "id BIGINT, published_at TIMESTAMP_NTZ, term STRING, tf INT, length INT"
 
@@ -29,23 +30,37 @@ def search_text(title: str = "title", description: str = "description") -> Colum
     return F.concat(F.col(title), F.lit(" "), F.coalesce(F.col(description), F.lit("")))
 
 
-def _term_counts(text: str | None, stems: Stems, stop: frozenset[str]) -> Counter:
-    """Count of each stem of a text without stop words."""
-    counts: Counter = Counter()
-    for word, n in Counter(WORD.findall((text or "").lower())).items():
-        if word not in stop:
-            counts[stems[word]] += n
-    return counts
+class TermCounter:
+    """Counts the stems of texts without stop words; with `wanted` only those stems."""
+
+    def __init__(self, wanted: frozenset[str] | None = None):
+        self.stop, self.stems, self.wanted = frozenset(STOP_WORDS), Stems(), wanted
+        # A stem begins like its word, so most words need not be stemmed to see that none wants them.
+        self.beginnings = None if wanted is None else {t[:2] for t in wanted}
+
+    def count(self, text: str | None) -> tuple[Counter, int]:
+        """Count of each stem, and the number of all words."""
+        counts: Counter = Counter()
+        length = 0
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            if word in self.stop:
+                continue
+            length += n
+            if self.wanted is None:
+                counts[self.stems[word]] += n
+            elif word[:2] in self.beginnings or word in IRREGULAR_STEMS:
+                stem = self.stems[word]
+                if stem in self.wanted:
+                    counts[stem] += n
+        return counts, length
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query, term) of the distinct queries; a query of stop words only has no row."""
-    stop = frozenset(STOP_WORDS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stems = Stems()
+        counter = TermCounter()
         for batch in batches:
-            pairs = [(q, t) for q in batch.column(0).to_pylist() for t in _term_counts(q, stems, stop)]
+            pairs = [(q, t) for q in batch.column(0).to_pylist() for t in counter.count(q)[0]]
             names, terms = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_pydict({"query": pa.array(names, pa.string()), "term": pa.array(terms, pa.string())})
 
@@ -56,29 +71,35 @@ def postings(docs: DataFrame, text: Column, terms: DataFrame | None = None) -> D
     """(id, published_at, term, tf, length) of every document, and one row with the empty term.
 
     Texts are split, stemmed and counted where they are read: no text is shuffled, and a word
-    is stemmed once per task. With `terms` only those terms are kept.
+    is stemmed once per task. With `terms` only those terms are kept: up to SHIPPED_TERMS of them
+    travel with the job (looking that up is a job of its own), more are joined.
     """
-    stop = frozenset(STOP_WORDS)
+    wanted = None
+    if terms is not None:
+        few = terms.select("term").distinct().limit(SHIPPED_TERMS + 1).collect()
+        if len(few) <= SHIPPED_TERMS:
+            wanted = frozenset(r["term"] for r in few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stems = Stems()
+        counter = TermCounter(wanted)
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(start, DOCS_AT_ONCE)
                 owners, found, counts, lengths = [], [], [], []
                 for owner, content in enumerate(part.column(2).to_pylist()):
-                    terms_of = _term_counts(content, stems, stop)
+                    terms_of, length = counter.count(content)
                     owners.extend([owner] * (len(terms_of) + 1))
                     found.extend([*terms_of, NO_TERM])
                     counts.extend([*terms_of.values(), 0])
-                    lengths.extend([sum(terms_of.values())] * (len(terms_of) + 1))
+                    lengths.extend([length] * (len(terms_of) + 1))
                 at = pa.array(owners, pa.int32())
                 columns = [part.column(0).take(at), part.column(1).take(at), pa.array(found, pa.string())]
                 columns += [pa.array(counts, pa.int32()), pa.array(lengths, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, COLUMNS)
 
     rows = docs.select(F.col("id").cast("bigint").alias("id"), F.col("published_at").cast("timestamp_ntz").alias("published_at"), text.alias("text"))
-    return _of_terms(rows.mapInArrow(run, POSTINGS), terms)
+    found = rows.mapInArrow(run, POSTINGS)
+    return found if wanted is not None else _of_terms(found, terms)
 
 
 def _of_terms(index: DataFrame, terms: DataFrame | None) -> DataFrame:

@@ -184,3 +184,17 @@ def test_backfill_fills_only_missing_rows_up_to_the_batch(spark, docs):
 def test_embedding_text_is_whole_unless_a_limit_is_given(docs):
     row = docs.filter("id = 5").select(embed.embedding_text().alias("a"), embed.embedding_text(max_chars=1000).alias("b")).first()
     assert len(row["a"]) > 2000 and len(row["b"]) == 1000
+
+
+def test_many_terms_are_joined_with_equal_results(spark, docs, monkeypatch):
+    few = sorted(map(tuple, keyword.search(docs, asked(spark, QUERIES)).select("query", "id", "place", "relevance").collect()))
+    monkeypatch.setattr(keyword, "SHIPPED_TERMS", 1)
+    many = keyword.search(docs, asked(spark, QUERIES)).select("query", "id", "place", "relevance").collect()
+    assert sorted(map(tuple, many)) == few and few
+
+
+def test_stems_begin_like_their_words(tables):
+    """What lets the search skip words before stemming them."""
+    tokens = {t for r in tables.news.select("title", "description").collect() for t in texts.WORD.findall(f"{r[0]} {r[1]}".lower())}
+    assert len(tokens) > 1000
+    assert all(texts.stem_word(t)[:2] == t[:2] for t in tokens if t not in texts.IRREGULAR_STEMS)
