@@ -25,7 +25,7 @@ from xxhash import xxh32_intdigest, xxh64_intdigest
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 CROSSING = re.compile(f"[^{MARK}]{MARK}")
-BLOCK_CHARS = 8_000_000  # a block ends with the text that reaches this size
+BLOCK_CHARS = 16_000_000  # a block ends with the text that reaches this size
 DOCS_PER_BUCKET = 4000
 FEWEST_BUCKETS, MOST_BUCKETS = 16, 1 << 20
 
@@ -73,20 +73,6 @@ def check_model(proto: bytes) -> None:
         raise ValueError("the model's normalisation does not leave marked words apart")
 
 
-def pack(items: list[bytes]) -> bytes:
-    """A compressed list of byte strings."""
-    sizes = np.asarray([len(items), *map(len, items)], dtype="<u4")
-    return zlib.compress(sizes.tobytes() + b"".join(items), 1)
-
-
-def unpack(data: bytes) -> list[bytes]:
-    raw = zlib.decompress(data)
-    count = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = 4 + 4 * count + np.cumsum(np.frombuffer(raw, "<u4", count, 4), dtype=np.int64)
-    starts = [4 + 4 * count, *ends.tolist()]
-    return [raw[a:b] for a, b in zip(starts, starts[1:])]
-
-
 def pack_numbers(numbers: np.ndarray) -> bytes:
     """Compressed 32-bit numbers, byte by byte: the high bytes of small numbers are all alike."""
     return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
@@ -96,6 +82,29 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    starts = [0, *np.cumsum(sizes, dtype=np.int64).tolist()]
+    return [data[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def pack_chunks(chunks: list[bytes]) -> tuple[bytes, bytes]:
+    """The sizes and the content of byte strings, compressed."""
+    return pack_numbers(np.asarray([len(c) for c in chunks], np.uint32)), zlib.compress(b"".join(chunks), 1)
+
+
+def unpack_chunks(sizes: bytes, content: bytes) -> list[bytes]:
+    return cut(zlib.decompress(content), unpack_numbers(sizes))
+
+
+def pack_ids(lists: list[bytes]) -> tuple[bytes, bytes]:
+    """The sizes and the numbers of lists of ids, compressed."""
+    return pack_numbers(np.asarray([len(x) for x in lists], np.uint32)), pack_numbers(np.frombuffer(b"".join(lists), "<u4"))
+
+
+def unpack_ids(sizes: bytes, numbers: bytes) -> list[bytes]:
+    return cut(unpack_numbers(numbers).tobytes(), unpack_numbers(sizes))
+
+
 class Block:
     """Texts as numbers of their chunks; chunks are numbered by (bucket, first occurrence)."""
 
@@ -147,43 +156,44 @@ def blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
 
 
 def distinct_chunks(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, sum, chunks): the distinct chunks of every block, one row per bucket."""
+    """(bucket, block, sum, sizes, content): the distinct chunks of every block, one row per bucket."""
 
     def run(stream):
         for number, block in blocks(stream):
             chunks, bucket, _, check = block.numbered(buckets)
             found, starts = np.unique(bucket, return_index=True)
             ends = [*starts[1:].tolist(), len(chunks)]
-            packed = [pack(chunks[a:b]) for a, b in zip(starts.tolist(), ends)]
+            sizes, content = zip(*[pack_chunks(chunks[a:b]) for a, b in zip(starts.tolist(), ends)]) if len(found) else ((), ())
             yield pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array(found, pa.int32()),
                     "block": pa.array([number] * len(found), pa.int64()),
                     "sum": pa.array([check] * len(found), pa.int64()),
-                    "chunks": pa.array(packed, pa.binary()),
+                    "sizes": pa.array(sizes, pa.binary()),
+                    "content": pa.array(content, pa.binary()),
                 }
             )
 
-    return rows.mapInArrow(run, "bucket int, block long, sum long, chunks binary")
+    return rows.mapInArrow(run, "bucket int, block long, sum long, sizes binary, content binary")
 
 
 def segmented(chunks: DataFrame, proto: bytes) -> DataFrame:
-    """(block, sum, bucket, ids) for `distinct_chunks`: each chunk of a bucket is segmented once."""
+    """(block, sum, bucket, sizes, ids) for `distinct_chunks`: each chunk of a bucket is segmented once."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, table = Segmenter(proto), {}
         for batch in stream:
             for i in range(batch.num_rows):
-                mine = unpack(batch.column("chunks")[i].as_py())
+                mine = unpack_chunks(batch.column("sizes")[i].as_py(), batch.column("content")[i].as_py())
                 new = [c for c in mine if c not in table]
                 table.update(zip(new, segmenter.ids([c.decode() for c in new])))
                 row = batch.slice(i, 1)
-                ids = pa.array([pack([table[c] for c in mine])], pa.binary())
-                columns = [row.column("block"), row.column("sum"), row.column("bucket"), ids]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "sum", "bucket", "ids"])
+                packed = [pa.array([x], pa.binary()) for x in pack_ids([table[c] for c in mine])]
+                columns = [row.column("block"), row.column("sum"), row.column("bucket"), *packed]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "sum", "bucket", "sizes", "ids"])
 
     run.__annotations__ = {"stream": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return chunks.groupBy("bucket").applyInArrow(run, "block long, sum long, bucket int, ids binary")
+    return chunks.groupBy("bucket").applyInArrow(run, "block long, sum long, bucket int, sizes binary, ids binary")
 
 
 def numbered_texts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -224,12 +234,11 @@ def encode(docs: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text
 
     def join(texts: pa.Table, parts: pa.Table) -> pa.Table:
         segmenter = Segmenter(proto)
-        owners, out = [], []
-        found = dict(zip(parts["bucket"].to_pylist(), parts["ids"].to_pylist())) if parts.num_rows else {}
+        out, columns = [], [parts[c].to_pylist() for c in ("bucket", "sizes", "ids")] if parts.num_rows else [[], [], []]
         sums = set(texts["sum"].to_pylist()) | (set(parts["sum"].to_pylist()) if parts.num_rows else set())
         if texts.num_rows != 1 or len(sums) != 1:
             raise RuntimeError("the texts changed between two reads; store them first")
-        table = [ids for bucket in sorted(found) for ids in unpack(found[bucket])]
+        table = [ids for _, *packed in sorted(zip(*columns)) for ids in unpack_ids(*packed)]
         places, start = unpack_numbers(texts["places"][0].as_py()).tolist(), 0
         owners = texts["owners"][0].as_py()
         for size in texts["sizes"][0].as_py():
@@ -243,7 +252,7 @@ def encode(docs: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text
     join.__annotations__ = {"texts": pa.Table, "parts": pa.Table, "return": pa.Table}
     texts = numbered_texts(rows, buckets)
     parts = segmented(distinct_chunks(rows, buckets), proto).select(
-        F.col("block").alias("of"), "sum", "bucket", "ids"
+        F.col("block").alias("of"), "sum", "bucket", "sizes", "ids"
     )
     return texts.groupBy("block").cogroup(parts.groupBy("of")).applyInArrow(
         join, "doc_id long, ids binary, decoded string"

@@ -47,18 +47,20 @@ def test_many_small_blocks_and_buckets(make, monkeypatch):
 def test_a_chunk_is_segmented_once(make):
     rows = make([(i, "a common text with common words") for i in range(50)], "doc_id long, text string")
     chunks = pieces.distinct_chunks(rows, 16).collect()
-    found = [c for r in chunks for c in pieces.unpack(bytes(r.chunks))]
+    found = [c for r in chunks for c in pieces.unpack_chunks(bytes(r.sizes), bytes(r.content))]
     assert len(found) == 5 * len({r.block for r in chunks})
     ids = pieces.segmented(pieces.distinct_chunks(rows, 16), PROTO).collect()
     by_bucket = {}
     for r in ids:
-        by_bucket.setdefault(r.bucket, set()).add(bytes(r.ids))
-    assert sum(len(pieces.unpack(next(iter(v)))) for v in by_bucket.values()) == 5
+        by_bucket.setdefault(r.bucket, set()).add((bytes(r.sizes), bytes(r.ids)))
+    assert sum(len(pieces.unpack_ids(*next(iter(v)))) for v in by_bucket.values()) == 5
 
 
 def test_packing_round_trips():
     for items in ([], [b""], [b"a", b"", b"\0x" * 70_000]):
-        assert pieces.unpack(pieces.pack(items)) == items
+        assert pieces.unpack_chunks(*pieces.pack_chunks(items)) == items
+    for lists in ([], [b""], [pieces.id_bytes([1, 70_000]), b"", pieces.id_bytes([31_999])]):
+        assert pieces.unpack_ids(*pieces.pack_ids(lists)) == lists
     for numbers in ([], [0], [1, 255, 256, 70_000, 2**31]):
         assert pieces.unpack_numbers(pieces.pack_numbers(np.asarray(numbers, np.uint32))).tolist() == numbers
 
