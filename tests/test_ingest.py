@@ -96,7 +96,7 @@ def test_unusable_tickers_are_rejected_and_nothing_stops(spark):
     odd = [ticker(lastPrice=x) for x in ("1e12", "NaN", "Infinity")] + [ticker(quoteVolume="1e30"), ticker(priceChangePercent="1e15"), ticker(symbol=None)]
     raw = feeds.tickers_from_payload(payloads(spark, [json.dumps([ticker(), *odd]), "[]", *BAD]))
     parsed = feeds.normalise_tickers(raw)
-    assert parsed.rows.columns == ["symbol", "price_usd", "market_cap", "volume_24h", "price_change_24h"] and parsed.rows.count() == 1
+    assert parsed.rows.columns == ["item_pos", "symbol", "price_usd", "market_cap", "volume_24h", "price_change_24h"] and parsed.rows.count() == 1
     rejects = parsed.rejects.collect()
     assert len(rejects) == len(odd) + len(BAD)
     assert sorted(r["payload"] for r in rejects if r["payload"] is not None) == sorted(t for t in BAD if t is not None)
