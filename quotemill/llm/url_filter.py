@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -14,30 +16,57 @@ FEATURES = 1 << 16
 MOST_RULES = 1000  # rules become one expression; longer lists belong into a join
 MOST_URLS = 100_000  # labelled urls the fit reads
 
-# The default labelled table: invented hosts on one reserved domain, every host with every path,
-# so that paths and name parts common to both sides carry no weight.
+# The default labelled table, from general vocabulary: what block lists and web directories name
+# their subjects. Both sides get the same companions, hyphens, domains and paths, so that these
+# carry no weight.
 UNWANTED = (
-    "cheap-pills buy-pills.shop pills-online free-bets bets-now sport-bets casino-win casino-royal win-casino "
-    "big-win-slots spam-farm spam-links link-farm adult-x adult-cams xxx-adult x-videos ads-track adserver "
-    "track-ads.click click-tracker payday-loans fast-loans replica-watches free-viagra viagra-shop porn-tube "
-    "lottery-prize crypto-giveaway warez-crack torrent-warez phish-login malware-download escort-girls"
+    "casino poker roulette blackjack slots jackpot bet bets betting gambling lottery bingo wager bookmaker "
+    "porn sex xxx adult adults erotic escort escorts nude naked webcam camgirls hentai fetish milf swingers "
+    "pills pill viagra cialis tramadol steroids xanax valium diet weightloss "
+    "spam scam phishing malware spyware adware trojan botnet keylogger ransomware "
+    "ads ad adserver advert banner popup popunder tracker tracking clicks doubleclick affiliate "
+    "payday loans loan lender cashadvance forex replica counterfeit "
+    "warez torrent torrents keygen crack cracked pirate serials hacked nulled"
 ).split()
 WANTED = (
-    "city-library river-museum.blog old-town.news school-garden science-weekly music-review travel-notes "
-    "kitchen-stories open-atlas green-valley health-council court-records chess-club history-forum the.reading "
-    "weather-station farm-museum track-and-field online-archive free-library win-the-day shop-talk link-between "
-    "therat thered ththon ththing onthe tionsh anthe erand hereon wherein ththly ingand outhern thenth"
+    "library museum school university college academy institute science physics chemistry biology mathematics "
+    "history geography philosophy literature poetry language grammar dictionary encyclopedia archive journal "
+    "newspaper magazine news weather climate nature forest river mountain ocean island garden farming "
+    "agriculture kitchen recipes cooking bakery coffee restaurant hotel travel railway airport harbour bridge "
+    "city village council parliament government ministry court justice police hospital clinic doctor nursing "
+    "health medicine dental family children parents teacher student research laboratory engineering software "
+    "computer programming database network electronics robotics astronomy space geology energy solar water "
+    "music orchestra theatre cinema gallery painting photography design architecture building furniture "
+    "carpenter football cricket tennis cycling swimming running hiking sailing chess puzzle games toys books "
+    "reading writing publisher author editor radio television podcast forum community charity church "
+    "cathedral festival heritage tradition culture fashion jewellery clothing shoes market shopping insurance "
+    "bank accounting business industry factory transport logistics shipping housing property careers "
+    "employment training conference wedding animals birds horses veterinary flowers wildlife conservation "
+    "thoughts nothing anything everything another other together weekend northern southern western eastern"
 ).split()
+COMPANIONS = "online best city world home group club center hub zone web store land point my the one top free new".split()
+DOMAINS = ("com", "org", "net", "info")
 PATHS = ("", "/", "/en/12", "/fr/204.html", "/de/35/", "/es/871", "/about", "/2023/05/title-of-page.html")
 
 
+def default_hosts() -> list[tuple[str, str, int]]:
+    """(word, host, blocked): each word alone and beside companions, with and without a hyphen."""
+    hosts = []
+    for words, blocked in ((UNWANTED, 1), (WANTED, 0)):
+        for i, word in enumerate(words):
+            near = [COMPANIONS[(i + 3 * n) % len(COMPANIONS)] for n in range(4)]
+            names = (word, f"{word}-{near[0]}", f"{near[1]}-{word}", f"{word}{near[2]}", f"{near[3]}{word}")
+            hosts += [(word, f"{name}.example.{DOMAINS[(i + n) % len(DOMAINS)]}", blocked) for n, name in enumerate(names)]
+    return hosts
+
+
 def default_labels(spark: SparkSession) -> DataFrame:
     """(url, blocked): the small labelled table the filter is trained on by default."""
+    prefixes = ("", "www.", "blog.", "m.")
     rows = [
-        (f"https://{prefix}{name}.example.invalid{path}", float(blocked))
-        for names, blocked in ((UNWANTED, 1), (WANTED, 0))
-        for name in names
-        for prefix, path in zip(("", "www.", "blog.", "m.", "", "www.", "", "m."), PATHS)
+        (f"https://{prefixes[(i + n) % len(prefixes)]}{host}{PATHS[(i + 3 * n) % len(PATHS)]}", float(blocked))
+        for i, (_, host, blocked) in enumerate(default_hosts())
+        for n in range(2)
     ]
     return spark.createDataFrame(rows, "url string, blocked double")
 
@@ -65,10 +94,30 @@ def _features(urls: DataFrame) -> DataFrame:
     return hashed.transform(urls.withColumn("grams", grams(F.col("host"), F.col("path"))))
 
 
+def drawn(labels: DataFrame, most: int = MOST_URLS) -> DataFrame:
+    """The labelled rows the fit reads: all, or beyond `most` rows the first of each label by hash.
+
+    The places go to the labels in equal shares; what a rare label leaves goes to the others.
+    """
+    rows = labels.where("blocked IS NOT NULL").select(F.col("url"), F.col("blocked").cast("double").alias("blocked"))
+    counts = sorted((r["n"], r["blocked"]) for r in rows.groupBy("blocked").agg(F.count("*").alias("n")).collect())
+    if sum(n for n, _ in counts) <= most:
+        return rows
+    parts, left = [], most
+    for place, (n, label) in enumerate(counts):
+        quota = min(n, left // (len(counts) - place))
+        left -= quota
+        # Cut by a share of the hashes first, so that few rows are sorted.
+        near = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(1 << 20)) <= (1 << 20) * min(1.0, 1.2 * quota / n + 0.001)
+        mine = rows.where(F.col("blocked") == label)
+        parts.append((mine.where(near) if quota < n else mine).orderBy(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(1 << 20)), "url").limit(quota))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit(labels: DataFrame) -> LogisticRegressionModel:
-    """Fit on (url, blocked 0/1) rows; null labels are left out, at most MOST_URLS rows are read."""
-    rows = labels.where("blocked IS NOT NULL").limit(MOST_URLS).coalesce(1)
-    parts = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("double").alias("label"))
+    """Fit on (url, blocked 0/1) rows; null labels are left out, `drawn` bounds the rows."""
+    rows = drawn(labels).coalesce(1)
+    parts = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").alias("label"))
     return LogisticRegression(maxIter=100, regParam=0.02, tol=1e-8).fit(_features(parts))
 
 

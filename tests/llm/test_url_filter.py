@@ -1,4 +1,5 @@
 import re
+from zlib import crc32
 
 from quotemill.llm import url_filter
 from quotemill.llm.queries import QUERIES, URL_RULES
@@ -48,3 +49,39 @@ def test_odd_urls(make, spark):
     assert by[0].verdict == "allow" and by[5].rule is None and by[6].rule == "org/" and by[11].rule == "example.org/en/1"
     assert by[None].verdict == "block"
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).collect() == []
+
+
+def held_out_accuracy(make, of):
+    """Accuracy per side, trained without the hosts or words whose `of` is in the held fifth."""
+    hosts = url_filter.default_hosts()
+    held = lambda h: crc32(of(h).encode()) % 5 == 0
+    names = {h[1] for h in hosts if held(h)}
+    labels = url_filter.default_labels(make([], "a int").sparkSession)
+    rows = [(r.url, r.blocked) for r in labels.collect()]
+    is_held = lambda url: any(plain_parts(url)[0] in (n, f"www.{n}", f"blog.{n}", f"m.{n}") for n in names)
+    train = [r for r in rows if not is_held(r[0])]
+    test = [(int(b), u) for u, b in rows if is_held(u)]
+    got = url_filter.judge(make(test, "page_id long, url string"), [], make(train, "url string, blocked double")).collect()
+    sides = {side: [(r.verdict == "block") == bool(side) for r in got if r.page_id == side] for side in (0, 1)}
+    return {side: sum(right) / len(right) for side, right in sides.items()}
+
+
+def test_unseen_hosts(make):
+    by_host = held_out_accuracy(make, lambda h: h[1])
+    by_word = held_out_accuracy(make, lambda h: h[0])
+    print("held-out accuracy of (allow, block): by host", by_host, "by word", by_word)
+    assert by_host[0] >= 0.95 and by_host[1] >= 0.85 and by_word[0] >= 0.85
+
+
+def test_no_label_names_a_host_of_the_tables(spark):
+    hosts = {plain_parts(r.url)[0] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct().collect()}
+    parts = {part for host in hosts for part in host.split(".")[:-2]} - {"www", "m", "blog"}
+    labelled = {part for _, host, _ in url_filter.default_hosts() for part in host.split(".")[:-2]}
+    assert len(parts) > 50 and not parts & (labelled | set(url_filter.UNWANTED) | set(url_filter.WANTED))
+
+
+def test_rows_beyond_the_bound_are_drawn_per_label(make):
+    rows = [(f"http://a{i}.test/", 0.0) for i in range(3000)] + [(f"http://b{i}.test/", 1.0) for i in range(150)] + [("x", None)]
+    got = url_filter.drawn(make(rows, "url string, blocked double").coalesce(1), 400).groupBy("blocked").count().collect()
+    assert {r["blocked"]: r["count"] for r in got} == {0.0: 250, 1.0: 150}
+    assert url_filter.drawn(make(rows, "url string, blocked double"), 4000).count() == 3150
