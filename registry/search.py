@@ -215,23 +215,27 @@ def semantic_topk(t: Tables):
     return found.withColumn("similarity", F.round("similarity", 3))
 
 
-def _indexed(t: Tables, reach: int) -> DataFrame:
+def _indexed(t: Tables, questions: DataFrame, planes: int = 4, **near) -> DataFrame:
     path = new_work_dir(t.spark, "vectors")
-    vectors.build_vector_index(t.raw("embeddings"), path, id_column="vec_id")
-    found = vectors.approximate_topk(t.spark, path, _label_questions(t), 5, reach=reach)
+    vectors.build_vector_index(t.raw("embeddings"), path, planes=planes, id_column="vec_id")
+    found = vectors.approximate_topk(t.spark, path, questions, 5, planes=planes, **near)
     return found.withColumn("similarity", F.round("similarity", 3))
 
 
 @register("semantic_topk_indexed", SQL["semantic_topk"])
 def semantic_topk_indexed(t: Tables):
     """With all plane crossings allowed the index must give the exact answer."""
-    return _indexed(t, reach=4)
+    return _indexed(t, _label_questions(t), reach=4)
+
+
+# The test vectors have hardly any neighbourhoods: a recall of 0.9 takes four fifths of the cells.
+NEAR = {"planes": 8, "probes": 205}
 
 
 @register("semantic_topk_near")
 def semantic_topk_near(t: Tables):
-    """Approximate: each question meets five of the sixteen cells, so there is no SQL to compare with."""
-    return _indexed(t, reach=1)
+    """Approximate: each question meets the nearest 205 of 256 cells, so there is no SQL to compare with."""
+    return _indexed(t, _label_questions(t), **NEAR)
 
 
 @register(

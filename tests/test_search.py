@@ -198,3 +198,20 @@ def test_stems_begin_like_their_words(tables):
     tokens = {t for r in tables.news.select("title", "description").collect() for t in texts.WORD.findall(f"{r[0]} {r[1]}".lower())}
     assert len(tokens) > 1000
     assert all(texts.stem_word(t)[:2] == t[:2] for t in tokens if t not in texts.IRREGULAR_STEMS)
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_registered_near_query_recall(spark, folder):
+    from registry import search
+    from registry.tables import Tables
+
+    t = Tables(spark, f"/root/testdata/{folder}")
+    labels = search._label_questions(t)
+    by_id = t.raw("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("question"), "embedding")
+    pairs = lambda df: {(r["question"], r["id"]) for r in df.collect()}
+    for name, questions in (("labels", labels), ("ids", by_id)):
+        exact = pairs(vectors.semantic_topk(t.raw("embeddings"), questions, 5, "vec_id"))
+        recall = len(exact & pairs(search._indexed(t, questions, **search.NEAR))) / len(exact)
+        print("recall", folder, name, recall)
+        assert recall >= 0.9
+    assert pairs(search.semantic_topk_near(t)) == pairs(search._indexed(t, labels, **search.NEAR))
