@@ -192,27 +192,41 @@ def blocks(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], dict[tupl
 
 
 def best_path(html: str) -> tuple[str, int]:
-    """The generalised path of the page's best container ("" without text) and its score.
+    """The generalised path of the page's best container ("" for the whole page) and its score.
 
-    A container's score is its share of the page's text outside boilerplate and link lists, with
-    a bonus for article and main elements and, if it is the only element of its path, for depth.
+    A container's score is its share of the page's text outside boilerplate and link lists; of
+    equal scores the deepest one-off container wins, so a step inwards loses no text. Two steps
+    get points and may lose some: to an article or main element, and from the body, if it has no
+    text of its own, to one of its boxes. Neither may lose a level 1 heading. What holds all the
+    text of its parent shares the parent's points.
     """
     found, opened = blocks(html or "")
     weights: dict[tuple, int] = defaultdict(int)
-    total = 0
+    headings: dict[tuple, int] = defaultdict(int)
+    own: dict[tuple, int] = defaultdict(int)  # text in no container further in
     for path, text, linked in found:
         weight = 0 if 2 * linked > len(text) else len(text)
-        total += weight
-        for depth in range(1, len(path) + 1):
-            if path[depth - 1].split(".")[0] in CONTAINERS:
-                weights[path[:depth]] += weight
-    best = ("", 0)
-    for path, weight in weights.items():
-        tag = path[-1].split(".")[0]
-        score = 1000 * weight // total if total else 0
-        score += 150 * (tag in SEMANTIC) + (80 * min(5, len(path)) if opened[path] == 1 else 0)
-        best = max(best, (" > ".join(path), score), key=lambda b: (b[1], b[0]))
-    return best
+        title = weight > 0 and any(label.split(".")[0] == "h1" for label in path)
+        inner = [path[:d] for d in range(1, len(path) + 1) if path[d - 1].split(".")[0] in CONTAINERS]
+        for part in ((), *inner):
+            weights[part] += weight
+            headings[part] += title
+        own[inner[-1] if inner else ()] += weight
+    total = weights[()]
+    points: dict[tuple, int] = {(): 0}
+    best = (0, 0, "")
+    for path in sorted(weights, key=len) if total else ():
+        if path:
+            tag = path[-1].split(".")[0]
+            parent = next(path[:d] for d in range(len(path) - 1, -1, -1) if path[:d] in weights)
+            around = parent[-1].split(".")[0] if parent else "body"
+            points[path] = points[parent] if weights[path] == weights[parent] else 0
+            if headings[path] == headings[()]:
+                box = tag != "body" and around == "body" and not own[parent] and opened[path] == 1
+                points[path] = max(points[path], 150 * (tag in SEMANTIC) + 80 * box)
+        score = 1000 * weights[path] // total + points[path]
+        best = max(best, (score, len(path) if opened[path] == 1 else 0, " > ".join(path)))
+    return best[2], best[0]
 
 
 def main_text(html: str | None, path: str | None) -> str:

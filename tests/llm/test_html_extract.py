@@ -66,3 +66,24 @@ def test_host_consensus_overrules_a_page(make):
 
 def test_empty_table(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+BODY = "the text of the article goes on and on " * 20
+POST = "<div class='post'><h1>Title</h1><p>the lead</p><div class='post-body'><p>" + BODY + "</p></div><p>the closing line</p></div>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><body>" + POST + "</body></html>", f"Title\n\nthe lead\n\n{BODY}\n\nthe closing line"),
+        ("<body><article><p>first</p><div><div><p>" + BODY * 5 + "</p></div></div></article>", f"first\n\n{BODY * 5}"),
+        ("<body><h1>Title</h1><div class='text'><p>" + BODY + "</p></div>", f"Title\n\n{BODY}"),
+        ("<body><div class='title'><h1>Title</h1></div><div class='text'><p>" + BODY + "</p></div>", f"Title\n\n{BODY}"),
+        ("<body><div class='post'><h1>Title</h1><article><p>" + BODY + "</p></article></div>", f"Title\n\n{BODY}"),
+        ("<body><div><div class='in'><p>" + BODY + "</p></div><ul><li><a href=x>a link</a></ul></div>", BODY),
+        ("<p>lead</p><div><p>" + BODY + "</p></div>", f"lead\n\n{BODY}"),
+    ],
+)
+def test_a_step_inwards_loses_no_text(html, text):
+    wanted = "\n\n".join(" ".join(part.split()) for part in text.split("\n\n"))
+    assert html_extract.main_text(html, html_extract.best_path(html)[0]) == wanted
