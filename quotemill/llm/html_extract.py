@@ -59,6 +59,7 @@ NEVER_NAMES = set(
     "navigation topnav sidenav newsletter notice notices notification pagination pager popup promo promotion related replies "
     "respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+STATES = set("no has with without not is enabled disabled open opened closed hide hidden".split())
 CONTENT_NAMES = {"article", "post", "entry", "story", "content", "main"}
 SEMANTIC = {"article", "main"}
 
@@ -67,25 +68,37 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)} if text.strip(" /\n\t\r") else {}
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    return {n.lower() for n in NAME_PART.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
+def _named_unwanted(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether class or id call an element boilerplate.
 
+    Names of a state ("no-sidebar", "comments-open") say nothing, and an article or an element
+    with a name that is only content ("entry-content") is content whatever its other names are.
+    """
+    if tag == "article":
+        return False
+    names = [{n.lower() for n in NAME_PART.findall(t)} for t in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
+    names = [n for n in names if n.isdisjoint(STATES)]
+    if any(n & CONTENT_NAMES and n.isdisjoint(NEVER_NAMES) for n in names):
+        return False
+    every = set().union(*names)
+    unwanted = every & NEVER_NAMES
+    return bool(unwanted) and not (unwanted == {"header"} and every & CONTENT_NAMES)
 
-def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
+
+def _boilerplate(tag: str, attributes: dict[str, str]) -> int:
+    """0: content; 1: boilerplate by name or a form, unless the page's text is in it; 2: boilerplate."""
     if tag in NEVER_TEXT:
-        return True
+        return 1 if tag == "form" else 2
     if tag in ("html", "body", "main") or not attributes:
-        return False
+        return 0
     style = attributes.get("style", "").replace(" ", "").lower()
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style:
-        return True
+        return 2
     if attributes.get("role", "").lower() in NEVER_ROLES:
-        return True
+        return 2
     if tag in HEADINGS:
-        return False
-    names = _names(attributes)
-    unwanted = names & NEVER_NAMES
-    return bool(unwanted) and not (unwanted == {"header"} and names & CONTENT_NAMES)
+        return 0
+    return int(_named_unwanted(tag, attributes))
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -94,10 +107,10 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
 
 
 @lru_cache(maxsize=4096)
-def _opening(tag: str, attrs: str) -> tuple[str, bool]:
-    """The label of an opening tag and whether it starts boilerplate."""
+def _opening(tag: str, attrs: str) -> tuple[str, int]:
+    """The label of an opening tag and its kind of boilerplate."""
     attributes = _attributes(attrs)
-    return _label(tag, attributes), _is_boilerplate(tag, attributes)
+    return _label(tag, attributes), _boilerplate(tag, attributes)
 
 
 def _last(tags: list[str], wanted, borders=()) -> int:
@@ -114,11 +127,44 @@ def blocks(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], dict[tupl
     """The text blocks outside boilerplate, in page order, and how often each path was opened.
 
     A block is (labels of its open elements, text with single spaces, characters inside links).
+    An element that is boilerplate by its name or a form is read if next to nothing is left without
+    it (a form: if it holds most of the text), judged by the text outside links.
     """
+    found, opened, doubtful = _parse(html, frozenset())
+    read = _needed(sum(len(text) for _, text, linked in found if 2 * linked <= len(text)), doubtful) if doubtful else None
+    return _parse(html, read)[:2] if read else (found, opened)
+
+
+def _needed(left: int, doubtful: list[list]) -> frozenset[int]:
+    """The numbers of the [tag, number of the doubtful element around or -1, text] to be read."""
+    held = [own for _, _, own in doubtful]
+    for i in range(len(doubtful) - 1, -1, -1):
+        if doubtful[i][1] >= 0:
+            held[doubtful[i][1]] += held[i]
+    read: set[int] = set()
+    waiting = sorted((i for i, d in enumerate(doubtful) if d[1] < 0), key=lambda i: (-held[i], i))
+    inside = defaultdict(list)
+    for i, (_, around, _) in enumerate(doubtful):
+        if around >= 0:
+            inside[around].append(i)
+    total = left + sum(held[i] for i in waiting)
+    while waiting:
+        i = waiting.pop(0)
+        if held[i] and (held[i] >= 10 * left or doubtful[i][0] == "form" and 2 * held[i] > total):
+            read.add(i)
+            left += doubtful[i][2]
+            waiting = sorted(waiting + inside[i], key=lambda i: (-held[i], i))
+    return frozenset(read)
+
+
+def _parse(html: str, read: frozenset[int]) -> tuple[list, dict, list[list]]:
+    """`blocks` with the doubtful elements of these numbers read, and all doubtful elements."""
     found, opened = [], defaultdict(int)
+    doubtful: list[list] = []
+    within: list[tuple[int, int]] = []  # (place among the open elements, number) of open doubtful ones
     tags: list[str] = []  # the open elements, their labels, and where boilerplate begins
     labels: list[str] = []
-    hidden = None
+    hidden = certain = None
     buffer: list[str] = []
     linked = at = 0
 
@@ -132,12 +178,16 @@ def blocks(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], dict[tupl
             linked = 0
 
     def pop(index: int) -> None:
-        nonlocal hidden
+        nonlocal hidden, certain
         if buffer and not BLOCKS.isdisjoint(tags[index:]):
             flush()
         del tags[index:], labels[index:]
         if hidden is not None and hidden >= index:
             hidden = None
+        if certain is not None and certain >= index:
+            certain = None
+        while within and within[-1][0] >= index:
+            within.pop()
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -146,6 +196,8 @@ def blocks(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], dict[tupl
             buffer.append(plain)
             if "a" in tags:
                 linked += len(plain.strip())
+        elif raw and within and certain is None and "a" not in tags:
+            doubtful[within[-1][1]][2] += len(" ".join(raw.split()))
 
     size = len(html)
     while at < size:
@@ -180,15 +232,20 @@ def blocks(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], dict[tupl
                 pop(index)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
-        label, boilerplate = _opening(tag, attrs) if NOTED.search(attrs) else (tag, tag in NEVER_TEXT)
+        label, boilerplate = _opening(tag, attrs) if NOTED.search(attrs) else (tag, _boilerplate(tag, {}))
         tags.append(tag)
         labels.append(label)
-        if boilerplate and hidden is None:
+        if boilerplate == 1 and certain is None:
+            doubtful.append([tag, within[-1][1] if within else -1, 0])
+            within.append((len(tags) - 1, len(doubtful) - 1))
+        elif boilerplate == 2 and certain is None:
+            certain = len(tags) - 1
+        if hidden is None and (boilerplate == 2 or boilerplate == 1 and len(doubtful) - 1 not in read):
             hidden = len(tags) - 1
         if hidden is None and tag in CONTAINERS:
             opened[tuple(labels)] += 1
     flush()
-    return found, opened
+    return found, opened, doubtful
 
 
 def best_path(html: str) -> tuple[str, int]:

@@ -87,3 +87,24 @@ POST = "<div class='post'><h1>Title</h1><p>the lead</p><div class='post-body'><p
 def test_a_step_inwards_loses_no_text(html, text):
     wanted = "\n\n".join(" ".join(part.split()) for part in text.split("\n\n"))
     assert html_extract.main_text(html, html_extract.best_path(html)[0]) == wanted
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "<div class='content has-sidebar'>", "<article class='post comments-open'>", "<div id='content' class='no-sidebar'>",
+        "<div class='entry share-enabled'>", "<form action='/page.aspx'>", "<div class='sidebar-layout'>", "<section class='page with-ads'>",
+    ],
+)
+def test_unwanted_names_on_the_content_itself(opening):
+    tag = re.match("<([a-z]+)", opening)[1]
+    html = f"<body><div>{opening}<h1>Title</h1><p>{BODY}</p><div class='sidebar'><p>side</p></div><div id='comments'>a reader</div></{tag}></div><p>end</p>"
+    for path in (None, "", html_extract.best_path(html)[0]):
+        text = html_extract.main_text(html, path)
+        assert text.startswith("Title\n\nthe text") and "side" not in text and "reader" not in text
+
+
+def test_names_and_forms_still_hide_what_is_beside_the_text():
+    for box in ("<div class='sidebar'>", "<form>", "<div class='related-posts'>", "<div class='post-comments'>", "<div id='comments'>"):
+        html = f"<body><div class='x'><p>{BODY}</p></div>{box}<p>{'hidden ' * 100}</p></{'form' if 'form' in box else 'div'}>"
+        assert "hidden" not in html_extract.main_text(html, None)
