@@ -1,8 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
 Training counts, per language, the documents that hold each character n-gram. The n-grams of a
-language enter a bit-sliced Bloom filter: a table of 64-bit words in which bit l of a word belongs
-to language l. One lookup ANDs the words at an n-gram's places and so returns all languages that
+language enter a bit-sliced Bloom filter: a table with ceil(languages / 64) 64-bit words a slot, in
+which bit l % 64 of word l // 64 belongs to language l. One lookup ANDs the words at an n-gram's places and so returns all languages that
 contain it. A text's popcount per language, corrected for that language's false positive rate,
 is the share of its n-grams the language knows; the largest share decides.
 """
@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZE = 4  # characters of an n-gram, word ends included
 PROBES = 3
-MOST_LANGUAGES = 64
+WORD_BITS = 64
 SPAN = 1 << 20  # characters looked up at a time
 
 
@@ -48,32 +49,44 @@ class LanguageFilter:
     """`languages` (most frequent first), the word table and each language's false positive rate."""
 
     languages: list[str]
-    table: np.ndarray
+    table: np.ndarray  # (slots,) or (slots, words)
+    false_rate: np.ndarray | None = None
 
     def __post_init__(self):
-        fill = [float((self.table >> np.uint64(l) & np.uint64(1)).mean()) for l in range(len(self.languages))]
-        self.false_rate = np.asarray(fill) ** PROBES
+        if self.false_rate is None:
+            words = self.table.reshape(len(self.table), -1)
+            fill = [float((words[:, w] >> bit & np.uint64(1)).mean()) for w, bit in self._bits()]
+            self.false_rate = np.asarray(fill) ** PROBES
+
+    def _bits(self) -> list[tuple[int, np.uint64]]:
+        return [(l // WORD_BITS, np.uint64(l % WORD_BITS)) for l in range(len(self.languages))]
 
     @classmethod
     def build(cls, languages: list[str], members: dict[str, np.ndarray]) -> LanguageFilter:
-        total = sum(map(len, members.values()))
-        slots = 1 << max(10, int(8 * max(1, total) - 1).bit_length())
-        table = np.zeros(slots, np.uint64)
-        for bit, language in enumerate(languages):
+        sizes = [len(members.get(l, ())) for l in languages]
+        words = max(1, -(-len(languages) // WORD_BITS))
+        slots = 1 << max(10, int(8 * max(1, sum(sizes)) - 1).bit_length())
+        if words > 1:  # a language fills its own bits only; its false positives are corrected
+            slots = min(slots, 1 << max(10, int(16 * max(1, *sizes) - 1).bit_length()))
+        table = np.zeros((slots, words), np.uint64)
+        for l, language in enumerate(languages):
             for at in places(members.get(language, np.zeros(0, np.uint64)), slots):
-                table[at] |= np.uint64(1) << np.uint64(bit)
+                table[at, l // WORD_BITS] |= np.uint64(1) << np.uint64(l % WORD_BITS)
         return cls(languages, table)
 
     def shares(self, text: str) -> np.ndarray:
         """Per language the corrected share of the text's n-grams that it contains."""
         found = grams(text)
         hits = np.zeros(len(self.languages))
-        for start in range(0, len(found), SPAN):
-            first, *rest = places(found[start : start + SPAN], len(self.table))
-            masks = self.table[first]
+        words = self.table.reshape(len(self.table), -1)
+        span = max(1, SPAN // words.shape[1])
+        for start in range(0, len(found), span):
+            first, *rest = places(found[start : start + span], len(words))
+            masks = words[first]
             for at in rest:
-                masks &= self.table[at]
-            hits += [np.count_nonzero(masks & (np.uint64(1) << np.uint64(l))) for l in range(len(hits))]
+                masks &= words[at]
+            columns = np.ascontiguousarray(masks.T)
+            hits += [np.count_nonzero(columns[w] & (np.uint64(1) << bit)) for w, bit in self._bits()]
         seen = hits / max(1, len(found))
         return np.clip((seen - self.false_rate) / np.maximum(1e-9, 1 - self.false_rate), 0.0, 1.0)
 
@@ -93,19 +106,23 @@ def learn(
 
     The fit reads a bounded sample: about `docs_per_language` whole texts per language, chosen by
     the hash of doc_id, and keeps the `grams_per_language` n-grams found in most of them (at least
-    `least_docs`; fewer if a language has fewer documents). At most 64 languages are learned, the
-    most frequent first.
+    `least_docs`; fewer if a language has fewer documents). Every language is learned.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(
         F.xxhash64(F.col("doc_id").cast("string")).alias("draw"), F.col("text").cast("string").alias("text"), "lang"
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
     sizes = {r.lang: r.n for r in counts.collect()}
     if not sizes:
         return LanguageFilter([], np.zeros(1024, np.uint64))
     scale = 1 << 20
-    share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(scale, scale * docs_per_language // n + 1))])
-    chosen = rows.where(F.pmod("draw", F.lit(scale)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    limits = F.broadcast(
+        labelled.sparkSession.createDataFrame(
+            [(l, min(scale, scale * docs_per_language // n + 1), min(least_docs, 1 + n // 10)) for l, n in sizes.items()],
+            "lang string, share long, floor long",
+        ).coalesce(1)
+    )
+    chosen = rows.join(limits, "lang").where(F.pmod("draw", F.lit(scale)) < F.col("share"))
 
     def count(stream):
         for batch in stream:
@@ -125,18 +142,19 @@ def learn(
         chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    enough = {l: min(least_docs, 1 + n // 10) for l, n in sizes.items()}
-    floor = F.create_map(*[F.lit(x) for l, n in enough.items() for x in (l, n)])
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = (
-        totals.where(F.col("n") >= floor[F.col("lang")])
+        totals.join(limits, "lang").where(F.col("n") >= F.col("floor"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= grams_per_language)
         .select("lang", "gram")
         .toArrow()
     )
-    names, hashes = np.asarray(top["lang"].to_pylist(), dtype=object), top["gram"].to_numpy().view(np.uint64)
-    return LanguageFilter.build(list(sizes), {l: hashes[names == l] for l in sizes})
+    languages, hashes = list(sizes), top["gram"].to_numpy().view(np.uint64)
+    numbers = pc.index_in(top["lang"], pa.array(languages, pa.string())).to_numpy()
+    order = np.argsort(numbers, kind="stable")
+    parts = np.split(hashes[order], np.searchsorted(numbers[order], np.arange(1, len(languages))))
+    return LanguageFilter.build(languages, dict(zip(languages, parts)))
 
 
 def predict(docs: DataFrame, model: LanguageFilter, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,7 +163,7 @@ def predict(docs: DataFrame, model: LanguageFilter, key: str = "doc_id", text: s
     Null texts and texts without a letter are "und" with score 0; equal shares go to the language
     with more training rows. Repeated rows and null keys are rows like any other.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false_rate))
 
     def batches(stream):
         model = LanguageFilter(*shared.value)
@@ -181,7 +199,7 @@ def accepted(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     All columns stay as they were. With nothing to learn from, only null and letterless texts go.
     """
     model = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false_rate))
 
     def keep(stream):
         model = LanguageFilter(*shared.value)

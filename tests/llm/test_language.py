@@ -62,3 +62,19 @@ def test_accepted_keeps_every_column(spark, documents):
     kept = language.accepted(documents.withColumn("lang_pred", documents.lang))
     assert kept.columns == [*documents.columns, "lang_pred"]
     assert kept.count() >= 0.99 * documents.count()
+
+
+def test_more_languages_than_bits_in_a_word(make):
+    rng = np.random.default_rng(1)
+    rows = []
+    for l in range(150):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(30)]
+        for d in range(5 if l < 70 else 4):
+            rows.append((1000 * l + d, " ".join(rng.permutation(words)), f"l{l:03}"))
+    df = make(rows, "doc_id long, text string, lang string")
+    truth = {r[0]: r[2] for r in rows}
+    learned = {r[2] for r in rows if crc32(str(r[0]).encode()) % 5}
+    got = language.identify(df).collect()
+    right = [r.lang_pred == truth[r.doc_id] for r in got if truth[r.doc_id] in learned]
+    assert len(learned) > 140 and len(right) > 600 and all(right)
+    assert language.accepted(df).where(f"lang IN {tuple(sorted(learned))}").count() == len(right)
