@@ -28,11 +28,13 @@ def is_anomaly(threshold: float = ANOMALY_PERCENT) -> Column:
 
 
 def recent_anomalies(
-    prices: DataFrame, clock: Clock, minutes: int = ANOMALY_MINUTES, limit: int = ANOMALY_ROWS
+    prices: DataFrame, clock: Clock, minutes: int = ANOMALY_MINUTES, limit: int | None = ANOMALY_ROWS
 ) -> DataFrame:
-    """The strongest rows of the last minutes; several rows of a symbol can take several places."""
+    """The strongest rows of the last minutes, or all without a limit; a symbol can take several places."""
     recent = prices.filter((F.col("timestamp") >= clock.ago(minutes=minutes)) & is_anomaly())
-    return recent.orderBy(_strength().desc(), "timestamp", "id").limit(limit).select(
+    if limit is not None:
+        recent = recent.orderBy(_strength().desc(), "timestamp", "id").limit(limit)
+    return recent.select(
         "id", "symbol", "price_usd", "price_change_24h", "timestamp"
     )
 

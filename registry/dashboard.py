@@ -474,7 +474,7 @@ SELECT {_ANOMALY} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER B
     ("crypto_prices",),
 )
 def anomalies_dedup_day(t: Tables):
-    return alerts.strongest_per_symbol(alerts.recent_anomalies(t.prices, CLOCK, minutes=1440))
+    return alerts.strongest_per_symbol(alerts.recent_anomalies(t.prices, CLOCK, minutes=1440, limit=None))
 
 
 @register(

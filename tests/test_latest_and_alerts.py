@@ -164,3 +164,15 @@ def test_summary_message(spark):
         "📊 *PODSUMOWANIE GODZINOWE* 📊\n\n*s*\n\n🔍 *Najważniejsze spostrzeżenia:*\n1. a\n2. b\n"
         "\n💡 *Rekomendacje:*\n1. c\n\n⏱️ *Wygenerowano:* przed chwilą"
     )
+
+
+def test_no_symbol_of_the_day_is_crowded_out(spark):
+    from types import SimpleNamespace
+
+    from registry.dashboard import anomalies_dedup_day
+
+    rows = [f"({i},'BTC',1,1,{50 + i},TIMESTAMP_NTZ'{CLOCK.as_of}' - INTERVAL 1 HOUR)" for i in range(12)]
+    rows.append(f"(99,'ETH',1,1,-6,TIMESTAMP_NTZ'{CLOCK.as_of}' - INTERVAL 2 HOUR)")
+    found = anomalies_dedup_day(SimpleNamespace(prices=prices(spark, ",".join(rows)))).collect()
+    assert sorted((r["symbol"], r["id"]) for r in found) == [("BTC", 11), ("ETH", 99)]
+    assert alerts.recent_anomalies(prices(spark, ",".join(rows)), CLOCK, minutes=1440).count() == 10
