@@ -131,7 +131,7 @@ def test_task_functions_load_without_the_package(tmp_path):
 
     from quotemill.operators import vectors
 
-    for function in (forecast._solve, vectors._partition_top(None, None, 3)):
+    for function in (forecast._solve, vectors._partition_top(None, None, None, 3)):
         (tmp_path / "f").write_bytes(cloudpickle.dumps(function))
         code = "from pyspark import cloudpickle; print(callable(cloudpickle.loads(open('f', 'rb').read())))"
         done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
