@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quotemill.llm import (
+    bpe_tree,
     decontaminate,
     html_extract,
     language,
@@ -43,6 +44,14 @@ def piece_model() -> bytes:
         return file.read()
 
 
+def word_tokenizer() -> str:
+    """The public 49k word tokenizer; its path is the one parameter of the byte-pair query."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 @query(
     "op1_topk_search",
     """
@@ -170,3 +179,8 @@ URL_RULES = [
 @query("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op13_bpe_ids")
+def op13_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.digests(bpe_tree.encode(read(spark, sf_dir, "documents"), word_tokenizer()))
