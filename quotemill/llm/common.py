@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quotemill.session import new_work_dir
 
@@ -79,3 +79,52 @@ def _small_star(links: DataFrame) -> DataFrame:
         links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     )
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def ranked(df: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
+    """`df` with `pos`: the row's place (from 0) within its `group` by `order`, nulls first.
+
+    Rows equal in `order` get places of their own. The rows are range-partitioned by group, order
+    and a running number, so a group or a value with most rows fills many partitions. A task
+    numbers its own rows; a group that goes on from earlier partitions adds their rows. Only the
+    first group of a partition can do so, hence there are at most as many of these sums as
+    partitions. `df` is read twice and should be a stored table.
+    """
+    keys = [group, *order, "_tie"]
+    sorted_rows = (
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .drop("_tie")
+    )
+
+    def number(stream):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(group))
+            ends = runs.run_ends.to_numpy().astype(np.int64)
+            starts = np.concatenate([[0], ends[:-1]])
+            places = np.arange(batch.num_rows) - np.repeat(starts, ends - starts)
+            first, final = runs.values[0].as_py(), runs.values[len(ends) - 1].as_py()
+            if seen and first == last:
+                places[: ends[0]] += seen
+            last, seen = final, int(places[-1]) + 1
+            columns = [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "_place"])
+
+    schema = sorted_rows.limit(0).withColumn("_part", F.lit(0)).withColumn("_place", F.lit(0).cast("long")).schema
+    placed = saved(sorted_rows.mapInArrow(number, schema), label)
+    rows = placed.groupBy("_part", group).agg((F.max("_place") + 1).alias("n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.withColumn("earlier", F.sum("n").over(before)).where("earlier > 0")
+    earlier = saved(earlier.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "earlier"), label)
+    same = (placed["_part"] == earlier["_p"]) & placed[group].eqNullSafe(earlier["_g"])
+    pos = (F.col("_place") + F.coalesce("earlier", F.lit(0))).alias("pos")
+    return placed.join(earlier, same, "left").select(*df.columns, pos)

@@ -10,6 +10,7 @@ from quotemill.llm import (
     html_extract,
     language,
     line_dedup,
+    manifest,
     pieces,
     simhash,
     topk,
@@ -184,3 +185,70 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_bpe_ids")
 def op13_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(bpe_tree.encode(read(spark, sf_dir, "documents"), word_tokenizer()))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB has no crc32; this is the bitwise definition over an ASCII expression."""
+    step = "lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda crc, b: list_reduce(range(8), {step}, xor(crc, b)), 4294967295), 4294967295)"
+
+
+def leaf_sql(text: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)})"
+
+
+LOWERED = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
+
+
+@query(
+    "op11_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, lang, {leaf_sql("text")} AS leaf,
+               CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf_sql(LOWERED)}
+                    ELSE {leaf_sql("text")} END AS used
+        FROM documents
+    ), placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY lang) AS n,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+        FROM leaves
+    ), t(g, k, i, h, n) AS (
+        SELECT g, 0, i, leaf, n FROM placed
+        UNION ALL
+        SELECT g, any_value(k) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8
+        FROM t WHERE n > 1 GROUP BY g, i // 8
+    ), tops AS (SELECT g, h FROM t WHERE n = 1),
+    u(k, i, h, n) AS (
+        SELECT 0, g, h, (SELECT count(*) FROM tops) FROM tops
+        UNION ALL
+        SELECT any_value(k) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8
+        FROM u WHERE n > 1 GROUP BY i // 8
+    ), f(g, p, k, i, h, others) AS (
+        SELECT g, i, 0, i, used, '' FROM placed
+        UNION ALL
+        SELECT f.g, p, any_value(f.k) + 1, any_value(f.i) // 8,
+               sha256(string_agg(CASE WHEN t.i = f.i THEN f.h ELSE t.h END, '' ORDER BY t.i)),
+               any_value(f.others) || string_agg(CASE WHEN t.i = f.i THEN '' ELSE t.h END, '' ORDER BY t.i)
+        FROM f JOIN t ON t.g = f.g AND t.k = f.k AND t.i // 8 = f.i // 8 AND t.n > 1 GROUP BY f.g, p
+    ), e AS (
+        SELECT g, p, arg_max(h, k) AS h, arg_max(others, k) AS others FROM f GROUP BY g, p
+    ), d(g, p, k, i, h, others) AS (
+        SELECT g, p, 0, g, h, others FROM e
+        UNION ALL
+        SELECT d.g, p, any_value(d.k) + 1, any_value(d.i) // 8,
+               sha256(string_agg(CASE WHEN u.i = d.i THEN d.h ELSE u.h END, '' ORDER BY u.i)),
+               any_value(d.others) || string_agg(CASE WHEN u.i = d.i THEN '' ELSE u.h END, '' ORDER BY u.i)
+        FROM d JOIN u ON u.k = d.k AND u.i // 8 = d.i // 8 AND u.n > 1 GROUP BY d.g, p
+    ), b AS (
+        SELECT g, p, arg_max(h, k) AS h, arg_max(others, k) AS others FROM d GROUP BY g, p
+    )
+    SELECT doc_id, leaf, tops.h AS subroot, u.h AS root, sha256(b.others) AS proof_sha256,
+           b.h AS folded_root, b.h = u.h AS verified
+    FROM placed JOIN b ON b.g = placed.g AND b.p = placed.i JOIN tops ON tops.g = placed.g JOIN u ON u.n = 1
+    """,
+)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return manifest.proofs(manifest.manifest(docs, changed=manifest.lowered_every_third))
