@@ -12,6 +12,7 @@ from quotemill.llm import (
     line_dedup,
     manifest,
     pieces,
+    repair,
     simhash,
     topk,
     toxicity,
@@ -252,3 +253,81 @@ LOWERED = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return manifest.proofs(manifest.manifest(docs, changed=manifest.lowered_every_third))
+
+
+def insert_sql(option: str, role: str) -> str:
+    """A state of the cost fold with one more inserted turn."""
+    return f"{{'c': {option}.c + 3, 'a': {option}.a || 'I', 'r': list_append({option}.r, '{role}:')}}"
+
+
+def row_sql(state: str, cost: str, letter: str, turn: str | None) -> str:
+    """A state of the cost fold with the next row edited; `turn` is what is put out."""
+    put = f"list_append({state}.r, {turn})" if turn else f"{state}.r"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {put}}}"
+
+
+def edits_sql() -> str:
+    """The fold over a conversation's rows: per state (z nothing, s, u, a put out last) the least (cost, audit, turns)."""
+    extra = "CASE WHEN x.f = 3 THEN 3 ELSE 0 END"
+    barred = "CASE WHEN x.f IN (1, 2) THEN 1000000000 ELSE 0 END"
+    keep = lambda initial: f"({extra}) + ({barred}) + (CASE WHEN x.i = '{initial}' THEN 0 ELSE 1000000000 END)"
+    rerole = f"3 + ({extra}) + ({barred})"
+    own, as_user, as_assistant = "x.role || ':' || x.text", "'user:' || x.text", "'assistant:' || x.text"
+    deleted = {s: row_sql(f"p.{s}", "4", "D", None) for s in "zsua"}
+    to_user = [row_sql(f"p.{s}", c, letter, t) for s in "zsa" for c, letter, t in ((keep("u"), "K", own), (rerole, "R", as_user))]
+    to_assistant = [row_sql("p.u", c, letter, t) for c, letter, t in ((keep("a"), "K", own), (rerole, "R", as_assistant))]
+    step = f"""{{'z': {deleted["z"]},
+        's': list_min([{deleted["s"]}, {row_sql("p.z", keep("s"), "K", own)}]),
+        'u': list_min([{deleted["u"]}, {", ".join(to_user)}]),
+        'a': list_min([{deleted["a"]}, {", ".join(to_assistant)}])}}"""
+    return f"list_reduce(rows, lambda y, x: list_transform([{inserts_sql('y')}], lambda p: {step})[1], {{'z': {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}}, 's': none, 'u': none, 'a': none}})"
+
+
+def inserts_sql(state: str) -> str:
+    """All states after turns may have been inserted."""
+    user = f"list_min([{state}.u, {', '.join(insert_sql(f'{state}.{s}', 'user') for s in 'zsa')}])"
+    assistant = f"list_min([{state}.a, {insert_sql('v.u', 'assistant')}])"
+    first = f"{{'z': {state}.z, 's': {state}.s, 'u': {user}, 'a': {state}.a}}"
+    return f"list_transform([{first}], lambda v: {{'z': v.z, 's': v.s, 'u': v.u, 'a': {assistant.replace(f'{state}.a', 'v.a')}}})[1]"
+
+
+@query(
+    "op12_conversation_repair",
+    f"""
+    WITH filled AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS lot
+        FROM conversations
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM filled, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) WHERE lot <> 0
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+               rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+        FROM damaged
+    ), coded AS (
+        SELECT *, CASE WHEN trimmed = '' THEN 1
+                       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+                       WHEN trimmed[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+               role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS pair
+        FROM placed
+    ), held AS (
+        SELECT conv_id, list({{'i': role[1], 'f': f, 'role': role, 'text': text}} ORDER BY pos) AS rows,
+               coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               sum(CAST(f = 1 AS BIGINT)) AS blank, sum(CAST(f = 2 AS BIGINT)) AS duplicate, sum(CAST(f = 3 AS BIGINT)) AS truncated,
+               sum(CASE WHEN pair IS NULL OR pair IN ('su', 'ua', 'au') THEN 0 ELSE 1 END) AS illegal,
+               {{'c': CAST(1000000000 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS none
+        FROM coded GROUP BY conv_id
+    ), folded AS (SELECT *, {edits_sql()} AS y FROM held),
+    ended AS (SELECT *, {inserts_sql("y")} AS e FROM folded),
+    best AS (SELECT *, list_min([e.z, e.a]) AS b FROM ended)
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+           CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+           CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit,
+           sha256(coalesce(array_to_string(b.r, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+    """,
+)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audits(read(spark, sf_dir, "conversations"))

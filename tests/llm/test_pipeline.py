@@ -42,5 +42,5 @@ def test_registered():
     assert {n for n in names if n.startswith("op")} == {
         "op1_topk_search", "op2_html_extraction", "op3_toxicity", "op4_simhash", "op5_piece_ids", "op6_line_dedup",
         "op7_language_id", "op8_chat_formatting", "op9_decontamination", "op10_url_filter",
-        "op11_manifest", "op13_bpe_ids",
+        "op11_manifest", "op12_conversation_repair", "op13_bpe_ids",
     }
