@@ -7,7 +7,8 @@ whose segmentations are independent.
 
 Texts are read in blocks. Each block sends its distinct chunks, by hash bucket, to the table of
 all distinct chunks, where a chunk is segmented once; the ids come back to the block and are
-joined by position. A block sends its texts as chunk numbers, so no text is shuffled.
+joined by position, a bounded batch of texts at a time. A block sends its texts as chunk
+numbers, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ from xxhash import xxh32_intdigest, xxh64_intdigest
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 CROSSING = re.compile(f"[^{MARK}]{MARK}")
-BLOCK_CHARS = 16_000_000  # a block ends with the text that reaches this size
-DOCS_PER_BUCKET = 4000
-FEWEST_BUCKETS, MOST_BUCKETS = 16, 1 << 20
+BLOCK_CHARS = 12_000_000  # a block ends with the text that reaches this size
+FEWEST_BUCKETS = 16
+DOCS_ROOT_PER_BUCKET = 8  # buckets follow the root of the documents, as distinct words do
+MOST_REMEMBERED = 1_000_000  # chunks of a bucket whose ids a task holds at a time
+OUT_IDS = 1 << 18  # ids of one batch of joined texts
 
 
 def chunks_of(text: str | None) -> list[str]:
@@ -178,13 +182,19 @@ def distinct_chunks(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def segmented(chunks: DataFrame, proto: bytes) -> DataFrame:
-    """(block, sum, bucket, sizes, ids) for `distinct_chunks`: each chunk of a bucket is segmented once."""
+    """(block, sum, bucket, sizes, ids) for `distinct_chunks`: each chunk of a bucket is segmented once.
+
+    A bucket of more than MOST_REMEMBERED distinct chunks forgets what it has and goes on, so its
+    memory is bounded; a chunk met again is then segmented again.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, table = Segmenter(proto), {}
         for batch in stream:
             for i in range(batch.num_rows):
                 mine = unpack_chunks(batch.column("sizes")[i].as_py(), batch.column("content")[i].as_py())
+                if len(table) > MOST_REMEMBERED:
+                    table = {}
                 new = [c for c in mine if c not in table]
                 table.update(zip(new, segmenter.ids([c.decode() for c in new])))
                 row = batch.slice(i, 1)
@@ -197,7 +207,7 @@ def segmented(chunks: DataFrame, proto: bytes) -> DataFrame:
 
 
 def numbered_texts(rows: DataFrame, buckets: int) -> DataFrame:
-    """(block, sum, owners, sizes, places): the texts of every block as chunk numbers, one row each."""
+    """(block, sum, bucket -1, sizes, ids, owners): the texts of every block as chunk numbers in `ids`, one row each."""
 
     def run(stream):
         for number, block in blocks(stream):
@@ -206,13 +216,41 @@ def numbered_texts(rows: DataFrame, buckets: int) -> DataFrame:
                 {
                     "block": pa.array([number], pa.int64()),
                     "sum": pa.array([check], pa.int64()),
+                    "bucket": pa.array([-1], pa.int32()),
+                    "sizes": pa.array([pack_numbers(np.asarray(block.sizes, np.uint32))], pa.binary()),
+                    "ids": pa.array([pack_numbers(places)], pa.binary()),
                     "owners": pa.array([block.owners], pa.list_(pa.int64())),
-                    "sizes": pa.array([block.sizes], pa.list_(pa.int32())),
-                    "places": pa.array([pack_numbers(places)], pa.binary()),
                 }
             )
 
-    return rows.mapInArrow(run, "block long, sum long, owners array<long>, sizes array<int>, places binary")
+    return rows.mapInArrow(run, "block long, sum long, bucket int, sizes binary, ids binary, owners array<long>")
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The ids of the chunks `places` one after the other; chunk c has ids[starts[c] : starts[c] + sizes[c]]."""
+    lengths = sizes[places]
+    ends = np.cumsum(lengths)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+    return ids[np.repeat(starts[places], lengths) + within]
+
+
+def joined_texts(parts: list[tuple[int, bytes, bytes]], text_sizes: bytes, numbers: bytes, segmenter: Segmenter):
+    """Batches of (first text, ids of each text): the parts' ids in the order of the texts' chunk numbers."""
+    unpacked = [(unpack_numbers(s) // 4, unpack_numbers(i)) for _, s, i in sorted(parts)]
+    sizes = np.concatenate([s for s, _ in unpacked]).astype(np.int64) if unpacked else np.zeros(0, np.int64)
+    ids = np.concatenate([i for _, i in unpacked]) if unpacked else np.zeros(0, np.uint32)
+    starts, places = np.cumsum(sizes) - sizes, unpack_numbers(numbers)
+    ends = np.cumsum(unpack_numbers(text_sizes), dtype=np.int64)
+    text, begun = 0, 0
+    while text < len(ends):
+        # The texts up to about OUT_IDS chunks, one at least.
+        last = max(text + 1, int(np.searchsorted(ends, begun + OUT_IDS, "right")))
+        held = places[begun : ends[last - 1]]
+        flat = gathered(starts, sizes, ids, held).astype("<u4")
+        edges = np.concatenate([[0], np.cumsum(sizes[held])])[np.concatenate([[begun], ends[text:last]]) - begun]
+        pairs = zip(edges.tolist(), edges[1:].tolist())
+        yield text, [b"".join([segmenter.begin, flat[a:b].tobytes(), segmenter.end]) for a, b in pairs]
+        text, begun = last, int(ends[last - 1])
 
 
 def encode(docs: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,34 +267,29 @@ def encode(docs: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text
     if len(proto) > 64 << 20:
         raise ValueError("the model is too large to travel with the job")
     check_model(proto)
-    buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, docs.count() // DOCS_PER_BUCKET))
+    buckets = max(FEWEST_BUCKETS, isqrt(docs.count()) // DOCS_ROOT_PER_BUCKET)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def join(texts: pa.Table, parts: pa.Table) -> pa.Table:
-        segmenter = Segmenter(proto)
-        out, columns = [], [parts[c].to_pylist() for c in ("bucket", "sizes", "ids")] if parts.num_rows else [[], [], []]
-        sums = set(texts["sum"].to_pylist()) | (set(parts["sum"].to_pylist()) if parts.num_rows else set())
-        if texts.num_rows != 1 or len(sums) != 1:
+    def join(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter, parts, texts, sums = Segmenter(proto), [], [], set()
+        for batch in stream:
+            for row in batch.to_pylist():
+                sums.add(row["sum"])
+                packed = (row["bucket"], row["sizes"], row["ids"])
+                (texts if row["bucket"] < 0 else parts).append((*packed, row["owners"]) if row["bucket"] < 0 else packed)
+        if len(texts) != 1 or len(sums) != 1:
             raise RuntimeError("the texts changed between two reads; store them first")
-        table = [ids for _, *packed in sorted(zip(*columns)) for ids in unpack_ids(*packed)]
-        places, start = unpack_numbers(texts["places"][0].as_py()).tolist(), 0
-        owners = texts["owners"][0].as_py()
-        for size in texts["sizes"][0].as_py():
-            ids = map(table.__getitem__, places[start : start + size])
-            out.append(b"".join([segmenter.begin, *ids, segmenter.end]))
-            start += size
-        decoded = [segmenter.model.decode(id_list(ids)) for ids in out]
-        columns = [pa.array(owners, pa.int64()), pa.array(out, pa.binary()), pa.array(decoded, pa.string())]
-        return pa.Table.from_arrays(columns, ["doc_id", "ids", "decoded"])
-
-    join.__annotations__ = {"texts": pa.Table, "parts": pa.Table, "return": pa.Table}
-    texts = numbered_texts(rows, buckets)
-    parts = segmented(distinct_chunks(rows, buckets), proto).select(
-        F.col("block").alias("of"), "sum", "bucket", "sizes", "ids"
-    )
-    return texts.groupBy("block").cogroup(parts.groupBy("of")).applyInArrow(
-        join, "doc_id long, ids binary, decoded string"
-    )
+        _, sizes, numbers, owners = texts.pop()
+        for first, found in joined_texts(parts, sizes, numbers, segmenter):
+            decoded = [segmenter.model.decode(id_list(ids)) for ids in found]
+            names = pa.array(owners[first : first + len(found)], pa.int64())
+            columns = [names, pa.array(found, pa.binary()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+
+    join.__annotations__ = {"stream": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    parts = segmented(distinct_chunks(rows, buckets), proto).withColumn("owners", F.lit(None).cast("array<long>"))
+    both = numbered_texts(rows, buckets).unionByName(parts)
+    return both.groupBy("block").applyInArrow(join, "doc_id long, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -38,7 +38,9 @@ def test_odd_texts(make, spark):
 
 def test_many_small_blocks_and_buckets(make, monkeypatch):
     monkeypatch.setattr(pieces, "BLOCK_CHARS", 40)
-    monkeypatch.setattr(pieces, "DOCS_PER_BUCKET", 2)
+    monkeypatch.setattr(pieces, "FEWEST_BUCKETS", 60)
+    monkeypatch.setattr(pieces, "MOST_REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "OUT_IDS", 7)
     rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(120)]
     got = pieces.digests(pieces.encode(make(rows, "doc_id long, text string"), PROTO)).collect()
     assert {tuple(r) for r in got} == {(i, *expected(t)) for i, t in rows}
@@ -68,3 +70,18 @@ def test_packing_round_trips():
 def test_a_too_large_model_is_refused(spark):
     with pytest.raises(ValueError):
         pieces.encode(spark.createDataFrame([], "doc_id long, text string"), bytes(65 << 20))
+
+
+def test_texts_are_joined_in_small_batches(monkeypatch):
+    monkeypatch.setattr(pieces, "OUT_IDS", 3)
+    ids = [pieces.id_bytes(x) for x in ([5], [6, 7], [], [8, 9, 10])]
+    parts = [(1, *pieces.pack_ids(ids[2:])), (0, *pieces.pack_ids(ids[:2]))]
+    texts = [[0, 1], [], [3, 3, 3, 2], [], [1]]
+    sizes, numbers = (pieces.pack_numbers(np.asarray(x, np.uint32)) for x in ([len(t) for t in texts], sum(texts, [])))
+    batches = list(pieces.joined_texts(parts, sizes, numbers, SEGMENTER))
+    assert len(batches) > 1 and [first for first, _ in batches] == list(np.cumsum([0, *(len(f) for _, f in batches)]))[:-1]
+    joined = [b"".join([SEGMENTER.begin, *(ids[c] for c in t), SEGMENTER.end]) for t in texts]
+    assert [x for _, found in batches for x in found] == joined
+    assert list(pieces.joined_texts([], pieces.pack_numbers(np.zeros(2, np.uint32)), pieces.pack_numbers(np.zeros(0, np.uint32)), SEGMENTER)) == [
+        (0, [SEGMENTER.begin + SEGMENTER.end] * 2)
+    ]
