@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions import texts
-from quotemill.operators import embed, keyword, vectors
+from quotemill.operators import embed, keyword, quantised, vectors
 from quotemill.session import new_work_dir
 from registry.tables import SQL, Tables, register
 
@@ -238,6 +238,24 @@ def semantic_topk_near(t: Tables):
     return _indexed(t, _label_questions(t), **NEAR)
 
 
+def _quantised(t: Tables, questions: DataFrame, **search) -> DataFrame:
+    path = new_work_dir(t.spark, "quantised")
+    quantised.build_index(t.raw("embeddings"), path, id_column="vec_id")
+    return quantised.search(t.spark, path, questions, 5, **search).withColumn("similarity", F.round("similarity", 3))
+
+
+@register("semantic_topk_quantised_whole", SQL["semantic_topk"])
+def semantic_topk_quantised_whole(t: Tables):
+    """The quantised index with all stored vectors scored exactly."""
+    return _quantised(t, _label_questions(t), whole=True)
+
+
+@register("semantic_topk_quantised")
+def semantic_topk_quantised(t: Tables):
+    """Approximate, hence without SQL: codes of 16 bytes choose the vectors that are scored exactly."""
+    return _quantised(t, _label_questions(t))
+
+
 @register(
     "vector_self_similarity",
     "SELECT vec_id, CAST(1.0 AS DOUBLE) AS similarity, "
