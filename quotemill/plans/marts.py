@@ -156,6 +156,11 @@ def market_daily(
         stage_weather(readings, clock, city),
         _failure_dates(insights, clock),
     )
+    return daily_columns(joined)
+
+
+def daily_columns(joined: DataFrame) -> DataFrame:
+    """The published columns of the daily mart from one row per date."""
     return joined.select(
         "date",
         F.round("btc_mean", 2).alias("btc_avg_price"),

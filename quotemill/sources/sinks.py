@@ -23,16 +23,19 @@ def with_row_id(df: DataFrame, *natural_key: str) -> DataFrame:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, day: Column | None = None) -> None:
-    """Append one batch as its own folder.
+    """Append one batch as its own folder, or as one below the folder of each of its days.
 
-    A batch replayed after a failure overwrites its own folder only, so a retry never
-    stores rows twice.
+    A batch replayed after a failure overwrites its own folders only, so a retry never
+    stores rows twice; those of days it no longer has are deleted first.
     """
-    target = f"{path}/batch_id={batch_id}"
     if day is None:
-        df.write.mode("overwrite").parquet(target)
-    else:
-        df.withColumn("date", day).write.mode("overwrite").partitionBy("date").parquet(target)
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return
+    fs, pattern = _folder(df.sparkSession, f"{path}/date=*/batch_id={batch_id}")
+    for status in fs.globStatus(pattern) or []:
+        fs.delete(status.getPath(), True)
+    dated = df.withColumn("date", day).withColumn("batch_id", F.lit(batch_id))
+    dated.write.mode("append").partitionBy("date", "batch_id").parquet(path)
 
 
 def append_snapshots(df: DataFrame, path: str, batch_id: int, zone: str) -> None:
@@ -103,24 +106,35 @@ RETENTION_DAYS = {"crypto_prices": ("timestamp", 30), "news_articles": ("fetched
 def drop_old_days(spark: SparkSession, path: str, oldest: date) -> int:
     """Delete whole `date=` folders before `oldest`; returns how many were removed.
 
-    Retention on stored snapshots drops partitions instead of rewriting the kept rows. A batch
-    folder that holds no day any more goes with its last one.
+    Retention on stored snapshots drops partitions instead of rewriting the kept rows. Days lie
+    above batches, so only the names of the stored days are listed, however many batches there are.
     """
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/date=*")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, pattern = _folder(spark, f"{path}/date=*")
     removed = 0
     for status in fs.globStatus(pattern) or []:
         day = unquote(status.getPath().getName().removeprefix("date="))
         if day < oldest.isoformat() and not day.startswith("__"):
-            batch = status.getPath().getParent()
             fs.delete(status.getPath(), True)
             removed += 1
-            if not any(s.isDirectory() for s in fs.listStatus(batch)):
-                fs.delete(batch, True)
     return removed
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system and the path, whatever store it is in."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _folder(spark, path)
+    return fs.exists(folder)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
+
+
 def publish_mart(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
     """Write a mart version to its own folder, then record it; readers never see a part.
 
@@ -136,17 +150,22 @@ def publish_mart(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
 
 def _drop_old_folders(spark: SparkSession, pattern: str, keep: int) -> None:
     """Delete all but the `keep` folders with the highest number after the equals sign."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, found = _folder(spark, pattern)
     paths = [status.getPath() for status in fs.globStatus(found) or []]
     for old in sorted(paths, key=lambda p: int(p.getName().split("=")[1]))[:-keep]:
         fs.delete(old, True)
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest completely written version of a mart, None before the first."""
+    if not folder_exists(spark, f"{path}-versions"):
+        return None
+    return spark.read.schema("version BIGINT").parquet(f"{path}-versions").agg(F.max("version")).first()[0]
+
+
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
     """The newest completely written version of a mart."""
-    newest = spark.read.schema("version BIGINT").parquet(f"{path}-versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/version={newest}")
+    return spark.read.parquet(f"{path}/version={newest_version(spark, path)}")
 
 
 def update_embeddings(news: DataFrame, vectors: DataFrame) -> DataFrame:

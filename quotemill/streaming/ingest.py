@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock, live_clock
-from quotemill.functions.times import local_date
+from quotemill.functions.times import instant_to_utc, local_date
 from quotemill.functions.weather import SHORT_CODES
 from quotemill.operators.quality import cleaned, observe_run, run_checks
 from quotemill.operators.quality.log import failure_log
+from quotemill.plans.day_states import states_of
 from quotemill.sources import sinks
 from quotemill.sources.feeds import (
     news_from_payload,
@@ -31,9 +32,11 @@ from quotemill.sources.feeds import (
     weather_from_payload,
 )
 from quotemill.sources.schemas import CRYPTO_PRICES
+from quotemill.streaming.day_mart import DayMart
 
 log = logging.getLogger(__name__)
 
+_NEWS_STORED = "title STRING, id BIGINT, description STRING, source STRING, url STRING, published_at TIMESTAMP_NTZ"
 LANDING_SCHEMA = "polled_at TIMESTAMP_NTZ, payload STRING"
 
 
@@ -43,7 +46,8 @@ class TickerIngest:
 
     Every write goes to a folder named after the batch, so a batch replayed after a
     failure replaces its own output. `refresh` rebuilds a mart from the stored days; with
-    `refresh_days` it gets those of the last days only, the others are not read.
+    `refresh_days` it gets those of the last days only, the others are not read. `day_mart` takes
+    the batch's day states instead and recomputes the days of the batch alone.
     """
 
     root: str
@@ -52,6 +56,7 @@ class TickerIngest:
     retention_days: int | None = sinks.RETENTION_DAYS["crypto_prices"][1]
     refresh: Callable[[DataFrame, Clock], DataFrame] | None = None
     refresh_days: int | None = None
+    day_mart: DayMart | None = None
 
     def __call__(self, landed: DataFrame, batch_id: int) -> None:
         clock = self.clock()
@@ -67,9 +72,11 @@ class TickerIngest:
             sinks.append_snapshots(cleaned(observe_run(checked, metrics)), f"{self.root}/crypto_prices", batch_id, clock.zone)
             sinks.write_batch(failure_log(checked), f"{self.root}/ai_insights", batch_id)
             sinks.write_batch(parsed.rejects, f"{self.root}/rejects", batch_id)
-            sinks.write_batch(
-                sinks.load_metadata(checked, "crypto_prices", clock.now_column()), f"{self.root}/dq_metadata", batch_id
-            )
+            record_load(f"{self.root}/dq_metadata", sinks.load_metadata(checked, "crypto_prices", clock.now_column()))
+            if self.day_mart is not None:
+                logged = failure_log(checked)
+                states = states_of(clock, prices=cleaned(checked), insights=logged)
+                self.day_mart.absorb(states, f"tickers-{batch_id}")
         finally:
             checked.unpersist()
         counted = metrics.get
@@ -100,6 +107,7 @@ class NewsIngest:
     first: int | None = None
     clip: int | None = None
     retention_days: int | None = sinks.RETENTION_DAYS["news_articles"][1]
+    day_mart: DayMart | None = None
 
     def __call__(self, landed: DataFrame, batch_id: int) -> None:
         clock = self.clock()
@@ -117,6 +125,9 @@ class NewsIngest:
         articles = sinks.with_row_id(fresh.drop("polled_at", "item_pos"), "url", "title", "published_at")
         sinks.write_batch(articles, path, batch_id, local_date("fetched_at", clock.zone))
         sinks.write_batch(unreadable_news(landed), f"{self.root}/rejects", batch_id)
+        if self.day_mart is not None:
+            stored = _stored(spark, path, f"{_NEWS_STORED}, date DATE, batch_id BIGINT")
+            self.day_mart.absorb(states_of(clock, news=stored.filter(F.col("batch_id") == batch_id)), f"news-{batch_id}")
         expire(spark, path, self.retention_days, clock)
 
 
@@ -129,6 +140,7 @@ class WeatherIngest:
     city: str = "Warsaw"
     codes: dict[int, str] = field(default_factory=lambda: dict(SHORT_CODES))
     retention_days: int | None = sinks.RETENTION_DAYS["weather_data"][1]
+    day_mart: DayMart | None = None
 
     def __call__(self, landed: DataFrame, batch_id: int) -> None:
         clock = self.clock()
@@ -137,6 +149,8 @@ class WeatherIngest:
         path = f"{self.root}/weather_data"
         sinks.write_batch(stamped, path, batch_id, local_date("timestamp", clock.zone))
         sinks.write_batch(parsed.rejects, f"{self.root}/rejects", batch_id)
+        if self.day_mart is not None:
+            self.day_mart.absorb(states_of(clock, readings=stamped, city=self.city), f"weather-{batch_id}")
         expire(landed.sparkSession, path, self.retention_days, clock)
 
 
@@ -169,12 +183,21 @@ def stored_failures(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/ai_insights")
 
 
+def record_load(path: str, load: DataFrame) -> None:
+    """Put a load into the metadata: one row per table, written as a version of its own."""
+    spark = load.sparkSession
+    version = sinks.newest_version(spark, path)
+    if version is not None:
+        stored = spark.read.schema(load.schema).parquet(f"{path}/version={version}")
+        load = sinks.upsert_latest(stored, load, "table_name", "last_check")
+    sinks.publish_mart(load.coalesce(1), path, (version or 0) + 1)
+
+
 def current_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """The newest metadata row per table over all batches."""
-    every = spark.read.parquet(f"{root}/dq_metadata").select(
-        "table_name", "last_successful_ts", "rows_inserted", "last_check", "batch_id"
+    """The newest metadata row per table."""
+    return sinks.read_mart(spark, f"{root}/dq_metadata").select(
+        "table_name", "last_successful_ts", "rows_inserted", "last_check"
     )
-    return sinks.upsert_latest(every.limit(0), every, "table_name", "batch_id").drop("batch_id")
 
 
 def run_ingest(
@@ -184,14 +207,21 @@ def run_ingest(
     every: str | None = None,
     files_per_batch: int | None = None,
     raw_files: bool = False,
+    file_times: bool = False,
 ) -> None:
-    """Run a loop over a landing folder: once over everything available, or every `every`."""
+    """Run a loop over a landing folder: once over everything available, or every `every`.
+
+    Raw files have no poll time of their own: they get the batch's, or with `file_times` each the
+    time its file was written, which is when its poll came back.
+    """
     reader = spark.readStream
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if raw_files:
         whole = reader.text(landing, wholetext=True)
-        landed = whole.select(F.lit(None).cast("timestamp_ntz").alias("polled_at"), F.col("value").alias("payload"))
+        written = instant_to_utc(F.col("_metadata.file_modification_time"))
+        polled = written if file_times else F.lit(None).cast("timestamp_ntz")
+        landed = whole.select(polled.alias("polled_at"), F.col("value").alias("payload"))
     else:
         landed = reader.schema(LANDING_SCHEMA).parquet(landing)
     writer = landed.writeStream.foreachBatch(job).option("checkpointLocation", f"{job.root}/checkpoint")

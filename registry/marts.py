@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from quotemill.operators import staging
-from quotemill.plans import marts
+from quotemill.plans import day_states, marts
+from quotemill.session import new_work_dir
+from quotemill.streaming.day_mart import DayMart
 from registry.tables import CLOCK, Tables, day_start, local_clock, local_day, mean, register
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -175,3 +179,34 @@ FROM news_articles WHERE published_at >= {day_start(30)} GROUP BY 1
 )
 def news_daily(t: Tables):
     return marts.news_daily(t.news, CLOCK)
+
+
+def _absorbed(t: Tables) -> DayMart:
+    """The mart after batches of several feeds, late rows, a replay and an expired day."""
+    mart = DayMart(new_work_dir(t.spark, "day-mart"))
+    half = F.col("timestamp") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    late = F.col("id") % 10 == 7  # of all days, they come after the rest
+    batches = {
+        "tickers-0": {"prices": t.prices.where(half & ~late)},
+        "news-0": {"news": t.news},
+        "weather-0": {"readings": t.weather},
+        "tickers-1": {"prices": t.prices.where(~half & ~late)},
+        "failures-0": {"insights": t.failures},
+        "tickers-2": {"prices": t.prices.where(late)},
+    }
+    for share, rows in [*batches.items(), ("tickers-1", batches["tickers-1"])]:
+        mart.absorb(day_states.states_of(CLOCK, **rows), share)
+    mart.expire(t.spark, date(2024, 1, 5))
+    return mart
+
+
+@register("incremental_market_daily", "SELECT * FROM daily WHERE date >= DATE '2024-01-05'", DAILY_VIEWS, **DAILY)
+def incremental_market_daily(t: Tables):
+    return _absorbed(t).read(t.spark)
+
+
+@register("market_daily_from_states", "SELECT * FROM daily", DAILY_VIEWS, **DAILY)
+def market_daily_from_states(t: Tables):
+    """All states at once: the sources fold into one row per date without a join."""
+    states = day_states.states_of(CLOCK, t.prices, t.news, t.weather, t.failures)
+    return day_states.daily_from_states(states)

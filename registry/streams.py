@@ -159,10 +159,7 @@ def stream_ingest_mart(t: Tables):
     stored=_STORED,
 )
 def stream_ingest_metadata(t: Tables):
-    root = _ingested(t)
-    newest = ingest.current_metadata(t.spark, root).select("table_name", "last_successful_ts")
-    total = t.spark.read.parquet(f"{root}/dq_metadata").groupBy("table_name").agg(F.sum("rows_inserted").alias("rows_inserted"))
-    return newest.join(total, "table_name")
+    return ingest.current_metadata(t.spark, _ingested(t)).select("table_name", "last_successful_ts", "rows_inserted")
 
 
 def _landed(t: Tables, polls: DataFrame) -> str:

@@ -234,7 +234,7 @@ def test_stores_stay_bounded_over_many_batches(spark, tmp_path):
             landed = spark.createDataFrame([(polled, text)], ingest.LANDING_SCHEMA)
             for _ in range(2 if day == 4 else 1):
                 job(landed, day)
-        counts.append(tuple(len(list((tmp_path / s).glob("batch_id=*"))) for s in ("w/weather_data", "n/news_articles", "p/crypto_prices")))
+        counts.append(tuple(len(list((tmp_path / s).glob("date=*"))) for s in ("w/weather_data", "n/news_articles", "p/crypto_prices")))
     assert counts[-1] == counts[-3] == (3, 3, 3)
     assert spark.read.parquet(f"{tmp_path}/w/weather_data").count() == 3
     assert len(list((tmp_path / "p/mart").glob("version=*"))) == 2
