@@ -9,7 +9,7 @@ from quotemill.functions.weather import SHORT_CODES
 from quotemill.plans.marts import daily_crypto_stats
 from quotemill.session import new_work_dir
 from quotemill.sources import sinks
-from quotemill.streaming import ingest, jobs
+from quotemill.streaming import freshness, ingest, jobs
 from quotemill.streaming.runs import drain_to_parquet, stream_parquet
 from registry.ingest import _NEWS_ITEMS, _TICKERS, USABLE, _weather_sql, _with_unreadable, news_polls, ticker_polls, weather_polls
 from registry.tables import CLOCK, Tables, local_day, mean, prices_from, register
@@ -194,3 +194,20 @@ def stream_weather_ingest(t: Tables):
     return stored.groupBy("weather_condition").agg(
         F.count("*").alias("readings"), F.sum("temperature").alias("degrees"), F.sum("humidity").alias("humidity")
     )
+
+
+@register(
+    "stream_freshness",
+    """
+SELECT symbol AS table_name, timestamp AS last_seen, timestamp + INTERVAL 15 MINUTE AS alert_at
+FROM (SELECT symbol, timestamp, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS following,
+             (SELECT max(timestamp) FROM crypto_prices) - INTERVAL 15 MINUTE AS watermark FROM (SELECT DISTINCT symbol, timestamp FROM crypto_prices))
+WHERE timestamp + INTERVAL 15 MINUTE < watermark AND (following IS NULL OR following > timestamp + INTERVAL 15 MINUTE)
+""",
+    ("crypto_prices",),
+)
+def stream_freshness(t: Tables):
+    """Silences of more than 15 minutes per symbol, sent because the watermark passed them."""
+    rows = _price_stream(t).select(F.col("symbol").alias("table_name"), "timestamp")
+    with freshness.rocks_state(t.spark):
+        return _read(t, drain_to_parquet(freshness.freshness_stream(rows), "stream-freshness"))
