@@ -75,3 +75,27 @@ def merged_pollers_stream(first: DataFrame, second: DataFrame, delay: str = "15
         return both
     timed = with_event_time(both, "timestamp", delay)
     return timed.dropDuplicatesWithinWatermark(["symbol", "timestamp"]).drop(EVENT_TIME)
+
+
+def poller_gaps_stream(first: DataFrame, second: DataFrame, delay: str = "15 minutes") -> DataFrame:
+    """(symbol, timestamp, seen_by) of the polls that only one of two pollers saw.
+
+    A full outer join on symbol and poll time. A row waits in the state for its counterpart until
+    the slower poller's watermark has passed its time; then it is known to be missing there. Rows
+    repeated within the delay count once. A poll without symbol or time has no counterpart and no
+    part in the comparison.
+    """
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        known = rows.where("symbol IS NOT NULL AND timestamp IS NOT NULL").select("symbol", "timestamp")
+        timed = with_event_time(known, "timestamp", delay).dropDuplicatesWithinWatermark(["symbol", "timestamp"])
+        return timed.select("symbol", EVENT_TIME, F.lit(name).alias(name))
+
+    a, b = side(first, "first").alias("a"), side(second, "second").alias("b")
+    same = (F.col("a.symbol") == F.col("b.symbol")) & (F.col(f"a.{EVENT_TIME}") == F.col(f"b.{EVENT_TIME}"))
+    alone = a.join(b, same, "full_outer").where("first IS NULL OR second IS NULL")
+    return alone.select(
+        F.coalesce("a.symbol", "b.symbol").alias("symbol"),
+        instant_to_utc(F.coalesce(f"a.{EVENT_TIME}", f"b.{EVENT_TIME}")).alias("timestamp"),
+        F.coalesce("first", "second").alias("seen_by"),
+    )

@@ -211,3 +211,20 @@ def stream_freshness(t: Tables):
     rows = _price_stream(t).select(F.col("symbol").alias("table_name"), "timestamp")
     with freshness.rocks_state(t.spark):
         return _read(t, drain_to_parquet(freshness.freshness_stream(rows), "stream-freshness"))
+
+
+@register(
+    "stream_poller_gaps",
+    """
+SELECT symbol, timestamp, coalesce(a.poller, b.poller) AS seen_by
+FROM (SELECT DISTINCT symbol, timestamp, 'first' AS poller FROM crypto_prices WHERE id % 7 <> 0) a
+FULL JOIN (SELECT DISTINCT symbol, timestamp, 'second' AS poller FROM crypto_prices WHERE id % 11 <> 0) b USING (symbol, timestamp)
+WHERE (a.poller IS NULL OR b.poller IS NULL) AND timestamp < (
+  SELECT least(max(timestamp) FILTER (WHERE id % 7 <> 0), max(timestamp) FILTER (WHERE id % 11 <> 0)) FROM crypto_prices) - INTERVAL 15 MINUTE
+""",
+    ("crypto_prices",),
+)
+def stream_poller_gaps(t: Tables):
+    """Two pollers that miss different polls of the same feed."""
+    gaps = jobs.poller_gaps_stream(_price_stream(t).where("id % 7 <> 0"), _price_stream(t).where("id % 11 <> 0"))
+    return _read(t, drain_to_parquet(gaps, "stream-poller-gaps"))
