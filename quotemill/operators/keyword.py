@@ -143,9 +143,13 @@ def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
     """
     index = settled(index)
     total, words = index.filter(F.col("term") == NO_TERM).agg(F.count("*"), F.sum("length")).first()
-    mean = max(1.0, (words or 0) / max(1, total))
     held = index.filter(F.col("term") != NO_TERM)
-    spread = held.groupBy("term").agg(F.count("*").alias("n"))
+    return ranked_matches(held, terms, held.groupBy("term").agg(F.count("*").alias("n")), total, words or 0)
+
+
+def ranked_matches(held: DataFrame, terms: DataFrame, spread: DataFrame, total: int, words: int) -> DataFrame:
+    """`matches` from the postings of the queries' terms, the documents of each term (term, n), all documents and words."""
+    mean = max(1.0, words / max(1, total))
     weight = F.log(1 + (F.lit(float(total)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = terms.join(spread, "term", "left")
     asked = weighed.groupBy("query").agg(
@@ -181,7 +185,11 @@ def search(
     """
     text = search_text() if text is None else text
     terms = query_terms(queries)
-    found = matches(postings(docs, text, terms) if index is None else index, terms)
+    return best_documents(matches(postings(docs, text, terms) if index is None else index, terms), docs, limit)
+
+
+def best_documents(found: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """The `limit` best rows of `ranked_matches` per query, with the documents' columns."""
     best = Window.partitionBy("query").orderBy(F.desc("relevance"), F.desc_nulls_first("published_at"), "id")
     top = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
     return join_summary(docs, settled(top.select("query", "place", "id", "relevance")), "id")

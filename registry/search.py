@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import texts
 from quotemill.operators import embed, keyword, quantised, vectors
+from quotemill.operators.text_index import TextIndex
 from quotemill.session import new_work_dir
 from registry.tables import SQL, Tables, register
 
@@ -167,6 +168,25 @@ def keyword_search_indexed(t: Tables):
     return _rounded(keyword.search(t.news, _asked(t), index=index)).select("query", "place", "id", "relevance")
 
 
+_KEPT = {name: sql.replace("news_articles", "kept_articles") for name, sql in MATCH.items()}
+
+
+@register(
+    "keyword_search_segments",
+    f"SELECT query, CAST(place AS INT) AS place, id, {_RANKED} FROM found",
+    ("news_articles",),
+    kept_articles="SELECT * FROM news_articles WHERE fetched_at >= TIMESTAMP '2024-01-08 00:00:00'",
+    **_KEPT,
+)
+def keyword_search_segments(t: Tables):
+    """An index of three batches, one of them replayed, after a retention delete."""
+    index = TextIndex(new_work_dir(t.spark, "text-index"), buckets=8)
+    for batch in (0, 1, 2, 1):
+        index.add(t.news.where(F.col("id") % 3 == batch), f"news-{batch}")
+    index.delete(t.news.where("fetched_at < TIMESTAMP_NTZ'2024-01-08 00:00:00'").select("id"), "retention-2024-01-08")
+    return _rounded(index.search(t.news, _asked(t))).select("query", "place", "id", "relevance")
+
+
 @register(
     "news_context",
     """
