@@ -26,6 +26,7 @@ MAX_HORIZON = 48
 Z_95 = 1.96
 SECONDS_PER_DAY = 86_400.0
 COEFFICIENTS = [f"b_{name}" for name in FEATURES]
+KEPT = ("symbol", "training_points", "last_ts", "last_price")
 
 
 def training_window(prices: DataFrame, clock: Clock, days: int = 7) -> DataFrame:
@@ -81,8 +82,8 @@ def scaler(train: DataFrame) -> DataFrame:
     return train.groupBy("symbol").agg(*aggregates)
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Minimum-norm least squares of standardised features from the sums, one row per symbol."""
+def _solve(batches: Iterator[pd.DataFrame], kept: tuple[str, ...] = KEPT) -> Iterator[pd.DataFrame]:
+    """Minimum-norm least squares of standardised features from the sums, one row per model."""
     size = len(FEATURES)
     for pdf in batches:
         n = pdf["training_points"].to_numpy(float)
@@ -102,7 +103,7 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "nij,nj->ni", np.linalg.pinv(scaled, rcond=1e-10, hermitian=True), with_price / scale * live
         )
         slope = weights / scale
-        out = pdf[["symbol", "training_points", "last_ts", "last_price"]].copy()
+        out = pdf[list(kept)].copy()
         out["intercept"] = mean_price - (slope * mean).sum(axis=1)
         out[COEFFICIENTS] = slope
         yield out

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from quotemill.clock import Clock, live_clock
 from quotemill.functions.times import instant_to_utc, local_date
 from quotemill.functions.weather import SHORT_CODES
+from quotemill.operators.joins import settled
 from quotemill.operators.quality import cleaned, observe_run, run_checks
 from quotemill.operators.quality.log import failure_log
 from quotemill.plans.day_states import states_of
-from quotemill.sources import sinks
+from quotemill.sources import key_filters, sinks
 from quotemill.sources.feeds import (
     news_from_payload,
     normalise_news,
@@ -117,18 +118,24 @@ class NewsIngest:
         order = [F.coalesce("polled_at", "fetched_at"), F.col("item_pos")]
         spark = landed.sparkSession
         # A replayed batch must not meet the rows of its own first attempt.
-        known = _stored(spark, path, "url STRING, batch_id BIGINT")
+        known, keys = _stored(spark, path, "url STRING, batch_id BIGINT, date DATE"), f"{self.root}/news_keys"
         if known is None:
             fresh = sinks.keep_first(rows, ["url"], order)
         else:
-            fresh = sinks.insert_if_absent(known.filter(F.col("batch_id") != batch_id), rows, ["url"], order)
+            # Only the stored days whose key filter knows some URL of the batch are read.
+            others = known.filter(F.col("batch_id") != batch_id)
+            fresh = key_filters.insert_if_absent(others, keys, rows, ["url"], order, but_batch=batch_id)
         articles = sinks.with_row_id(fresh.drop("polled_at", "item_pos"), "url", "title", "published_at")
-        sinks.write_batch(articles, path, batch_id, local_date("fetched_at", clock.zone))
+        day = local_date("fetched_at", clock.zone)
+        articles = settled(articles)
+        key_filters.write_filters(articles, keys, batch_id, ["url"], day)
+        sinks.write_batch(articles, path, batch_id, day)
         sinks.write_batch(unreadable_news(landed), f"{self.root}/rejects", batch_id)
         if self.day_mart is not None:
             stored = _stored(spark, path, f"{_NEWS_STORED}, date DATE, batch_id BIGINT")
             self.day_mart.absorb(states_of(clock, news=stored.filter(F.col("batch_id") == batch_id)), f"news-{batch_id}")
         expire(spark, path, self.retention_days, clock)
+        expire(spark, keys, self.retention_days, clock)
 
 
 @dataclass(frozen=True)

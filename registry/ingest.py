@@ -13,10 +13,10 @@ from quotemill.functions import weather
 from quotemill.operators import replies
 from quotemill.plans import marts
 from quotemill.session import new_work_dir
-from quotemill.sources import feeds, sinks
+from quotemill.sources import feeds, key_filters, sinks
 from quotemill.sources.schemas import SOURCES
 from registry.marts import DAILY, DAILY_VIEWS, daily
-from registry.tables import CLOCK, Tables, local_day, register
+from registry.tables import CLOCK, SQL, Tables, local_day, register
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -285,6 +285,18 @@ def insert_if_absent(t: Tables):
     return sinks.insert_if_absent(stored, t.news, ["url"], order).select("id", "url", "fetched_at", "title")
 
 
+@register("insert_if_absent_by_day", SQL["insert_if_absent"])
+def insert_if_absent_by_day(t: Tables):
+    """The same, reading only the stored days whose key filter knows a URL of the batch."""
+    order, root = [F.col("fetched_at"), F.col("id")], new_work_dir(t.spark, "keyed")
+    stored = sinks.keep_first(t.news.filter(F.col("fetched_at") < instant(datetime(2024, 1, 15, 12))), ["url"], order)
+    day = F.to_date("fetched_at")
+    sinks.write_batch(stored, f"{root}/news", 0, day)
+    key_filters.write_filters(stored, f"{root}/keys", 0, ["url"], day)
+    fresh = key_filters.insert_if_absent(t.spark.read.parquet(f"{root}/news"), f"{root}/keys", t.news, ["url"], order)
+    return fresh.select("id", "url", "fetched_at", "title")
+
+
 @register(
     "keep_first_by_url",
     "SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at, id) AS n FROM news_articles) WHERE n = 1 OR url IS NULL",

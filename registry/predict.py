@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quotemill.clock import Clock
-from quotemill.operators import forecast
+from quotemill.operators import backtest, forecast
 from registry.tables import CLOCK, Tables, local_clock, register
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -150,3 +150,47 @@ UNION ALL SELECT symbol, forecast_ts, round(p, 2), 'forecast' FROM points
 def actual_and_forecast(t: Tables):
     points = forecast.forecast(t.prices, CLOCK).points
     return forecast.actual_and_forecast(t.prices, points, CLOCK)
+
+
+def _backtest_sql() -> dict[str, str]:
+    """The fits of every origin by elimination, from the price rows of the days before it."""
+    out = {
+        "rows": "SELECT symbol, CAST(price_usd AS DOUBLE) AS price, timestamp, " + local_clock("timestamp") + " AS local FROM crypto_prices "
+                f"WHERE timestamp >= {AS_OF} - INTERVAL 28 DAY AND timestamp <= {AS_OF} AND price_usd > 0",
+        "days": f"SELECT symbol, price, timestamp, (epoch_us(timestamp) - epoch_us({AS_OF})) / 86400000000.0 AS unix, {_CALENDAR} FROM rows",
+        "origins": f"SELECT unnest(generate_series({AS_OF} - INTERVAL 21 DAY, {AS_OF}, INTERVAL 1 DAY)) AS origin",
+        "trained": "SELECT * FROM days JOIN origins ON timestamp >= origin - INTERVAL 7 DAY AND timestamp < origin",
+    }
+    centre = ", ".join(f"avg({n}) AS m{i}" for i, n in enumerate(NAMES))
+    out["stats"] = f"SELECT symbol, origin, count(*) AS n, avg(price) AS mp, {centre} FROM trained GROUP BY symbol, origin HAVING count(*) >= 10"
+    cells = [f"avg(({NAMES[i]} - m{i}) * ({NAMES[j]} - m{j})) AS a{i}{j}" for i in SIZE for j in SIZE]
+    cells += [f"avg(({NAMES[i]} - m{i}) * (price - mp)) AS b{i}" for i in SIZE]
+    out["step0"] = f"SELECT symbol, origin, {', '.join(cells)} FROM trained JOIN stats USING (symbol, origin) GROUP BY symbol, origin"
+    for k in SIZE:
+        columns = []
+        for i in SIZE:
+            for j in SIZE:
+                columns.append(f"a{i}{j}" if i == k else f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}")
+            columns.append(f"b{i}" if i == k else f"b{i} - a{i}{k} / a{k}{k} * b{k} AS b{i}")
+        out[f"step{k + 1}"] = f"SELECT symbol, origin, {', '.join(columns)} FROM step{k}"
+    slopes = ", ".join(f"b{i} / a{i}{i} AS w{i}" for i in SIZE)
+    weights = " - ".join(["mp", *[f"b{i} / a{i}{i} * m{i}" for i in SIZE]])
+    out["model"] = f"SELECT symbol, origin, n, mp, {slopes}, {weights} AS w FROM step5 JOIN stats USING (symbol, origin)"
+    fitted = " + ".join(["w", *[f"w{i} * {NAMES[i]}" for i in SIZE]])
+    out["scored"] = (
+        f"SELECT symbol, origin, n, price - ({fitted}) AS error, abs(price - mp) AS naive FROM days "
+        "JOIN model USING (symbol) WHERE timestamp >= origin AND timestamp < origin + INTERVAL 1 DAY"
+    )
+    return out
+
+
+@register(
+    "forecast_backtest",
+    "SELECT symbol, origin, n AS training_points, count(*) AS scored, round(avg(abs(error)), 3) AS mae, round(avg(error), 3) + 0.0 AS bias, "
+    "round(avg(naive), 3) AS naive_mae FROM scored GROUP BY ALL",
+    ("crypto_prices",),
+    **_backtest_sql(),
+)
+def forecast_backtest(t: Tables):
+    found = backtest.forecast_backtest(t.prices, CLOCK)
+    return found.withColumns({"mae": F.round("mae", 3), "bias": F.round("bias", 3) + 0.0, "naive_mae": F.round("naive_mae", 3)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from quotemill.operators import contracts
 from quotemill.operators.quality import ExpressionCheck, cleaned, run_checks, run_totals, summary_line
 from quotemill.operators.quality.log import failures, failures_by_day
+from quotemill.operators.quality import metrics
 from quotemill.operators.quality.run import check_totals
 from quotemill.plans import bundles, marts
+from quotemill.functions.times import local_date
 from quotemill.session import new_work_dir
 from quotemill.sources import sinks
 from quotemill.sources.schemas import SOURCES
@@ -507,3 +510,36 @@ def source_freshness(t: Tables):
     tables = {"crypto_prices": t.prices, "weather_data": t.weather, "news_articles": t.news}
     parts = [contracts.source_freshness(df, name, SOURCES[name].loaded_at, CLOCK) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+_METRICS = " UNION ALL ".join(
+    [
+        "SELECT '' AS column_name, count(*) AS rows, CAST(sum(CAST(failed <> '' AS INT)) AS BIGINT) AS failures, CAST(0 AS BIGINT) AS repaired, "
+        "NULL AS present, NULL AS least, NULL AS greatest FROM days",
+        "SELECT 'symbol', NULL, NULL, NULL, count(symbol), NULL, NULL FROM days",
+        "SELECT 'price_usd', NULL, NULL, NULL, count(price_usd), min(CAST(price_usd AS DOUBLE)), max(CAST(price_usd AS DOUBLE)) FROM days",
+    ]
+)
+
+
+@register(
+    "dq_run_metrics",
+    f"SELECT 'crypto_prices' AS table_name, m.*, d.distinct_values FROM ({_METRICS}) m LEFT JOIN "
+    "(SELECT 'symbol' AS column_name, count(DISTINCT symbol) AS distinct_values FROM days) d USING (column_name)",
+    ("price_checks",),
+    days=f"SELECT * FROM price_checks WHERE {local_day('timestamp')} BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'",
+)
+def dq_run_metrics(t: Tables):
+    """Stored per day for three batches, one replayed, and merged over eleven days.
+
+    The sketch of few distinct values is exact; estimates of many are left out of the comparison.
+    """
+    path = new_work_dir(t.spark, "metrics")
+    report = t.report("crypto_prices")
+    for batch in (0, 1, 2, 1):
+        part = report.where(F.col("id") % 3 == batch)
+        measured = metrics.measure(part, {"symbol": None, "price_usd": "price_usd"}, local_date("timestamp", CLOCK.zone))
+        metrics.store(measured, path, batch)
+    merged = metrics.over(t.spark, path, date(2024, 1, 10), date(2024, 1, 20))
+    few = F.when(F.col("column_name") == "symbol", F.col("distinct_values")).alias("distinct_values")
+    return merged.select("table_name", "column_name", "rows", "failures", "repaired", "present", "least", "greatest", few)
