@@ -2,10 +2,11 @@
 
 A text of more than LEAF characters is halved down to leaves of equal size, wherever the cuts
 fall. The leaves are encoded on their own; two neighbours are joined by encoding a window around
-their seam again, growing it until its first word is the left side's and its last whole word is
-the right side's, token for token. What lies beyond the window cannot change, as the pattern that
-finds words looks at most LITERAL characters ahead and the tokens of a word follow from the word
-alone.
+their seam again, growing it until its first unit is the left side's and its last whole unit is
+the right side's, token for token. A unit is what stands between spaces, or a word of it where
+that is long. What lies beyond the window cannot change, as the pattern that finds words crosses
+no space and looks at most LITERAL characters ahead, and the tokens of a word follow from the word
+alone. For the same reason a leaf takes units that the task has met before from a table.
 
 Inside one word that runs across the seam the window consists of tokens instead. Merges are
 applied in the order they were learned and each token has one derivation, so a row of tokens is a
@@ -34,23 +35,82 @@ LEAF = 4096  # characters
 STRETCH = 64 * LEAF  # characters that one task encodes of a text that is spread
 SPREAD = 1 << 20  # bytes
 LITERAL = 3  # the longest alternative of PATTERN that is no run of one class
+LONG_UNIT = 256  # characters between spaces that are one unit at most
 LONG_RUN = 32  # a word of this length on both sides of a seam is joined by tokens
+MOST_UNITS = 300_000  # units a task remembers at a time
 FIRST_REACH = 64  # characters of the first window on each side of a seam
 
 # Fixed value: the pattern by which the public vocabulary's words are found.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+SPACES = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
 
-class Node:
-    """A span of a normalised text with its ids, where its words start and their first tokens."""
 
-    def __init__(self, start: int, end: int, ids, starts, firsts):
-        self.start, self.end, self.ids, self.starts, self.firsts = start, end, ids, starts, firsts
+class Run:
+    """Units `lo` to `hi` of one encoding: its ids, the first token and the start of each unit, whether they are words."""
+
+    __slots__ = ("ids", "firsts", "starts", "words", "lo", "hi")
+
+    def __init__(self, ids: np.ndarray, firsts: np.ndarray, starts: np.ndarray, words: bool, lo: int = 0, hi: int | None = None):
+        self.ids, self.firsts, self.starts, self.words, self.lo = ids, firsts, starts, words, lo
+        self.hi = len(firsts) if hi is None else hi
+
+    def part(self, lo: int, hi: int) -> Run:
+        return Run(self.ids, self.firsts, self.starts, self.words, lo, hi)
+
+    def token(self, i: int) -> int:
+        return int(self.firsts[i]) if i < len(self.firsts) else len(self.ids)
 
     def word(self, i: int) -> np.ndarray:
-        """The ids of word i."""
-        stop = self.firsts[i + 1] if i + 1 < len(self.firsts) else len(self.ids)
-        return self.ids[self.firsts[i] : stop]
+        return self.ids[self.token(i) : self.token(i + 1)]
+
+    def tokens(self) -> np.ndarray:
+        return self.ids[self.token(self.lo) : self.token(self.hi)]
+
+
+class Node:
+    """A span of a normalised text and its words, as runs of words of several encodings."""
+
+    def __init__(self, start: int, end: int, runs: list[Run]):
+        self.start, self.end = start, end
+        self.runs = [run for run in runs if run.hi > run.lo]
+
+    def ids(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, "<u4"), *(run.tokens() for run in self.runs)])
+
+    def backward(self) -> Iterator[tuple[int, int, int]]:
+        """(run, word, start) from the last word to the first."""
+        for r in range(len(self.runs) - 1, -1, -1):
+            run = self.runs[r]
+            for i in range(run.hi - 1, run.lo - 1, -1):
+                yield r, i, int(run.starts[i])
+
+    def forward(self) -> Iterator[tuple[int, int, int]]:
+        for r, run in enumerate(self.runs):
+            for i in range(run.lo, run.hi):
+                yield r, i, int(run.starts[i])
+
+    def before(self, r: int, i: int) -> list[Run]:
+        """The runs up to a word, without it."""
+        return [*self.runs[:r], self.runs[r].part(self.runs[r].lo, i)]
+
+    def since(self, r: int, i: int) -> list[Run]:
+        """The runs from a word on."""
+        return [self.runs[r].part(i, self.runs[r].hi), *self.runs[r + 1 :]]
+
+    def pack(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """ids; tokens, start and kind of each unit."""
+        sizes = [len(run.word(i)) for run in self.runs for i in range(run.lo, run.hi)]
+        starts = [start - self.start for _, _, start in self.forward()]
+        kinds = [run.words for run in self.runs for _ in range(run.lo, run.hi)]
+        return self.ids().tobytes(), np.asarray(sizes, np.int64).tobytes(), np.asarray(starts, np.int64).tobytes(), bytes(kinds)
+
+    @staticmethod
+    def unpack(start: int, end: int, ids: bytes, sizes: bytes, starts: bytes, kinds: bytes) -> Node:
+        counts, kind = np.frombuffer(sizes, np.int64), np.frombuffer(kinds, np.uint8)
+        first, at, all_ids = np.cumsum(counts) - counts, np.frombuffer(starts, np.int64) + start, np.frombuffer(ids, "<u4")
+        cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+        return Node(start, end, [Run(all_ids, first, at, bool(kind[a]), a, b) for a, b in zip(cuts, cuts[1:]) if b > a])
 
 
 class TreeEncoder:
@@ -61,12 +121,15 @@ class TreeEncoder:
         rules = json.loads(settings)
         self.specials = {t["content"]: t["id"] for t in rules["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
+        self.mark = os.path.commonprefix(list(self.specials))  # what all special tokens begin with
         # Without normaliser and special tokens: for parts of a text that are through with both.
         bare = rules | {"normalizer": None, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         # Without word ends as well: for the inside of a word.
         self.inner = Tokenizer.from_str(json.dumps(bare | {"model": rules["model"] | {"end_of_word_suffix": None}})).model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {"": b""}  # ids of units
+        self.latin = self._latin(rules["normalizer"])
         suffix, vocab = rules["model"]["end_of_word_suffix"] or "", rules["model"]["vocab"]
         self.width = np.zeros(max([*vocab.values(), *self.specials.values()], default=0) + 1, np.int64)
         for token, i in vocab.items():
@@ -74,30 +137,59 @@ class TreeEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        short = [i for i, t in enumerate(texts) if len(t) <= LEAF]
-        out: list = [None] * len(texts)
-        found = self.whole.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)
-        for i, encoding in zip(short, found):
-            out[i] = np.asarray(encoding.ids, "<u4")
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                out[i] = np.concatenate([np.zeros(0, "<u4"), *map(self._segment_ids, self.segments(text))])
-        return out
+        parted = [self.segments(text) for text in texts]
+        if len(self.table) > MOST_UNITS:
+            self.table = {"": b""}
+        self.remember(s for segments in parted for s in segments if isinstance(s, str))
+        return [np.concatenate([np.zeros(0, "<u4"), *map(self._segment_ids, segments)]) for segments in parted]
+
+    def remember(self, texts) -> None:
+        """Have the ids of all short units of the texts in the table."""
+        new = [u for u in set().union(*(text.split(" ") for text in texts)).difference(self.table) if len(u) <= LONG_UNIT]
+        for start in range(0, len(new), 4096):
+            units = new[start : start + 4096]
+            found = self.bare.encode(units, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            ends = np.cumsum(4 * np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(units))).tolist()
+            self.table.update((u, ids[a:b]) for u, a, b in zip(units, [0, *ends], ends))
 
     def segments(self, text: str) -> list[str | int]:
         """The normalised texts between special tokens, and the ids of these, in order."""
         out: list[str | int] = []
         begin = 0
-        for found in self.special.finditer(text):
+        for found in self.special.finditer(text) if self.mark in text else ():
             out += [text[begin : found.start()], self.specials[found.group()]]
             begin = found.end()
-        normal = self.whole.normalizer.normalize_str if self.whole.normalizer else str
-        return [normal(s) if isinstance(s, str) else s for s in [*out, text[begin:]] if s != ""]
+        return [self.normalised(s) if isinstance(s, str) else s for s in [*out, text[begin:]] if s != ""]
+
+    def normalised(self, text: str) -> str:
+        """The text as the library normalises it, but for the number of spaces between units."""
+        if self.latin:
+            try:
+                return text.encode("latin-1").translate(self.latin).decode("latin-1")
+            except UnicodeEncodeError:
+                pass
+        return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+
+    def _latin(self, normalizer: dict | None) -> bytes | None:
+        """What becomes of each Latin-1 character, if that does not depend on its neighbours.
+
+        Characters below U+0300 do not combine, and lower case is taken character by character.
+        """
+        steps = (normalizer or {}).get("normalizers", [])
+        if any(step != SPACES and step["type"] not in ("NFC", "Lowercase") for step in steps):
+            return None
+        each = [self.whole.normalizer.normalize_str(chr(i)) for i in range(256)] if steps else []
+        return "".join(each).encode("latin-1") if steps and all(len(c) == 1 and c < "\u0100" for c in each) else None
 
     def _segment_ids(self, segment: str | int) -> np.ndarray:
         if isinstance(segment, int):
             return np.asarray([segment], "<u4")
-        return self.tree(segment, 0, len(segment)).ids if segment else np.zeros(0, "<u4")
+        if len(segment) <= LEAF:
+            units = segment.split(" ")
+            if max(map(len, units)) <= LONG_UNIT:
+                return np.frombuffer(b"".join(map(self.table.__getitem__, units)), "<u4")
+        return self.tree(segment, 0, len(segment)).ids()
 
     def tree(self, text: str, start: int, end: int) -> Node:
         """The node of text[start:end]: its leaves are encoded in one batch, then joined upwards."""
@@ -112,60 +204,79 @@ class TreeEncoder:
         return nodes[0]
 
     def _nodes(self, text: str, spans: list[tuple[int, int]]) -> list[Node]:
-        found = self.bare.encode_batch([text[a:b] for a, b in spans], add_special_tokens=False)
-        out = []
-        for (a, b), encoding in zip(spans, found):
-            words = np.asarray(encoding.word_ids, np.int64)
-            firsts = np.flatnonzero(np.diff(words, prepend=-1))
-            offsets = np.asarray(encoding.offsets, np.int64).reshape(-1, 2)
-            out.append(Node(a, b, np.asarray(encoding.ids, "<u4"), offsets[firsts, 0] + a, firsts))
-        return out
+        parts = [text[a:b] for a, b in spans]
+        self.remember(parts)
+        return [Node(a, b, self._runs(part, a)) for part, (a, b) in zip(parts, spans)]
+
+    def _runs(self, part: str, base: int) -> list[Run]:
+        units = part.split(" ")
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        starts = base + np.cumsum(sizes + 1) - sizes - 1
+        if sizes.max() <= LONG_UNIT:
+            return self._units(units, starts, sizes)
+        runs, last = [], 0
+        for i in np.flatnonzero(sizes > LONG_UNIT).tolist():
+            runs += self._units(units[last:i], starts[last:i], sizes[last:i])
+            found = self.bare.encode(units[i], add_special_tokens=False)
+            firsts = np.flatnonzero(np.diff(np.asarray(found.word_ids, np.int64), prepend=-1))
+            offsets = np.asarray(found.offsets, np.int64).reshape(-1, 2)
+            runs.append(Run(np.asarray(found.ids, "<u4"), firsts, offsets[firsts, 0] + starts[i], True))
+            last = i + 1
+        return runs + self._units(units[last:], starts[last:], sizes[last:])
+
+    def _units(self, units: list[str], starts: np.ndarray, sizes: np.ndarray) -> list[Run]:
+        """The run of short units, without the empty ones between neighbouring spaces."""
+        parts = list(map(self.table.__getitem__, units))
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        real = sizes > 0
+        firsts = (np.cumsum(counts) - counts)[real]
+        return [Run(np.frombuffer(b"".join(parts), "<u4"), firsts, starts[real], False)] if len(firsts) else []
 
     def join(self, text: str, left: Node, right: Node) -> Node:
         """The node of two neighbours."""
-        if not len(left.ids) or not len(right.ids):
+        if not left.runs or not right.runs:
             # Only white space on one side, or nothing: no word ends or begins at the seam.
-            return self._spliced(left, len(left.ids), len(left.starts), None, right, 0, 0)
+            return Node(left.start, right.end, left.runs + right.runs)
         if self._runs_across(text, left, right):
             return self._join_word(text, left, right)
         seam, reach = left.end, FIRST_REACH
         while True:
             # The window begins with a whole word of the left side that ends before its last one.
-            i = min(int(np.searchsorted(left.starts, seam - reach - LITERAL, "right")) - 1, len(left.starts) - 2)
-            begin = int(left.starts[i]) if i >= 0 else left.start
+            words = left.backward()
+            next(words)
+            begun = next((w for w in words if w[2] <= seam - reach - LITERAL), None)
+            begin = begun[2] if begun else left.start
             end = min(right.end, seam + reach)
             window = self._nodes(text, [(begin, end)])[0]
-            if i < 0 or np.array_equal(window.word(0), left.word(i)):
-                kept = (int(left.firsts[i]), i) if i >= 0 else (0, 0)
+            if begun is None or np.array_equal(window.runs[0].word(0), left.runs[begun[0]].word(begun[1])):
+                kept = left.before(*begun[:2]) if begun else []
                 if end == right.end:
-                    return self._spliced(left, *kept, window, right, len(right.ids), len(right.starts))
+                    return Node(left.start, right.end, kept + window.runs)
                 # A word both have, whole in the window: another one begins after it, in time for
                 # the pattern to have seen all it looks at.
-                met, w, r = np.intersect1d(window.starts, right.starts, return_indices=True)
-                for at, a, b in zip(met.tolist(), w.tolist(), r.tolist()):
-                    whole = a + 1 < len(window.starts) and window.starts[a + 1] <= end - LITERAL
-                    if at >= seam and whole and np.array_equal(window.word(a), right.word(b)):
-                        upto = Node(begin, at, window.ids[: window.firsts[a]], window.starts[:a], window.firsts[:a])
-                        return self._spliced(left, *kept, upto, right, int(right.firsts[b]), b)
+                there = {}
+                for r, i, start in right.forward():
+                    if start > end:
+                        break
+                    there[start] = (r, i)
+                mine = list(window.forward())
+                for (w, i, start), (_, _, following) in zip(mine, mine[1:]):
+                    if start >= seam and start in there and following <= end - LITERAL:
+                        r, j = there[start]
+                        if np.array_equal(window.runs[w].word(i), right.runs[r].word(j)):
+                            return Node(left.start, right.end, [*kept, *window.before(w, i), *right.since(r, j)])
             reach *= 2
 
-    def _spliced(self, left: Node, tokens: int, words: int, middle: Node | None, right: Node, skip: int, skip_words: int) -> Node:
-        """The first `tokens` of left, the middle, and right without its first `skip` tokens."""
-        middle = middle or Node(0, 0, left.ids[:0], left.starts[:0], left.firsts[:0])
-        shift = tokens + len(middle.ids) - skip
-        return Node(
-            left.start, right.end,
-            np.concatenate([left.ids[:tokens], middle.ids, right.ids[skip:]]),
-            np.concatenate([left.starts[:words], middle.starts, right.starts[skip_words:]]),
-            np.concatenate([left.firsts[:words], middle.firsts + tokens, right.firsts[skip_words:] + shift]),
-        )
-
     def _runs_across(self, text: str, left: Node, right: Node) -> bool:
         """Whether one long run of letters, or of other signs, goes on from left to right."""
         seam = left.end
-        if text[seam - 1].isspace() or right.starts[0] != seam or seam - left.starts[-1] < LONG_RUN:
+        _, _, last = next(left.backward())
+        words = right.forward()
+        if not (left.runs[-1].words and right.runs[0].words):
+            return False
+        if text[seam - 1].isspace() or next(words)[2] != seam or seam - last < LONG_RUN:
             return False
-        stop = right.starts[1] if len(right.starts) > 1 else right.end
+        stop = next(words, (0, 0, right.end))[2]
         if stop - seam < LONG_RUN or any(map(str.isspace, text[seam : seam + LONG_RUN])):
             return False
         around = text[seam - LITERAL - 1 : seam + LITERAL + 1]
@@ -173,10 +284,11 @@ class TreeEncoder:
 
     def _join_word(self, text: str, left: Node, right: Node) -> Node:
         """Join two nodes whose last and first words are parts of one."""
-        seam, ended, begun = left.end, left.word(len(left.starts) - 1), right.word(0)
+        seam, (r, i, word) = left.end, next(left.backward())
+        ended, begun = left.runs[r].word(i), right.runs[0].word(right.runs[0].lo)
         back, ahead = np.cumsum(self.width[ended[::-1]]), np.cumsum(self.width[begun])
         as_bytes = lambda s: self.bytes.pre_tokenize_str(s)[0][0] if s else ""
-        reach, word = FIRST_REACH, int(left.starts[-1])
+        reach = FIRST_REACH
         while True:
             before = as_bytes(text[max(word, seam - reach) : seam])
             after = as_bytes(text[seam : min(right.end, seam + reach)])[: int(ahead[-1])]
@@ -187,9 +299,10 @@ class TreeEncoder:
                 model = self.bare.model if n == len(begun) else self.inner
                 ids = np.asarray([t.id for t in model.tokenize(window)], "<u4")
                 if (m == len(ended) or ids[0] == ended[-m]) and (n == len(begun) or ids[-1] == begun[n - 1]):
-                    kept = len(left.ids) - m
-                    middle = Node(0, 0, ids, left.starts[:0], left.firsts[:0])
-                    return self._spliced(left, kept, len(left.starts), middle, right, n, 1)
+                    whole = np.concatenate([ended[: len(ended) - m], ids, begun[n:]])
+                    joined = Run(whole, np.zeros(1, np.int64), np.asarray([word]), True)
+                    rest = right.runs[0].part(right.runs[0].lo + 1, right.runs[0].hi)
+                    return Node(left.start, right.end, [*left.before(r, i), joined, rest, *right.runs[1:]])
             reach *= 2
 
 
@@ -281,11 +394,10 @@ def _spread(rows: DataFrame, settings: str) -> DataFrame:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 special, text = one.column("special")[0].as_py(), one.column("text")[0].as_py()
-                empty = np.zeros(0, np.int64)
-                node = encoder.tree(text, 0, len(text)) if text else Node(0, 0, np.asarray([] if special is None else [special], "<u4"), empty, empty)
-                packed = [pa.array([x.tobytes()], pa.binary()) for x in (node.ids, node.starts, node.firsts)]
-                columns = [*(one.column(c) for c in names), *packed]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "starts", "firsts"])
+                # A special token is a part without words.
+                packed = encoder.tree(text, 0, len(text)).pack() if text else (np.asarray([] if special is None else [special], "<u4").tobytes(), b"", b"", b"")
+                columns = [*(one.column(c) for c in names), *(pa.array([x], pa.binary()) for x in packed)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "sizes", "starts", "kinds"])
 
     def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -297,17 +409,19 @@ def _spread(rows: DataFrame, settings: str) -> DataFrame:
         out = []
         for _, pieces in sorted(segments.items()):
             text, nodes = "".join(p["text"] for _, p in sorted(pieces.items())), []
+            if not text:
+                out.append(np.frombuffer(pieces[0]["ids"], "<u4"))
+                continue
             for part, p in sorted(pieces.items()):
                 at = part * STRETCH
-                ids, starts, firsts = (np.frombuffer(p[c], k) for c, k in (("ids", "<u4"), ("starts", np.int64), ("firsts", np.int64)))
-                nodes.append(Node(at, at + len(p["text"]), ids, starts + at, firsts))
-            out.append(encoder.joined(text, nodes).ids)
+                nodes.append(Node.unpack(at, at + len(p["text"]), p["ids"], p["sizes"], p["starts"], p["kinds"]))
+            out.append(encoder.joined(text, nodes).ids())
             pieces.clear()
         yield _batch([owner], [np.concatenate(out)], encoder.whole)
 
     meet.__annotations__ = {"stream": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     stretches = rows.mapInArrow(cut, f"{arrays}, text string").repartition(F.col("row"), F.col("segment"), F.col("part"))
-    nodes = stretches.mapInArrow(leaves, f"{arrays}, text string, ids binary, starts binary, firsts binary")
+    nodes = stretches.mapInArrow(leaves, f"{arrays}, text string, ids binary, sizes binary, starts binary, kinds binary")
     return nodes.groupBy("row").applyInArrow(meet, OUT)
 
 

@@ -77,7 +77,7 @@ def test_odd_texts(make, spark):
     words = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(5000))
     rows = [
         (1, None), (2, ""), (3, " \n\t"), (4, "A  b "), (5, "<|endoftext|>"), (6, "w" * 30_000), (6, "one"), (6, "one"),
-        (None, "two"), (7, "İ<|startoftext|> x" * 400), (8, words), (9, words * 50),
+        (None, "two"), (7, "İ<|startoftext|> x" * 400), (12, "a\x85B\xa0C\x1cD \u2028 É"), (8, words), (9, words * 50),
         (10, ("ab" * 200_000 + "<|endoftext|>") * 3), (11, "é!" * 300_000), (None, " " * 1_100_000),
     ]
     got = bpe_tree.digests(bpe_tree.encode(make([(*r, "x") for r in rows], "doc_id long, text string, ids string"), RULES)).collect()
