@@ -30,9 +30,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p > a {}</style></he
 TEXT = "Title & more\n\nOne two three\n\nFour five, six.\n\nseven\n\neight\n\na b\n\nc"
 
 
+def main_text(html, path=None):
+    return html_extract.main_text(html_extract.parse(html), path)
+
+
+def best_path(html):
+    return html_extract.best_path(html_extract.parse(html))[0]
+
+
 def test_blocks_without_boilerplate():
-    assert html_extract.main_text(PAGE, None) == TEXT
-    assert html_extract.best_path(PAGE)[0] == "html > body.home > div.layout > div.post-{n}"
+    assert main_text(PAGE, None) == TEXT
+    assert best_path(PAGE) == "html > body.home > div.layout > div.post-{n}"
 
 
 @pytest.mark.parametrize(
@@ -44,7 +52,7 @@ def test_blocks_without_boilerplate():
     ],
 )
 def test_odd_pages(html, text):
-    assert html_extract.main_text(html, None) == text
+    assert main_text(html, None) == text
 
 
 def test_host_consensus_overrules_a_page(make):
@@ -60,7 +68,8 @@ def test_host_consensus_overrules_a_page(make):
     found = {(r.page_id, len(r.text) > 0): r.text for r in got}
     assert found[9, True] == "short" and found[10, True] == "alone" and found[11, True] == "no host"
     assert found[12, False] == "" and found[13, True] == ("word " * 200_000).strip()
-    winners = {r.host: r.path for r in html_extract.winning_paths(df.select(html_extract.host_of(df.url).alias("host"), "html")).collect()}
+    parsed = html_extract.parsed(df.select("page_id", "url", html_extract.host_of(df.url).alias("host"), "html"))
+    winners = {r.host: r.path for r in html_extract.winning_paths(parsed, html_extract.repeated_blocks(parsed)).collect()}
     assert winners["h.test"] == "body > div.c0"
 
 
@@ -86,7 +95,7 @@ POST = "<div class='post'><h1>Title</h1><p>the lead</p><div class='post-body'><p
 )
 def test_a_step_inwards_loses_no_text(html, text):
     wanted = "\n\n".join(" ".join(part.split()) for part in text.split("\n\n"))
-    assert html_extract.main_text(html, html_extract.best_path(html)[0]) == wanted
+    assert main_text(html, best_path(html)) == wanted
 
 
 @pytest.mark.parametrize(
@@ -99,12 +108,59 @@ def test_a_step_inwards_loses_no_text(html, text):
 def test_unwanted_names_on_the_content_itself(opening):
     tag = re.match("<([a-z]+)", opening)[1]
     html = f"<body><div>{opening}<h1>Title</h1><p>{BODY}</p><div class='sidebar'><p>side</p></div><div id='comments'>a reader</div></{tag}></div><p>end</p>"
-    for path in (None, "", html_extract.best_path(html)[0]):
-        text = html_extract.main_text(html, path)
+    for path in (None, "", best_path(html)):
+        text = main_text(html, path)
         assert text.startswith("Title\n\nthe text") and "side" not in text and "reader" not in text
 
 
 def test_names_and_forms_still_hide_what_is_beside_the_text():
     for box in ("<div class='sidebar'>", "<form>", "<div class='related-posts'>", "<div class='post-comments'>", "<div id='comments'>"):
         html = f"<body><div class='x'><p>{BODY}</p></div>{box}<p>{'hidden ' * 100}</p></{'form' if 'form' in box else 'div'}>"
-        assert "hidden" not in html_extract.main_text(html, None)
+        assert "hidden" not in main_text(html, None)
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {i} of the article, which says a lot.</p>" for i in range(12))
+WHOLE = "\n\n".join(f"Paragraph {i} of the article, which says a lot." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body><p>lead</p><article>" + PARAGRAPHS + "</article>", f"lead\n\n{WHOLE}"),
+        ("<body><div class=lead>lead</div><div class=post>" + PARAGRAPHS + "</div>", f"lead\n\n{WHOLE}"),
+        ("<body><div class=post>" + PARAGRAPHS + "</div><div class=end>end</div>", f"{WHOLE}\n\nend"),
+        ("<body><section class=a>" + PARAGRAPHS + "</section><section class=b>end</section>", f"{WHOLE}\n\nend"),
+        ("<body><article>" + PARAGRAPHS + "<p class=share>We share what we know.</p></article>", f"{WHOLE}\n\nWe share what we know."),
+        ("<body><article>" + PARAGRAPHS + "<section id=search><p>The search went on.</p></section></article>", f"{WHOLE}\n\nThe search went on."),
+    ],
+)
+def test_no_points_outweigh_text(html, text):
+    assert main_text(html, best_path(html)) == text
+
+
+def test_furniture_is_what_many_pages_of_a_host_share(make):
+    page = "<body><div class='top'><p>Welcome to the site</p></div><div class='post'><p>Text {0} of its own.</p><div class='share'>Tell a friend</div>" \
+           "<div class='share'>Number {0} shares</div></div><div class='foot'><p>All about us</p></div></body>"
+    rows = [(i, "http://many.test/a", page.format(i)) for i in range(6)]
+    rows += [(10 + i, "http://copies.test/a", page.format(77)) for i in range(6)] + [(20, "http://one.test/", page.format(5))]
+    got = {r.page_id: r.text for r in html_extract.extract(make(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text {i} of its own.\n\nNumber {i} shares" for i in range(6))
+    # Copies of one page, and a page alone on its host, show nothing to be furniture.
+    assert got[10] == got[15] == "Welcome to the site\n\nText 77 of its own.\n\nTell a friend\n\nNumber 77 shares\n\nAll about us"
+    assert got[20].startswith("Welcome")
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>x" * 100_000, "<div>" * 50_000 + "<p>y" * 50_000, "<div class='ad'>x" * 100_000, "<p>" + "<b>x" * 100_000, "<ul><li>x" * 50_000,
+        "<a href=x>" * 50_000 + "</i>" * 50_000 + "text",
+    ],
+)
+def test_deep_pages_take_linear_time(html):
+    import time
+
+    begun = time.process_time()
+    page = html_extract.parse(html)
+    text = html_extract.main_text(page, html_extract.best_path(page)[0])
+    assert time.process_time() - begun < 4 and text
