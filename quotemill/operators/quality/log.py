@@ -1,4 +1,8 @@
-"""Failure log: JSON bodies of failed reports, and the columns read back from them."""
+"""Failure log: records of failed reports, typed or with a JSON body, and the columns read back.
+
+Typed records keep the failed row as VARIANT: written once, read by path, the other fields as
+columns, so no reader parses JSON text. The JSON body is the form of the service's log.
+"""
 
 from __future__ import annotations
 
@@ -56,8 +60,38 @@ def failure_log(
     return insight(failed, "dq_failure", failure_body(report), at, row_id)
 
 
+def failure_records(
+    report: DataFrame, generated_at: Column | None = None, row_id: Column | None = None
+) -> DataFrame:
+    """One typed row per failed record; the rows as VARIANT, so the logs of all tables fit together.
+
+    The id defaults to a hash of the record, as that of `failure_log` does of its body.
+    """
+    at = F.col("checked_at") if generated_at is None else generated_at
+    schema = report.schema["original_record"].dataType
+    original = safe_record(F.col("original_record"), schema)
+    own = F.xxhash64("dq_table", F.to_json(original), at) if row_id is None else row_id
+    fixed = F.when(F.col("auto_repaired"), safe_record(F.col("fixed_record"), schema))
+    return report.filter(~F.col("dq_passed")).select(
+        own.cast("bigint").alias("id"),
+        F.lit("dq_failure").alias("insight_type"),
+        F.col("dq_table").alias("table_name"),
+        "record_id",
+        "failed_checks",
+        "total_checks",
+        "auto_repaired",
+        F.to_variant_object(original).alias("original_record"),
+        F.to_variant_object(fixed).alias("fixed_record"),
+        "checked_at",
+        at.alias("generated_at"),
+    )
+
+
 def failures(insights: DataFrame) -> DataFrame:
-    """Failure insights with their fields pulled out of the JSON body."""
+    """Failures with their fields: of typed records as they are, else pulled out of the JSON body."""
+    if "failed_checks" in insights.columns:
+        flag = F.col("auto_repaired").cast("string").alias("auto_repaired")
+        return insights.select("id", "table_name", "record_id", "failed_checks", flag, "original_record", "generated_at")
     logged = insights.filter(F.col("insight_type") == "dq_failure")
     return logged.withColumn("body", F.from_json("content", BODY_SCHEMA)).select(
         "id",

@@ -468,8 +468,7 @@ def anomalies_dedup(t: Tables):
     "anomalies_dedup_day",
     f"""
 SELECT {_ANOMALY} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(price_change_24h) DESC, timestamp, id) AS n
-  FROM (SELECT * FROM crypto_prices WHERE timestamp >= {AS_OF} - INTERVAL 1440 MINUTE AND abs(price_change_24h) > 5
-        ORDER BY abs(price_change_24h) DESC, timestamp, id LIMIT 10)) WHERE n = 1
+  FROM crypto_prices WHERE timestamp >= {AS_OF} - INTERVAL 1440 MINUTE AND abs(price_change_24h) > 5) WHERE n = 1
 """,
     ("crypto_prices",),
 )

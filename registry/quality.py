@@ -19,7 +19,7 @@ from quotemill.session import new_work_dir
 from quotemill.sources import sinks
 from quotemill.sources.schemas import SOURCES
 from registry.marts import DAILY, DAILY_VIEWS, WEEKLY_SQL, change_sql, daily
-from registry.tables import CHECKS, CLOCK, DQ_CLOCK, Tables, day_start, local_day, register
+from registry.tables import CHECKS, CLOCK, DQ_CLOCK, SQL, Tables, day_start, local_day, register
 
 def _report(t: Tables, table: str) -> DataFrame:
     return t.report(table).select("id", "dq_passed", "failed_checks", "total_checks", "auto_repaired", "record_id")
@@ -184,9 +184,7 @@ FROM (SELECT *, '{"id":' || id || ',"city":"' || city || '","temperature":' || C
     ("weather_checks",),
 )
 def dq_failure_log(t: Tables):
-    return t.failures.filter(F.get_json_object("content", "$.table") == "weather_data").select(
-        "id", "insight_type", "generated_at", "content"
-    )
+    return t.logged("weather_data").select("id", "insight_type", "generated_at", "content")
 
 
 @register(
@@ -256,6 +254,19 @@ def dq_record_detail(t: Tables):
     )
 
 
+@register("dq_record_detail_stored", SQL["dq_record_detail"])
+def dq_record_detail_stored(t: Tables):
+    """The same from typed records, stored by day and read back by path."""
+    path = new_work_dir(t.spark, "failure-records")
+    sinks.write_batch(t.failure_records, path, 0, local_date("generated_at", CLOCK.zone))
+    detail = failures(t.spark.read.parquet(path)).withColumn("auto_repaired", F.col("auto_repaired").cast("boolean"))
+    part = lambda name, kind: F.try_variant_get("original_record", f"$.{name}", kind).alias(name)
+    return detail.select(
+        "id", "table_name", "record_id", "failed_checks", "auto_repaired", "generated_at",
+        part("source", "string"), part("humidity", "int"), part("price_usd", "double"),
+    )
+
+
 TREND_SQL = f"""
 SELECT {local_day('generated_at')} AS date, table_name, count(*) AS failures_count,
   count(*) FILTER (WHERE repaired) AS auto_repaired_count
@@ -265,7 +276,7 @@ FROM failures WHERE generated_at >= {day_start(30)} GROUP BY ALL
 
 @register("dq_trend", TREND_SQL, ("failures",))
 def dq_trend(t: Tables):
-    return marts.dq_trend(t.insights, CLOCK)
+    return marts.dq_trend(t.failure_records, CLOCK)
 
 
 @register(
@@ -278,7 +289,7 @@ FROM failures GROUP BY ALL
     ("failures",),
 )
 def dq_summary(t: Tables):
-    return marts.dq_summary(t.insights, CLOCK)
+    return marts.dq_summary(t.failure_records, CLOCK)
 
 
 _RECENT = """

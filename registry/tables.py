@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from quotemill.clock import Clock
 from quotemill.functions.times import epoch_micros
 from quotemill.operators import alerts
 from quotemill.operators.quality import run_checks
-from quotemill.operators.quality.log import failure_log
+from quotemill.operators.quality.log import failure_log, failure_records
 
 CLOCK = Clock(datetime(2024, 1, 31))
 DQ_CLOCK = Clock(datetime(2024, 1, 25))
@@ -135,14 +135,21 @@ class Tables:
         }[table]
         return run_checks(rows, table, DQ_CLOCK, record_id=key)
 
+    def logged(self, table: str, log: Callable = failure_log) -> DataFrame:
+        """Failure log of a table, logged at the time of each record."""
+        at = "fetched_at" if table == "news_articles" else "timestamp"
+        row_id = F.lit(LOG_OFFSETS[table] * LOG_RANGE) + F.col("original_record.id")
+        return log(self.report(table), F.col(at), row_id)
+
     @cached_property
     def failures(self) -> DataFrame:
-        """Failure log of the three tables, logged at the time of each record."""
-        parts = []
-        for table, at in (("crypto_prices", "timestamp"), ("weather_data", "timestamp"), ("news_articles", "fetched_at")):
-            row_id = F.lit(LOG_OFFSETS[table] * LOG_RANGE) + F.col("original_record.id")
-            parts.append(failure_log(self.report(table), F.col(at), row_id))
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        """Failure log of the three tables with JSON bodies."""
+        return reduce(DataFrame.unionByName, [self.logged(t) for t in CHECKS])
+
+    @cached_property
+    def failure_records(self) -> DataFrame:
+        """The same as typed records."""
+        return reduce(DataFrame.unionByName, [self.logged(t, failure_records) for t in CHECKS])
 
     @cached_property
     def alert_rows(self) -> DataFrame:

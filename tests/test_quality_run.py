@@ -84,3 +84,40 @@ def test_summary_line(spark):
 def test_a_run_is_one_stage_without_python(tables):
     plan = tables.report("crypto_prices")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_typed_records_are_read_by_path(spark, tables, tmp_path):
+    """Logs of tables with different rows fit one store; vectors and times are kept as in the JSON body."""
+    from pyspark.sql import functions as F
+
+    from quotemill.operators.quality.log import failure_records, failures, failures_by_day
+    from registry.tables import CLOCK
+
+    path = f"{tmp_path}/records"
+    for batch in (0, 0):
+        tables.failure_records.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+    stored = spark.read.parquet(path)
+    assert dict(stored.dtypes)["original_record"] == "variant"
+    from_json = {(r["id"], tuple(r["failed_checks"]), r["auto_repaired"], r["date"]) for r in failures_by_day(tables.failures, CLOCK.zone).collect()}
+    typed = {(r["id"], tuple(r["failed_checks"]), r["auto_repaired"], r["date"]) for r in failures_by_day(stored, CLOCK.zone).collect()}
+    assert typed == from_json and typed
+    body = tables.failures.select("id", F.get_json_object("content", "$.original_record.timestamp").alias("a"))
+    path_read = failures(stored).select("id", F.try_variant_get("original_record", "$.timestamp", "string").alias("b"))
+    assert body.join(path_read, "id").where("NOT a <=> b").count() == 0
+    with_vector = tables.logged("news_articles", failure_records)
+    assert with_vector.count() > 0
+
+
+def test_a_record_with_a_vector_names_its_size(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from quotemill.clock import Clock
+    from quotemill.operators.quality import run_checks
+    from quotemill.operators.quality.log import failure_records
+
+    rows = spark.createDataFrame([(1, "", [0.5, 0.25])], "id long, title string, embedding array<float>")
+    record = failure_records(run_checks(rows, "news_articles", Clock(datetime(2024, 1, 1)))).select(
+        F.variant_get("original_record", "$.embedding", "string").alias("v"), F.variant_get("original_record", "$.id", "int").alias("id")).first()
+    assert (record["v"], record["id"]) == ("<vector 2 dims>", 1)
