@@ -87,6 +87,13 @@ def failure_records(
     )
 
 
+def failure_marks(report: DataFrame, generated_at: Column | None = None, row_id: Column | None = None) -> DataFrame:
+    """(id, insight_type, generated_at) of the failed records, for what only counts them."""
+    at = F.col("checked_at") if generated_at is None else generated_at
+    own = F.lit(None).cast("bigint") if row_id is None else row_id
+    return report.filter(~F.col("dq_passed")).select(own.alias("id"), F.lit("dq_failure").alias("insight_type"), at.alias("generated_at"))
+
+
 def failures(insights: DataFrame) -> DataFrame:
     """Failures with their fields: of typed records as they are, else pulled out of the JSON body."""
     if "failed_checks" in insights.columns:

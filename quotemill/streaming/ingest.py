@@ -38,6 +38,7 @@ from quotemill.streaming.day_mart import DayMart
 log = logging.getLogger(__name__)
 
 _NEWS_STORED = "title STRING, id BIGINT, description STRING, source STRING, url STRING, published_at TIMESTAMP_NTZ"
+_INSIGHTS_STORED = "id BIGINT, insight_type STRING, content STRING, data_snapshot STRING, generated_at TIMESTAMP_NTZ"
 LANDING_SCHEMA = "polled_at TIMESTAMP_NTZ, payload STRING"
 
 
@@ -71,7 +72,8 @@ class TickerIngest:
         metrics = Observation("dq")
         try:
             sinks.append_snapshots(cleaned(observe_run(checked, metrics)), f"{self.root}/crypto_prices", batch_id, clock.zone)
-            sinks.write_batch(failure_log(checked), f"{self.root}/ai_insights", batch_id)
+            day = local_date("generated_at", clock.zone)
+            sinks.write_batch(failure_log(checked), f"{self.root}/ai_insights", batch_id, day)
             sinks.write_batch(parsed.rejects, f"{self.root}/rejects", batch_id)
             record_load(f"{self.root}/dq_metadata", sinks.load_metadata(checked, "crypto_prices", clock.now_column()))
             if self.day_mart is not None:
@@ -187,7 +189,8 @@ def stored_prices(spark: SparkSession, root: str, clock: Clock | None = None, da
 
 
 def stored_failures(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/ai_insights")
+    """The failure log written by the ingest, with its `date` partition."""
+    return spark.read.schema(f"{_INSIGHTS_STORED}, date DATE, batch_id BIGINT").parquet(f"{root}/ai_insights")
 
 
 def record_load(path: str, load: DataFrame) -> None:

@@ -60,7 +60,7 @@ DAILY = {**DAILY_PARTS, "daily": DAILY_SQL}
 
 
 def daily(t: Tables, days: int | None = None):
-    return marts.market_daily(t.prices, t.news, t.weather, t.failures, CLOCK, days=days)
+    return marts.market_daily(t.prices, t.news, t.weather, t.failure_marks, CLOCK, days=days)
 
 
 @register("stg_prices", "SELECT * REPLACE (CAST(price_usd AS DOUBLE) AS price_usd, "
@@ -116,7 +116,7 @@ LEFT JOIN (SELECT {local_day('generated_at')} AS date, count(DISTINCT id) AS dq_
     price_days=_price_days("crypto_prices", local_day("timestamp"), f"timestamp >= {day_start(90)}"),
 )
 def market_daily_view(t: Tables):
-    return marts.market_daily_view(t.prices, t.news, t.weather, t.failures, CLOCK)
+    return marts.market_daily_view(t.prices, t.news, t.weather, t.failure_marks, CLOCK)
 
 
 @register("market_daily", "SELECT * FROM daily", DAILY_VIEWS, **DAILY)
@@ -191,7 +191,7 @@ def _absorbed(t: Tables) -> DayMart:
         "news-0": {"news": t.news},
         "weather-0": {"readings": t.weather},
         "tickers-1": {"prices": t.prices.where(~half & ~late)},
-        "failures-0": {"insights": t.failures},
+        "failures-0": {"insights": t.failure_marks},
         "tickers-2": {"prices": t.prices.where(late)},
     }
     for share, rows in [*batches.items(), ("tickers-1", batches["tickers-1"])]:
@@ -208,5 +208,5 @@ def incremental_market_daily(t: Tables):
 @register("market_daily_from_states", "SELECT * FROM daily", DAILY_VIEWS, **DAILY)
 def market_daily_from_states(t: Tables):
     """All states at once: the sources fold into one row per date without a join."""
-    states = day_states.states_of(CLOCK, t.prices, t.news, t.weather, t.failures)
+    states = day_states.states_of(CLOCK, t.prices, t.news, t.weather, t.failure_marks)
     return day_states.daily_from_states(states)

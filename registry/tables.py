@@ -17,7 +17,7 @@ from quotemill.clock import Clock
 from quotemill.functions.times import epoch_micros
 from quotemill.operators import alerts
 from quotemill.operators.quality import run_checks
-from quotemill.operators.quality.log import failure_log, failure_records
+from quotemill.operators.quality.log import failure_log, failure_marks, failure_records
 
 CLOCK = Clock(datetime(2024, 1, 31))
 DQ_CLOCK = Clock(datetime(2024, 1, 25))
@@ -151,6 +151,11 @@ class Tables:
         """The same as typed records."""
         return reduce(DataFrame.unionByName, [self.logged(t, failure_records) for t in CHECKS])
 
+    @cached_property
+    def failure_marks(self) -> DataFrame:
+        """The times of the failures, for the marts that count them."""
+        return reduce(DataFrame.unionByName, [self.logged(t, failure_marks) for t in CHECKS])
+
     @cached_property
     def alert_rows(self) -> DataFrame:
         """Deduplicated anomalies of every 15-minute window, with their explanation."""
