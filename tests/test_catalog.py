@@ -10,7 +10,7 @@ from registry.tables import QUERIES, SQL
 from tests.conftest import SMALL
 
 # The training-data queries have their own tests and may be absent.
-WITHOUT_SQL = {"semantic_topk_near"}
+WITHOUT_SQL = {"semantic_topk_near", "semantic_topk_quantised"}
 
 
 def _norm(value):
