@@ -28,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns (node, root) for every node that has an edge; the root is the smallest node of the
     component. Large-star and small-star steps alternate until the edges no longer change; both
-    use the smallest neighbour per node only, so no neighbour list is gathered, and a hot node
-    is a skewed join that adaptive execution splits. Every round is checkpointed.
+    use the smallest neighbour per node only, so no neighbour list is gathered. These are stored
+    before they meet the edges again, so a hot node, as the root of a giant component is one, is a
+    skewed join that adaptive execution splits. Every round is checkpointed.
     """
     _checkpoint_folder(edges)
     links = (
@@ -64,7 +65,7 @@ def _state(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = saved(least.select("a", F.least("a", "m").alias("m")), "large-star")
     return (
         both.join(least, "a")
         .where("b > a AND b <> m")
@@ -74,7 +75,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = saved(links.groupBy("a").agg(F.min("b").alias("m")), "small-star")
     moved = (
         links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     )

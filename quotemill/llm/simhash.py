@@ -73,7 +73,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         for t, m in enumerate(masks(radius))
     ]
     keys = prints.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", "k.t", "k.bucket")
-    sizes = keys.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored before the join, which adaptive execution can then split where a bucket is hot.
+    sizes = saved(keys.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     held = keys.join(sizes, ["t", "bucket"])
     return (
         _small_links(held.where(F.col("n") <= SMALL_BUCKET), radius)
@@ -115,7 +116,7 @@ def _large_links(held: DataFrame, radius: int) -> DataFrame:
     own = F.max(F.when(F.col("fp") == F.col("centre"), F.col("fp")))
     root = F.min("fp") if radius == 2 else own
     met = named.groupBy("centre").agg(F.count("*").alias("n"), root.alias("root"))
-    met = met.where("n > 1 AND root IS NOT NULL").select("centre", "root")
+    met = saved(met.where("n > 1 AND root IS NOT NULL").select("centre", "root"), "simhash-centres")
     return named.join(met, "centre").select(F.col("fp").alias("a"), F.col("root").alias("b"))
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -70,3 +71,30 @@ def test_keep_first_keeps_columns_and_null_ids(make):
     got = simhash.keep_first(make(rows, "doc_id long, text string, component_id string"))
     assert got.columns == ["doc_id", "text", "component_id"]
     assert {r.component_id for r in got.collect()} == {"y", "z", "w"}
+
+
+def test_hot_keys_meet_stored_aggregates(spark):
+    """No aggregation lies between a join and its shuffle, which would keep a hot key whole."""
+    from quotemill.llm import common
+
+    edges = spark.createDataFrame([(i + 1, 0) for i in range(200)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        common._checkpoint_folder(edges)
+        stars = [common._large_star(edges.checkpoint()), common._small_star(edges.checkpoint())]
+        held = simhash.links(spark.createDataFrame([(i,) for i in range(300)], "fp long"), 2)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*stars, held)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan in plans:
+        lines = plan.split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        joins = [i for i, line in enumerate(lines) if "SortMergeJoin" in line]
+        assert joins
+        for i in joins:
+            shuffled = None  # what lies below a shuffle does not matter
+            for line in itertools.takewhile(lambda line: depth(line) > depth(lines[i]), lines[i + 1 :]):
+                if shuffled is None or depth(line) <= shuffled:
+                    assert "Aggregate" not in line
+                    shuffled = depth(line) if "Exchange" in line else None
