@@ -165,7 +165,7 @@ def repeated_lines(
     found = saved(suspects(rows, filter_, least_chars), "lines")
     confirmed = (
         found.groupBy("key")
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+        .agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= least_docs)
     )
     # A table of its own: a key in very many documents is then a skewed join, which adaptive
@@ -221,16 +221,19 @@ def without_repeated(docs: DataFrame, least_chars: int = 20, least_docs: int = 3
     n_chars follows the new text where the column exists; a null text stays null. All other
     columns are as they were.
     """
-    lost = repeated_lines(docs, least_chars, least_docs).withColumnRenamed("drop", "_lost_lines")
+    column = "_lost_lines"
+    while column in docs.columns:
+        column += "_"
+    lost = repeated_lines(docs, least_chars, least_docs).withColumnRenamed("drop", column)
 
     def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
         return pa.array([_cut(t, d, least_chars)[0] for t, d in zip(texts.to_pylist(), drops.to_pylist())], pa.binary())
 
     cut.__annotations__ = {"texts": pa.Array, "drops": pa.Array, "return": pa.Array}
-    shorter = F.arrow_udf(cut, "binary")(F.col("text").cast("binary"), F.col("_lost_lines")).cast("string")
+    shorter = F.arrow_udf(cut, "binary")(F.col("text").cast("binary"), F.col(column)).cast("string")
     joined = docs.join(lost, "doc_id", "left")
-    out = joined.withColumn("text", F.when(F.col("_lost_lines").isNull(), F.col("text")).otherwise(shorter))
+    out = joined.withColumn("text", F.when(F.col(column).isNull(), F.col("text")).otherwise(shorter))
     if "n_chars" in docs.columns:
-        count = F.when(F.col("_lost_lines").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        count = F.when(F.col(column).isNull(), F.col("n_chars")).otherwise(F.length("text"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

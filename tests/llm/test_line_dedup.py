@@ -33,9 +33,10 @@ def test_odd_lines(make):
 def test_null_and_repeated_ids(make):
     line = "a line of more than twenty characters"
     rows = [(None, line)] * 3 + [(1, line)] * 2 + [(2, line)]
-    got = sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.drop_repeated(make(rows, "doc_id long, text string")).collect())
-    # Rows count one by one: three hold the line, the largest id keeps it, rows without id stay.
-    assert got == [(0, 0), (0, 0), (0, 0), (1, 1), (1, 1), (2, 0)]
+    dropped = lambda rows: sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.drop_repeated(make(rows, "doc_id long, text string")).collect())
+    # Documents count, not rows: two hold the line; of three the largest id keeps it. Rows without id stay.
+    assert dropped(rows) == [(0, 0), (0, 0), (0, 0), (1, 0), (1, 0), (2, 0)]
+    assert dropped([*rows, (3, line)]) == [(0, 0), (0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (3, 0)]
 
 
 def test_empty_table(spark):
@@ -67,3 +68,11 @@ def test_columns_stay(make):
     assert got.columns == ["doc_id", "text", "lang", "n_chars", "key"]
     found = {r.doc_id: (r.text, r.n_chars) for r in got.collect()}
     assert found == {0: ("rest 0", 6), 1: ("rest 1", 6), 2: ("rest 2", 6), 3: (f"{line}\nrest 3", 99), 9: (None, 7)}
+
+
+def test_a_column_of_the_working_name(make):
+    line = "a line of more than twenty characters"
+    rows = [(i, f"{line}\nrest {i}", "mine") for i in range(4)]
+    got = line_dedup.without_repeated(make(rows, "doc_id long, text string, _lost_lines string"))
+    assert got.columns == ["doc_id", "text", "_lost_lines"]
+    assert {(r.text, r._lost_lines) for r in got.collect()} == {("rest 0", "mine"), ("rest 1", "mine"), ("rest 2", "mine"), (f"{line}\nrest 3", "mine")}
