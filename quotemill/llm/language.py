@@ -23,6 +23,9 @@ SIZE = 4  # characters of an n-gram, word ends included
 PROBES = 3
 WORD_BITS = 64
 SPAN = 1 << 20  # characters looked up at a time
+SLOTS_PER_GRAM = 16  # of the language with most n-grams
+MOST_TABLE_BYTES = 1 << 27  # of the table, which travels to every task
+MOST_GRAMS = 8_000_000  # of all languages together, which meet in the driver
 
 
 def grams(text: str) -> np.ndarray:
@@ -65,9 +68,11 @@ class LanguageFilter:
     def build(cls, languages: list[str], members: dict[str, np.ndarray]) -> LanguageFilter:
         sizes = [len(members.get(l, ())) for l in languages]
         words = max(1, -(-len(languages) // WORD_BITS))
-        slots = 1 << max(10, int(8 * max(1, sum(sizes)) - 1).bit_length())
-        if words > 1:  # a language fills its own bits only; its false positives are corrected
-            slots = min(slots, 1 << max(10, int(16 * max(1, *sizes) - 1).bit_length()))
+        # A language fills its own bits only, so the largest one decides; a table that would be too
+        # large gets fewer slots and more false positives, which are corrected.
+        slots = 1 << max(10, int(SLOTS_PER_GRAM * max([1, *sizes]) - 1).bit_length())
+        while 8 * words * slots > MOST_TABLE_BYTES and slots > 1024:
+            slots //= 2
         table = np.zeros((slots, words), np.uint64)
         for l, language in enumerate(languages):
             for at in places(members.get(language, np.zeros(0, np.uint64)), slots):
@@ -106,7 +111,8 @@ def learn(
 
     The fit reads a bounded sample: about `docs_per_language` whole texts per language, chosen by
     the hash of doc_id, and keeps the `grams_per_language` n-grams found in most of them (at least
-    `least_docs`; fewer if a language has fewer documents). Every language is learned.
+    `least_docs`; fewer if a language has fewer documents; an equal share of MOST_GRAMS if there
+    are very many languages). Every language is learned.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(
         F.xxhash64(F.col("doc_id").cast("string")).alias("draw"), F.col("text").cast("string").alias("text"), "lang"
@@ -143,6 +149,7 @@ def learn(
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    grams_per_language = max(1, min(grams_per_language, MOST_GRAMS // len(sizes)))
     top = (
         totals.join(limits, "lang").where(F.col("n") >= F.col("floor"))
         .withColumn("rank", F.row_number().over(order))

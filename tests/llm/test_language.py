@@ -78,3 +78,37 @@ def test_more_languages_than_bits_in_a_word(make):
     right = [r.lang_pred == truth[r.doc_id] for r in got if truth[r.doc_id] in learned]
     assert len(learned) > 140 and len(right) > 600 and all(right)
     assert language.accepted(df).where(f"lang IN {tuple(sorted(learned))}").count() == len(right)
+
+
+def plain_prediction(model, text):
+    """n-gram by n-gram in plain integers: (language, score)."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    spaced = f" {' '.join(language.WORD.findall(text.lower()))} "
+    table = [[int(w) for w in row] for row in model.table.reshape(len(model.table), -1)]
+    hits, count = [0] * len(model.languages), 0
+    for i in range(len(spaced) - language.SIZE + 1):
+        h = 0
+        for c in spaced[i : i + language.SIZE]:
+            h = (h + ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
+        low, high = h & 0xFFFFFFFF, h >> 32 | 1
+        rows = [table[(low + p * high) % 2**64 % len(table)] for p in range(language.PROBES)]
+        count += 1
+        for l in range(len(hits)):
+            hits[l] += all(row[l // 64] >> l % 64 & 1 for row in rows)
+    shares = [min(1.0, max(0.0, (n / max(1, count) - f) / max(1e-9, 1 - f))) for n, f in zip(hits, model.false_rate)]
+    best = max(range(len(shares)), key=lambda l: (shares[l], -l))
+    return model.languages[best], shares[best]
+
+
+def test_whole_query_equals_plain_prediction(spark, small, documents, monkeypatch):
+    # Small tables, so that false positives occur and are corrected.
+    monkeypatch.setattr(language, "MOST_TABLE_BYTES", 1 << 14)
+    rows = documents.select("doc_id", "text", "lang")
+    model = language.learn(rows.where(~language.held_out()))
+    assert len(model.table) == 2048 and model.false_rate.max() > 0.01
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op7_language_id"](spark, small).collect()}
+    for r in rows.collect():
+        name, score = plain_prediction(model, r.text)
+        assert got[r.doc_id][0] == name and abs(got[r.doc_id][1] - score) < 1e-9
