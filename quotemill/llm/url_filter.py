@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quotemill.llm.common import saved
 from quotemill.llm.html_extract import host_of
 
 GRAMS = (3, 4, 5)
 FEATURES = 1 << 16
-MOST_RULES = 1000  # rules become one expression; longer lists belong into a join
+MOST_RULES = 200  # so many rules become one expression; longer lists are joined
 MOST_URLS = 100_000  # labelled urls the fit reads
 
 # The default labelled table, from general vocabulary: what block lists and web directories name
-# their subjects. Both sides get the same companions, hyphens, domains and paths, so that these
-# carry no weight.
+# their subjects. Words stand in hosts and in paths; both sides get the same companions, hyphens,
+# domains and shapes, so that these carry no weight.
 UNWANTED = (
     "casino poker roulette blackjack slots jackpot bet bets betting gambling lottery bingo wager bookmaker "
     "porn sex xxx adult adults erotic escort escorts nude naked webcam camgirls hentai fetish milf swingers "
-    "pills pill viagra cialis tramadol steroids xanax valium diet weightloss "
-    "spam scam phishing malware spyware adware trojan botnet keylogger ransomware "
+    "pills pill viagra cialis tramadol steroids xanax valium diet weightloss meds pharmacy "
+    "spam scam phishing malware spyware adware trojan botnet keylogger ransomware doubler giveaway "
     "ads ad adserver advert banner popup popunder tracker tracking clicks doubleclick affiliate "
-    "payday loans loan lender cashadvance forex replica counterfeit "
+    "payday loans loan lender cashadvance forex replica counterfeit bitcoin "
     "warez torrent torrents keygen crack cracked pirate serials hacked nulled"
 ).split()
 WANTED = (
@@ -41,34 +43,69 @@ WANTED = (
     "reading writing publisher author editor radio television podcast forum community charity church "
     "cathedral festival heritage tradition culture fashion jewellery clothing shoes market shopping insurance "
     "bank accounting business industry factory transport logistics shipping housing property careers "
-    "employment training conference wedding animals birds horses veterinary flowers wildlife conservation "
-    "thoughts nothing anything everything another other together weekend northern southern western eastern"
+    "employment training conference wedding animals birds horses veterinary flowers wildlife conservation"
 ).split()
 COMPANIONS = "online best city world home group club center hub zone web store land point my the one top free new".split()
-DOMAINS = ("com", "org", "net", "info")
-PATHS = ("", "/", "/en/12", "/fr/204.html", "/de/35/", "/es/871", "/about", "/2023/05/title-of-page.html")
+DOMAINS = ("com", "org", "net", "info", "co", "biz", "io", "eu")
+# Path shapes; {} is a word where the path says what the page is about, else a plain name.
+SHAPES = ("/{}/index.html", "/a/{}-page", "/category/{}", "/{}", "/blog/2023/05/the-{}-guide.html", "/p/{}/", "/items/{}.php", "/free-{}-list/all")
+PLAIN = "about contact page post item view list start main info help default section archive entry".split()
+FORMS = ("", "s", "ing", "ers")  # of a word: what is learned of one holds for the others
+NAMELESS = 1500  # wanted rows of letters without a meaning: what the model does not know is allowed
+ALLOWED_WEIGHT = 2.0  # of a wanted row
+
+
+def default_words() -> list[tuple[str, int]]:
+    """(word form, blocked); a form that both sides have is left out."""
+    sides = [{f"{word}{form}": None for word in words for form in FORMS} for words in (WANTED, UNWANTED)]
+    return [(word, blocked) for blocked, side in enumerate(sides) for word in side if word not in sides[1 - blocked]]
 
 
 def default_hosts() -> list[tuple[str, str, int]]:
     """(word, host, blocked): each word alone and beside companions, with and without a hyphen."""
     hosts = []
-    for words, blocked in ((UNWANTED, 1), (WANTED, 0)):
-        for i, word in enumerate(words):
-            near = [COMPANIONS[(i + 3 * n) % len(COMPANIONS)] for n in range(4)]
-            names = (word, f"{word}-{near[0]}", f"{near[1]}-{word}", f"{word}{near[2]}", f"{near[3]}{word}")
-            hosts += [(word, f"{name}.example.{DOMAINS[(i + n) % len(DOMAINS)]}", blocked) for n, name in enumerate(names)]
+    for i, (word, blocked) in enumerate(default_words()):
+        near = [COMPANIONS[(i + 3 * n) % len(COMPANIONS)] for n in range(4)]
+        names = (word, f"{word}-{near[0]}", f"{near[1]}-{word}", f"{word}{near[2]}", f"{near[3]}{word}")
+        hosts += [(word, f"{name}.example.{DOMAINS[(i + n) % len(DOMAINS)]}", blocked) for n, name in enumerate(names)]
     return hosts
 
 
-def default_labels(spark: SparkSession) -> DataFrame:
-    """(url, blocked): the small labelled table the filter is trained on by default."""
+def default_paths() -> list[tuple[str, str, int]]:
+    """(word, host and path, blocked): each word in the path of a host that says nothing, in two shapes."""
+    out = []
+    for i, (word, blocked) in enumerate(default_words()):
+        for n in range(2):
+            host = f"{COMPANIONS[(i + 7 * n) % len(COMPANIONS)]}{i * 37 % 100}.example.{DOMAINS[(i + n) % len(DOMAINS)]}"
+            out.append((word, host + SHAPES[(i + 3 * n) % len(SHAPES)].format(word), blocked))
+    return out
+
+
+def nameless(number: int) -> str:
+    """A name of 3 to 10 letters that says nothing, vowels and consonants in turn or not."""
+    digits = md5(str(number).encode()).digest()
+    every, vowels, consonants = "abcdefghijklmnopqrstuvwxyz", "aeiou", "bcdfghjklmnprstvw"
+    sets = [(consonants, vowels), (vowels, consonants), (every, every)][digits[0] % 3]
+    return "".join(sets[i % 2][d % len(sets[i % 2])] for i, d in enumerate(digits[2 : 5 + digits[1] % 8]))
+
+
+def default_rows() -> list[tuple[str, str, float]]:
+    """(word, url, blocked): the small labelled table the filter is trained on by default."""
     prefixes = ("", "www.", "blog.", "m.")
-    rows = [
-        (f"https://{prefixes[(i + n) % len(prefixes)]}{host}{PATHS[(i + 3 * n) % len(PATHS)]}", float(blocked))
-        for i, (_, host, blocked) in enumerate(default_hosts())
-        for n in range(2)
-    ]
-    return spark.createDataFrame(rows, "url string, blocked double")
+    rows = []
+    for i, (word, host, blocked) in enumerate(default_hosts()):
+        path = SHAPES[i % len(SHAPES)].format(PLAIN[i % len(PLAIN)]) if i % 3 else ""
+        rows.append((word, f"https://{prefixes[i % len(prefixes)]}{host}{path}", float(blocked)))
+    rows += [(word, f"https://{rest}", float(blocked)) for word, rest, blocked in default_paths()]
+    for i in range(NAMELESS):
+        path = SHAPES[i % len(SHAPES)].format(nameless(i + NAMELESS)) if i % 3 else ""
+        rows.append(("", f"https://{prefixes[i % len(prefixes)]}{nameless(i)}.example.{DOMAINS[i % len(DOMAINS)]}{path}", 0.0))
+    return rows
+
+
+def default_labels(spark: SparkSession) -> DataFrame:
+    """(url, blocked) of `default_rows`."""
+    return spark.createDataFrame([(url, blocked) for _, url, blocked in default_rows()], "url string, blocked double")
 
 
 def path_of(url: Column) -> Column:
@@ -117,25 +154,53 @@ def drawn(labels: DataFrame, most: int = MOST_URLS) -> DataFrame:
 def fit(labels: DataFrame) -> LogisticRegressionModel:
     """Fit on (url, blocked 0/1) rows; null labels are left out, `drawn` bounds the rows."""
     rows = drawn(labels).coalesce(1)
-    parts = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").alias("label"))
-    return LogisticRegression(maxIter=100, regParam=0.02, tol=1e-8).fit(_features(parts))
+    weight = F.when(F.col("blocked") == 0, ALLOWED_WEIGHT).otherwise(1.0).alias("weight")
+    parts = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").alias("label"), weight)
+    return LogisticRegression(maxIter=100, regParam=0.003, tol=1e-8, weightCol="weight").fit(_features(parts))
+
+
+def in_order(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """(verdict, host, path) rules, the one that wins first.
+
+    The longest wins; of equal ones the longer host, then the first in the alphabet, then block.
+    """
+    return sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2], r[0] != "block"))
 
 
-def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest of (verdict, host, path) rules that fits, else nulls.
+def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """`rows` (host, path, ...) with `rule` and `ruled`: the first of the rules that fits, and its verdict.
 
-    A rule fits its host and all subdomains if the path starts with its own. Of rules with the
-    same length the longer host wins, then the first in the alphabet, then block.
+    A rule fits its host and all subdomains if the path starts with its own. A short list is one
+    expression; a longer one is a table that meets each url by the suffixes of its host.
     """
     if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+        return _with_joined_rule(rows, rules)
+    host, path = F.col("host"), F.col("path")
     named, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2], r[0] != "block"))
-    for what, rule_host, rule_path in reversed(order):
+    for what, rule_host, rule_path in reversed(in_order(rules)):
         fits = ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(rule_path)
         named = F.when(fits, F.lit(rule_host + rule_path)).otherwise(named)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)
-    return named, verdict
+    return rows.withColumns({"rule": named, "ruled": verdict})
+
+
+def _with_joined_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """`with_rule` by a join on the suffixes of the host; a url meets the rules of its own domains only."""
+    spark = rows.sparkSession
+    ranked = [(place, *rule) for place, rule in enumerate(in_order(rules))]
+    table = saved(spark.createDataFrame(ranked, "place int, ruled string, rule_host string, rule_path string"), "url-rules")
+    urls = saved(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    # Only as many labels of a host count as the longest rule has.
+    most = max(host.count(".") for _, host, _ in rules) + 1
+    parts = F.split("host", r"\.")
+    last = F.slice(parts, F.greatest(F.size(parts) - (most - 1), F.lit(1)), F.lit(most))
+    suffix = lambda i: F.array_join(F.slice(last, i, F.lit(most)), ".")
+    asked = urls.select("row", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(last)), suffix)).alias("rule_host"))
+    met = asked.join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    named = F.concat("rule_host", "rule_path")
+    best = met.groupBy("row").agg(F.min(F.struct("place", "ruled", named.alias("rule"))).alias("best"))
+    best = saved(best.select("row", "best.rule", "best.ruled"), "url-ruled")
+    return urls.join(best, "row", "left").drop("row")
 
 
 def judge(
@@ -157,7 +222,6 @@ def judge(
     parts = pages.select(
         F.col(key).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     )
-    scored = model.transform(_features(parts)).withColumn("p_block", vector_to_array("probability")[1])
-    rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
+    scored = model.transform(_features(with_rule(parts, rules))).withColumn("p_block", vector_to_array("probability")[1])
     learned = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "p_block")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "p_block")

@@ -51,26 +51,47 @@ def test_odd_urls(make, spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).collect() == []
 
 
-def held_out_accuracy(make, of):
-    """Accuracy per side, trained without the hosts or words whose `of` is in the held fifth."""
-    hosts = url_filter.default_hosts()
-    held = lambda h: crc32(of(h).encode()) % 5 == 0
-    names = {h[1] for h in hosts if held(h)}
-    labels = url_filter.default_labels(make([], "a int").sparkSession)
-    rows = [(r.url, r.blocked) for r in labels.collect()]
-    is_held = lambda url: any(plain_parts(url)[0] in (n, f"www.{n}", f"blog.{n}", f"m.{n}") for n in names)
-    train = [r for r in rows if not is_held(r[0])]
-    test = [(int(b), u) for u, b in rows if is_held(u)]
+def held_out_accuracy(make, of, only=lambda url: True):
+    """Accuracy per side, trained without the rows whose `of` is in the held fifth."""
+    held = lambda row: bool(row[0]) and crc32(of(row).encode()) % 5 == 0
+    rows = url_filter.default_rows()
+    train = [row[1:] for row in rows if not held(row)]
+    test = [(int(blocked), url) for _, url, blocked in filter(held, rows) if only(url)]
     got = url_filter.judge(make(test, "page_id long, url string"), [], make(train, "url string, blocked double")).collect()
     sides = {side: [(r.verdict == "block") == bool(side) for r in got if r.page_id == side] for side in (0, 1)}
     return {side: sum(right) / len(right) for side, right in sides.items()}
 
 
-def test_unseen_hosts(make):
-    by_host = held_out_accuracy(make, lambda h: h[1])
-    by_word = held_out_accuracy(make, lambda h: h[0])
-    print("held-out accuracy of (allow, block): by host", by_host, "by word", by_word)
-    assert by_host[0] >= 0.95 and by_host[1] >= 0.85 and by_word[0] >= 0.85
+def test_unseen_hosts_and_words(make):
+    """A host not seen, and a word not seen in that form, in hosts and in paths alone."""
+    words = {word for word, _ in url_filter.default_words()}
+    by_host = held_out_accuracy(make, lambda row: plain_parts(row[1])[0])
+    by_word = held_out_accuracy(make, lambda row: row[0])
+    in_path = held_out_accuracy(make, lambda row: row[0], lambda url: not any(w in plain_parts(url)[0] for w in words if len(w) > 2))
+    print("held-out accuracy of (allow, block): by host", by_host, "by word", by_word, "by word in the path", in_path)
+    assert by_host[0] >= 0.95 and by_host[1] >= 0.9
+    assert min(by_word.values()) >= 0.8 and min(in_path.values()) >= 0.8
+
+
+def test_paths_and_plain_urls(make):
+    blocked = ["https://news.example.net/free-porn-videos/xxx", "https://example.net/casino/poker-online", "http://cheap-meds.ru", "https://bitcoin-doubler.biz/"]
+    allowed = ["https://en.wikipedia.org/wiki/Cat", "http://github.com/apache/spark", "https://www.bbc.co.uk/news/world", "https://example.net/recipes/soup",
+               "https://qzxvw.example.org/", "https://ththed.example.org/en/12"]
+    rows = [(i, u) for i, u in enumerate(blocked + allowed)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(make(rows, "page_id long, url string"), []).collect()}
+    assert [got[i] for i, _ in rows] == ["block"] * len(blocked) + ["allow"] * len(allowed)
+
+
+def test_a_joined_rule_list_gives_the_same(make, monkeypatch):
+    hosts = ["a.b.c.org", "b.c.org", "c.org", "org", "xc.org", "", "c.com", "..org", "A.c.com".lower(), "d." * 300 + "org"]
+    paths = ["", "/", "/x", "/x/y", "/xy", "/z"]
+    rows = [(h, p, i * 10 + j) for i, h in enumerate(hosts) for j, p in enumerate(paths)]
+    rules = URL_RULES + [("block", "c.org", "/x"), ("allow", "b.c.org", "/x"), ("block", "b.c.org", "/x"), ("allow", "c.com", ""), ("block", "a.b.c.org", "/x/y")]
+    df = make([*rows, rows[0]], "host string, path string, n int")
+    found = lambda: sorted(map(str, url_filter.with_rule(df, rules).select("host", "path", "n", "rule", "ruled").collect()))
+    direct = found()
+    monkeypatch.setattr(url_filter, "MOST_RULES", 0)
+    assert found() == direct and sum("rule=None" not in r for r in direct) > 20
 
 
 def test_no_label_names_a_host_of_the_tables(spark):
