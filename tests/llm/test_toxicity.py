@@ -71,3 +71,31 @@ def test_too_many_categories_are_refused(make):
     labels = make([(1, *[0] * 7)], "doc_id long, " + ", ".join(f"{n} int" for n in names))
     with pytest.raises(ValueError):
         toxicity.learn(make([(1, "x")], "doc_id long, text string"), labels, names)
+
+
+def test_whole_query_equals_plain_prediction(spark, small, documents):
+    """Every row's probabilities, one category after the other, from the weights of the fitted chain."""
+    import math
+    import re
+
+    docs = documents.select("doc_id", "text")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    chain = toxicity.learn(docs, toxicity.categories_of(labels), toxicity.CATEGORIES)
+
+    def plain(text):
+        counts = {}
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            for feature in [word] + ([word[:5] + "*"] if len(word) >= 5 else []):
+                counts[feature] = counts.get(feature, 0) + 1
+        out = []
+        for c in range(len(chain.categories)):
+            score = sum((1 + math.log(n)) * chain.sparse[chain.vocabulary[f], c] for f, n in counts.items() if f in chain.vocabulary)
+            score += sum(w * p for w, p in zip(chain.dense[c], [*out, 1.0]))
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, score)))))
+        return out
+
+    got = {r.doc_id: (r.p_toxic, r.p_toxic_prose, r.p_toxic_junk) for r in QUERIES["op3_toxicity"](spark, small).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert np.allclose(got[r.doc_id], plain(r.text), atol=1e-9)
