@@ -58,7 +58,11 @@ class Model:
 
     @classmethod
     def from_counts(cls, counts: dict[tuple[str, int, int], int]) -> Model:
-        """Add-one estimates; a first line begins a turn, only a turn of the same role goes on."""
+        """Add-one estimates; a first line begins a turn, only a turn of the same role goes on.
+
+        What a marker says is learned like the rest: lines that look like one inside a turn teach
+        the model how far to trust it.
+        """
         start, move = np.ones(STATES), np.ones((STATES, STATES))
         emit = [np.ones((STATES, size)) for size in SIZES]
         for (kind, a, b), n in counts.items():
@@ -73,11 +77,6 @@ class Model:
             for b in range(1, STATES, 2):
                 if a // 2 != b // 2:
                     move[a, b] = 0
-        # A marker names its own role and stands at the beginning of a turn.
-        for state in range(STATES):
-            for value in range(1, SIZES[0]):
-                if state % 2 or value - 1 != state // 2:
-                    emit[0][state, value] = 1e-6
         with np.errstate(divide="ignore"):
             return cls(
                 np.log(start / start.sum()),
@@ -115,15 +114,20 @@ class Model:
         return states[::-1]
 
 
-def lines_of(table: pa.Table) -> tuple[list[str], np.ndarray, list[int], list]:
-    """The lines of a group's blocks in order: stripped lines, features, first-of-block flags, labels."""
+def spoken(line: str, rest: str, marker: int, state: int) -> str:
+    """A line without its marker, if it begins a turn of the role the marker names."""
+    return rest if state == 2 * (marker - 1) else line
+
+
+def lines_of(table: pa.Table) -> tuple[list[tuple[str, str]], np.ndarray, list[int], list]:
+    """The lines of a group's blocks in order: (line, line without marker), features, first-of-block flags, labels."""
     order = sorted(zip(table["pos"].to_pylist(), table["text"].to_pylist(), table["role"].to_pylist()), key=lambda r: (r[0], r[1], r[2] or ""))
     rests, seen, firsts, labels = [], [], [], []
     for _, text, role in order:
         lines = text.split("\n")
         for i, line in enumerate(lines):
             features, rest = observe(line, i == 0 or not lines[i - 1].strip())
-            rests.append(rest)
+            rests.append((line, rest))
             seen.append(features)
             firsts.append(int(i == 0))
             labels.append(role)
@@ -231,7 +235,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
 
     Returns conv_id, seg, n, role, continued, text, rendered. Ordered by (seg, n) the rendered
     pieces of a conversation joined by newlines are its canonical transcript: "<|role|>", then the
-    turn's lines without their marker. A turn that crosses the border of a segment comes in pieces,
+    turn's lines, the first without its marker. A turn that crosses the border of a segment comes in pieces,
     the later ones `continued` and without the role line. Blocks are ordered by (pos, text), exact
     repeats count once, a null pos is 0, a null text is one empty line, rows with a null conv_id
     are left out.
@@ -249,10 +253,10 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
         lines, seen, _, _ = lines_of(left)
         states = Model(*parts).decode(seen, right["before"][0].as_py(), right["after"][0].as_py())
         pieces: list[tuple[str, bool, list[str]]] = []
-        for state, line in zip(states, lines):
+        for state, (line, rest), marker in zip(states, lines, seen[:, 0].tolist()):
             if state % 2 == 0 or not pieces:
                 pieces.append((ROLES[state // 2], bool(state % 2), []))
-            pieces[-1][2].append(line)
+            pieces[-1][2].append(spoken(line, rest, marker, state))
         texts = ["\n".join(p[2]) for p in pieces]
         heads = ["" if p[1] else f"<|{p[0]}|>\n" for p in pieces]
         return pa.table(
@@ -280,17 +284,24 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     )
 
 
+ASIDES = ("Q: and what then", "Answer: forty-two", "Context: see above", "A: as I said", "Question: is that all?")
+
+
 def defaced(conversations: DataFrame) -> DataFrame:
-    """Plain transcripts (conv_id, pos, text, role) of a conversations table, to be parsed again.
+    """Plain transcripts (conv_id, pos, text, role, said) of a conversations table, to be parsed again.
 
     Each turn becomes a block that begins with its speaker's name in the conversation's style;
-    every fourth block, by hash, has no name. `role` is kept for learning and scoring only.
+    every fourth block, by hash, has no name. Every sixth turn ends with a line that looks like a
+    speaker's name but is the turn's own. `role` and `said`, the turn's text without the name, are
+    kept for learning and scoring only.
     """
+    by = lambda what, n: F.pmod(F.xxhash64("conv_id", "turn", F.lit(what)), F.lit(n)).cast("int")
     style = F.pmod(F.xxhash64("conv_id"), F.lit(3)).cast("int")
     names = F.create_map(*[x for role, known in SPEAKERS.items() for x in (F.lit(role), F.array(*[F.lit(n.capitalize()) for n in known[:3]]))])
     name = F.get(names[F.col("role")], style)
-    unnamed = name.isNull() | (F.pmod(F.xxhash64("conv_id", "turn", F.lit("name")), F.lit(4)) == 0)
-    text = F.coalesce("text", F.lit(""))
+    unnamed = name.isNull() | (by("name", 4) == 0)
+    aside = F.get(F.array(*[F.lit("\n" + a) for a in ASIDES]), by("which", len(ASIDES)))
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(by("aside", 6) == 0, aside).otherwise(F.lit("")))
     return conversations.select(
-        "conv_id", F.col("turn").alias("pos"), F.when(unnamed, text).otherwise(F.concat(name, F.lit(": "), text)).alias("text"), "role"
+        "conv_id", F.col("turn").alias("pos"), F.when(unnamed, said).otherwise(F.concat(name, F.lit(": "), said)).alias("text"), "role", said.alias("said")
     )

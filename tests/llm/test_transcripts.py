@@ -1,4 +1,5 @@
 import itertools
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -62,23 +63,46 @@ def test_pieces_and_tree_equal_one_viterbi(make, monkeypatch):
 
 def test_whole_query_recovers_the_roles(spark, small):
     folder = "/root/testdata/sf0.01"
-    truth = {}
-    for r in spark.read.parquet(f"{folder}/conversations.parquet").orderBy("conv_id", "turn").collect():
-        truth.setdefault(r.conv_id, []).append((r.role, r.text))
+    truth, asides = {}, 0
+    plain = tr.defaced(spark.read.parquet(f"{folder}/conversations.parquet"))
+    for r in plain.orderBy("conv_id", "pos").collect():
+        truth.setdefault(r.conv_id, []).append((r.role, r.said))
+        asides += r.said.split("\n")[-1] in tr.ASIDES
     found = {}
     for r in sorted(QUERIES["op8_chat_formatting"](spark, folder).collect(), key=lambda r: (r.conv_id, r.seg, r.n)):
         found.setdefault(r.conv_id, []).append((r.role, r.text))
         assert r.rendered == ("" if r.continued else f"<|{r.role}|>\n") + r.text
-    assert found.keys() == truth.keys()
-    assert sum(found[c] == truth[c] for c in truth) >= 0.95 * len(truth)
+    assert found.keys() == truth.keys() and asides > 50
+    # Scored on the conversations the model did not learn from.
+    held = [c for c in truth if crc32(str(c).encode()) % 5 == 0]
+    assert len(held) >= 15 and sum(found[c] == truth[c] for c in held) >= 0.9 * len(held)
+    assert sum(found[c] == truth[c] for c in truth) >= 0.9 * len(truth)
 
 
-def test_odd_rows(make, spark):
+@pytest.fixture(scope="module")
+def learned(spark):
+    return tr.learn(tr.defaced(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+
+
+def test_marker_like_lines_inside_a_turn_stay(make, learned):
+    """The answers are options of one question; only what opens a block begins a turn."""
+    rows = [
+        (1, 0, "User: Which city is it?\nQ: warm-up\nA: Paris\nContext: Europe"), (1, 1, "Assistant: It is Paris.\nAnswer: 42"), (1, 2, "User: Thanks."),
+        (1, 3, "Assistant: You are welcome."),
+    ]
+    got = sorted(tr.parse(make(rows, "conv_id long, pos long, text string"), learned).collect(), key=lambda r: (r.seg, r.n))
+    assert [(r.role, r.text) for r in got] == [
+        ("user", "Which city is it?\nQ: warm-up\nA: Paris\nContext: Europe"), ("assistant", "It is Paris.\nAnswer: 42"), ("user", "Thanks."),
+        ("assistant", "You are welcome."),
+    ]
+
+
+def test_odd_rows(make, spark, learned):
     rows = [
         (1, 0, "User: hi\nmore", "k"), (1, 0, "User: hi\nmore", "k"), (1, 1, "AI: yes", "k"), (2, None, None, "k"), (3, 4, "", "k"),
         (None, 1, "User: x", "k"), (4, -70, "User: a?", "k"), (4, 500, "Assistant: b", "k"), (5, 1, "User: " + "word\n" * 20_000, "k"),
     ]
-    got = tr.parse(make(rows, "conv_id long, pos long, text string, role string"), model()).collect()
+    got = tr.parse(make(rows, "conv_id long, pos long, text string, role string"), learned).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r.conv_id, r.seg, r.n)):
         found.setdefault(r.conv_id, []).append(r.text)
