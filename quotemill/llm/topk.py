@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SHARD_ROWS = 4096
-BLOCK_ROWS = 512
+SHARD_ROWS = 4096  # at least
+TILE_BYTES = 8 << 20  # of the vectors of a shard or a block in double precision, at most
+SHARDS = 64  # a small table is cut into no more than so many shards
 FAN = 16
 EXACT = 2**53  # products below this bound are exact in double precision
 
@@ -54,7 +55,7 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(
-    candidates: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS
+    candidates: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of (vec_id, vector array<long>) per query.
 
@@ -64,7 +65,12 @@ def search(
     """
     known = "vec_id IS NOT NULL AND vector IS NOT NULL"
     rows, asked = candidates.where(known), queries.where(known).dropDuplicates(["vec_id", "vector"])
-    shards = max(1, ceil(rows.count() / shard_rows))
+    count, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    # Large tiles: a vector is copied once per tile of the other side.
+    most = max(256, TILE_BYTES // (8 * max(1, width or 1)))
+    shard_rows = shard_rows or min(most, max(SHARD_ROWS, count // SHARDS))
+    block_rows = block_rows or most
+    shards = max(1, ceil(count / shard_rows))
     blocks = max(1, ceil(queries.count() / block_rows))
     spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
