@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quotemill.llm.common import saved
+from quotemill.llm.common import ranked, saved
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 * role + (0 begins a turn, 1 goes on)
@@ -135,12 +135,22 @@ def lines_of(table: pa.Table) -> tuple[list[tuple[str, str]], np.ndarray, list[i
 
 
 def blocks(transcripts: DataFrame) -> DataFrame:
-    """(conv_id, pos, seg, text, role) with one segment number per SEGMENT positions, from 0."""
+    """(conv_id, pos, seg, text, role) with one segment number per SEGMENT positions, from 0.
+
+    Rows without a position get some before all others, by text, so they fill segments as well.
+    """
     role = F.col("role") if "role" in transcripts.columns else F.lit(None).cast("string")
     rows = transcripts.select(
-        "conv_id", F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), role.alias("role")
+        "conv_id", F.col("pos").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), role.alias("role")
     ).dropDuplicates()
-    low = rows.agg(F.min("pos")).first()[0] or 0
+    low, unplaced = rows.agg(F.min("pos"), F.count_if(F.col("pos").isNull())).first()
+    low = low or 0
+    if unplaced:
+        loose = saved(rows.where("pos IS NULL").drop("pos"), "turns-unplaced")
+        loose = saved(ranked(loose, "conv_id", ["text", "role"], "turns-ranked"), "turns-placed")
+        most = loose.agg(F.max("pos")).first()[0] + 1
+        loose = loose.withColumn("pos", F.col("pos") + F.lit(low - most)).select(*rows.columns)
+        rows, low = rows.where("pos IS NOT NULL").unionByName(loose), low - most
     return rows.withColumn("seg", F.floor((F.col("pos") - F.lit(low)) / SEGMENT).cast("long"))
 
 
@@ -237,7 +247,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     pieces of a conversation joined by newlines are its canonical transcript: "<|role|>", then the
     turn's lines, the first without its marker. A turn that crosses the border of a segment comes in pieces,
     the later ones `continued` and without the role line. Blocks are ordered by (pos, text), exact
-    repeats count once, a null pos is 0, a null text is one empty line, rows with a null conv_id
+    repeats count once, a null pos comes before all others, a null text is one empty line, rows with a null conv_id
     are left out.
     """
     rows = saved(blocks(transcripts).where("conv_id IS NOT NULL").withColumn("role", F.lit(None).cast("string")), "turns")

@@ -117,3 +117,16 @@ def test_odd_rows(make, spark, learned):
 def test_markers(line, role, rest):
     features, text = tr.observe(line, True)
     assert text == rest and features[0] == (0 if role is None else 1 + tr.ROLES.index(role))
+
+
+def test_blocks_without_a_position_fill_segments(make, learned, monkeypatch):
+    monkeypatch.setattr(tr, "SEGMENT", 4)
+    rows = [(1, None, f"User: line {i:03}") for i in range(50)] + [(1, 3, "Assistant: done"), (2, 7, "User: x"), (2, None, "User: a")]
+    df = make(rows, "conv_id long, pos long, text string")
+    sizes = tr.blocks(df).groupBy("conv_id", "seg").count().collect()
+    assert max(r["count"] for r in sizes) <= 4 and min(r.seg for r in sizes) == 0
+    found = {}
+    for r in sorted(tr.parse(df, learned).collect(), key=lambda r: (r.conv_id, r.seg, r.n)):
+        found.setdefault(r.conv_id, []).append(r.text)
+    lines = lambda c: "\n".join(found[c]).replace("User: ", "").split("\n")
+    assert lines(1) == [f"line {i:03}" for i in range(50)] + ["done"] and lines(2) == ["a", "x"]
