@@ -22,7 +22,7 @@ from quotemill.operators.joins import settled
 from quotemill.operators.vectors import cosine, semantic_topk
 
 CENTRES = 256
-SAMPLE_ROWS = 65_536  # vectors the codebooks are learned from, the smallest by hash of the id
+SAMPLE_ROWS = 16_384  # vectors the codebooks are learned from, the smallest by hash of the id
 ROUNDS = 25
 FOLDER_ROWS = 4096
 MOST_FOLDERS = 10_000
@@ -91,7 +91,8 @@ def train(docs: DataFrame, parts: int = 16, seed: int = 7) -> DataFrame:
     learn.__annotations__ = {"rows": pa.Table, "return": pa.Table}
     subspaces = F.explode(F.array(*[F.lit(m) for m in range(parts)])).alias("part")
     each = sample.where(F.col("embedding").isNotNull()).select("embedding", subspaces)
-    return each.groupBy("part").applyInArrow(learn, "part int, centres binary, width int")
+    # Dealt out by hand: the sample is small, and adaptive execution would put all subspaces into one task.
+    return each.repartition(parts, "part").groupBy("part").applyInArrow(learn, "part int, centres binary, width int")
 
 
 def _books(books: DataFrame) -> list[np.ndarray]:

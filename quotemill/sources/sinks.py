@@ -163,9 +163,9 @@ def newest_version(spark: SparkSession, path: str) -> int | None:
     return spark.read.schema("version BIGINT").parquet(f"{path}-versions").agg(F.max("version")).first()[0]
 
 
-def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    """The newest completely written version of a mart."""
-    return spark.read.parquet(f"{path}/version={newest_version(spark, path)}")
+def read_mart(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest completely written version of a mart, or the one named."""
+    return spark.read.parquet(f"{path}/version={newest_version(spark, path) if version is None else version}")
 
 
 def update_embeddings(news: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -39,15 +39,18 @@ class DayMart:
         spark = states.sparkSession
         states = settled(merged(states))
         own = self._days(states)
-        touched = sorted(set(own) | set(self._days_of(spark, share)), key=lambda d: (d is None, d or date.min))
-        self._record(spark, share, touched)
+        known = self._days_of(spark, share)
+        touched = sorted({*own, *known}, key=lambda d: (d is None, d or date.min))
+        if touched != known:
+            self._record(spark, share, touched)
         shared = states.withColumn("share", F.lit(share)).repartition("date")
         writer = shared.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("date", "share").parquet(f"{self.root}/states")
         for day in set(touched) - set(own):
             sinks.delete_folder(spark, f"{self.root}/states/{_folder(day)}/share={share}")
         self.refresh(spark, touched)
-        self._record(spark, share, own)
+        if len(own) < len(touched):
+            self._record(spark, share, own)
         return touched
 
     def refresh(self, spark: SparkSession, days: list[date | None]) -> None:
@@ -56,7 +59,7 @@ class DayMart:
         path = f"{self.root}/mart"
         version = sinks.newest_version(spark, path)
         if version is not None:
-            kept = sinks.read_mart(spark, path).where(~_on_days(days))
+            kept = sinks.read_mart(spark, path, version).where(~_on_days(days))
             fresh = kept.unionByName(fresh)
         sinks.publish_mart(fresh.coalesce(1), path, (version or 0) + 1)  # one row per day
 
@@ -86,7 +89,9 @@ class DayMart:
 
     def _days_of(self, spark: SparkSession, share: str) -> list[date | None]:
         path = f"{self.root}/shares/share={share}"
-        return self._days(spark.read.schema("date DATE").parquet(path)) if sinks.folder_exists(spark, path) else []
+        if not sinks.folder_exists(spark, path):
+            return []
+        return sorted(self._days(spark.read.schema("date DATE").parquet(path)), key=lambda d: (d is None, d or date.min))
 
     def _record(self, spark: SparkSession, share: str, days: list[date | None]) -> None:
         rows = spark.createDataFrame([(d,) for d in days], "date DATE").coalesce(1)
