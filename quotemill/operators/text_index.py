@@ -103,8 +103,11 @@ class TextIndex:
         return postings.where(F.col("term") != keyword.NO_TERM).groupBy("term").agg(F.count("*").alias("n"))
 
     def _size(self, postings: DataFrame) -> tuple[int, int]:
-        """Documents and words: one row with the empty term per document, in a bucket of its own kind."""
-        row = postings.where(F.col("term") == keyword.NO_TERM).agg(F.count("*"), F.sum("length")).first()
+        """Documents and words, from the one row with the empty term per document; only its bucket is read."""
+        rows = postings.where(F.col("term") == keyword.NO_TERM)
+        if "bucket" in postings.columns:
+            rows = rows.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(keyword.NO_TERM)), F.lit(self.buckets)).cast("int"))
+        row = rows.agg(F.count("*"), F.sum("length")).first()
         return row[0], row[1] or 0
 
     def _stored(self, spark: SparkSession, kind: str, schema: str, names: list[str]) -> DataFrame:
