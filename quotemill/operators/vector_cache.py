@@ -3,7 +3,8 @@
     cache/model=M/bucket=B/...   (digest of the text, vector), written once, by digest bucket
 
 An encoder call looks the digests of its distinct texts up, encodes those the cache lacks, adds
-them and joins the vectors back to the ids.
+them and joins the vectors back to the ids. Texts are read once while the cache is empty or has
+them all; only digests and ids are shuffled, and texts that are repeated very often.
 """
 
 from __future__ import annotations
@@ -23,6 +24,23 @@ def _digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    return settled(texts.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _one_per_digest(numbered: DataFrame) -> DataFrame:
+    """One row per digest of a stored frame; rows are chosen by number, so no text is sorted or folded.
+
+    The shorter list, of the chosen rows or of the others, meets the texts: below the broadcast
+    threshold it is broadcast and no text is shuffled.
+    """
+    firsts = settled(numbered.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
+    if 2 * firsts.count() <= numbered.count():
+        return numbered.join(firsts, "row", "left_semi")
+    others = settled(numbered.select("row").join(firsts, "row", "left_anti"))
+    return numbered.join(others, "row", "left_anti")
+
+
 def cached_encoder(encode: Encoder, path: str, model: str, buckets: int = BUCKETS) -> Encoder:
     """An encoder (id, text) -> (id, embedding) that keeps vectors below `path`, by model version.
 
@@ -44,17 +62,22 @@ def cached_encoder(encode: Encoder, path: str, model: str, buckets: int = BUCKET
         spark = texts.sparkSession
         rows = texts.select("id", "text").withColumn("digest", _digest(F.col("text")))
         bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
-        # One row per digest; equal texts are folded where they are read.
-        distinct = rows.where("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
-        wanted = settled(distinct.select("digest", "text", bucket))
+        # The texts are stored where all are new; else the digests alone, and then the texts the cache lacks.
+        empty = not sinks.folder_exists(spark, folder)
+        held = _numbered(rows) if empty else settled(rows.select("id", "digest"))
+        wanted = settled(held.where("digest IS NOT NULL").select("digest").distinct().withColumn("bucket", bucket))
         known = settled(stored(spark, wanted))
-        fresh = wanted.join(known, "digest", "left_anti").select(F.col("digest").alias("id"), "text")
-        made = encode(fresh).select(F.col("id").alias("digest"), F.col("embedding").cast("array<float>").alias("embedding"))
-        part = new_work_dir(spark, "vectors-made")
-        made.write.parquet(part)
-        made = spark.read.schema("digest STRING, embedding ARRAY<FLOAT>").parquet(part)
-        made.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
-        vectors = known.unionByName(made)
-        return rows.join(vectors, "digest", "left").select("id", "embedding")
+        fresh = settled(wanted.join(known, "digest", "left_anti").select("digest"))
+        vectors = known
+        if empty or not fresh.isEmpty():
+            lacking = held.where("digest IS NOT NULL") if empty else _numbered(rows.join(fresh, "digest", "left_semi"))
+            made = encode(_one_per_digest(lacking).select(F.col("digest").alias("id"), "text"))
+            made = made.select(F.col("id").alias("digest"), F.col("embedding").cast("array<float>").alias("embedding"))
+            part = new_work_dir(spark, "vectors-made")
+            made.write.parquet(part)
+            made = spark.read.schema("digest STRING, embedding ARRAY<FLOAT>").parquet(part)
+            made.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
+            vectors = known.unionByName(made)
+        return held.join(vectors, "digest", "left").select("id", "embedding")
 
     return run

@@ -62,6 +62,33 @@ def test_each_distinct_text_is_encoded_once(spark, tmp_path):
     assert got(cached, texts.where("false")) == set()
 
 
+def test_cached_texts_are_read_once(spark, tmp_path):
+    """The input is evaluated once a call, and once more only for texts that the cache lacks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    def counted(rows):
+        return spark.createDataFrame(rows, "id long, text string").mapInPandas(read, "id long, text string")
+
+    model = embed.model_encoder(lambda: lambda batch: [[float(len(t))] for t in batch], "string")
+    cached = vector_cache.cached_encoder(model, f"{tmp_path}/cache", "v1")
+    # Few repeats, a null id, a null text: the other side of the choice than many repeats.
+    rows = [(i, "x" * i) for i in range(1, 30)] + [(30, "x"), (None, "xx"), (31, None)]
+    want = sorted((i or -1, None if t is None else float(len(t))) for i, t in rows)
+    got = lambda found: sorted((r["id"] or -1, None if r["embedding"] is None else r["embedding"][0]) for r in found.collect())
+    assert got(cached(counted(rows))) == want and seen.value == len(rows)
+    assert got(cached(counted(rows))) == want and seen.value == 2 * len(rows)
+    more = [*rows, (40, "y"), (41, "y"), (42, "yyy")]
+    assert got(cached(counted(more))) == sorted([*want, (40, 1.0), (41, 1.0), (42, 3.0)])
+    assert seen.value == 2 * len(rows) + 2 * len(more)
+    stored = spark.read.parquet(f"{tmp_path}/cache/model=v1")
+    assert stored.count() == stored.select("digest").distinct().count() == 31
+
+
 def test_rolling_models_equal_single_fits(tables):
     """The window's sums give the model that a fit of the same rows gives."""
     rows = forecast._centred(forecast.features(tables.prices.where("price_usd > 0").select(
