@@ -10,20 +10,25 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.texts import IRREGULAR_STEMS, STOP_WORDS, WORD, Stems
+from quotemill.functions import texts
+from quotemill.functions.texts import IRREGULAR_STEMS, STOP_WORDS, Stems
 from quotemill.operators.joins import join_summary, settled
 
 # The usual BM25 constants: saturation of the term count and weight of the text length.
 K1, B = 1.2, 0.75
 NO_TERM = ""
 DOCS_AT_ONCE = 256
+LISTED_AT_ONCE = 1_000_000  # so many words of a task are gathered by term before they move
 SHIPPED_TERMS = 100_000  # so many wanted terms travel with the job, more meet the postings in a join
 COLUMNS = ["id", "published_at", "term", "tf", "length"]
 POSTINGS = "id BIGINT, published_at TIMESTAMP_NTZ, term STRING, tf INT, length INT"
+LISTS = "term STRING, docs INT, entries ARRAY<STRUCT<id: BIGINT, published_at: TIMESTAMP_NTZ, tf: INT, length: INT>>"
 
 
 def search_text(title: str = "title", description: str = "description") -> Column:
@@ -35,20 +40,24 @@ class TermCounter:
 
     def __init__(self, wanted: frozenset[str] | None = None):
         self.stop, self.stems, self.wanted = frozenset(STOP_WORDS), Stems(), wanted
+        if wanted is None:
+            self.stems.update(dict.fromkeys(STOP_WORDS))  # all stop words are counted as None
         # A stem begins like its word, so most words need not be stemmed to see that none wants them.
         self.beginnings = None if wanted is None else {t[:2] for t in wanted}
 
     def count(self, text: str | None) -> tuple[Counter, int]:
         """Count of each stem, and the number of all words."""
-        counts: Counter = Counter()
+        words = texts.lower_words(text or "")
+        if self.wanted is None:
+            counts = Counter(map(self.stems.__getitem__, words))
+            return counts, len(words) - counts.pop(None, 0)
+        counts = Counter()
         length = 0
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
+        for word, n in Counter(words).items():
             if word in self.stop:
                 continue
             length += n
-            if self.wanted is None:
-                counts[self.stems[word]] += n
-            elif word[:2] in self.beginnings or word in IRREGULAR_STEMS:
+            if word[:2] in self.beginnings or word in IRREGULAR_STEMS:
                 stem = self.stems[word]
                 if stem in self.wanted:
                     counts[stem] += n
@@ -80,28 +89,123 @@ def postings(docs: DataFrame, text: Column, terms: DataFrame | None = None) -> D
         if len(few) <= SHIPPED_TERMS:
             wanted = frozenset(r["term"] for r in few)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(wanted)
-        for batch in batches:
-            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(start, DOCS_AT_ONCE)
-                owners, found, counts, lengths = [], [], [], []
-                for owner, content in enumerate(part.column(2).to_pylist()):
-                    terms_of, length = counter.count(content)
-                    owners.extend([owner] * (len(terms_of) + 1))
-                    found.extend([*terms_of, NO_TERM])
-                    counts.extend([*terms_of.values(), 0])
-                    lengths.extend([length] * (len(terms_of) + 1))
-                at = pa.array(owners, pa.int32())
-                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(found, pa.string())]
-                columns += [pa.array(counts, pa.int32()), pa.array(lengths, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, COLUMNS)
-
-    rows = docs.select(F.col("id").cast("bigint").alias("id"), F.col("published_at").cast("timestamp_ntz").alias("published_at"), text.alias("text"))
-    found = rows.mapInArrow(run, POSTINGS)
+    found = _texts(docs, text).mapInArrow(lambda batches: _counted(batches, wanted), POSTINGS)
     return found if wanted is not None else _of_terms(found, terms)
 
 
+def _texts(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.select(F.col("id").cast("bigint").alias("id"), F.col("published_at").cast("timestamp_ntz").alias("published_at"), text.alias("text"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Postings of (id, published_at, text) batches."""
+    counter = TermCounter(wanted)
+    for batch in batches:
+        for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+            part = batch.slice(start, DOCS_AT_ONCE)
+            owners, found, counts, lengths = [], [], [], []
+            for owner, content in enumerate(part.column(2).to_pylist()):
+                terms_of, length = counter.count(content)
+                owners.extend([owner] * (len(terms_of) + 1))
+                found.extend([*terms_of, NO_TERM])
+                counts.extend([*terms_of.values(), 0])
+                lengths.extend([length] * (len(terms_of) + 1))
+            at = pa.array(owners, pa.int32())
+            columns = [part.column(0).take(at), part.column(1).take(at), pa.array(found, pa.string())]
+            columns += [pa.array(counts, pa.int32()), pa.array(lengths, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, COLUMNS)
+
+
+def posting_lists(docs: DataFrame, text: Column) -> DataFrame:
+    """`postings` of every document as (term, docs, entries): some documents' entries of a term in one row."""
+    return _texts(docs, text).mapInArrow(_gathered, LISTS)
+
+
+def listed(index: DataFrame) -> DataFrame:
+    """The rows of `postings` as `posting_lists`."""
+    return index.select(*COLUMNS).mapInArrow(_listed, LISTS)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of (id, published_at, text) batches, LISTED_AT_ONCE words at a time, sorted by term.
+
+    Fewer and shorter rows are shuffled, and sorting them again merges sorted runs. Words are
+    counted as numbers; each distinct word is stemmed once per task.
+    """
+    stems = TermCounter().stems
+    owners, found, sizes, size = [], [], [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+            part = batch.slice(start, DOCS_AT_ONCE)
+            words = []
+            for content in part.column(2).to_pylist():
+                of_text = texts.lower_words(content or "")
+                words += of_text
+                sizes.append(len(of_text))
+            owners.append(part.select([0, 1]))
+            found.append(pa.array(words, pa.string()))
+            size += len(words)
+            if size >= LISTED_AT_ONCE or len(sizes) >= LISTED_AT_ONCE:
+                yield _lists_of_words(owners, found, sizes, stems)
+                owners, found, sizes, size = [], [], [], 0
+    if sizes:
+        yield _lists_of_words(owners, found, sizes, stems)
+
+
+def _lists_of_words(owners: list[pa.RecordBatch], found: list[pa.Array], sizes: list[int], stems: dict) -> pa.RecordBatch:
+    words = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
+    terms = pa.array([stems[w] for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    order = pc.sort_indices(terms.dictionary).to_numpy()
+    # The empty term of all documents comes first, stop words have no place.
+    place = np.full(len(order) + 1, -1, np.int64)
+    place[order] = np.arange(1, len(order) + 1)
+    of_word = place[terms.indices.fill_null(len(order)).to_numpy()]
+    places, owner = of_word[words.indices.to_numpy()], np.repeat(np.arange(len(sizes)), sizes)
+    places, owner = places[places > 0], owner[places > 0]
+    lengths = np.bincount(owner, minlength=len(sizes)).astype(np.int32)
+    keys, counts = np.unique(places * len(sizes) + owner, return_counts=True)
+    owner = np.concatenate([np.arange(len(sizes)), keys % len(sizes)])
+    docs = np.concatenate([[len(sizes)], np.bincount(keys // len(sizes), minlength=len(order) + 1)[1:]])
+    tf = np.concatenate([np.zeros(len(sizes), np.int32), counts.astype(np.int32)])
+    whole = pa.Table.from_batches(owners).take(pa.array(owner)).combine_chunks()
+    columns = [whole.column(0), whole.column(1), pa.array(tf), pa.array(lengths[owner])]
+    names = pa.concat_arrays([pa.array([NO_TERM]), terms.dictionary.take(pa.array(order))])
+    return _list_batch(names, docs, columns)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings gathered by term, LISTED_AT_ONCE at a time, sorted by term."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= LISTED_AT_ONCE:
+            yield _lists_of_rows(held)
+            held, size = [], 0
+    if size:
+        yield _lists_of_rows(held)
+
+
+def _lists_of_rows(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    terms = rows["term"].combine_chunks().dictionary_encode()
+    order = pc.sort_indices(terms.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    places = place[terms.indices.to_numpy()]
+    whole = rows.select(["id", "published_at", "tf", "length"]).take(pa.array(np.argsort(places, kind="stable")))
+    return _list_batch(terms.dictionary.take(pa.array(order)), np.bincount(places, minlength=len(order)), whole.columns)
+
+
+def _list_batch(names: pa.Array, docs: np.ndarray, columns: list) -> pa.RecordBatch:
+    """One row per name with so many of the entries, which lie in the order of the names."""
+    flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    entries = pa.StructArray.from_arrays(flat, ["id", "published_at", "tf", "length"])
+    bounds = pa.array(np.concatenate([[0], np.cumsum(docs)]), pa.int32())
+    lists = pa.ListArray.from_arrays(bounds, entries)
+    return pa.RecordBatch.from_arrays([names, pa.array(docs, pa.int32()), lists], ["term", "docs", "entries"])
+
+
 def _of_terms(index: DataFrame, terms: DataFrame | None) -> DataFrame:
     if terms is None:
         return index

@@ -1,6 +1,6 @@
 """Keyword index that grows by segments: a batch adds one, none is ever rewritten.
 
-    postings/name=S/bucket=B   postings of segment S by bucket of the term
+    postings/name=S/bucket=B   posting lists of segment S by bucket of the term; a term has several
     counts/name=S/bucket=B     documents per term in S; negative for a list of deletions
     deleted/name=D             ids of the deletion list D
     catalog/version=V          one row per live segment and list with its documents and words
@@ -26,6 +26,11 @@ CATALOG = "kind STRING, name STRING, documents BIGINT, words BIGINT"
 COUNTS = "term STRING, n BIGINT"
 
 
+def _rows(lists: DataFrame) -> DataFrame:
+    """One row per entry, as in `keyword.postings`."""
+    return lists.select("term", F.inline("entries"))
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """An index below `path`; the number of buckets stays that of its first segment."""
@@ -40,8 +45,8 @@ class TextIndex:
         """
         spark = docs.sparkSession
         text = keyword.search_text() if text is None else text
-        self._write(keyword.postings(docs, text), segment)
-        self._publish(spark, "segment", segment, *self._size(self._postings(spark, [segment])))
+        self._write_lists(keyword.posting_lists(docs, text), segment)
+        self._publish(spark, "segment", segment, *self._segment_size(spark, segment))
 
     def delete(self, ids: DataFrame, name: str) -> None:
         """Take the documents of a list of ids out; the list again replaces itself.
@@ -55,7 +60,8 @@ class TextIndex:
         gone = settled(gone.join(wanted, "id", "left_semi"))
         docs, words = self._size(gone)
         gone.where(F.col("term") == keyword.NO_TERM).select("id").write.mode("overwrite").parquet(f"{self.path}/deleted/name={name}")
-        self._write_counts(self._counted(gone).withColumn("n", -F.col("n")), name)
+        taken = gone.where(F.col("term") != keyword.NO_TERM).groupBy("term").agg((-F.count("*")).alias("n"))
+        self._write_counts(taken, name)
         self._publish(spark, "deletes", name, -docs, -words)
 
     def merge(self, spark: SparkSession, name: str) -> None:
@@ -64,7 +70,7 @@ class TextIndex:
         if name in segments:
             raise ValueError("the merged segment needs a name of its own")
         self._write(self._without_deleted(self._postings(spark, segments), lists), name)
-        size = self._size(self._postings(spark, [name]))
+        size = self._segment_size(spark, name)
         version = sinks.newest_version(spark, f"{self.path}/catalog") or 0
         rows = spark.createDataFrame([("segment", name, *size)], CATALOG)
         sinks.publish_mart(rows, f"{self.path}/catalog", version + 1)
@@ -81,7 +87,7 @@ class TextIndex:
         names = self._names(spark, "segment"), self._names(spark, "deletes")
         counts = self._stored(spark, "counts", COUNTS, names[0] + names[1]).where(inside).join(wanted, "term", "left_semi")
         spread = settled(counts.groupBy("term").agg(F.sum("n").alias("n")).where("n > 0"))
-        held = self._postings(spark, names[0]).where(inside).join(wanted, "term", "left_semi")
+        held = _rows(self._lists(spark, names[0]).where(inside).join(wanted, "term", "left_semi"))
         held = settled(self._without_deleted(held, names[1]).select(*keyword.COLUMNS))
         return keyword.ranked_matches(held, terms, spread, total or 0, words or 0)
 
@@ -90,26 +96,29 @@ class TextIndex:
         return keyword.best_documents(self.matches(keyword.query_terms(queries)), docs, limit)
 
     def _write(self, postings: DataFrame, name: str) -> None:
-        bucketed = postings.withColumn("bucket", keyword._bucket(self.buckets)).hint("rebalance", "bucket")
+        self._write_lists(keyword.listed(postings), name)
+
+    def _write_lists(self, lists: DataFrame, name: str) -> None:
+        bucketed = lists.withColumn("bucket", keyword._bucket(self.buckets)).hint("rebalance", "bucket")
         sorted_rows = bucketed.sortWithinPartitions("bucket", "term")
         sorted_rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/name={name}")
-        self._write_counts(self._counted(self._postings(postings.sparkSession, [name])), name)
+        stored = self._lists(lists.sparkSession, [name]).where(F.col("term") != keyword.NO_TERM)
+        self._write_counts(stored.groupBy("term").agg(F.sum("docs").alias("n")), name)
 
     def _write_counts(self, counts: DataFrame, name: str) -> None:
         bucketed = counts.withColumn("bucket", keyword._bucket(self.buckets)).repartition("bucket")
         bucketed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/name={name}")
 
-    def _counted(self, postings: DataFrame) -> DataFrame:
-        return postings.where(F.col("term") != keyword.NO_TERM).groupBy("term").agg(F.count("*").alias("n"))
-
     def _size(self, postings: DataFrame) -> tuple[int, int]:
-        """Documents and words, from the one row with the empty term per document; only its bucket is read."""
-        rows = postings.where(F.col("term") == keyword.NO_TERM)
-        if "bucket" in postings.columns:
-            rows = rows.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(keyword.NO_TERM)), F.lit(self.buckets)).cast("int"))
-        row = rows.agg(F.count("*"), F.sum("length")).first()
+        """Documents and words, from the one row with the empty term per document."""
+        row = postings.where(F.col("term") == keyword.NO_TERM).agg(F.count("*"), F.sum("length")).first()
         return row[0], row[1] or 0
 
+    def _segment_size(self, spark: SparkSession, name: str) -> tuple[int, int]:
+        """`_size` of a stored segment; only the bucket of the empty term is read."""
+        bucket = F.pmod(F.xxhash64(F.lit(keyword.NO_TERM)), F.lit(self.buckets)).cast("int")
+        return self._size(_rows(self._lists(spark, [name]).where((F.col("bucket") == bucket) & (F.col("term") == keyword.NO_TERM))))
+
     def _stored(self, spark: SparkSession, kind: str, schema: str, names: list[str]) -> DataFrame:
         """Rows of some segments; folders without any row have no schema of their own."""
         if not names:
@@ -118,8 +127,11 @@ class TextIndex:
         # Each segment on its own, so their bucket folders are partitions and nothing else is listed.
         return reduce(DataFrame.unionByName, [reader.parquet(f"{self.path}/{kind}/name={n}") for n in names])
 
+    def _lists(self, spark: SparkSession, names: list[str]) -> DataFrame:
+        return self._stored(spark, "postings", keyword.LISTS, names)
+
     def _postings(self, spark: SparkSession, names: list[str]) -> DataFrame:
-        return self._stored(spark, "postings", keyword.POSTINGS, names)
+        return _rows(self._lists(spark, names))
 
     def _without_deleted(self, postings: DataFrame, lists: list[str]) -> DataFrame:
         if not lists:
